@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import default_path, read_table
+from .license_scan import LICENSES, SPELLINGS, license_scan
 from .line_dedup import dedup_lines
 from .url_filter import url_rules, url_verdicts
 
@@ -62,10 +63,36 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
+def _op8_sql() -> str:
+    def canonical(c: str) -> str:
+        out = f"regexp_replace(lower(coalesce({c}, '')), '(?m)^[ \\t]*(copyright|\\(c\\)|©)[ \\t:][^\\n]*$', '', 'g')"
+        for other, usual in SPELLINGS:
+            out = f"replace({out}, '{other}', '{usual}')"
+        return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+
+    one_line = lambda c: f"trim(regexp_replace({c}, '[ \\n]+', ' ', 'g'), ' ')"
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in LICENSES.items())
+    return f"""
+WITH known AS (
+  SELECT sha256({one_line(canonical("body"))}) AS digest, min(name) AS name FROM (VALUES {values}) AS v(name, body) GROUP BY 1),
+canon AS (SELECT doc_id, {canonical("text")} AS t FROM documents),
+whole AS (SELECT doc_id, t, sha256({one_line("t")}) AS text_digest FROM canon),
+lines AS (SELECT DISTINCT doc_id, sha256(trim(unnest(string_split(t, chr(10))), ' ')) AS digest FROM canon),
+noted AS (SELECT doc_id, string_agg(DISTINCT name, '; ' ORDER BY name) AS notices FROM lines JOIN known USING (digest) GROUP BY doc_id)
+SELECT w.doc_id, text_digest, known.name AS license, coalesce(notices, '') AS notices
+FROM whole w LEFT JOIN known ON known.digest = text_digest LEFT JOIN noted ON noted.doc_id = w.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
     "op4_line_dedup": op4_line_dedup,
+    "op8_license_scan": op8_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_license_scan": _op8_sql()}
