@@ -11,6 +11,7 @@ from .bpe import bpe_encode
 from .common import default_path, read_table
 from .license_scan import LICENSES, SPELLINGS, license_scan
 from .line_dedup import dedup_lines
+from .quality_rules import quality_rules
 from .url_filter import url_rules, url_verdicts
 
 
@@ -63,6 +64,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
     "op4_line_dedup": op4_line_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
 }
 
