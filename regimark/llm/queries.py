@@ -11,6 +11,7 @@ from .bpe import bpe_encode
 from .common import default_path, read_table
 from .license_scan import LICENSES, SPELLINGS, license_scan
 from .line_dedup import dedup_lines
+from .quality_fm import fit_quality, held_out, score_quality
 from .quality_rules import quality_rules
 from .url_filter import url_rules, url_verdicts
 
@@ -46,6 +47,12 @@ FROM ruled
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    return score_quality(docs, machine).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -96,6 +103,7 @@ FROM whole w LEFT JOIN known ON known.digest = text_digest LEFT JOIN noted ON no
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
