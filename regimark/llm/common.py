@@ -99,3 +99,28 @@ def default_path(name: str) -> str:
     import public_tokenizers
 
     return os.path.abspath(public_tokenizers.path(name))
+
+
+def arrow_append(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], added: str) -> DataFrame:
+    """df with the columns of `added` made from the columns of `inputs`, as arrow_rows does; all other columns
+    pass through as they are, and columns of df with an added name are replaced."""
+    out = T.StructType.fromDDL(added)
+    names = [f.name for f in out]
+    keep = [c for c in df.columns if c not in names]
+    arrow_out = _arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for piece in _pieces(batch):
+                at = piece.schema.get_field_index
+                cols = {}
+                for name in inputs:
+                    col = piece.column(at(name))
+                    cols[name] = (col.cast(pa.binary()) if pa.types.is_string(col.type) else col).to_pylist()
+                made = work(cols)
+                new = [pa.array(made[f.name], type=f.type) for f in arrow_out]
+                yield pa.RecordBatch.from_arrays([*[piece.column(at(c)) for c in keep], *new], [*keep, *names])
+
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.select(*keep).schema] + list(out.fields))
+    return df.select(*keep, *[c for c in inputs if c not in keep]).mapInArrow(run, schema)
