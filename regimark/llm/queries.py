@@ -12,6 +12,7 @@ from .common import default_path, read_table
 from .decontaminate import leaks
 from .license_scan import LICENSES, SPELLINGS, license_scan
 from .line_dedup import dedup_lines
+from .minhash_dedup import near_duplicates
 from .quality_fm import fit_quality, held_out, score_quality
 from .quality_rules import quality_rules
 from .url_filter import url_rules, url_verdicts
@@ -72,6 +73,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
