@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .cdc_dedup import dedup_chunks
 from .common import default_path, read_table
 from .decontaminate import leaks
 from .license_scan import LICENSES, SPELLINGS, license_scan
@@ -74,6 +75,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_chunks(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_bytes", "n_chunks", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
