@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_append, arrow_rows
 from .quality_rules import BLANK, DIGIT, MARK, OTHER, SKIP, STOP, SYMBOL, UPPER, CLASS_OF
 
 #: Slots of hashed words; statistics follow.
@@ -156,10 +156,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return machine
 
 
-def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id_col, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold) of every row.
+def append_quality(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
 
-    Null and empty texts are scored by their bins. Nothing but the text enters a score.
+    Null and empty texts are scored by their bins. Nothing but the text enters a score. Rows are scored one by
+    one; null and repeated ids stay, as do other columns, but for ones named score or predicted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -168,8 +169,13 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", tex
 
         def work(cols):
             scores = [m.score(*vector(t or b"")) for t in cols[text_col]]
-            return {id_col: cols[id_col], "score": scores, "predicted": [int(s >= threshold) for s in scores]}
+            return {"score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
         return work
 
-    return arrow_rows(docs.select(id_col, text_col), make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return arrow_append(docs, [text_col], make, "score double, predicted int")
+
+
+def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id_col, score, predicted of every row, as append_quality makes them."""
+    return append_quality(docs.select(id_col, text_col), machine, text_col, threshold).select(id_col, "score", "predicted")
