@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-For each item size there are windows of that many words over every text, an eighth of a window apart. A
+For each item size there are windows of that many words over every text, a sixth of a window apart. A
 window's SimHash sums the bits of its word pairs, by differences of running sums. Fingerprints are cut into
 blocks; two within the radius agree in some block up to radius // blocks bits, so each item is filed under all
 such variants of its blocks and every window within the radius is found. Candidates are then compared at every
@@ -23,7 +23,7 @@ BLOCKS = 4
 BLOCK_BITS = 16
 RADIUS = 15
 #: Windows begin so many to a window's length.
-WINDOWS_A_SIZE = 8
+WINDOWS_A_SIZE = 6
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Items that one index holds; larger benchmarks take several passes over the texts.
@@ -80,7 +80,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class BlockIndex:
-    """Items of one size by all variants of their blocks that lie within the errors a block may have."""
+    """Items of one size by all variants of their blocks that lie within the errors a block may have: for each
+    64 items and block a table from the block's value to the set of items, as bits."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = prints, radius
@@ -88,37 +89,33 @@ class BlockIndex:
         for k in range(1, radius // BLOCKS + 1):
             flips += [sum(1 << b for b in c) for c in combinations(range(BLOCK_BITS), k)]
         flips = np.array(flips, np.int64)
-        self.starts, self.items = [], []
-        for b in range(BLOCKS):
-            keys = (self.block(prints, b)[:, None] ^ flips).ravel()
-            order = np.argsort(keys, kind="stable")
-            self.starts.append(np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1)))
-            self.items.append(order // len(flips))
-        self.any = [np.diff(starts) > 0 for starts in self.starts]
-
-    @staticmethod
-    def block(prints: np.ndarray, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS).astype(np.int64)
+        self.tables = np.zeros((-(-len(prints) // 64), BLOCKS, 1 << BLOCK_BITS), np.uint64)
+        for i, own in enumerate(blocks):
+            for b in range(BLOCKS):
+                self.tables[i // 64, b, own[b] ^ flips] |= np.uint64(1 << i % 64)
+        self.any = [self.tables[:, b].any(axis=0) for b in range(BLOCKS)]
 
     def within(self, prints: np.ndarray) -> np.ndarray:
-        """All (row of prints, item) whose fingerprints differ in at most radius bits, each once."""
-        some = np.flatnonzero(np.logical_or.reduce([self.any[b][part] for b, part in enumerate(prints.view(np.uint16).reshape(-1, BLOCKS).T)]))
-        if not len(some):
-            return some
-        prints, found = prints[some], []
-        for b in range(BLOCKS):
-            keys, starts = self.block(prints, b), self.starts[b]
-            counts = starts[keys + 1] - starts[keys]
-            rows = np.flatnonzero(counts)
-            if not len(rows):
-                continue
-            n = counts[rows]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(starts[keys[rows]], n)
-            row, item = np.repeat(rows, n), self.items[b][at]
-            near = np.bitwise_count(prints[row] ^ self.prints[item]) <= self.radius
-            found.append(some[row[near]] * len(self.prints) + item[near])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        """All (row of prints, item) whose fingerprints differ in at most radius bits, each once, as row * items + item."""
+        found = [np.zeros(0, np.int64)]
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        some = self.any[0][blocks[:, 0]]
+        for b in range(1, BLOCKS):
+            some |= self.any[b][blocks[:, b]]
+        some = np.flatnonzero(some)
+        prints, blocks = prints[some], blocks[some]
+        for g, tables in enumerate(self.tables):
+            held = tables[0][blocks[:, 0]]
+            for b in range(1, BLOCKS):
+                held |= tables[b][blocks[:, b]]
+            rows = np.flatnonzero(held)
+            held, own = held[rows], prints[rows]
+            for i in range(64 * g, min(64 * g + 64, len(self.prints))):
+                here = np.flatnonzero(held & np.uint64(1 << i % 64))
+                near = np.bitwise_count(own[here] ^ self.prints[i]) <= self.radius
+                found.append(some[rows[here[near]]] * len(self.prints) + i)
+        return np.concatenate(found)
 
 
 class Benchmark:
@@ -188,6 +185,10 @@ class Benchmark:
     @staticmethod
     def _verify(words: list[bytes], start: int, size: int, step: int, item: int, wanted: Counter, found: dict) -> None:
         low, high = max(0, start - step), min(len(words) - size, start + step)
+        # Of a set's shingles 2 s / (1 + s) are common; a word that is lacking costs at least one.
+        own = {w for k in wanted for w in k}
+        if len(own.difference(words[low : high + size])) * (1 + SIMILARITY) > (1 - SIMILARITY) * sum(wanted.values()) + 1e-9:
+            return
         near = shingles_of(words[low : high + size])
         # Of the shingles of both, a similarity of s needs 2 s / (1 + s) of the item's own.
         if size >= SHINGLE and sum(min(n, near[k]) for k, n in wanted.items()) * (1 + SIMILARITY) < 2 * SIMILARITY * sum(wanted.values()) - 1e-9:
