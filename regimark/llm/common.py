@@ -47,10 +47,11 @@ def checked_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_B
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
-def arrow_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
+def arrow_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, most: int = 8 << 20) -> DataFrame:
     """df through mapInArrow: make() is called once a task and returns a function from columns to columns.
 
-    Strings arrive as UTF-8 bytes, so that byte semantics hold and nothing is decoded needlessly.
+    Strings arrive as UTF-8 bytes, so that byte semantics hold and nothing is decoded needlessly. A call gets
+    about `most` bytes of rows.
     """
     out_schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow_schema = _arrow_schema(out_schema)
@@ -58,7 +59,7 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in _pieces(batch, most):
                 cols = {}
                 for name, col in zip(piece.schema.names, piece.columns, strict=True):
                     if pa.types.is_string(col.type):
@@ -75,7 +76,7 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     return df.mapInArrow(run, out_schema)
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """batch in slices of about `most` bytes, so that long texts don't pile up as Python objects."""
     n = max(1, min(batch.num_rows, -(-batch.nbytes // most)))
     step = max(1, -(-batch.num_rows // n))
@@ -101,7 +102,7 @@ def default_path(name: str) -> str:
     return os.path.abspath(public_tokenizers.path(name))
 
 
-def arrow_append(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], added: str) -> DataFrame:
+def arrow_append(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], added: str, most: int = 8 << 20) -> DataFrame:
     """df with the columns of `added` made from the columns of `inputs`, as arrow_rows does; all other columns
     pass through as they are, and columns of df with an added name are replaced."""
     out = T.StructType.fromDDL(added)
@@ -112,7 +113,7 @@ def arrow_append(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in _pieces(batch, most):
                 at = piece.schema.get_field_index
                 cols = {}
                 for name in inputs:

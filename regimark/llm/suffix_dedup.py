@@ -26,9 +26,11 @@ GRAM = 16
 #: Segments of one anchor that may meet in a task.
 HOT = 4096
 #: Bytes of segments that are sorted together.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of text that are anchored together; a power of two that positions fit in.
-SPAN_BITS = 20
+SPAN_BITS = 18
+#: Bytes of rows that a call gets.
+PIECE = 2 << 20
 
 
 def _packed(t: np.ndarray) -> np.ndarray:
@@ -40,7 +42,7 @@ def _packed(t: np.ndarray) -> np.ndarray:
 
 
 def anchored(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash of its 16-gram) of the anchor of each window of text; text has at most 2^20 bytes."""
+    """(place, hash of its 16-gram) of the anchor of each window of text; text has at most 2^SPAN_BITS bytes."""
     p8 = _packed(text)[: len(text) - 7]
     h = p8[:-8] * np.uint64(0x9E3779B97F4A7C15) + p8[8:]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -233,7 +235,7 @@ def _segment_rows(docs: DataFrame, id_col: str, text_col: str, bodies: bool, len
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_rows(docs.select(id_col, text_col), make, f"hash long, id {kind}" + (", first int, last int, body binary" if bodies else ""))
+    return arrow_rows(docs.select(id_col, text_col), make, f"hash long, id {kind}" + (", first int, last int, body binary" if bodies else ""), PIECE)
 
 
 def _sorted_repeats(segments: DataFrame, kind: str, length: int) -> DataFrame:
@@ -312,6 +314,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         of_doc = hits.groupBy("id").agg(F.collect_set("hash").alias("hashes")).select(F.col("id").alias("doc"), "hashes")
         held = firsts.join(of_doc, F.col("id") == F.col("doc")).select("id", "text")
         segments = _segment_rows(held, "id", "text", True, length).join(often, "hash")
+    segments = stored(segments.select("hash", "n", "id", "first", "last", "body"), "suffix-segments")
     few = _sorted_repeats(segments.filter(F.col("n") <= HOT).select("hash", "id", "first", "last", "body"), kind, length)
     many = _hot_repeats(segments.filter(F.col("n") > HOT), kind, length)
     whole = copies.select("id", F.lit(0).alias("first"), (F.col("n") - length).cast("int").alias("last"))
@@ -354,4 +357,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return work
 
-    return arrow_append(joined, [text_col, "__spans"], make, f"`{text_col}` binary, n_bytes long, n_removed long, n_spans long").drop("__spans")
+    return arrow_append(joined, [text_col, "__spans"], make, f"`{text_col}` binary, n_bytes long, n_removed long, n_spans long", PIECE).drop("__spans")
