@@ -1,12 +1,5 @@
 """Registered queries of the analytics operators and their SQL counterparts."""
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+from . import window_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+from .window_queries import temporal_features as flagship  # noqa: F401
