@@ -5,8 +5,9 @@ A document's set of word shingles gives a signature of 40 symbols of 16 bits. Si
 times, with one symbol left out, so every such pair shares a key. Links are confirmed on whole sets.
 
 Equal sets are one class from the start. In each group of a key all are compared to its smallest id first,
-which is linear; only pairs that are in different components after that are then compared with each other,
-so a group of near copies is never expanded into all its pairs and no link between different sets is lost.
+which is linear; only pairs that are in different components after that are then compared with each other, and
+of these those that share one of their rarest shingles, as all links do. So a group of near copies or of texts
+around one passage is never expanded into all its pairs, and no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SYMBOLS = CHUNKS * SYMBOLS_A_CHUNK
 #: The largest number of errors that leaves some chunk at most one: 2 * CHUNKS - 1.
 RADIUS = 2 * CHUNKS - 1
 LONGS = SYMBOLS // 4
+#: Shingles are counted in so many bits' worth of slots.
+COUNT_BITS = 20
 SIGNATURE = [f"s{k}" for k in range(LONGS)]
 
 _RNG = np.random.default_rng(20)
@@ -152,6 +155,49 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, pe
     return stored(arrow_rows(joined, make, f"a {kind}, b {kind}").distinct(), "near-links")
 
 
+def _rarest(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(id, token): of each set of n shingles the n - ceil(percent n / 100) + 1 that come first in one order.
+
+    Two sets that are similar enough share percent of each at least, so they share one of these whatever the
+    order is. The order is by frequency among these sets, rare ones first, from a table of 2^20 counts that
+    shingles are hashed into; its size is fixed.
+    """
+    ids = stored(reps.select(F.col("rep").alias("need")).distinct(), "near-rest-ids")
+    needed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(checked_broadcast(ids, 32), F.col("id") == F.col("need"), "left_semi")
+    kind = docs.schema[id_col].dataType.simpleString()
+    slots = np.uint64((1 << COUNT_BITS) - 1)
+
+    def make_counts():
+        def work(cols):
+            sets = [shingle_set(t or b"") for t in cols["text"]]
+            slot, n = np.unique(np.concatenate(sets) & slots, return_counts=True) if sets else (np.zeros(0, int), np.zeros(0, int))
+            return {"slot": slot.astype(np.int64).tolist(), "n": n.tolist()}
+
+        return work
+
+    counts = arrow_rows(needed, make_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2^20 rows at most
+    table = np.zeros(1 << COUNT_BITS, np.int64)
+    table[counts["slot"].to_numpy(int)] = counts["n"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def make():
+        often = shared.value
+
+        def work(cols):
+            out = {"id": [], "token": []}
+            for doc, text in zip(cols["id"], cols["text"], strict=True):
+                s = shingle_set(text or b"")
+                first = len(s) - (percent * len(s) + 99) // 100 + 1
+                own = s[np.lexsort((s, often[(s & slots).astype(np.int64)]))[:first]] if len(s) else s
+                out["token"] += own.view(np.int64).tolist()
+                out["id"] += [doc] * len(own)
+            return out
+
+        return work
+
+    return arrow_rows(needed, make, f"id {kind}, token long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """id_col, n_shingles, component_id, kept of every row of docs.
 
@@ -176,13 +222,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirmed(_filtered(first, signed, percent), docs, id_col, text_col, percent)
     labels = components(links)
 
-    # What is left: pairs of a key's group in different components.
-    placed = multi.select("key", "rep", "hub").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    # What is left: pairs of a key's group in different components. Groups that hold such pairs may be large, as
+    # of texts around one passage; they are split by the members' rarest shingles, of which every link has one.
+    placed = multi.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = stored(placed.join(mixed, "key").join(signed, "rep"), "near-rest")
-    two = rest.toDF(*[f"{c}_2" for c in rest.columns])
-    condition = (F.col("key") == F.col("key_2")) & (F.col("rep") < F.col("rep_2")) & (F.col("label") != F.col("label_2")) & (F.col("rep") != F.col("hub")) & _near(_Named(""), _Named("_2"), percent)
-    second = rest.join(two, condition).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
+    rest = stored(placed.join(mixed, "key").select("rep", "label").distinct().join(signed, "rep"), "near-rest")
+    tokens = stored(rest.join(_rarest(docs, rest.select("rep"), id_col, text_col, percent), rest.rep == F.col("id")).drop("id"), "near-rarest")
+    two = tokens.toDF(*[f"{c}_2" for c in tokens.columns])
+    condition = (F.col("token") == F.col("token_2")) & (F.col("rep") < F.col("rep_2")) & (F.col("label") != F.col("label_2")) & _near(_Named(""), _Named("_2"), percent)
+    second = tokens.join(two, condition).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
     more = _confirmed(stored(second, "near-second"), docs, id_col, text_col, percent)
     labels = components(links.unionAll(more))
 
