@@ -23,8 +23,8 @@ from .common import arrow_append, arrow_rows, checked_broadcast, stored
 
 LENGTH = 100
 GRAM = 16
-#: Segments of one anchor that may meet in a task.
-HOT = 4096
+#: Segments of one anchor that may meet in a task: under 3 MB of text, which is what a sort takes in memory.
+HOT = 16384
 #: Bytes of segments that are sorted together.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text that are anchored together; a power of two that positions fit in.
@@ -116,13 +116,13 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     ends = np.append(change, n - 1)  # of runs of one byte
     rises = np.append(t[change] < t[change + 1], True)
     smaller = np.repeat(rises, np.diff(np.concatenate([[-1], ends])))
-    direct = np.flatnonzero(smaller)
+    direct = np.flatnonzero(smaller).astype(np.int32)
     direct = direct[np.argsort(key[direct], kind="stable")]
     tied = np.zeros(len(direct), bool)
     same = key[direct[1:]] == key[direct[:-1]]
     tied[1:] |= same
     tied[:-1] |= same
-    group = np.cumsum(np.concatenate([[True], ~same])) if len(direct) else np.zeros(0, np.int64)
+    group = np.cumsum(np.concatenate([[True], ~same]), dtype=np.int32) if len(direct) else np.zeros(0, np.int64)
     at = np.flatnonzero(tied)
     for d in range(8, depth, 8):
         if not len(at):
@@ -133,7 +133,7 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         places, groups, k = places[order], groups[order], k[order]
         direct[at] = places
         same = (groups[1:] == groups[:-1]) & (k[1:] == k[:-1])
-        fresh = np.cumsum(np.concatenate([[True], ~same]))
+        fresh = np.cumsum(np.concatenate([[True], ~same]), dtype=np.int32)
         group[at] = fresh
         tied = np.zeros(len(at), bool)
         tied[1:] |= same
@@ -144,7 +144,7 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for c in range(256):
-        larger = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
+        larger = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int32)
         parts, now = [larger], larger
         while len(now):  # runs of c: each round one byte longer
             now = now[now > 0] - 1
@@ -190,8 +190,8 @@ def repeats(block: list[tuple[object, int, int, bytes]], length: int = LENGTH) -
     t = np.frombuffer(b"".join(body + b"\xff" for body, _ in rows), np.uint8) + np.uint8(1)  # 255 is in no text; its successor is 0
     sizes = np.array([len(body) + 1 for body, _ in rows])
     begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    is_start = np.arange(len(t)) + length < (begins + sizes)[owner]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    is_start = np.arange(len(t), dtype=np.int32) + length < (begins + sizes).astype(np.int32)[owner]
     order = suffix_order(t, length)
     order = order[is_start[order]]
     group = np.cumsum(np.concatenate([[True], ~equal_neighbours(t, order, length)]))
