@@ -172,7 +172,7 @@ def group_spread(spark, sf):
     return li.groupBy(F.col("l_returnflag").alias("g")).agg(F.count("*").alias("n"), R(F.min("l_quantity")).alias("lo"), R(F.percentile("l_quantity", 0.5)).alias("med"), R(F.max("l_quantity")).alias("hi"), F.min("l_orderkey").alias("rep"))
 
 
-@query("a20_trigger_counters", with_frames(", u AS (SELECT video_id, frame_index, 'power' AS signal, power AS v FROM frames UNION ALL SELECT video_id, frame_index, 'active', active FROM frames UNION ALL SELECT video_id, frame_index, 'label', label FROM frames), k AS (SELECT signal, v = 2 AS two, v <> 0 AS some, lag(v = 2) OVER w AS ptwo, lag(v <> 0) OVER w AS psome FROM u WINDOW w AS (PARTITION BY signal, video_id ORDER BY frame_index)) SELECT signal, count(*) FILTER (two) AS equal_2, count(*) FILTER (some) AS nonzero, count(*) FILTER (two AND NOT coalesce(ptwo, false)) AS rising_2, count(*) FILTER (some AND NOT coalesce(psome, false)) AS rising_nonzero FROM k GROUP BY 1"))
+@query("a20_trigger_counters", with_frames(", u AS (SELECT video_id, frame_index, 'power' AS signal, power AS v FROM frames UNION ALL SELECT video_id, frame_index, 'active', active FROM frames UNION ALL SELECT video_id, frame_index, 'label', label FROM frames), k AS (SELECT signal, v = 2 AS two, v <> 0 AS other, lag(v = 2) OVER w AS ptwo, lag(v <> 0) OVER w AS psome FROM u WINDOW w AS (PARTITION BY signal, video_id ORDER BY frame_index)) SELECT signal, count(*) FILTER (two) AS equal_2, count(*) FILTER (other) AS nonzero, count(*) FILTER (two AND NOT coalesce(ptwo, false)) AS rising_2, count(*) FILTER (other AND NOT coalesce(psome, false)) AS rising_nonzero FROM k GROUP BY 1"))
 def trigger_counters(spark, sf):
     f = frames(spark, sf)
     signals = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("v")) for c in ("power", "active", "label")])
@@ -370,7 +370,7 @@ def hexagonal_density(spark, sf):
     return hexagons(D.active(frames(spark, sf), "active"), "p_high", "power", 65)
 
 
-@query("v9_thresholds_of_methods", "SELECT column0 AS method, column1 AS threshold FROM (VALUES ('probability_0.30', 0.3::DOUBLE), ('probability_0.90', 0.9), ('raw_high_state', NULL))")
+@query("v9_thresholds_of_methods", "SELECT * FROM (VALUES ('probability_0.30', 0.3::DOUBLE), ('probability_0.90', 0.9), ('raw_high_state', NULL)) v(method, threshold)")
 def thresholds_of_methods(spark, sf):
     m = spark.createDataFrame([("probability_0.30",), ("probability_0.90",), ("raw_high_state",)], "method string")
     return m.select("method", S.method_threshold(F.col("method")).alias("threshold"))

@@ -85,5 +85,5 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("frame_id", (F.col("at") % 8).alias("x"), F.floor(F.col("at") / 8).cast("int").alias("y"), level.alias("level"))
 
 
-PIXELS = """flat AS (SELECT vec_id AS frame_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS at FROM embeddings),
-pixels AS (SELECT frame_id, CAST(at % 8 AS INTEGER) AS x, CAST(at // 8 AS INTEGER) AS y, least(255, CAST(floor(abs(CAST(v AS DOUBLE)) * 255) AS INTEGER)) AS level FROM flat)"""
+PIXELS = """flat AS (SELECT vec_id AS frame_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS place FROM embeddings),
+pixels AS (SELECT frame_id, CAST(place % 8 AS INTEGER) AS x, CAST(place // 8 AS INTEGER) AS y, least(255, CAST(floor(abs(CAST(v AS DOUBLE)) * 255) AS INTEGER)) AS level FROM flat)"""
