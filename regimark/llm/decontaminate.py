@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-For each item size there are windows of that many words over every text, a sixth of a window apart. A
-window's SimHash sums the bits of its word pairs, by differences of running sums. Fingerprints are cut into
-blocks; two within the radius agree in some block up to radius // blocks bits, so each item is filed under all
+For each item size, rounded down by less than an eighth, there are windows of that many words over every text,
+a seventh of a window apart. A window's SimHash sums the bits of its word pairs, by differences of running sums.
+Fingerprints are cut into blocks; two within the radius agree in some block up to radius // blocks bits, so each item is filed under all
 such variants of its blocks and every window within the radius is found. Candidates are then compared at every
 start near them by the weighted Jaccard similarity of their word shingles.
 """
@@ -23,7 +23,9 @@ BLOCKS = 4
 BLOCK_BITS = 16
 RADIUS = 15
 #: Windows begin so many to a window's length.
-WINDOWS_A_SIZE = 6
+WINDOWS_A_SIZE = 7
+#: Items of like size share windows, up to one in so many words less than they have.
+SIZES_AN_OCTAVE = 8
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Items that one index holds; larger benchmarks take several passes over the texts.
@@ -79,6 +81,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return _mixed(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
 
 
+def window_size(words: int) -> int:
+    """Words of the windows for an item: its own number, rounded down by less than an eighth."""
+    return words - words % max(1, words // SIZES_AN_OCTAVE)
+
+
 class BlockIndex:
     """Items of one size by all variants of their blocks that lie within the errors a block may have: for each
     group of up to 64 items and each block a table from the block's value to the set of items, as bits."""
@@ -121,13 +128,13 @@ class Benchmark:
         for item, text in items:
             words = words_of(text)
             if words:
-                by_size.setdefault(len(words), []).append((item, words))
+                by_size.setdefault(window_size(len(words)), []).append((item, words))
         self.sizes = {}
         for size, own in sorted(by_size.items()):
             sums = [running_bits(word_hashes(w)) for _, w in own]
-            prints = np.concatenate([fingerprints(s, size, size) if size > 1 else np.zeros(1, np.uint64) for s in sums])
-            self.sizes[size] = (BlockIndex(prints), [i for i, _ in own], [shingles_of(w) for _, w in own], {tuple(w): i for i, w in own})
-        self.longest = max(self.sizes, default=0)
+            prints = np.concatenate([fingerprints(s, len(w), len(w)) if size > 1 else np.zeros(1, np.uint64) for s, (_, w) in zip(sums, own, strict=True)])
+            self.sizes[size] = (BlockIndex(prints), [i for i, _ in own], [shingles_of(w) for _, w in own], [len(w) for _, w in own], {tuple(w): i for i, w in own})
+        self.longest = max((n for x in self.sizes.values() for n in x[3]), default=0)
 
     def leaks(self, texts: list[list[bytes]]) -> list[dict]:
         """For each text {item: (similarity, first start)} of the items that some window holds."""
@@ -157,7 +164,7 @@ class Benchmark:
         begins = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(group)), lengths)
         sums = running_bits(word_hashes(words))
-        for size, (index, items, shingles, whole) in self.sizes.items():
+        for size, (index, items, shingles, lengths_of, whole) in self.sizes.items():
             if size <= 1:
                 for g, (t, at, part) in enumerate(group):
                     for k, w in enumerate(part):
@@ -175,13 +182,15 @@ class Benchmark:
                     if lengths[g] >= size:
                         t, at, _ = group[g]
                         inside = min(max(int(start - begins[g]), 0), int(lengths[g]) - size)
-                        self._verify(texts[t], inside + at, size, step, items[i], shingles[i], found[t])
+                        self._verify(texts[t], inside + at - (lengths_of[i] - size), inside + at, lengths_of[i], step, items[i], shingles[i], found[t])
 
     @staticmethod
-    def _verify(words: list[bytes], start: int, size: int, step: int, item: int, wanted: Counter, found: dict) -> None:
+    def _verify(words: list[bytes], first: int, last: int, size: int, step: int, item: int, wanted: Counter, found: dict) -> None:
         if found.get(item, (0.0, 0))[0] >= 1:
             return
-        low, high = max(0, start - step), min(len(words) - size, start + step)
+        low, high = max(0, first - step), min(len(words) - size, last + step)
+        if high < low:
+            return
         # Of a set's shingles 2 s / (1 + s) are common; a word that is lacking costs at least one.
         own = {w for k in wanted for w in k}
         if len(own.difference(words[low : high + size])) * (1 + SIMILARITY) > (1 - SIMILARITY) * sum(wanted.values()) + 1e-9:
