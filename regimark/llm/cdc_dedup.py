@@ -22,6 +22,8 @@ MIN_CHUNK = 8
 MAX_CHUNK = 512
 #: Bytes from which on a run of repeated chunks goes.
 MIN_RUN = 96
+#: Bytes up to which repeated chunks are broadcast; they grow with the corpus, so beyond small ones they are joined.
+BROADCAST = 4 << 20
 GEAR = np.random.default_rng(5).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -99,12 +101,12 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         chunks.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")).filter("first < last OR first IS NOT NULL AND nulls > 0").select("h1", "h2", "first"),
         "shared-chunks",
     )
-    hits = chunks.join(checked_broadcast(shared, 64), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("first")))
+    hits = chunks.join(checked_broadcast(shared, 64, BROADCAST), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("first")))
     drops = stored(hits.groupBy(F.col("id").alias("__of")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drops")), "chunk-drops")
     weight = drops.agg(F.coalesce(F.sum(F.size("__drops") * 24 + 48), F.lit(0))).first()[0]
     names = ("n_bytes", "n_chunks", "n_removed", "n_spans")
     base = docs.drop(*names)
-    joined = base.join(F.broadcast(drops) if weight <= 64 << 20 else drops, base[id_col].eqNullSafe(F.col("__of")), "left").drop("__of")
+    joined = base.join(F.broadcast(drops) if weight <= BROADCAST else drops, base[id_col].eqNullSafe(F.col("__of")), "left").drop("__of")
 
     def make():
         def work(cols):
