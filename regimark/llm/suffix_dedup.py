@@ -183,7 +183,8 @@ def repeats(block: list[tuple[object, int, int, bytes]], length: int = LENGTH) -
     unique: dict[bytes, tuple] = {}
     for doc, first, last, body in sorted(block, key=lambda x: (x[0], x[1])):
         if body in unique:
-            out.append((doc, first, last))
+            if unique[body][:2] != (doc, first):  # else the same place of a row that is repeated
+                out.append((doc, first, last))
         else:
             unique[body] = (doc, first, last)
     rows = sorted(unique.items(), key=lambda x: x[1][:2])  # rank: by document and start
