@@ -28,7 +28,7 @@ SYMBOLS = CHUNKS * SYMBOLS_A_CHUNK
 RADIUS = 2 * CHUNKS - 1
 LONGS = SYMBOLS // 4
 #: Shingles are counted in so many bits' worth of slots.
-COUNT_BITS = 20
+COUNT_BITS = 18
 SIGNATURE = [f"s{k}" for k in range(LONGS)]
 
 _RNG = np.random.default_rng(20)
@@ -159,7 +159,7 @@ def _rarest(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percen
     """(id, token): of each set of n shingles the n - ceil(percent n / 100) + 1 that come first in one order.
 
     Two sets that are similar enough share percent of each at least, so they share one of these whatever the
-    order is. The order is by frequency among these sets, rare ones first, from a table of 2^20 counts that
+    order is. The order is by frequency among these sets, rare ones first, from a table of 2^18 counts that
     shingles are hashed into; its size is fixed.
     """
     ids = stored(reps.select(F.col("rep").alias("need")).distinct(), "near-rest-ids")
@@ -175,9 +175,9 @@ def _rarest(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percen
 
         return work
 
-    counts = arrow_rows(needed, make_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2^20 rows at most
+    counts = arrow_rows(needed, make_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2^18 rows at most
     table = np.zeros(1 << COUNT_BITS, np.int64)
-    table[counts["slot"].to_numpy(int)] = counts["n"].to_numpy(np.int64)
+    table[counts["slot"].to_numpy()] = counts["n"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def make():
