@@ -1,6 +1,7 @@
 """Every registered analytics query against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from regimark import plans
@@ -19,7 +20,7 @@ def duck():
 
 def rows(frame):
     cols = sorted(frame.columns)
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    plain = lambda v: None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     return cols, sorted((tuple(map(plain, r)) for r in frame[cols].astype(object).values.tolist()), key=repr)
 
 
