@@ -25,7 +25,7 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 
 NONE = 1 << 62
 PAD = 0xFFFFF
-CACHED_PIECES = 300_000
+CACHED_PIECES = 120_000
 CACHED_LENGTH = 48
 
 
@@ -318,4 +318,4 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
         return work
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return arrow_rows(docs.select(id_col, text_col), make, schema)
+    return arrow_rows(docs.select(id_col, text_col), make, schema, 1 << 20)
