@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -14,6 +17,7 @@ from pyspark.sql import types as T
 
 #: Rows of a side may be broadcast up to this estimate of bytes; above it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+BATCH_ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +51,7 @@ def checked_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_B
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
-def arrow_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, most: int = 8 << 20) -> DataFrame:
+def arrow_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, most: int = 2 << 20) -> DataFrame:
     """df through mapInArrow: make() is called once a task and returns a function from columns to columns.
 
     Strings arrive as UTF-8 bytes, so that byte semantics hold and nothing is decoded needlessly. A call gets
@@ -72,10 +76,27 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
                     [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], type=f.type) for f in arrow_schema],
                     schema=arrow_schema,
                 )
+        released()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, out_schema)
 
 
+def released() -> None:
+    """Gives free memory back at a task's end: Python workers are used again and would keep their peaks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large: Arrow batches of 1000 rows, where the session has no smaller number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """batch in slices of about `most` bytes, so that long texts don't pile up as Python objects."""
     n = max(1, min(batch.num_rows, -(-batch.nbytes // most)))
@@ -102,7 +123,7 @@ def default_path(name: str) -> str:
     return os.path.abspath(public_tokenizers.path(name))
 
 
-def arrow_append(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], added: str, most: int = 8 << 20) -> DataFrame:
+def arrow_append(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], added: str, most: int = 2 << 20) -> DataFrame:
     """df with the columns of `added` made from the columns of `inputs`, as arrow_rows does; all other columns
     pass through as they are, and columns of df with an added name are replaced."""
     out = T.StructType.fromDDL(added)
@@ -122,6 +143,8 @@ def arrow_append(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[
                 made = work(cols)
                 new = [pa.array(made[f.name], type=f.type) for f in arrow_out]
                 yield pa.RecordBatch.from_arrays([*[piece.column(at(c)) for c in keep], *new], [*keep, *names])
+        released()
 
+    small_batches(df.sparkSession)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.select(*keep).schema] + list(out.fields))
     return df.select(*keep, *[c for c in inputs if c not in keep]).mapInArrow(run, schema)
