@@ -3,7 +3,9 @@
 Each text is read once for its counts and two histograms: character classes and common words. The language
 references are the summed histograms of all texts that pass the base rules, one for each of a fixed list of
 languages. A text is kept if it passes the base rules and both of its histograms lie within a Jensen-Shannon
-distance of its language's reference; texts too short for a histogram aren't judged by it.
+distance of its language's reference; that of words is a share of the distance that a text without any common
+word has there, so that it holds in every language and whatever the reference is summed over. Texts too short
+for a histogram aren't judged by it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ COMMON_WORDS = {
 SYMBOLS = b"#*$%&|<>"
 
 MAX_CLASS_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.315
+#: Of the distance that a text without common words has to its language's reference.
+MAX_WORD_SHARE = 0.88
 MIN_WORDS_FOR_HISTOGRAM = 70
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -98,6 +101,12 @@ def js_distance(p: list[float], q: list[float]) -> float:
     return math.sqrt(max(0.0, total / 2))
 
 
+def word_limit(common: list[int], n: int, share: float) -> float:
+    """Word distance up to which texts are kept, for a reference of n words with these counts of common ones; 1,
+    so that nothing is rejected, where the reference has none itself."""
+    return share * js_distance([*[0] * len(common), 1], [*common, n - sum(common)]) if sum(common) else 1.0
+
+
 def document_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """Counts and histograms of each row; words has, for each language, its common words and then the rest."""
     lists = {k: [w.encode() for w in v] for k, v in COMMON_WORDS.items()}
@@ -140,7 +149,7 @@ def quality_rules(
     text_col: str = "text",
     lang_col: str = "lang",
     max_class_distance: float = MAX_CLASS_DISTANCE,
-    max_word_distance: float = MAX_WORD_DISTANCE,
+    max_word_share: float = MAX_WORD_SHARE,
     min_words: int = MIN_WORDS_FOR_HISTOGRAM,
 ) -> DataFrame:
     """id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance,
@@ -150,8 +159,9 @@ def quality_rules(
     the words that lie in some window of three words found twice or more in the text. base_failed: fewer
     than 50 words, or more than half of them repeated. Distances are to the reference of the row's language;
     rows of a null or unknown language are compared to the nearest reference. They are null for texts of
-    fewer than min_words words and where no reference exists; such texts aren't rejected by them. Rows are
-    judged one by one, so null or repeated ids don't matter.
+    fewer than min_words words and where no reference exists; such texts aren't rejected by them. A word distance
+    is too large above max_word_share of the one that a text without common words has to the same reference.
+    Rows are judged one by one, so null or repeated ids don't matter.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = stored(document_counts(docs, id_col, text_col, lang_col).withColumn("base_failed", failed), "quality-counts")
@@ -160,23 +170,25 @@ def quality_rules(
     for lang, words in COMMON_WORDS.items():
         spans[lang] = slice(at, at + len(words))
         at += len(words)
+    limits = {k: word_limit(common[spans[k]], n, max_word_share) for k, (_, common, n) in refs.items()}
 
     def make():
         def work(cols):
-            class_distance, word_distance = [], []
+            class_distance, word_distance, near = [], [], []
             for lang, n, classes, words in zip(cols["lang"], cols["n_words"], cols["classes"], cols["words"], strict=True):
-                best = (None, None)
+                best, limit = (None, None), None
                 if n >= min_words and refs:
                     own = (lang or b"").decode()
                     pairs = []
                     for k in [own] if own in refs else refs:
                         ref_classes, ref_words, ref_n = refs[k]
                         common, ref_common = words[spans[k]], ref_words[spans[k]]
-                        pairs.append((js_distance(classes, ref_classes), js_distance([*common, n - sum(common)], [*ref_common, ref_n - sum(ref_common)])))
-                    best = min(pairs, key=sum)
+                        pairs.append(((js_distance(classes, ref_classes), js_distance([*common, n - sum(common)], [*ref_common, ref_n - sum(ref_common)])), limits[k]))
+                    best, limit = min(pairs, key=lambda p: sum(p[0]))
                 class_distance.append(best[0])
                 word_distance.append(best[1])
-            return {k: cols[k] for k in (id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")} | {"class_distance": class_distance, "word_distance": word_distance}
+                near.append(limit is None or (best[0] <= max_class_distance and best[1] <= limit))
+            return {k: cols[k] for k in (id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")} | {"class_distance": class_distance, "word_distance": word_distance, "__near": near}
 
         return work
 
@@ -184,7 +196,6 @@ def quality_rules(
     judged = arrow_rows(
         counts,
         make,
-        f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double",
+        f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, __near boolean",
     )
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
-    return judged.withColumn("kept", ~F.col("base_failed") & near)
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("__near")).drop("__near")

@@ -156,6 +156,22 @@ def test_quality_rules(spark):
     assert quality_rules.js_distance([1, 0], [0, 1]) == pytest.approx(1.0) and quality_rules.js_distance([2, 4], [1, 2]) == 0
 
 
+def test_texts_without_common_words_are_rejected_in_every_language(spark):
+    rng = random.Random(9)
+    rows, junk = [], {}
+    for lang, common in quality_rules.COMMON_WORDS.items():
+        made = lambda: "".join(rng.choice("eniarstdlo") for _ in range(7))
+        text = lambda share: " ".join(rng.choice(common) if rng.random() < share else made() for _ in range(150))  # noqa: B023, E731
+        for k in range(45):
+            # A third of each language is junk, so that the reference holds fewer common words.
+            junk[len(rows)] = k % 3 == 0
+            rows.append((len(rows), text(0.0 if k % 3 == 0 else 0.25), lang))
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {k: not v for k, v in junk.items()}
+    assert not any(r["base_failed"] for r in got)
+    assert quality_rules.word_limit([0, 0], 10, 0.9) == 1.0
+
+
 def test_license_scan(spark):
     mit = license_scan.LICENSES["MIT"]
     altered = "Copyright (c) 2020 Someone\n" + mit.upper().replace("LICENSE", "LICENCE").replace(",", " ;")
