@@ -4,7 +4,9 @@ For each item size, rounded down by less than an eighth, there are windows of th
 a seventh of a window apart. A window's SimHash sums the bits of its word pairs, by differences of running sums.
 Fingerprints are cut into blocks; two within the radius agree in some block up to radius // blocks bits, so each item is filed under all
 such variants of its blocks and every window within the radius is found. Candidates are then compared at every
-start near them by the weighted Jaccard similarity of their word shingles.
+start near them by the weighted Jaccard similarity of their word shingles. Texts of fewer words than an item have
+no window of its size: they meet it by its rarest shingles, one of which any similar text holds, and are compared
+as a whole.
 """
 
 from __future__ import annotations
@@ -81,6 +83,26 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return _mixed(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
 
 
+def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
+    """One for each run of SHINGLE words, from the hashes of single words; equal runs have equal ones."""
+    n = max(0, len(hashes) - SHINGLE + 1)
+    out = hashes[:n]
+    for k in range(1, SHINGLE):
+        out = _mixed(out * np.uint64(3) + hashes[k : n + k])
+    return out
+
+
+def rarest(wanted: Counter, often: Counter) -> list[tuple]:
+    """Shingles of an item that are more than its similar texts may lack, those of few items first."""
+    out, held, total = [], 0, sum(wanted.values())
+    for k in sorted(wanted, key=lambda k: (often[k], k)):
+        if held > (1 - SIMILARITY) * total + 1e-9:
+            break
+        out.append(k)
+        held += wanted[k]
+    return out
+
+
 def window_size(words: int) -> int:
     """Words of the windows for an item: its own number, rounded down by less than an eighth."""
     return words - words % max(1, words // SIZES_AN_OCTAVE)
@@ -135,6 +157,13 @@ class Benchmark:
             prints = np.concatenate([fingerprints(s, len(w), len(w)) if size > 1 else np.zeros(1, np.uint64) for s, (_, w) in zip(sums, own, strict=True)])
             self.sizes[size] = (BlockIndex(prints), [i for i, _ in own], [shingles_of(w) for _, w in own], [len(w) for _, w in own], {tuple(w): i for i, w in own})
         self.longest = max((n for x in self.sizes.values() for n in x[3]), default=0)
+        # Anchors: hashes of each item's rarest shingles, sorted, with their items.
+        self.items = [(i, len(w), shingles_of(w)) for own in by_size.values() for i, w in own if len(w) >= SHINGLE]
+        often = Counter(k for _, _, wanted in self.items for k in wanted)
+        anchors = [(k, j) for j, (_, _, wanted) in enumerate(self.items) for k in rarest(wanted, often)]
+        hashes = shingle_hashes(word_hashes([w for k, _ in anchors for w in k]))[::SHINGLE]
+        order = np.argsort(hashes, kind="stable")
+        self.anchors, self.anchored = hashes[order], np.array([j for _, j in anchors], np.int64)[order]
 
     def leaks(self, texts: list[list[bytes]]) -> list[dict]:
         """For each text {item: (similarity, first start)} of the items that some window holds."""
@@ -163,7 +192,9 @@ class Benchmark:
         lengths = np.array([len(part) for _, _, part in group])
         begins = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(group)), lengths)
-        sums = running_bits(word_hashes(words))
+        hashes = word_hashes(words)
+        self._anchored(hashes, owner, begins, group, texts, found)
+        sums = running_bits(hashes)
         for size, (index, items, shingles, lengths_of, whole) in self.sizes.items():
             if size <= 1:
                 for g, (t, at, part) in enumerate(group):
@@ -184,6 +215,22 @@ class Benchmark:
                         inside = min(max(int(start - begins[g]), 0), int(lengths[g]) - size)
                         self._verify(texts[t], inside + at - (lengths_of[i] - size), inside + at, lengths_of[i], step, items[i], shingles[i], found[t])
 
+    def _anchored(self, hashes: np.ndarray, owner: np.ndarray, begins: np.ndarray, group: list, texts: list[list[bytes]], found: list[dict]) -> None:
+        """Compares texts with the longer items of which they hold an anchor."""
+        own = shingle_hashes(hashes[: len(owner)])
+        first, end = np.searchsorted(self.anchors, own), np.searchsorted(self.anchors, own, side="right")
+        met = set()
+        for start in np.flatnonzero(first < end):
+            g = owner[start]
+            if g == owner[start + SHINGLE - 1]:  # not over a border
+                met.update((group[g][0], int(j)) for j in self.anchored[first[start] : end[start]])
+        for t, j in sorted(met):
+            item, size, wanted = self.items[j]
+            if len(texts[t]) < size:
+                similarity = weighted_jaccard(shingles_of(texts[t]), wanted)
+                if similarity >= SIMILARITY - 1e-12:
+                    found[t][item] = max(found[t].get(item, (0.0, 0)), (similarity, 0))
+
     @staticmethod
     def _verify(words: list[bytes], first: int, last: int, size: int, step: int, item: int, wanted: Counter, found: dict) -> None:
         if found.get(item, (0.0, 0))[0] >= 1:
@@ -209,7 +256,8 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """docs with leaks: array of (item_id, similarity, start) of the benchmark items that the text holds.
 
     An item counts as held if some window of as many words as it has is similar by 0.8 or more, by counted
-    shingles of five words; items of fewer words must occur as they are. start is the window's first word.
+    shingles of five words; items of fewer words must occur as they are. A text of fewer words than the item is
+    compared as a whole. start is the window's first word.
     Null or empty texts and items hold nothing and are held by nothing. Rows are judged one by one: null or
     repeated ids don't matter, all other columns stay, and a column named leaks is replaced. The benchmark is
     read to the driver in passes of ITEMS_PER_PASS items.

@@ -217,6 +217,22 @@ def test_leaks_are_found(spark):
         decontaminate.ITEMS_PER_PASS = parts
 
 
+def test_texts_shorter_than_an_item_are_compared_as_a_whole():
+    rng = random.Random(10)
+    text = lambda n: [b"w%d" % rng.randrange(3000) for _ in range(n)]
+    items = [text(n) for n in (50, 57, 120, 9, 4)]
+    held = decontaminate.Benchmark([(i, b" ".join(w)) for i, w in enumerate(items)])
+    texts = [items[0][:-2], items[1][1:], items[2][:40] + items[2][43:], items[3][:-1], items[4][:-1], items[0][:40], items[0][:41], text(48), [], items[0]]
+    got = held.leaks(texts)
+    for t, words in enumerate(texts):
+        for i, item in enumerate(items):
+            if len(words) < len(item):
+                similarity = decontaminate.weighted_jaccard(decontaminate.shingles_of(words), decontaminate.shingles_of(item))
+                assert got[t].get(i) == ((similarity, 0) if similarity >= 0.8 else None), (t, i)
+    assert got[0] == {0: (44 / 46, 0)} and got[1].keys() == {1} and got[2].keys() == {2} and got[3].keys() == {3}
+    assert not got[4] and not got[5] and got[6] and got[9] == {0: (1.0, 0)}
+
+
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(8)
     for n in (3, 12, 70):
