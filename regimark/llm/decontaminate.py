@@ -4,9 +4,10 @@ For each item size, rounded down by less than an eighth, there are windows of th
 a seventh of a window apart. A window's SimHash sums the bits of its word pairs, by differences of running sums.
 Fingerprints are cut into blocks; two within the radius agree in some block up to radius // blocks bits, so each item is filed under all
 such variants of its blocks and every window within the radius is found. Candidates are then compared at every
-start near them by the weighted Jaccard similarity of their word shingles. Texts of fewer words than an item have
-no window of its size: they meet it by its rarest shingles, one of which any similar text holds, and are compared
-as a whole.
+start near them by the weighted Jaccard similarity of their word shingles. As similar windows can lie between the
+fingerprinted ones or beyond the radius, texts also meet the items by their rarest shingles, of which any similar
+window holds one, and are compared at every start that covers it; so none is missed. Texts of fewer words than an
+item are compared as a whole.
 """
 
 from __future__ import annotations
@@ -56,6 +57,22 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return common / total if total else 0.0
 
 
+def rolling_similarities(words: list[bytes], size: int, wanted: Counter) -> list[float]:
+    """weighted_jaccard of wanted and the shingles of each window of `size` words, SHINGLE at least."""
+    grams = list(zip(*(words[k:] for k in range(SHINGLE)), strict=False))
+    n = size - SHINGLE + 1
+    held = Counter(grams[:n])
+    common, total = sum(min(k, held[g]) for g, k in wanted.items()), sum(wanted.values()) + n
+    out = [common / (total - common)]
+    for gone, new in zip(grams, grams[n:], strict=False):
+        common -= held[gone] <= wanted[gone]
+        held[gone] -= 1
+        common += held[new] < wanted[new]
+        held[new] += 1
+        out.append(common / (total - common))
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -216,27 +233,36 @@ class Benchmark:
                         self._verify(texts[t], inside + at - (lengths_of[i] - size), inside + at, lengths_of[i], step, items[i], shingles[i], found[t])
 
     def _anchored(self, hashes: np.ndarray, owner: np.ndarray, begins: np.ndarray, group: list, texts: list[list[bytes]], found: list[dict]) -> None:
-        """Compares texts with the longer items of which they hold an anchor."""
+        """Compares texts with the items of which they hold an anchor, in all windows that hold it."""
         own = shingle_hashes(hashes[: len(owner)])
         first, end = np.searchsorted(self.anchors, own), np.searchsorted(self.anchors, own, side="right")
-        met = set()
+        met: dict[tuple[int, int], list[int]] = {}
         for start in np.flatnonzero(first < end):
             g = owner[start]
             if g == owner[start + SHINGLE - 1]:  # not over a border
-                met.update((group[g][0], int(j)) for j in self.anchored[first[start] : end[start]])
-        for t, j in sorted(met):
+                t, at, _ = group[g]
+                for j in self.anchored[first[start] : end[start]]:
+                    met.setdefault((t, int(j)), []).append(int(start - begins[g]) + at)
+        for (t, j), places in sorted(met.items()):
             item, size, wanted = self.items[j]
             if len(texts[t]) < size:
                 similarity = weighted_jaccard(shingles_of(texts[t]), wanted)
                 if similarity >= SIMILARITY - 1e-12:
                     found[t][item] = max(found[t].get(item, (0.0, 0)), (similarity, 0))
+                continue
+            low = high = None
+            for place in sorted(places):
+                if high is not None and place - size + SHINGLE > high + 1:
+                    self._verify(texts[t], low, high, size, 0, item, wanted, found[t])
+                    low = None
+                low, high = place - size + SHINGLE if low is None else low, place
+            self._verify(texts[t], low, high, size, 0, item, wanted, found[t])
 
     @staticmethod
     def _verify(words: list[bytes], first: int, last: int, size: int, step: int, item: int, wanted: Counter, found: dict) -> None:
-        if found.get(item, (0.0, 0))[0] >= 1:
-            return
         low, high = max(0, first - step), min(len(words) - size, last + step)
-        if high < low:
+        best, at = found.get(item, (0.0, 0))
+        if high < low or (best >= 1 and at <= low):
             return
         # Of a set's shingles 2 s / (1 + s) are common; a word that is lacking costs at least one.
         own = {w for k in wanted for w in k}
@@ -246,10 +272,13 @@ class Benchmark:
         # Of the shingles of both, a similarity of s needs 2 s / (1 + s) of the item's own.
         if size >= SHINGLE and sum(min(n, near[k]) for k, n in wanted.items()) * (1 + SIMILARITY) < 2 * SIMILARITY * sum(wanted.values()) - 1e-9:
             return
-        for s in range(low, high + 1):
-            similarity = weighted_jaccard(shingles_of(words[s : s + size]), wanted)
-            if similarity >= SIMILARITY - 1e-12 and similarity > found.get(item, (0.0, 0))[0]:
-                found[item] = (similarity, s)
+        if size < SHINGLE:
+            similarities = (weighted_jaccard(shingles_of(words[s : s + size]), wanted) for s in range(low, high + 1))
+        else:
+            similarities = rolling_similarities(words[low : high + size], size, wanted)
+        for s, similarity in enumerate(similarities, low):
+            if similarity >= SIMILARITY - 1e-12 and (similarity > best or (similarity == best and s < at)):
+                best, at = found[item] = (similarity, s)
 
 
 def flag_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -233,6 +233,31 @@ def test_texts_shorter_than_an_item_are_compared_as_a_whole():
     assert not got[4] and not got[5] and got[6] and got[9] == {0: (1.0, 0)}
 
 
+@pytest.mark.parametrize("size", [15, 31, 59, 240])
+def test_no_altered_copy_is_missed(size):
+    rng = random.Random(11)
+    text = lambda n: [b"w%d" % rng.randrange(3000) for _ in range(n)]
+    items = [text(size) for _ in range(40)]
+    held = decontaminate.Benchmark([(i, b" ".join(w)) for i, w in enumerate(items)])
+    spare = (size - 4) // 9  # shingles that a similar window may lack
+    texts = []
+    for k in range(1200 if size < 240 else 400):
+        copy = list(items[k % 40])
+        if size < 240:  # words replaced one by one at the end, or one inside
+            lost = min(spare, rng.randint(0, spare))
+            copy[size - lost :] = text(lost)
+            if spare - lost >= 5:
+                copy[rng.randrange(size - lost)] = b"other"
+        else:  # a block in the middle
+            copy[100 : 100 + spare - 4] = text(spare - 4)
+        texts.append(text(rng.randint(0, 60)) + copy + text(rng.randint(0, 60)))
+    got = held.leaks(texts)
+    for k, words in enumerate(texts):
+        every = [decontaminate.weighted_jaccard(decontaminate.shingles_of(words[s : s + size]), decontaminate.shingles_of(items[k % 40])) for s in range(len(words) - size + 1)]
+        best = max(every)
+        assert best >= 0.8 and got[k][k % 40] == (best, every.index(best)), k
+
+
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(8)
     for n in (3, 12, 70):
