@@ -8,6 +8,9 @@ only; the known digests are a parameter of checked size.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +24,12 @@ SPELLINGS = (
     ("copyright holder", "copyright owner"), ("per cent", "percent"), ("https:", "http:"),
 )
 
-# Known notices and licence texts.
+# Known notices and licence texts; those in files, of which notices follow, are added below.
 LICENSES = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
+    "All rights reserved": "All rights reserved.",
     "MIT notice": "Released under the MIT License.",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
@@ -35,6 +39,45 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
+# How notices begin, how they name each licence, and the identifiers that they give.
+NOTICES = ("Licensed under", "Released under", "Distributed under", "Available under", *(f"This {x} is licensed under" for x in ("work", "project", "software", "file", "document")))
+NOTICE_NAMES = {
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache 2.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the Simplified BSD License"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the New BSD License"),
+    "BSD": ("the BSD License", "a BSD-style license"),
+    "ISC": ("the ISC License",),
+    "MIT": ("the MIT License", "the terms of the MIT License", "MIT"),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL 2.0"),
+    "Unlicense": ("the Unlicense",),
+    **{f"{k}-{v}": tuple(x for n in (name, k) for x in (f"the {n}, version {v}", f"the {n}, version {v[:1] if v[2:] == '0' else v}", f"the {n} v{v}", f"the {n} v{v[:1]}" if v[2:] == "0" else f"{n} {v}"))
+       for k, name, vs in (("GPL", "GNU General Public License", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("3.0",))) for v in vs},
+    **{f"CC-{k}-{v}": (f"CC {k} {v}", f"a Creative Commons {name} {v} International License", f"the Creative Commons {name} {v} International License", f"Creative Commons {name} {v}")
+       for v in ("3.0", "4.0") for k, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+    "CC0-1.0": ("CC0", "CC0 1.0", "the Creative Commons CC0 1.0 Universal license"),
+}
+
+
+def _known() -> dict[str, str]:
+    """LICENSES with the published texts in licenses/, as they are and with a line a paragraph, and the notices.
+
+    Names of notices end in their number from the second on; of wordings that are alike the first in order counts.
+    """
+    out = dict(LICENSES)
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        out[path.stem] = text = path.read_text()
+        out[f"{path.stem} (a line a paragraph)"] = re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", text)
+    out["MIT (without heading)"] = LICENSES["MIT"].partition("\n")[2]
+    out["ISC (with heading)"] = "ISC License\n" + LICENSES["ISC"]
+    for name, wordings in NOTICE_NAMES.items():
+        bodies = [f"{begin} {x}." for x in wordings for begin in NOTICES] + [f"SPDX-License-Identifier: {name}{x}" for x in ("", "-only", "-or-later")]
+        for k, body in enumerate(bodies, 1):
+            out[f"{name} notice {k:02}"] = body
+    return out
+
+
+LICENSES = _known()
+
 
 def canonical(text: Column) -> Column:
     """Lower case; no copyright lines; one spelling; letters and digits in words, one space between, lines kept."""
@@ -62,12 +105,14 @@ def license_scan(docs: DataFrame, licenses: dict[str, str] | None = None, id_col
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     known = known.select("name", one_line(canonical(F.col("body"))).alias("line")).filter("line <> ''")
     bounded = F.broadcast if known.count() <= BROADCAST_LICENSES else (lambda df: df)
-    lengths = [r[0] for r in known.select(F.length("line")).distinct().collect()]  # of a bounded parameter
+    # Lines that no known text can be aren't hashed: others have the length and the beginning of one.
+    begin = lambda c: F.concat(F.length(c).cast("string"), F.lit(" "), F.substring(c, 1, 24))
+    begins = [r[0] for r in known.select(begin(F.col("line"))).distinct().collect()]  # of a bounded parameter
     known = known.groupBy(digest(F.col("line")).alias("known")).agg(F.min("name").alias("name"))
 
     texts = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("t"))
     lines = F.transform(F.split("t", "\n"), lambda x: F.trim(x))
-    candidates = F.array_distinct(F.filter(lines, lambda x: F.length(x).isin(lengths)))
+    candidates = F.array_distinct(F.filter(lines, lambda x: begin(x).isin(begins)))
     units = texts.select(id_col, digest(one_line(F.col("t"))).alias("text_digest"), F.transform(candidates, lambda x: digest(x)).alias("found"))
     # "" stands for the row itself, so that each row is in its group as often as it is repeated.
     expanded = units.select(id_col, "text_digest", F.explode(F.array_union(F.array(F.lit("")), F.array_union(F.array("text_digest"), "found"))).alias("unit"), "found")

@@ -184,6 +184,18 @@ def test_license_scan(spark):
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_published_licenses_and_notices_are_known(spark):
+    base = license_scan.Path(license_scan.__file__).parent / "licenses"
+    texts = [(p.stem, "Copyright 2020 Someone\n" + p.read_text().upper()) for p in sorted(base.glob("*.txt"))]
+    lines = {"All rights reserved.": "All rights reserved", "SPDX-License-Identifier: MPL-2.0": "MPL-2.0 notice", "This project is licensed under the BSD 3-Clause License.": "BSD-3-Clause notice", "Released under the MIT License.": "MIT notice", "All rights kept.": ""}
+    rows = texts + [(k, f"Some text.\n{k}\nMore.") for k in lines]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {k for k, _ in texts}
+    assert [got[k]["license"] for k, _ in texts] == [k for k, _ in texts]
+    for line, name in lines.items():
+        assert got[line]["notices"].startswith(name) and (name or not got[line]["notices"]), line
+
+
 def test_leaks_are_found(spark):
     rng = random.Random(7)
     many = [f"w{k}" for k in range(3000)]
