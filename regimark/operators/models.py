@@ -6,6 +6,7 @@ Fits are driver loops of one small aggregate each over a stored training table;
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +57,7 @@ def _distance2(z: list[str], centre) -> Column:
     return total
 
 
-def kmeans(train: DataFrame, z: list[str], seeds: int = 3, seed: int = 42, iterations: int = 100, k: int = COMPONENTS) -> np.ndarray:
+def kmeans(train: DataFrame, z: list[str], seeds: int = 20, seed: int = 42, iterations: int = 500, k: int = COMPONENTS) -> np.ndarray:
     """Centres of the best of several starts of Spark's k-means."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
@@ -92,8 +93,11 @@ class Mixture:
         return softmax(self.log_densities(z))
 
 
-def fit_mixture(train: DataFrame, z: list[str], start: Mixture, iterations: int = 100, tol: float = 1e-3) -> tuple[Mixture, float]:
-    """Expectation maximisation with a floor on variances; one aggregate an iteration. Returns the mean log-likelihood."""
+def fit_mixture(train: DataFrame, z: list[str], start: Mixture, iterations: int = 500, tol: float = 1e-3) -> tuple[Mixture, float]:
+    """Expectation maximisation with a floor on variances; one aggregate an iteration. Returns the mean log-likelihood.
+
+    Ends when that changes by less than tol; a warning tells if it didn't within the iterations.
+    """
     m, last = start, -math.inf
     for _ in range(iterations):
         logs = m.log_densities(z)
@@ -113,14 +117,15 @@ def fit_mixture(train: DataFrame, z: list[str], start: Mixture, iterations: int
         if abs(row["ll"] - last) < tol:
             return m, row["ll"]
         last = row["ll"]
+    warnings.warn(f"mixture not converged to {tol} in {iterations} iterations", stacklevel=2)
     return m, last
 
 
-def gmm(train: DataFrame, z: list[str], starts: int = 2, seed: int = 42, iterations: int = 50) -> Mixture:
+def gmm(train: DataFrame, z: list[str], starts: int = 5, seed: int = 42, iterations: int = 500) -> Mixture:
     """The most likely of several mixtures, each begun at the centres of k-means."""
     fits = []
     for s in range(starts):
-        centres = kmeans(train, z, 1, seed + s, 20)
+        centres = kmeans(train, z, 1, seed + s, 300)
         fits.append(fit_mixture(train, z, Mixture(np.full(COMPONENTS, 1 / COMPONENTS), centres, np.ones_like(centres)), iterations))
     return max(fits, key=lambda f: f[1])[0]
 

@@ -261,7 +261,7 @@ def mixture_states(spark, sf):
 @query("m7_anchored_mixture_states")
 def anchored_mixture_states(spark, sf):
     f, z = _standard(spark, sf)
-    m, _ = M.fit_mixture(f, z, M.anchored_start(f, z, "score"), 30)
+    m, _ = M.fit_mixture(f, z, M.anchored_start(f, z, "score"))
     p, label = M.reordered(m.posterior(z), M.component_order(f.withColumn("raw", S.first_argmax(m.posterior(z))), "raw", "score"))
     return f.withColumn("state", label).groupBy("state").agg(F.count("*").alias("frames"), F.avg("score").alias("mean_score"))
 

@@ -133,6 +133,18 @@ def test_mixture_finds_groups(spark):
         assert sorted(m.means.ravel()) == pytest.approx([-5, 0, 6], abs=0.15)
 
 
+def test_fits_have_the_starts_and_iterations_of_the_reference(spark):
+    import inspect
+
+    of = lambda f: {k: p.default for k, p in inspect.signature(f).parameters.items()}
+    assert (of(models.kmeans)["seeds"], of(models.kmeans)["iterations"]) == (20, 500)
+    assert (of(models.gmm)["starts"], of(models.gmm)["iterations"], of(models.fit_mixture)["iterations"]) == (5, 500, 500)
+    df = spark.createDataFrame([(float(k % 7),) for k in range(50)], "z double")
+    start = models.Mixture(np.array([0.5, 0.5]), np.array([[0.0], [6.0]]), np.ones((2, 1)))
+    with pytest.warns(UserWarning, match="not converged"):
+        models.fit_mixture(df, ["z"], start, 1)
+
+
 def test_silhouette(spark):
     rows = [(i, float(v), int(v > 2)) for i, v in enumerate([0, 0.1, 0.2, 5, 5.1, 5.2])]
     d = spark.createDataFrame(rows, "i int, z double, label int")
