@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_append, arrow_rows, checked_broadcast, stored
+from .common import arrow_append, arrow_rows, heavy_join, stored
+from .line_dedup import text_key
 
 WINDOW = 16
 #: One place in so many may be a boundary.
@@ -69,21 +70,23 @@ def chunk_digests(text: bytes, ends: list[int]) -> list[tuple[int, int]]:
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, id): each different chunk of each row."""
+    """(h1, h2, id, key): each different chunk of each row."""
 
     def make():
         def work(cols):
-            out = {"h1": [], "h2": [], "id": []}
-            for doc, text in zip(cols[id_col], cols[text_col], strict=True):
+            out = {"h1": [], "h2": [], "id": [], "key": []}
+            for doc, key, text in zip(cols["id"], cols["key"], cols["text"], strict=True):
                 own = set(chunk_digests(text, chunk_ends(text))) if text else ()
                 out["h1"] += [a for a, _ in own]
                 out["h2"] += [b for _, b in own]
                 out["id"] += [doc] * len(own)
+                out["key"] += [key] * len(own)
             return out
 
         return work
 
-    return arrow_rows(docs.select(id_col, text_col), make, f"h1 long, h2 int, id {docs.schema[id_col].dataType.simpleString()}")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return arrow_rows(rows, make, f"h1 long, h2 int, id {docs.schema[id_col].dataType.simpleString()}, key long")
 
 
 def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
@@ -91,22 +94,22 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_spans (long).
 
     A chunk is a repeat if a row of a smaller id has it or the same text has it before. Runs of repeats go if
-    they have at least min_run bytes, so the first copy of a passage stays. Null and empty texts have no
+    they have at least min_run bytes or are a whole text, so the first copy of a passage stays. Null and empty texts have no
     chunks. Rows that repeat an id are one document and no repeats of each other; rows with null ids lose
     what any other row has, and nothing repeats them. Other columns stay; clashing names are replaced. What
     is left may be no valid UTF-8.
     """
     chunks = _chunks(docs, id_col, text_col)
     shared = stored(
-        chunks.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")).filter("first < last OR first IS NOT NULL AND nulls > 0").select("h1", "h2", "first"),
+        chunks.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls"), F.count("*").alias("n")).filter("first < last OR first IS NOT NULL AND nulls > 0").select("h1", "h2", "first", "n"),
         "shared-chunks",
     )
-    hits = chunks.join(checked_broadcast(shared, 64, BROADCAST), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("first")))
-    drops = stored(hits.groupBy(F.col("id").alias("__of")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drops")), "chunk-drops")
-    weight = drops.agg(F.coalesce(F.sum(F.size("__drops") * 24 + 48), F.lit(0))).first()[0]
+    hits = heavy_join(chunks, shared, ["h1", "h2"], "n", "id", BROADCAST).filter(~F.col("id").eqNullSafe(F.col("first")))
+    drops = stored(hits.groupBy(F.col("id").alias("__of"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drops")), "chunk-drops")
+    weight = drops.agg(F.coalesce(F.sum(F.size("__drops") * 32 + 128), F.lit(0))).first()[0]
     names = ("n_bytes", "n_chunks", "n_removed", "n_spans")
     base = docs.drop(*names)
-    joined = base.join(F.broadcast(drops) if weight <= BROADCAST else drops, base[id_col].eqNullSafe(F.col("__of")), "left").drop("__of")
+    joined = base.join(F.broadcast(drops) if weight <= BROADCAST else drops, base[id_col].eqNullSafe(F.col("__of")) & (text_key(id_col, text_col) == F.col("__key")), "left").drop("__of", "__key")
 
     def make():
         def work(cols):
@@ -125,7 +128,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             runs.append([at, end])
                     gone.add(digest)  # from here on it is an earlier place of the same text
                     at = end
-                runs = [r for r in runs if r[1] - r[0] >= min_run]
+                runs = [r for r in runs if r[1] - r[0] >= min_run or r == [0, len(text)]]
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(text[at:a])

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 #: Rows of a side may be broadcast up to this estimate of bytes; above it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 BATCH_ROWS = 1000
+#: Keys of a join that are broadcast for having the most rows.
+HEAVY = 10_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,24 @@ def checked_broadcast(small: DataFrame, row_bytes: int, limit: int = BROADCAST_B
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
+def heavy_join(rows: DataFrame, small: DataFrame, keys: list[str], weight: str, spread: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """rows joined to small, which has each value of keys (longs or ints) once, by keys; weight is dropped.
+
+    A small side under the limit is broadcast. Else its HEAVY rows of most weight are, a number that doesn't grow;
+    of what then is shuffled no key has more than 1 / HEAVY of the weight. Rows that have met theirs already are
+    spread by the column `spread`.
+    """
+    others = [c for c in small.columns if c not in (*keys, weight)]
+    if limit and small.count() * 64 <= limit:
+        return rows.join(F.broadcast(small.drop(weight)), keys)
+    heavy = small.orderBy(F.desc(weight), *keys).limit(HEAVY).select(*keys, F.lit(True).alias("__heavy"), *[F.col(c).alias(f"__{c}") for c in others])
+    first = rows.join(F.broadcast(heavy), keys, "left")
+    moved = F.when(F.col("__heavy"), F.xxhash64(spread).cast(rows.schema[keys[0]].dataType)).otherwise(F.col(keys[0]))
+    first = first.withColumn("__was", F.col(keys[0])).withColumn(keys[0], moved)
+    met = first.join(small.drop(weight).withColumn("__light", F.lit(True)), keys, "left").filter("__heavy OR __light")
+    return met.select(*[F.col("__was").alias(keys[0]) if c == keys[0] else c for c in rows.columns], *[F.when(F.col("__heavy"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in others])
+
+
 def arrow_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, most: int = 2 << 20) -> DataFrame:
     """df through mapInArrow: make() is called once a task and returns a function from columns to columns.
 

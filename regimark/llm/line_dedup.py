@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checked_broadcast, stored
+from .common import BROADCAST_BYTES, arrow_rows, heavy_join, stored
 
 
 def line_key(line: bytes) -> bytes:
@@ -31,24 +31,31 @@ def is_long(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (key.isascii() or len(key.decode("utf-8", "replace")) >= min_chars)
 
 
+def text_key(id_col: str, text_col: str):
+    """Tells texts without an id apart, which are no document together; 0 where there is an id."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+
+
 def long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, h1, h2): each distinct long line of each row."""
+    """(id, key, h1, h2): each distinct long line of each row."""
 
     def make():
         def work(cols):
-            ids, h1, h2 = [], [], []
-            for doc, text in zip(cols[id_col], cols[text_col], strict=True):
+            ids, own, h1, h2 = [], [], [], []
+            for doc, key, text in zip(cols["__id"], cols["__key"], cols["__text"], strict=True):
                 keys = {k for line in (text or b"").split(b"\n") if is_long(k := line_key(line), min_chars)}
                 for a, b in map(line_hash, keys):
                     ids.append(doc)
+                    own.append(key)
                     h1.append(a)
                     h2.append(b)
-            return {"__id": ids, "__h1": h1, "__h2": h2}
+            return {"__id": ids, "__key": own, "__h1": h1, "__h2": h2}
 
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_rows(docs.select(id_col, text_col), make, f"__id {kind}, __h1 long, __h2 long")
+    rows = docs.select(F.col(id_col).alias("__id"), text_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
+    return arrow_rows(rows, make, f"__id {kind}, __key long, __h1 long, __h2 long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -61,15 +68,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lines = long_lines(docs, id_col, text_col, min_chars)
     hot = stored(
-        lines.groupBy("__h1", "__h2").agg(F.countDistinct("__id").alias("n"), F.max("__id").alias("__keeper")).filter(F.col("n") >= min_docs).drop("n"),
+        lines.groupBy("__h1", "__h2").agg(F.countDistinct("__id").alias("n"), F.max("__id").alias("__keeper")).filter(F.col("n") >= min_docs),
         "hot-lines",
     )
-    hits = lines.join(checked_broadcast(hot, 64), ["__h1", "__h2"]).filter(~F.col("__id").eqNullSafe(F.col("__keeper")))
-    drops = stored(hits.groupBy("__id").agg(F.collect_set(F.struct("__h1", "__h2")).alias("__drops")), "line-drops")
-    weight = drops.agg(F.coalesce(F.sum(F.size("__drops") * 16 + 64), F.lit(0))).first()[0]
-    small = F.broadcast(drops) if weight <= 64 << 20 else drops
+    hits = heavy_join(lines, hot, ["__h1", "__h2"], "n", "__id").filter(~F.col("__id").eqNullSafe(F.col("__keeper")))
+    drops = stored(hits.groupBy(F.col("__id").alias("__of"), "__key").agg(F.collect_set(F.struct("__h1", "__h2")).alias("__drops")), "line-drops")
+    weight = drops.agg(F.coalesce(F.sum(F.size("__drops") * 32 + 128), F.lit(0))).first()[0]
+    small = F.broadcast(drops) if weight <= BROADCAST_BYTES else drops
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*keep).join(small, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    joined = docs.select(*keep).join(small, docs[id_col].eqNullSafe(F.col("__of")) & (text_key(id_col, text_col) == F.col("__key")), "left")
     return _reassembled(joined, keep, text_col, docs)
 
 
