@@ -8,23 +8,29 @@ bucket scans. Neighbours in that order with a common prefix of 100 bytes are equ
 by document and start are repeats.
 
 Whole copies are set aside by digest before, and segments that occur as they are several times are sorted
-once. Windows of very frequent anchors are grouped by their digests with map-side aggregation, so that no
-anchor's segments meet in one task beyond HOT of them.
+once. Segments meet by their places first, and bytes are only cut out of texts where an anchor is found again. So
+that no more than HOT segments meet in a sort, those of more frequent anchors are cut by how far windows start
+before the anchor, and parts meet by the bytes that all their windows share; where more than HOT parts share even
+these, by whole windows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_append, arrow_rows, checked_broadcast, stored
+from .common import BROADCAST_BYTES, arrow_append, arrow_rows, checked_broadcast, heavy_join, stored
 
 LENGTH = 100
 GRAM = 16
 #: Segments of one anchor that may meet in a task: under 3 MB of text, which is what a sort takes in memory.
 HOT = 16384
+#: Places of a window before its anchor that a part of a frequent anchor's segments has.
+CELL = 12
 #: Bytes of segments that are sorted together.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text that are anchored together; a power of two that positions fit in.
@@ -177,82 +183,137 @@ def equal_neighbours(t: np.ndarray, order: np.ndarray, length: int = LENGTH) ->
     return out
 
 
-def repeats(block: list[tuple[object, int, int, bytes]], length: int = LENGTH) -> list[tuple[object, int, int]]:
-    """(id, first, last window start) of the windows in segments (id, first, last, bytes) that start earlier too."""
-    out = []
-    unique: dict[bytes, tuple] = {}
-    for doc, first, last, body in sorted(block, key=lambda x: (x[0], x[1])):
-        if body in unique:
-            if unique[body][:2] != (doc, first):  # else the same place of a row that is repeated
-                out.append((doc, first, last))
-        else:
-            unique[body] = (doc, first, last)
-    rows = sorted(unique.items(), key=lambda x: x[1][:2])  # rank: by document and start
-    t = np.frombuffer(b"".join(body + b"\xff" for body, _ in rows), np.uint8) + np.uint8(1)  # 255 is in no text; its successor is 0
-    sizes = np.array([len(body) + 1 for body, _ in rows])
+def repeats(block: list[tuple[object, int, int, int, bytes]], length: int = LENGTH) -> list[tuple[object, int, int, int]]:
+    """(id, key, first, last window start) of the windows in segments (id, key, first, last, bytes) that start earlier
+    too: in a text of a smaller id, or before in the same text, which id and key stand for."""
+    out, rows = [], []
+    seen: dict[bytes, tuple] = {}
+    for segment in sorted(block, key=lambda x: x[:3]):
+        doc, key, first, last, body = segment
+        was = seen.setdefault(body, segment)
+        if was is segment or (was[0] == doc and was[1] != key):  # texts of one id are no repeats of each other
+            rows.append(segment)
+        elif was[:3] != (doc, key, first):  # else the same place of a row that is repeated
+            out.append((doc, key, first, last))
+    t = np.frombuffer(b"".join(x[4] + b"\xff" for x in rows), np.uint8) + np.uint8(1)  # 255 is in no text; its successor is 0
+    sizes = np.array([len(x[4]) + 1 for x in rows])
     begins = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     is_start = np.arange(len(t), dtype=np.int32) + length < (begins + sizes).astype(np.int32)[owner]
     order = suffix_order(t, length)
     order = order[is_start[order]]
-    group = np.cumsum(np.concatenate([[True], ~equal_neighbours(t, order, length)]))
-    # Places grow with rank: the least place of a group is its first string.
-    least = np.full(int(group[-1]) + 1 if len(group) else 1, len(t), np.int64)
-    np.minimum.at(least, group, order)
-    gone = np.sort(order[order != least[group]])
+    if not len(order):
+        return out
+    group = np.cumsum(np.concatenate([[False], ~equal_neighbours(t, order, length)]))
+    # Places grow with id, text and start. In each group the least id counts, and in each of its texts the first place.
+    changes = lambda k: np.concatenate([[False], [x[:k] != y[:k] for x, y in zip(rows, rows[1:], strict=False)]]).cumsum()
+    ids, texts = changes(1)[owner[order]], changes(2)[owner[order]]
+    by_place = np.lexsort((order, texts, group))
+    g, i, x, places = group[by_place], ids[by_place], texts[by_place], order[by_place]
+    new_group = np.concatenate([[True], g[1:] != g[:-1]])
+    least = i[new_group][np.cumsum(new_group) - 1]
+    new_text = new_group | np.concatenate([[True], x[1:] != x[:-1]])
+    gone = np.sort(places[(i != least) | ~new_text])
     if len(gone):
         new = np.ones(len(gone), bool)
         new[1:] = (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(gone)) - 1
         for a, b in zip(gone[first].tolist(), gone[last].tolist(), strict=True):
-            _, (doc, start, _) = rows[owner[a]]
+            doc, key, start, _, _ = rows[owner[a]]
             shift = start - int(begins[owner[a]])
-            out.append((doc, a + shift, b + shift))
+            out.append((doc, key, a + shift, b + shift))
     return out
 
 
-def _segment_rows(docs: DataFrame, id_col: str, text_col: str, bodies: bool, length: int) -> DataFrame:
-    """(hash, id, first, last[, body]): each different segment of each row."""
+def _places(texts: DataFrame, kind: str, length: int) -> DataFrame:
+    """(hash, id, key, at): each different segment of each text, `at` being first * length + last - first of its
+    windows; later places of a segment in the same text have a null hash."""
 
     def make():
         def work(cols):
-            texts = [t or b"" for t in cols[text_col]]
-            out = {k: [] for k in ("hash", "id", "first", "last", "body")}
-            for doc, text, own in zip(cols[id_col], texts, segments_of(texts, length), strict=True):
-                seen = set()
+            raw = [t or b"" for t in cols["text"]]
+            out = {k: [] for k in ("hash", "id", "key", "at")}
+            for doc, key, text, own in zip(cols["id"], cols["key"], raw, segments_of(raw, length), strict=True):
+                seen, again = set(), []
                 for a, b, h in own:
                     body = text[a : b + length]
                     if body not in seen:
                         seen.add(body)
                         out["hash"].append(h)
-                        out["id"].append(doc)
-                        if bodies:
-                            out["first"].append(a)
-                            out["last"].append(b)
-                            out["body"].append(body)
+                        out["at"].append(a * length + b - a)
+                    elif again and again[-1][1] == a - 1:
+                        again[-1][1] = b
+                    else:
+                        again.append([a, b])
+                parts = [(x, min(b, x + length - 1)) for a, b in again for x in range(a, b + 1, length)]
+                out["hash"] += [None] * len(parts)
+                out["at"] += [a * length + b - a for a, b in parts]
+                n = len(out["hash"]) - len(out["id"])
+                out["id"] += [doc] * n
+                out["key"] += [key] * n
             return out
 
         return work
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_rows(docs.select(id_col, text_col), make, f"hash long, id {kind}" + (", first int, last int, body binary" if bodies else ""), PIECE)
+    return arrow_rows(texts, make, f"hash long, id {kind}, key long, at long", PIECE)
+
+
+def _cells(text: bytes, first: int, last: int, length: int) -> list[tuple[int, int, int]]:
+    """A segment cut by how far its windows start before their anchor, CELL places a part: (hash, first, last).
+
+    All windows of a part hold the same length - CELL + 1 bytes, and the hash is of these; so equal windows, which
+    have their anchor at the same place, are in parts of one hash.
+    """
+    anchor = first + int(anchored(np.frombuffer(text[first : first + length], np.uint8), length)[0][0])
+    out = []
+    for c in range((anchor - last) // CELL, (anchor - first) // CELL + 1):
+        at = anchor - CELL * c
+        common = xxhash.xxh3_64_intdigest(text[at : at + length - CELL + 1], c)
+        out.append((common - (1 << 63), max(first, at - CELL + 1), min(last, at)))
+    return out
+
+
+def _bodies(texts: DataFrame, hits: DataFrame, kind: str, cells: bool, length: int) -> DataFrame:
+    """(hash, id, key, first, last, body): the segments at hits(key, hash, at), cut out of their texts."""
+    by_text = hits.groupBy("key").agg(F.collect_list(F.struct("hash", "at")).alias("hits")).withColumnRenamed("key", "of")
+    held = texts.join(by_text, F.col("key") == F.col("of")).drop("of")
+
+    def make():
+        def work(cols):
+            out = {k: [] for k in ("hash", "id", "key", "first", "last", "body")}
+            for doc, key, text, own in zip(cols["id"], cols["key"], cols["text"], cols["hits"], strict=True):
+                for hit in own:
+                    a, more = divmod(hit["at"], length)
+                    b = a + more
+                    if b + length > len(text):  # of another text with the same key
+                        continue
+                    for h, x, y in _cells(text, a, b, length) if cells else ((hit["hash"], a, b),):
+                        for k, v in zip(out, (h, doc, key, x, y, text[x : y + length]), strict=True):
+                            out[k].append(v)
+            return out
+
+        return work
+
+    return arrow_rows(held, make, f"hash long, id {kind}, key long, first int, last int, body binary", PIECE)
 
 
 def _sorted_repeats(segments: DataFrame, kind: str, length: int) -> DataFrame:
-    """(id, first, last): segments come sorted by hash and are taken in blocks that end between hashes."""
+    """(id, key, first, last): segments come sorted by hash and are taken in blocks that end between hashes."""
     import pyarrow as pa
 
+    names = ("id", "key", "first", "last", "body")
+
     def run(batches):
         block, held, last_hash = [], 0, None
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
         for batch in batches:
-            for h, doc, a, b, body in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hash", "id", "first", "last", "body")), strict=True):
+            for h, *segment in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hash", *names)), strict=True):
                 if held >= BLOCK_BYTES and h != last_hash:
                     yield made(repeats(block, length))
                     block, held = [], 0
-                block.append((doc, a, b, body))
-                held += len(body)
+                block.append(tuple(segment))
+                held += len(segment[-1])
                 last_hash = h
         if block:
             yield made(repeats(block, length))
@@ -261,33 +322,34 @@ def _sorted_repeats(segments: DataFrame, kind: str, length: int) -> DataFrame:
 
     from .common import _arrow_schema
 
-    out = T.StructType.fromDDL(f"id {kind}, first int, last int")
+    out = T.StructType.fromDDL(f"id {kind}, key long, first int, last int")
     schema = _arrow_schema(out)
-    return segments.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, out)
+    return segments.select("hash", *names).repartition("hash").sortWithinPartitions("hash").mapInArrow(run, out)
 
 
-def _hot_repeats(segments: DataFrame, kind: str, length: int) -> DataFrame:
-    """(id, first, last) of single windows, grouped by digest."""
+def _window_repeats(segments: DataFrame, kind: str, length: int) -> DataFrame:
+    """(id, key, first, last) of single windows. A group of equal windows has nothing to sort: its least id and each
+    text's first place are found by map-side aggregation, however large it is."""
 
     def make():
         def work(cols):
-            out = {k: [] for k in ("w1", "w2", "id", "at")}
-            for doc, first, body in zip(cols["id"], cols["first"], cols["body"], strict=True):
+            out = {k: [] for k in ("w1", "w2", "id", "key", "at")}
+            for doc, key, first, body in zip(cols["id"], cols["key"], cols["first"], cols["body"], strict=True):
                 for k in range(len(body) - length + 1):
                     d = xxhash.xxh3_128_digest(body[k : k + length])
-                    out["w1"].append(int.from_bytes(d[:8], "big", signed=True))
-                    out["w2"].append(int.from_bytes(d[8:], "big", signed=True))
-                    out["id"].append(doc)
-                    out["at"].append(first + k)
+                    for name, v in zip(out, (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, key, first + k), strict=True):
+                        out[name].append(v)
             return out
 
         return work
 
-    windows = arrow_rows(segments.select("id", "first", "body"), make, f"w1 long, w2 long, id {kind}, at int")
-    own = windows.groupBy("w1", "w2", "id").agg(F.min("at").alias("own"))
-    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "least")
-    found = windows.join(least, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).join(own, ["w1", "w2", "id"])
-    return found.filter((F.col("id") != F.col("least")) | (F.col("at") != F.col("own"))).select("id", F.col("at").alias("first"), F.col("at").alias("last"))
+    windows = arrow_rows(segments.select("id", "key", "first", "body"), make, f"w1 long, w2 long, id {kind}, key long, at int")
+    # Places of one text: its first is known apart, all later ones are repeats whatever the other texts hold.
+    own = stored(windows.groupBy("w1", "w2", "id", "key").agg(F.min("at").alias("at"), F.sort_array(F.collect_set("at")).alias("every")), "suffix-windows")
+    later = own.select("id", "key", F.explode(F.slice("every", 2, F.greatest(F.lit(1), F.size("every")))).alias("at"))
+    least = own.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
+    others = own.join(least, ["w1", "w2"]).filter("id <> least").select("id", "key", "at")
+    return others.unionAll(later).select("id", "key", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -295,52 +357,51 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A byte goes if some string of `length` bytes that covers it also starts earlier in the input: in a row of
     a smaller id, or before it in the same text. Null and empty texts have no bytes. Rows that repeat an id
-    are one document: they aren't earlier than each other, and bytes go from each of them that go from any
-    at that place. Rows with null ids are left as they are but for repeats within them, and nothing is
+    are one document: they aren't earlier than each other, and each of their texts loses what smaller ids have
+    and its own repeats. Rows with null ids are left as they are but for repeats within them, and nothing is
     earlier for being in them. Other columns stay; clashing names are replaced. What is left may be no valid
     UTF-8.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.filter(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= length)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    digests = texts.select("id", F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    key = F.xxhash64(id_col, text_col)  # stands for a text of an id; ids are compared beside it where that matters
+    texts = docs.filter(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= length)).select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    digests = texts.select("id", "key", F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     keepers = digests.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("other")).filter("keeper <> other").select("digest", "keeper")
-    copies = stored(digests.join(keepers, "digest").filter("id <> keeper").select("id", "n").distinct(), "suffix-copies")
-    firsts = texts.join(checked_broadcast(copies.select(F.col("id").alias("copy")), 16), F.col("id") == F.col("copy"), "left_anti")
-
-    often = stored(_segment_rows(firsts, "id", "text", False, length).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-anchors")
-    if often.count() * 32 <= 64 << 20:
-        segments = _segment_rows(firsts, "id", "text", True, length).join(F.broadcast(often), "hash")
-    else:  # texts meet their anchors by id, and only then are segments cut out
-        hits = _segment_rows(firsts, "id", "text", False, length).join(often, "hash")
-        of_doc = hits.groupBy("id").agg(F.collect_set("hash").alias("hashes")).select(F.col("id").alias("doc"), "hashes")
-        held = firsts.join(of_doc, F.col("id") == F.col("doc")).select("id", "text")
-        segments = _segment_rows(held, "id", "text", True, length).join(often, "hash")
-    segments = stored(segments.select("hash", "n", "id", "first", "last", "body"), "suffix-segments")
-    few = _sorted_repeats(segments.filter(F.col("n") <= HOT).select("hash", "id", "first", "last", "body"), kind, length)
-    many = _hot_repeats(segments.filter(F.col("n") > HOT), kind, length)
-    whole = copies.select("id", F.lit(0).alias("first"), (F.col("n") - length).cast("int").alias("last"))
-    spans = few.unionAll(many).unionAll(whole).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
-    spans = stored(spans.select(F.col("id").alias("__of"), "__spans"), "suffix-spans")
-    weight = spans.agg(F.coalesce(F.sum(F.size("__spans") * 24 + 48), F.lit(0))).first()[0]
+    copies = stored(digests.join(keepers, "digest").filter("id <> keeper").select("id", "key", "n").distinct(), "suffix-copies")
+    gone = checked_broadcast(copies.select(F.col("id").alias("copy"), F.col("key").alias("copy_key")), 128)
+    firsts = texts.join(gone, (F.col("id") == F.col("copy")) & (F.col("key") == F.col("copy_key")), "left_anti")
+
+    places = stored(_places(firsts, kind, length), "suffix-places")
+    often = places.filter("hash IS NOT NULL").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    hits = heavy_join(places.select("hash", "key", "at"), often.withColumn("rows", F.col("n")), ["hash"], "rows", "key", 0)
+    parts = [_sorted_repeats(_bodies(firsts, hits.filter(F.col("n") <= HOT), kind, False, length), kind, length)]
+    if often.filter(F.col("n") > HOT).limit(1).count():
+        cells = stored(_bodies(firsts, hits.filter(F.col("n") > HOT), kind, True, length), "suffix-cells")
+        counted = cells.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+        counted = stored(cells.join(counted, "hash"), "suffix-counted")
+        parts += [_sorted_repeats(counted.filter(F.col("n") <= HOT), kind, length), _window_repeats(counted.filter(F.col("n") > HOT), kind, length)]
+    first = F.floor(F.col("at") / length).cast("int")
+    parts.append(places.filter("hash IS NULL").select("id", "key", first.alias("first"), (first + F.col("at") % length).cast("int").alias("last")))
+    parts.append(copies.select("id", "key", F.lit(0).alias("first"), (F.col("n") - length).cast("int").alias("last")))
+    spans = reduce(DataFrame.unionAll, parts).groupBy(F.col("id").alias("__of"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
+    spans = stored(spans, "suffix-spans")
+    weight = spans.agg(F.coalesce(F.sum(F.size("__spans") * 32 + 128), F.lit(0))).first()[0]
     names = ("n_bytes", "n_removed", "n_spans")
     base = docs.drop(*names)
-    joined = base.join(F.broadcast(spans) if weight <= 64 << 20 else spans, F.col(id_col) == F.col("__of"), "left").drop("__of")
+    joined = base.join(F.broadcast(spans) if weight <= BROADCAST_BYTES else spans, (base[id_col] == F.col("__of")) & (F.xxhash64(base[id_col], base[text_col]) == F.col("__key")), "left")
+    joined = joined.drop("__of", "__key").withColumn("__own", F.col(id_col).isNull())
 
     def make():
         def work(cols):
-            texts = [t or b"" for t in cols[text_col]]
             out = {k: [] for k in (text_col, *names)}
-            for text, given, own in zip(texts, cols["__spans"], segments_of(texts, length), strict=True):
+            for text, given, alone in zip(cols[text_col], cols["__spans"], cols["__own"], strict=True):
+                text = text or b""
                 ranges = [(s["first"], s["last"] + length) for s in given or ()]
-                seen = set()
-                for a, b, _ in own:
-                    body = text[a : b + length]
-                    if body in seen:
-                        ranges.append((a, b + length))
-                    seen.add(body)
+                if alone and len(text) >= length:
+                    block = [(0, 0, a, b, text[a : b + length]) for a, b, _ in segments_of([text], length)[0]]
+                    ranges = [(a, b + length) for _, _, a, b in repeats(block, length)]
                 runs: list[list[int]] = []
                 for a, b in sorted(ranges):
-                    b = min(b, len(text))
                     if runs and a <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], b)
                     else:
@@ -358,4 +419,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return work
 
-    return arrow_append(joined, [text_col, "__spans"], make, f"`{text_col}` binary, n_bytes long, n_removed long, n_spans long", PIECE).drop("__spans")
+    return arrow_append(joined, [text_col, "__spans", "__own"], make, f"`{text_col}` binary, n_bytes long, n_removed long, n_spans long", PIECE).drop("__spans", "__own")
