@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_append
+from .common import arrow_append, stored
 
 BLOCKS = 4
 BLOCK_BITS = 16
@@ -31,8 +31,9 @@ WINDOWS_A_SIZE = 7
 SIZES_AN_OCTAVE = 8
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Items that one index holds; larger benchmarks take several passes over the texts.
+#: Items, and bytes of them, that one index holds; larger benchmarks take several passes over the texts.
 ITEMS_PER_PASS = 5_000
+BYTES_PER_PASS = 8 << 20
 #: Words that are fingerprinted together, so that memory doesn't follow a text's length.
 SPAN = 16_000
 # Characters that words are compared without.
@@ -172,7 +173,7 @@ class Benchmark:
         for size, own in sorted(by_size.items()):
             sums = [running_bits(word_hashes(w)) for _, w in own]
             prints = np.concatenate([fingerprints(s, len(w), len(w)) if size > 1 else np.zeros(1, np.uint64) for s, (_, w) in zip(sums, own, strict=True)])
-            self.sizes[size] = (BlockIndex(prints), [i for i, _ in own], [shingles_of(w) for _, w in own], [len(w) for _, w in own], {tuple(w): i for i, w in own})
+            self.sizes[size] = (BlockIndex(prints), [i for i, _ in own], [shingles_of(w) for _, w in own], [len(w) for _, w in own], {w[0]: [i for i, x in own if x == w] for _, w in own if len(w) == 1})
         self.longest = max((n for x in self.sizes.values() for n in x[3]), default=0)
         # Anchors: hashes of each item's rarest shingles, sorted, with their items.
         self.items = [(i, len(w), shingles_of(w)) for own in by_size.values() for i, w in own if len(w) >= SHINGLE]
@@ -216,8 +217,8 @@ class Benchmark:
             if size <= 1:
                 for g, (t, at, part) in enumerate(group):
                     for k, w in enumerate(part):
-                        if (w,) in whole:
-                            found[t].setdefault(whole[(w,)], (1.0, at + k))
+                        for i in whole.get(w, ()):
+                            found[t].setdefault(i, (1.0, at + k))
                 continue
             if size > len(words):
                 continue
@@ -288,18 +289,24 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     shingles of five words; items of fewer words must occur as they are. A text of fewer words than the item is
     compared as a whole. start is the window's first word.
     Null or empty texts and items hold nothing and are held by nothing. Rows are judged one by one: null or
-    repeated ids don't matter, all other columns stay, and a column named leaks is replaced. The benchmark is
-    read to the driver in passes of ITEMS_PER_PASS items.
+    repeated ids don't matter, all other columns stay, and a column named leaks is replaced. Item ids may be of
+    any type and null; each row of the benchmark is an item. The benchmark is read to the driver in passes of
+    about ITEMS_PER_PASS items and BYTES_PER_PASS bytes, one after another.
     """
-    n = benchmark.count()
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
-    passes = max(1, -(-n // ITEMS_PER_PASS))
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).filter("t IS NOT NULL")
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    passes = max(1, -(-n // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
+    kind = benchmark.schema[item_col].dataType.simpleString()
     out = docs.drop("leaks")
     for k in range(passes):
         some = items if passes == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
-        shared = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"].encode()) for r in some.collect()])
+        held = sorted(((r["i"], r["t"].encode()) for r in some.collect()), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))
+        shared = docs.sparkSession.sparkContext.broadcast(held)
         name = "leaks" if passes == 1 else f"__leaks{k}"
-        out = arrow_append(out, [text_col], _maker(shared, text_col, name), f"{name} array<struct<item_id: long, similarity: double, start: int>>")
+        out = arrow_append(out, [text_col], _maker(shared, text_col, name), f"{name} array<struct<item_id: {kind}, similarity: double, start: int>>")
+        if passes > 1:
+            out = stored(out, "leaks-pass")
+            shared.unpersist()
     if passes > 1:
         parts = [f"__leaks{k}" for k in range(passes)]
         out = out.withColumn("leaks", F.concat(*parts)).drop(*parts)
@@ -308,11 +315,12 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 def _maker(shared, text_col: str, name: str):
     def make():
-        held = Benchmark(shared.value)
+        items = shared.value
+        held = Benchmark([(j, text) for j, (_, text) in enumerate(items)])
 
         def work(cols):
             found = held.leaks([words_of(t or b"") for t in cols[text_col]])
-            return {name: [[{"item_id": i, "similarity": s, "start": at} for i, (s, at) in sorted(f.items())] for f in found]}
+            return {name: [[{"item_id": items[j][0], "similarity": s, "start": at} for j, (s, at) in sorted(f.items())] for f in found]}
 
         return work
 
