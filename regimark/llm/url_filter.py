@@ -30,17 +30,26 @@ class Rule(NamedTuple):
     kind: str = "prefix"
 
 
-#: What decides where no host and path rule fits: words of hosts and paths known for spam.
-DEFAULT_PATTERNS = (
-    Rule("cheap pills", "block", "words"),
-    Rule("spam farm", "block", "words"),
-    Rule("casino", "block", "words"),
-    Rule("xxx", "block", "words"),
-)
+# Words, or words in a row, that mark hosts and paths as spam, by kind.
+SPAM_WORDS = {
+    "gambling": "baccarat, bet365, betting tips, bingo bonus, casino, casinos, free spins, online poker, poker bonus, roulette, slot machine, slot online, slots, sports betting, sportsbook",
+    "pharmacy": "buy viagra, buy xanax, canadian pharmacy, cheap meds, cheap pills, cialis, diet pills, online pharmacy, no prescription, phentermine, tramadol, valium, viagra, weight loss pills, xanax",
+    "adult": "adult dating, adult video, camgirls, escort service, escorts, hentai, hookup, live cams, nude pics, porn, porno, pornhub, sex chat, sex video, sexcam, webcam girls, xvideos, xxx",
+    "pirated": "crack download, cracked apk, download torrent, free keygen, full movie download, keygen, license key generator, mod apk, nulled, patch crack, serial keys, torrent download, warez",
+    "money": "binary options, cash advance, debt relief, earn money fast, forex signals, free bitcoin, get rich, loan approval, make money online, no credit check, payday loan, payday loans, work from home jobs",
+    "fakes": "cheap jerseys, cheap handbags, fake id, fake passport, louis vuitton outlet, replica bags, replica rolex, replica watches, ray ban outlet, ugg outlet, wholesale jerseys",
+    "farms": "article spinner, backlink service, buy backlinks, buy followers, buy likes, buy reviews, link building service, link exchange, link farm, link wheel, paid links, private blog network, seo backlinks, spam farm, traffic bot",
+    "bait": "claim your prize, click here now, download now free, free gift card, free iphone, lottery winner, one weird trick, survey reward, win a prize, you have won",
+    "parked": "buy this domain, domain for sale, domain parking, parked domain, sedoparking, this domain may be for sale",
+    "tracking": "ad server, adclick, adserver, affiliate redirect, clickbank, clicktracker, doubleclick, popunder, redirect ads, track click",
+}
+
+#: What decides where no host and path rule fits.
+DEFAULT_PATTERNS = tuple(Rule(words.strip(), "block", "words") for kind in SPAM_WORDS.values() for words in kind.split(","))
 
 
 def pattern_of(rule: Rule) -> str:
-    """A regular expression over host + path."""
+    """A regular expression over host + path; over these in lower case for words."""
     if rule.kind == "words":
         return "(^|[^a-z0-9])" + "[^a-z0-9]+".join(map(re.escape, rule.rule.split())) + "([^a-z0-9]|$)"
     host, slash, path = rule.rule.partition("/")
@@ -68,12 +77,13 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], patterns: list[Rule] | tup
 
     The longest host and path rule that fits decides, and is named in rule. Else a pattern that matches
     decides, then a url without a host is blocked and any other allowed; rule is null then. Of rules equally
-    long the one later in the list wins. Rows that are repeated stay repeated; null ids stay.
+    long the one later in the list wins. Paths of rules are matched as they are, words whatever their case; words
+    are in lower case in their rules. Rows that are repeated stay repeated; null ids stay.
     """
     spark = pages.sparkSession
     every = [*rules, *patterns]
-    rows = [(i, r.verdict, r.rule if i < len(rules) else None, len(r.rule) if i < len(rules) else PATTERN_LENGTH, pattern_of(r), tokens_of(r)) for i, r in enumerate(every)]
-    table = spark.createDataFrame(rows, "number int, rule_verdict string, rule string, weight int, pattern string, tokens array<string>")
+    rows = [(i, r.verdict, r.rule if i < len(rules) else None, len(r.rule) if i < len(rules) else PATTERN_LENGTH, r.kind == "words", pattern_of(r), tokens_of(r)) for i, r in enumerate(every)]
+    table = spark.createDataFrame(rows, "number int, rule_verdict string, rule string, weight int, words boolean, pattern string, tokens array<string>")
     bounded = F.broadcast if len(every) <= BROADCAST_RULES else (lambda df: df)
     # "" stands for the row itself; rules without a whole token are candidates of every row.
     urls = pages.select(F.col(id_col), *[c.alias(n) for n, c in parsed(pages, url_col).items()])
@@ -82,8 +92,9 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], patterns: list[Rule] | tup
     literal = table.select("number", F.explode(F.when(F.size("tokens") == 0, F.array(F.lit(""))).otherwise(F.col("tokens"))).alias("token"))
     seen = expanded.select("token").join(bounded(literal.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = literal.join(seen, "token", "left").groupBy("number").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    index = rarest.join(table.select("number", "weight", "pattern"), "number").select(F.col("token").alias("key"), "number", "weight", "pattern")
-    matched = F.when(F.rlike(F.concat("host", "path"), F.col("pattern")), F.col("weight").cast("long") * (1 << 31) + F.col("number"))
+    index = rarest.join(table.select("number", "weight", "words", "pattern"), "number").select(F.col("token").alias("key"), "number", "weight", "words", "pattern")
+    whole = F.concat("host", F.when(F.col("words"), ascii_lower(F.col("path"))).otherwise(F.col("path")))
+    matched = F.when(F.rlike(whole, F.col("pattern")), F.col("weight").cast("long") * (1 << 31) + F.col("number"))
     best = (
         expanded.join(bounded(index), F.col("token") == F.col("key"), "left")
         # A row is as often in its group as it has entries for "": one for each rule of that key, or one.
