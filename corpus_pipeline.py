@@ -14,8 +14,8 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of these documents, doesn't reject."""
-    machine = quality_fm.fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return quality_fm.append_quality(docs, machine).filter("predicted = 1").select(*docs.columns)
+    machine = quality_fm.fit_quality(docs, read_table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    return quality_fm.append_quality(docs, machine, metadata=("n_chars",)).filter("predicted = 1").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

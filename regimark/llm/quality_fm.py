@@ -1,7 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 A text becomes a sparse vector: its distinct words hashed into fixed slots, bins of structure statistics and
-bins of its length. The score is w0 + sum(w x) + 1/2 sum_f((sum v x)^2 - sum(v^2 x^2)), linear in the entries.
+bins of the metadata that numeric columns give. The score is w0 + sum(w x) + 1/2 sum_f((sum v x)^2 - sum(v^2 x^2)), linear in the entries.
 Fitting takes a bounded sample of labelled rows; vectors are made on the executors, the fit runs on the driver
 and the model, of fixed size, is broadcast.
 """
@@ -23,7 +23,9 @@ from .quality_rules import BLANK, DIGIT, MARK, OTHER, SKIP, STOP, SYMBOL, UPPER,
 WORD_SLOTS = 1 << 15
 BINS = 12
 STATISTICS = 12
-SLOTS = WORD_SLOTS + STATISTICS * BINS
+#: Metadata columns that a vector may have.
+METADATA = 4
+SLOTS = WORD_SLOTS + (STATISTICS + METADATA) * BINS
 RANK = 6
 #: Labelled rows of each class that a fit may take.
 SAMPLE_PER_CLASS = 3000
@@ -37,8 +39,9 @@ def _bin(x: float, scale: float) -> int:
     return min(BINS - 1, int(math.log2(1 + x * scale)))
 
 
-def vector(text: bytes) -> tuple[list[int], list[float]]:
-    """Slots and values of a text; the empty text has its bins only."""
+def vector(text: bytes, metadata: tuple = ()) -> tuple[list[int], list[float]]:
+    """Slots and values of a text and of up to METADATA numbers; the empty text has its bins only, and a number that is
+    missing or no number has none."""
     words = text.split()
     n = len(words)
     classes = text.translate(CLASS_OF)
@@ -55,7 +58,8 @@ def vector(text: bytes) -> tuple[list[int], list[float]]:
         (share(n - len(distinct), n), 2000), (share(len(lines) - len(set(lines)), len(lines)), 2000), (share(alpha_words, n), 2000), (chars, 0.02),
     )
     slots = [WORD_SLOTS + k * BINS + _bin(x, scale) for k, (x, scale) in enumerate(values)]
-    weights = [1 / math.sqrt(STATISTICS)] * STATISTICS
+    slots += [WORD_SLOTS + (STATISTICS + k) * BINS + _bin(abs(x), 0.02) for k, x in enumerate(metadata) if x is not None and math.isfinite(x)]
+    weights = [1 / math.sqrt(STATISTICS)] * len(slots)
     if distinct:
         hashed = {zlib.crc32(w) % WORD_SLOTS for w in distinct}
         slots += hashed
@@ -122,33 +126,31 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def make():
-        def work(cols):
-            made = [vector(t or b"") for t in cols[text_col]]
-            return {id_col: cols[id_col], "slots": [a for a, _ in made], "values": [b for _, b in made]}
-
-        return work
-
-    return arrow_rows(docs.select(id_col, text_col), make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, slots array<int>, values array<double>")
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Machine:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, metadata: tuple[str, ...] = ()
+) -> Machine:
     """A machine fitted on up to per_class labelled rows of each class that aren't held out, the first by a hash
-    of their ids. Null labels, labels of no document and repeated labels of an id don't count."""
+    of their ids. Null labels, labels of no document and repeated labels of an id don't count; of rows that repeat
+    an id the least text does. metadata: up to METADATA numeric columns."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").filter(~held_out("__id"))
     known = known.groupBy("__id").agg(F.min("__label").alias("__label"))
     order = [F.xxhash64("__id"), F.col("__id")]
     sample = known.filter("__label = 0").orderBy(*order).limit(per_class).unionAll(known.filter("__label = 1").orderBy(*order).limit(per_class))
     # At most 2 * per_class rows: bounded by the parameter.
-    chosen = docs.select(id_col, text_col).join(F.broadcast(sample), docs[id_col] == F.col("__id")).select(id_col, text_col, "__label")
-    made = vectors(chosen.select(F.struct(id_col, "__label").alias("key"), text_col), "key", text_col)
-    rows = sorted(made.select(F.col("key")[id_col].alias("id"), F.col("key")["__label"].alias("label"), "slots", "values").collect())
-    seen, kept = set(), []
-    for r in rows:
-        if r["id"] not in seen:
-            seen.add(r["id"])
-            kept.append((np.array(r["slots"]), np.array(r["values"]), r["label"]))
+    own = docs.select(F.col(id_col).alias("__own"), F.struct(F.col(text_col).alias("text"), *[F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(metadata)]).alias("row"))
+    chosen = own.join(F.broadcast(sample), F.col("__own") == F.col("__id")).groupBy("__id").agg(F.min("row").alias("row"), F.min("__label").alias("label"))
+    names = [f"m{k}" for k in range(len(metadata))]
+
+    def make():
+        def work(cols):
+            made = [vector(t or b"", m) for t, *m in zip(cols["text"], *[cols[n] for n in names], strict=True)]
+            return {"id": cols["id"], "label": cols["label"], "slots": [a for a, _ in made], "values": [b for _, b in made]}
+
+        return work
+
+    flat = chosen.select(F.col("__id").alias("id"), "label", "row.*")
+    made = arrow_rows(flat, make, f"id {known.schema['__id'].dataType.simpleString()}, label int, slots array<int>, values array<double>")
+    kept = [(np.array(r["slots"]), np.array(r["values"]), r["label"]) for r in sorted(made.collect())]
     counts = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}  # two rows at most
     machine = fit(kept)
     if counts.get(0) and counts.get(1):  # the fit weighs both classes alike; scores follow their true shares
@@ -156,10 +158,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return machine
 
 
-def append_quality(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def append_quality(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD, metadata: tuple[str, ...] = ()) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
 
-    Null and empty texts are scored by their bins. Nothing but the text enters a score. Rows are scored one by
+    Null and empty texts are scored by their bins. Nothing but the text and the metadata columns that the machine
+    was fitted with enters a score. Rows are scored one by
     one; null and repeated ids stay, as do other columns, but for ones named score or predicted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
@@ -168,14 +171,16 @@ def append_quality(docs: DataFrame, machine: Machine, text_col: str = "text", th
         m = shared.value
 
         def work(cols):
-            scores = [m.score(*vector(t or b"")) for t in cols[text_col]]
+            scores = [m.score(*vector(t or b"", given)) for t, *given in zip(cols[text_col], *[cols[c] for c in names], strict=True)]
             return {"score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
         return work
 
-    return arrow_append(docs, [text_col], make, "score double, predicted int")
+    names = [f"__m{k}" for k in range(len(metadata))]
+    given = docs.withColumns({n: F.col(c).cast("double") for n, c in zip(names, metadata, strict=True)})
+    return arrow_append(given, [text_col, *names], make, "score double, predicted int").drop(*names)
 
 
-def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, metadata: tuple[str, ...] = ()) -> DataFrame:
     """id_col, score, predicted of every row, as append_quality makes them."""
-    return append_quality(docs.select(id_col, text_col), machine, text_col, threshold).select(id_col, "score", "predicted")
+    return append_quality(docs.select(id_col, text_col, *metadata), machine, text_col, threshold, metadata).select(id_col, "score", "predicted")
