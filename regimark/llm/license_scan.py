@@ -17,12 +17,23 @@ from pyspark.sql import functions as F
 #: Above so many known texts the lookup shuffles.
 BROADCAST_LICENSES = 50_000
 
-# Equivalent spellings, each with the one that stands for it.
-SPELLINGS = (
-    ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"),
-    ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"), ("whilst", "while"),
-    ("copyright holder", "copyright owner"), ("per cent", "percent"), ("https:", "http:"),
-)
+# Equivalent spellings of words, and of words in a row, each with the one that stands for it.
+SPELLINGS = {
+    "acknowledgement": "acknowledgment", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized",
+    "cancelled": "canceled", "centre": "center", "favour": "favor", "favourite": "favorite", "fulfilment": "fulfillment", "https": "http", "initialise": "initialize",
+    "judgement": "judgment", "labelling": "labeling", "labour": "labor", "licence": "license", "licences": "licenses", "licenced": "licensed",
+    "merchantibility": "merchantability", "offence": "offense", "organisation": "organization", "organisations": "organizations", "programme": "program",
+    "realise": "realize", "recognise": "recognize", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+}
+PHRASES = {
+    "copyright holder": "copyright owner", "copyright holders": "copyright owners", "non commercial": "noncommercial", "non infringement": "noninfringement", "per cent": "percent",
+    "sub license": "sublicense", "sub licensed": "sublicensed",
+}
+#: A line with a copyright sign, or the word, and then a year or a place for one; other lines that begin with the word stay.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t*#/;]*(?:(?:©|\(c\))[ \t]*(?:copyright[ \t:]*)?[<\[]?(?:year|yyyy|(?:19|20)[0-9]{2})|copyright[ \t:]*(?:\(c\)|©)"
+    r"|copyright[ \t:]+[<\[]?(?:year|yyyy|(?:19|20)[0-9]{2})|copyright[ \t:]+[^\n,]{1,60},[ \t]*(?:19|20)[0-9]{2}[.]?[ \t\r]*$)[^\n]*$"
+)
 
 # Known notices and licence texts; those in files, of which notices follow, are added below.
 LICENSES = {
@@ -33,12 +44,28 @@ LICENSES = {
     "MIT notice": "Released under the MIT License.",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "MIT": """MIT License
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
+LICENSES["0BSD"] = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + LICENSES["ISC"].partition("\n")[2]
+LICENSES["Zlib"] = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+LICENSES["BSL-1.0"] = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+# Headings that these texts have or not.
+HEADINGS = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"), "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The 3-Clause BSD License"), "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"), "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "Zlib": ("zlib License", "The zlib License"),
+}
+
 # How notices begin, how they name each licence, and the identifiers that they give.
 NOTICES = ("Licensed under", "Released under", "Distributed under", "Available under", *(f"This {x} is licensed under" for x in ("work", "project", "software", "file", "document")))
 NOTICE_NAMES = {
@@ -67,8 +94,10 @@ def _known() -> dict[str, str]:
     for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
         out[path.stem] = text = path.read_text()
         out[f"{path.stem} (a line a paragraph)"] = re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", text)
-    out["MIT (without heading)"] = LICENSES["MIT"].partition("\n")[2]
-    out["ISC (with heading)"] = "ISC License\n" + LICENSES["ISC"]
+    for name, headings in HEADINGS.items():
+        for k, heading in enumerate(headings, 1):
+            out[f"{name} (with heading {k})"] = f"{heading}\n\n{out[name]}"
+            out[f"{name} (with heading {k} and rights)"] = f"{heading}\n\nAll rights reserved.\n\n{out[name]}"
     for name, wordings in NOTICE_NAMES.items():
         bodies = [f"{begin} {x}." for x in wordings for begin in NOTICES] + [f"SPDX-License-Identifier: {name}{x}" for x in ("", "-only", "-or-later")]
         for k, body in enumerate(bodies, 1):
@@ -80,16 +109,26 @@ LICENSES = _known()
 
 
 def canonical(text: Column) -> Column:
-    """Lower case; no copyright lines; one spelling; letters and digits in words, one space between, lines kept."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?m)^[ \t]*(copyright|\(c\)|©)[ \t:][^\n]*$", "")
-    for other, usual in SPELLINGS:
-        out = F.replace(out, F.lit(other), F.lit(usual))
-    return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+    """Lower case; no copyright lines; letters and digits in words, one space between, one spelling; lines kept."""
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    # Each word between two spaces of its own, so that words in a row are all replaced.
+    out = F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  "), r"\n", " \n ")
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    for other, usual in SPELLINGS.items():
+        out = F.replace(out, F.lit(f" {other} "), F.lit(f" {usual} "))
+    return F.regexp_replace(_phrased(out), " +", " ")
+
+
+def _phrased(text: Column) -> Column:
+    for other, usual in PHRASES.items():
+        text = F.replace(text, F.lit(" " + other.replace(" ", "  ") + " "), F.lit(" " + usual.replace(" ", "  ") + " "))
+    return text
 
 
 def one_line(text: Column) -> Column:
-    """A canonical text as one line of words."""
-    return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
+    """A canonical text as one line of words; words in a row are now also spelled over line breaks."""
+    out = F.concat(F.lit(" "), F.regexp_replace(text, r"[ \n]+", "  "), F.lit(" "))
+    return F.trim(F.regexp_replace(_phrased(out), " +", " "))
 
 
 def license_scan(docs: DataFrame, licenses: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

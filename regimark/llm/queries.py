@@ -11,13 +11,13 @@ from .bpe import bpe_encode
 from .cdc_dedup import dedup_chunks
 from .common import default_path, read_table
 from .decontaminate import leaks
-from .license_scan import LICENSES, SPELLINGS, license_scan
+from .license_scan import COPYRIGHT_LINE, LICENSES, PHRASES, SPELLINGS, license_scan
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .quality_fm import fit_quality, held_out, score_quality
 from .quality_rules import quality_rules
 from .suffix_dedup import dedup_substrings
-from .url_filter import url_rules, url_verdicts
+from .url_filter import DEFAULT_PATTERNS, url_rules, url_verdicts
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read_table(spark, sf_dir, "pages"), url_rules())
 
 
-OP2_SQL = r"""
+_SPAM = "|".join("[^a-z0-9]+".join(r.rule.split()) for r in DEFAULT_PATTERNS)
+OP2_SQL = rf"""
 WITH parsed AS (
   SELECT page_id,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -45,16 +46,16 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host || path, '(^|[^a-z0-9])(cheap[^a-z0-9]+pills|spam[^a-z0-9]+farm|casino|xxx)([^a-z0-9]|$)') THEN 'block'
+    WHEN regexp_matches(host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])({_SPAM})([^a-z0-9]|$)') THEN 'block'
     WHEN host = '' THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return score_quality(docs, machine).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = fit_quality(docs, read_table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    return score_quality(docs, machine, metadata=("n_chars",)).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,23 +94,31 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op8_sql() -> str:
-    def canonical(c: str) -> str:
-        out = f"regexp_replace(lower(coalesce({c}, '')), '(?m)^[ \\t]*(copyright|\\(c\\)|©)[ \\t:][^\\n]*$', '', 'g')"
-        for other, usual in SPELLINGS:
-            out = f"replace({out}, '{other}', '{usual}')"
-        return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
-
-    one_line = lambda c: f"trim(regexp_replace({c}, '[ \\n]+', ' ', 'g'), ' ')"
-    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in LICENSES.items())
+    """By lists of words, where the operator replaces strings."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    usual = " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in SPELLINGS.items())
+
+    def words(c: str) -> str:  # of one line
+        return f"list_transform(list_filter(regexp_split_to_array({c}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: CASE w {usual} ELSE w END)"
+
+    def phrased(c: str) -> str:
+        for _ in range(2):  # words in a row share the space between them, so every other one is left the first time
+            for a, b in PHRASES.items():
+                c = f"regexp_replace({c}, '(^| ){a}( |$)', '\\1{b}\\2', 'g')"
+        return c
+
+    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in LICENSES.items())
     return f"""
-WITH known AS (
-  SELECT sha256({one_line(canonical("body"))}) AS digest, min(name) AS name FROM (VALUES {values}) AS v(name, body) GROUP BY 1),
-canon AS (SELECT doc_id, {canonical("text")} AS t FROM documents),
-whole AS (SELECT doc_id, t, sha256({one_line("t")}) AS text_digest FROM canon),
-lines AS (SELECT DISTINCT doc_id, sha256(trim(unnest(string_split(t, chr(10))), ' ')) AS digest FROM canon),
-noted AS (SELECT doc_id, string_agg(DISTINCT name, '; ' ORDER BY name) AS notices FROM lines JOIN known USING (digest) GROUP BY doc_id)
-SELECT w.doc_id, text_digest, known.name AS license, coalesce(notices, '') AS notices
-FROM whole w LEFT JOIN known ON known.digest = text_digest LEFT JOIN noted ON noted.doc_id = w.doc_id
+WITH every AS (SELECT doc_id, NULL AS name, text AS body FROM documents UNION ALL SELECT NULL, name, body FROM (VALUES {values}) AS v(name, body)),
+bare AS (SELECT row_number() OVER () AS row, doc_id, name, regexp_replace(lower(coalesce(body, '')), {quoted(COPYRIGHT_LINE)}, '', 'g') AS t FROM every),
+lined AS (SELECT row, doc_id, name, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM bare),
+spelled AS (SELECT row, doc_id, name, pos, {phrased(f"array_to_string({words('line')}, ' ')")} AS line FROM lined),
+whole AS (SELECT row, doc_id, name, sha256({phrased("coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (line <> ''), '')")}) AS digest,
+  coalesce(string_agg(line, ' ') FILTER (line <> ''), '') = '' AS blank FROM spelled GROUP BY row, doc_id, name),
+known AS (SELECT digest, min(name) AS name FROM whole WHERE name IS NOT NULL AND NOT blank GROUP BY digest),
+noted AS (SELECT s.row, string_agg(DISTINCT k.name, '; ' ORDER BY k.name) AS notices FROM spelled s JOIN known k ON k.digest = sha256(s.line) WHERE s.name IS NULL GROUP BY s.row)
+SELECT w.doc_id, w.digest AS text_digest, k.name AS license, coalesce(n.notices, '') AS notices
+FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN noted n ON n.row = w.row WHERE w.name IS NULL
 """
 
 
