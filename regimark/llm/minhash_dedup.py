@@ -5,9 +5,11 @@ A document's set of word shingles gives a signature of 40 symbols of 16 bits. Si
 times, with one symbol left out, so every such pair shares a key. Links are confirmed on whole sets.
 
 Equal sets are one class from the start. In each group of a key all are compared to its smallest id first,
-which is linear; only pairs that are in different components after that are then compared with each other, and
-of these those that share one of their rarest shingles, as all links do. So a group of near copies or of texts
-around one passage is never expanded into all its pairs, and no link between different sets is lost.
+which is linear. Sets of groups that then still hold several components are met by their rarest shingles, of
+which all linked sets share one: first with the least altered set of each shingle's group, which is linear again,
+then those outside its component with all others, where sizes and places of the shingle allow a link. A pair is
+made once, at the first shingle that both hold. So a group of near copies or of texts around one passage is never
+expanded into all its pairs, and no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ SYMBOLS = CHUNKS * SYMBOLS_A_CHUNK
 RADIUS = 2 * CHUNKS - 1
 LONGS = SYMBOLS // 4
 #: Shingles are counted in so many bits' worth of slots.
-COUNT_BITS = 18
+COUNT_BITS = 20
 SIGNATURE = [f"s{k}" for k in range(LONGS)]
 
 _RNG = np.random.default_rng(20)
@@ -123,21 +125,35 @@ def _near(a: _Named, b: _Named, percent: int):
     return (100 * F.least(a.n, b.n) >= percent * F.greatest(a.n, b.n)) & (_distance(a, b) <= RADIUS)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar enough. Each set is made once and goes to its pairs."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct(), "near-ids")
-    needed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(checked_broadcast(ids, 32), F.col("id") == F.col("need"), "left_semi")
+def _needed(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows whose id is among ids(need)."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(checked_broadcast(ids, 32), F.col("id") == F.col("need"), "left_semi")
 
-    def make_sets():
+
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, d1, shingles): each different set of each needed id, made once."""
+
+    def make():
         def work(cols):
-            return {"id": cols["id"], "shingles": [shingle_set(t or b"").tobytes() for t in cols["text"]]}
+            sets = [shingle_set(t or b"").tobytes() for t in cols["text"]]
+            return {"id": cols["id"], "d1": [int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "big", signed=True) for s in sets], "shingles": sets}
 
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sets = stored(arrow_rows(needed, make_sets, f"id {kind}, shingles binary").distinct(), "near-sets")
-    one, two = sets.toDF("ida", "sa"), sets.toDF("idb", "sb")
-    joined = pairs.join(one, pairs.a == one.ida).join(two, pairs.b == two.idb).select("a", "b", "sa", "sb")
+    made = arrow_rows(_needed(docs, ids, id_col, text_col), make, f"id {kind}, d1 long, shingles binary")
+    return stored(made.dropDuplicates(["id", "d1"]), "near-sets")
+
+
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    one = lambda c: pairs.select(F.col(c).alias("need")).distinct()
+    return stored(one("a").unionAll(one("b")).distinct(), "near-ids")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets are similar enough. A hub's set goes to all its pairs; skew joins split those."""
+    one, two = sets.select(F.col("id").alias("ida"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("idb"), F.col("shingles").alias("sb"))
+    joined = pairs.join(two, pairs.b == two.idb).join(one, pairs.a == one.ida).select("a", "b", "sa", "sb")
 
     def make():
         def work(cols):
@@ -152,50 +168,98 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, pe
 
         return work
 
+    kind = pairs.schema["a"].dataType.simpleString()
     return stored(arrow_rows(joined, make, f"a {kind}, b {kind}").distinct(), "near-links")
 
 
-def _rarest(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(id, token): of each set of n shingles the n - ceil(percent n / 100) + 1 that come first in one order.
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, token, at): of each set of n shingles the n - ceil(percent n / 100) + 1 that come first in one order,
+    with their place in it.
 
     Two sets that are similar enough share percent of each at least, so they share one of these whatever the
-    order is. The order is by frequency among these sets, rare ones first, from a table of 2^18 counts that
+    order is. The order is by frequency among these sets, rare ones first, from a table of 2^20 counts that
     shingles are hashed into; its size is fixed.
     """
-    ids = stored(reps.select(F.col("rep").alias("need")).distinct(), "near-rest-ids")
-    needed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(checked_broadcast(ids, 32), F.col("id") == F.col("need"), "left_semi")
-    kind = docs.schema[id_col].dataType.simpleString()
     slots = np.uint64((1 << COUNT_BITS) - 1)
 
     def make_counts():
         def work(cols):
-            sets = [shingle_set(t or b"") for t in cols["text"]]
-            slot, n = np.unique(np.concatenate(sets) & slots, return_counts=True) if sets else (np.zeros(0, int), np.zeros(0, int))
+            held = np.frombuffer(b"".join(cols["shingles"]), np.uint64)
+            slot, n = np.unique(held & slots, return_counts=True)
             return {"slot": slot.astype(np.int64).tolist(), "n": n.tolist()}
 
         return work
 
-    counts = arrow_rows(needed, make_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2^18 rows at most
+    counts = arrow_rows(sets.select("shingles"), make_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 2^20 rows at most
     table = np.zeros(1 << COUNT_BITS, np.int64)
     table[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def make():
         often = shared.value
 
         def work(cols):
-            out = {"id": [], "token": []}
-            for doc, text in zip(cols["id"], cols["text"], strict=True):
-                s = shingle_set(text or b"")
+            out = {"rep": [], "n": [], "token": [], "at": []}
+            for doc, raw in zip(cols["id"], cols["shingles"], strict=True):
+                s = np.frombuffer(raw, np.uint64)
                 first = len(s) - (percent * len(s) + 99) // 100 + 1
                 own = s[np.lexsort((s, often[(s & slots).astype(np.int64)]))[:first]] if len(s) else s
                 out["token"] += own.view(np.int64).tolist()
-                out["id"] += [doc] * len(own)
+                out["at"] += range(len(own))
+                out["rep"] += [doc] * len(own)
+                out["n"] += [len(s)] * len(own)
             return out
 
         return work
 
-    return arrow_rows(needed, make, f"id {kind}, token long").distinct()
+    return arrow_rows(sets.select("id", "shingles"), make, f"rep {sets.schema['id'].dataType.simpleString()}, n int, token long, at int")
+
+
+def _reach(n, at, percent: int):
+    """Size that a set may have at most to be linked with one of n shingles if what they share begins at its place `at`."""
+    return F.floor((n - at) * (100 + percent) / percent + 1e-9) - n
+
+
+def _step(n):
+    """Sizes by steps of 5 %."""
+    return F.floor(F.log(n) / F.log(F.lit(1.05))).cast("int")
+
+
+def _bound(percent: int):
+    """What two sets can share, if that begins at their places `at`, must be enough for a link."""
+    return (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) >= percent * (F.col("n") + F.col("n_2"))
+
+
+def _labelled(met: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
+    """met(token, at, rep, n) with the label of rep, and the hub of the token and its label as at_2, rep_2, n_2, label_2."""
+    other = hubs.join(labels.select(F.col("node").alias("rep_2"), F.col("label").alias("label_2")), "rep_2", "left").withColumn("label_2", F.coalesce("label_2", "rep_2"))
+    named = labels.select(F.col("node").alias("rep"), "label")
+    return met.join(other, "token").join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+
+
+def _to_hubs(labelled: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of other components than the hub of one of their tokens, with that hub; linear in the rows."""
+    return _pairs(labelled.filter((F.col("label") != F.col("label_2")) & _bound(percent)))
+
+
+def _what_is_left(labelled: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of different components that may be linked.
+
+    One of two sets of different components is outside the component of their token's hub; only those are met
+    with the others, and with those whose size their token's place allows. Of the tokens that two sets share the
+    first has the places that say how much they can share at most, and later ones say less.
+    """
+    rows = stored(labelled.select("token", "at", "rep", "n", "label", F.col("label_2").alias("hub"), _step(F.col("n")).alias("step")), "near-placed")
+    outside = rows.filter("label <> hub").withColumn("low", _step(F.ceil(F.col("n") * percent / 100 - 1e-9)))
+    outside = outside.withColumn("high", _step(F.greatest(F.lit(1), _reach(F.col("n"), F.col("at"), percent)))).filter("low <= high")
+    outside = outside.drop("step", "hub").withColumn("step", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    two = rows.select("token", "step", *[F.col(c).alias(f"{c}_2") for c in ("at", "rep", "n", "label", "hub")])
+    once = (F.col("label_2") == F.col("hub_2")) | (F.col("rep") < F.col("rep_2"))
+    return _pairs(outside.join(two, ["token", "step"]).filter((F.col("label") != F.col("label_2")) & once & _bound(percent)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -218,21 +282,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     multi = stored(keys.join(hubs, "key"), "near-keys")
 
     signed = linkable.select("rep", "n", *SIGNATURE)
-    first = multi.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(_filtered(first, signed, percent), docs, id_col, text_col, percent)
+    first = _filtered(multi.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), signed, percent)
+    links = _confirmed(first, _sets(docs, _ids_of(first), id_col, text_col), percent)
     labels = components(links)
 
     # What is left: pairs of a key's group in different components. Groups that hold such pairs may be large, as
     # of texts around one passage; they are split by the members' rarest shingles, of which every link has one.
     placed = multi.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = stored(placed.join(mixed, "key").select("rep", "label").distinct().join(signed, "rep"), "near-rest")
-    tokens = stored(rest.join(_rarest(docs, rest.select("rep"), id_col, text_col, percent), rest.rep == F.col("id")).drop("id"), "near-rarest")
-    two = tokens.toDF(*[f"{c}_2" for c in tokens.columns])
-    condition = (F.col("token") == F.col("token_2")) & (F.col("rep") < F.col("rep_2")) & (F.col("label") != F.col("label_2")) & _near(_Named(""), _Named("_2"), percent)
-    second = tokens.join(two, condition).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
-    more = _confirmed(stored(second, "near-second"), docs, id_col, text_col, percent)
-    labels = components(links.unionAll(more))
+    reps = stored(placed.join(mixed, "key").select(F.col("rep").alias("need")).distinct(), "near-rest")
+    sets = _sets(docs, reps, id_col, text_col)
+    tokens = stored(_rarest(sets, percent), "near-rarest")
+    # The hub of a token is the set with the fewest shingles before it, the least altered one of its group.
+    hubs = tokens.groupBy("token").agg(F.min(F.struct("at", "rep", "n")).alias("h"), F.max("rep").alias("most"), F.min("rep").alias("least")).filter("least < most")
+    hubs = stored(hubs.select("token", F.col("h.at").alias("at_2"), F.col("h.rep").alias("rep_2"), F.col("h.n").alias("n_2")), "near-token-hubs")
+    for search in (_to_hubs, _what_is_left):
+        pairs = _filtered(search(_labelled(tokens, labels, hubs), percent), signed, percent)
+        links = links.unionAll(_confirmed(pairs, sets, percent))
+        labels = components(links)
 
     of_class = classes.join(labels, classes.rep == labels.node, "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("label", "rep").alias("component"))
     whole = rows.join(of_class, (rows.d1 == of_class.e1) & (rows.d2 == of_class.e2), "left")
