@@ -74,10 +74,11 @@ def mask_box(pixels: DataFrame, thresholds: DataFrame, key: str = "frame_id") ->
 def moments(pixels: DataFrame, key: str = "frame_id") -> DataFrame:
     """Per frame the weighted centroid, the deviations along the principal axes, eccentricity, orientation and
     skewness along the major axis (its direction has positive x, or y where x is 0) and the weight outside of
-    the ellipse of three deviations, at least one pixel wide."""
+    the ellipse of three deviations, at least one pixel wide. A blank frame has no centroid, and zeros."""
     w = F.col("level").cast("double")
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     s = pixels.groupBy(key).agg(F.sum(w).alias("m"), F.sum(w * x).alias("mx"), F.sum(w * y).alias("my"), F.sum(w * x * x).alias("mxx"), F.sum(w * y * y).alias("myy"), F.sum(w * x * y).alias("mxy"))
+    blank = s.filter("m = 0").select(key)
     s = s.filter("m > 0").withColumns({"centroid_x": F.col("mx") / F.col("m"), "centroid_y": F.col("my") / F.col("m")})
     cx, cy = F.col("centroid_x"), F.col("centroid_y")
     s = s.withColumns({"a": F.col("mxx") / F.col("m") - cx * cx, "b": F.col("mxy") / F.col("m") - cx * cy, "c": F.col("myy") / F.col("m") - cy * cy})
@@ -101,7 +102,9 @@ def moments(pixels: DataFrame, key: str = "frame_id") -> DataFrame:
     )
     cube = F.col("major_sigma") * F.col("major_sigma") * F.col("major_sigma")
     skew = F.when(F.col("major_sigma") > 1e-9, F.col("m3") / F.greatest(cube, F.lit(1e-300))).otherwise(0.0)
-    return third.withColumn("tail_skewness", skew).withColumn("abs_tail_skewness", F.abs("tail_skewness")).drop("m3")
+    lit = third.withColumn("tail_skewness", skew).withColumn("abs_tail_skewness", F.abs("tail_skewness")).drop("m3")
+    nothing = {c: F.lit(None if c.startswith("centroid") else 0.0).cast("double") for c in lit.columns if c != key}
+    return lit.unionByName(blank.withColumns(nothing))
 
 
 def frame_features(image: np.ndarray) -> dict[str, float]:

@@ -1,6 +1,7 @@
 """Models: scaling, thermal score, k-means and diagonal Gaussian mixtures fitted by aggregates, ordering, distillation.
 
-Fits are driver loops of one small aggregate each over a stored training table; parameters return as literals.
+Fits are driver loops over a persisted training table. Each pass over it serves all starts, folds and seeds that
+haven't converged yet: tasks add up what each of them needs, and only these sums reach the driver.
 """
 
 from __future__ import annotations
@@ -10,13 +11,17 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import first_argmax, softmax
+from .stats import quantiles
 
 COMPONENTS = 3
 REG = 1e-5
+#: Rows that starts of k-means are drawn from.
+SAMPLE = 4096
 # Where the anchored start takes its components, and their weights.
 ANCHORS, ANCHOR_WEIGHTS, ANCHOR_SHARE, ANCHOR_LEAST = (0.10, 0.50, 0.90), (0.25, 0.50, 0.25), 0.05, 32
 
@@ -36,7 +41,7 @@ class Scaler:
 
 def fit_scaler(train: DataFrame, features: list[str]) -> Scaler:
     """Missing values are NULL; an all-missing column has median 0, a constant one deviation 1."""
-    m = train.agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(c) for c in features]).first()
+    m = {c: v or 0.0 for c, v in zip(features, quantiles(train, [(c, 0.5) for c in features]), strict=True)}
     filled = {c: F.coalesce(F.col(c), F.lit(m[c])) for c in features}
     s = train.agg(*[f(x).alias(f"{c}_{k}") for c, x in filled.items() for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     std = {c: (s[f"{c}_s"] if s[f"{c}_s"] is not None and s[f"{c}_s"] >= 1e-9 else 1.0) for c in features}
@@ -57,20 +62,112 @@ def _distance2(z: list[str], centre) -> Column:
     return total
 
 
-def kmeans(train: DataFrame, z: list[str], seeds: int = 20, seed: int = 42, iterations: int = 500, k: int = COMPONENTS) -> np.ndarray:
-    """Centres of the best of several starts of Spark's k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+@dataclass
+class Job:
+    """One fit among several over the same table: the fold that it leaves out, and its own scale."""
+
+    left_out: int | None = None
+    shift: np.ndarray | float = 0.0
+    scale: np.ndarray | float = 1.0
+    seed: int = 0
+
+    def rows(self, x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        return ((x if self.left_out is None else x[fold != self.left_out]) - self.shift) / self.scale
+
+
+def _sums(points: DataFrame, z: list[str], jobs: list[Job], work) -> np.ndarray:
+    """A row a job: the sum over its rows of what work(number of the job, rows) gives, in one pass for all."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                *cols, fold = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                x = np.column_stack(cols)
+                own = np.array([work(k, job.rows(x, fold)) for k, job in enumerate(jobs)])
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+
+    parts = points.select(*z, "__fold").mapInArrow(run, "s array<double>")
+    added = parts.select(F.posexplode("s").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).toArrow().sort_by("at")
+    return added["v"].to_numpy().reshape(len(jobs), -1) if added.num_rows else np.zeros((len(jobs), 0))
+
+
+def _points(train: DataFrame, z: list[str], fold: str | None = None) -> DataFrame:
+    of = F.col(fold).cast("int") if fold else F.lit(-1)
+    return train.select(*[F.col(c).cast("double") for c in z], of.alias("__fold")).persist()
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centres[None]) ** 2).sum(2)
+
+
+def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Each next centre by chance in proportion to its squared distance from the nearest so far."""
+    rng = np.random.default_rng(seed)
+    centres = sample[[rng.integers(len(sample))]]
+    while len(centres) < k:
+        d = _squares(sample, centres).min(1)
+        at = rng.choice(len(sample), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(sample))
+        centres = np.vstack([centres, sample[at]])
+    return centres
+
+
+def _moments(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.concatenate([weights.sum(0), (weights.T @ x).ravel(), (weights.T @ (x * x)).ravel()])
+
+
+def _taken(sums: np.ndarray, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.maximum(sums[:k], 1e-10)
+    return n, sums[k : k + k * d].reshape(k, d) / n[:, None], sums[k + k * d : k + 2 * k * d].reshape(k, d) / n[:, None]
+
+
+def kmeans_fits(points: DataFrame, z: list[str], jobs: list[Job], iterations: int = 500, tol: float = 1e-4, k: int = COMPONENTS, width: int | None = None) -> list[tuple[np.ndarray, float, Mixture]]:
+    """For each job centres, cost, and the mixture that its clusters are. points: z and __fold.
+
+    Starts are drawn from SAMPLE rows, the first by a hash of their values. A job ends when its centres move by
+    less than tol in all.
+    """
+    head = points.orderBy(F.xxhash64(*z)).limit(SAMPLE).toArrow()  # SAMPLE rows at most
+    x, fold = np.column_stack([head[c].to_numpy() for c in z]), head["__fold"].to_numpy()
+    d = width or len(z)  # of the rows that a job takes
+    centres = [_first_centres(own, k, job.seed) if len(own := job.rows(x, fold)) else np.zeros((k, d)) for job in jobs]
+    done: dict[int, tuple] = {}
+    for _ in range(iterations):
+        live = [j for j in range(len(jobs)) if j not in done]
+        now = [centres[j] for j in live]
+
+        def work(i, rows, now=now):
+            far = _squares(rows, now[i])
+            return np.append(_moments(np.eye(k)[far.argmin(1)], rows), far.min(1).sum())
+
+        sums = _sums(points, z, [jobs[j] for j in live], work)
+        if not sums.size:
+            return [(c, 0.0, Mixture(np.full(k, 1 / k), c, np.ones_like(c))) for c in centres]
+        for j, own in zip(live, sums, strict=True):
+            n, mean, square = _taken(own, k, d)
+            mean = np.where(own[:k, None] > 0, mean, centres[j])  # an empty cluster stays where it is
+            moved, centres[j] = ((mean - centres[j]) ** 2).sum(), mean
+            if moved <= tol:
+                done[j] = (mean, own[-1], Mixture(n / own[:k].sum(), mean, np.where(own[:k, None] > 0, np.maximum(square - mean * mean, 0), 1.0) + REG))
+        if len(done) == len(jobs):
+            break
+    return [done.get(j, (centres[j], math.inf, Mixture(np.full(k, 1 / k), centres[j], np.ones_like(centres[j])))) for j in range(len(jobs))]
 
-    v = VectorAssembler(inputCols=z, outputCol="v").transform(train.select(*z)).select("v")
-    best = min((KMeans(k=k, seed=seed + s, maxIter=iterations, featuresCol="v").fit(v) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
-    return np.array(best.clusterCenters())
+
+def kmeans(train: DataFrame, z: list[str], seeds: int = 20, seed: int = 42, iterations: int = 500, k: int = COMPONENTS) -> np.ndarray:
+    """Centres of the best of several starts."""
+    points = _points(train, z)
+    fits = kmeans_fits(points, z, [Job(seed=seed + s) for s in range(seeds)], iterations, k=k)
+    points.unpersist()
+    return min(fits, key=lambda f: f[1])[0]
 
 
 def kmeans_posterior(train: DataFrame, z: list[str], centres: np.ndarray) -> list[Column]:
     """Softmax of squared distances over twice the training median of the least."""
     d = [_distance2(z, c) for c in centres]
-    t = train.agg(F.percentile(F.least(*d), 0.5)).first()[0] or 0.0
+    t = quantiles(train.select(F.least(*d).alias("__d")), [("__d", 0.5)])[0] or 0.0
     return softmax([-x / (2 * max(t, 1e-3)) for x in d])
 
 
@@ -93,43 +190,172 @@ class Mixture:
         return softmax(self.log_densities(z))
 
 
-def fit_mixture(train: DataFrame, z: list[str], start: Mixture, iterations: int = 500, tol: float = 1e-3) -> tuple[Mixture, float]:
-    """Expectation maximisation with a floor on variances; one aggregate an iteration. Returns the mean log-likelihood.
+def log_densities(m: Mixture, x: np.ndarray) -> np.ndarray:
+    """The same for rows of numbers."""
+    start = np.log(np.maximum(m.weights, 1e-300)) - 0.5 * np.log(2 * np.pi * m.variances).sum(1)
+    return start - (((x[:, None, :] - m.means[None]) ** 2) / (2 * m.variances[None])).sum(2)
 
-    Ends when that changes by less than tol; a warning tells if it didn't within the iterations.
+
+def mixture_fits(points: DataFrame, z: list[str], jobs: list[Job], starts: list[Mixture], iterations: int = 500, tol: float = 1e-3) -> list[tuple[Mixture, float]]:
+    """Expectation maximisation of each job from its start, with a floor on variances, and its mean log-likelihood.
+
+    A job ends when that changes by less than tol; a warning tells if one didn't within the iterations.
     """
-    m, last = start, -math.inf
+    now, last, done = list(starts), [-math.inf] * len(jobs), set()
+    k, d = starts[0].means.shape
     for _ in range(iterations):
-        logs = m.log_densities(z)
-        top = F.greatest(*logs)
-        norm = top + F.ln(sum((F.exp(x - top) for x in logs[1:]), F.exp(logs[0] - top)))
-        r = train.select(*z, norm.alias("__l"), *[F.exp(x - norm).alias(f"__r{k}") for k, x in enumerate(logs)])
-        sums = [F.sum(f"__r{k}").alias(f"n{k}") for k in range(len(logs))]
-        sums += [F.sum(F.col(f"__r{k}") * F.col(c)).alias(f"x{k}_{i}") for k in range(len(logs)) for i, c in enumerate(z)]
-        sums += [F.sum(F.col(f"__r{k}") * F.col(c) * F.col(c)).alias(f"q{k}_{i}") for k in range(len(logs)) for i, c in enumerate(z)]
-        row = r.agg(F.avg("__l").alias("ll"), F.count("*").alias("n"), *sums).first()
-        if not row["n"]:
-            return m, -math.inf
-        n = np.maximum([row[f"n{k}"] for k in range(len(logs))], 1e-10)
-        x = np.array([[row[f"x{k}_{i}"] for i in range(len(z))] for k in range(len(logs))]) / n[:, None]
-        q = np.array([[row[f"q{k}_{i}"] for i in range(len(z))] for k in range(len(logs))]) / n[:, None]
-        m = Mixture(n / row["n"], x, np.maximum(q - x * x, 0) + REG)
-        if abs(row["ll"] - last) < tol:
-            return m, row["ll"]
-        last = row["ll"]
-    warnings.warn(f"mixture not converged to {tol} in {iterations} iterations", stacklevel=2)
-    return m, last
+        live = [j for j in range(len(jobs)) if j not in done]
+        held = [now[j] for j in live]
+
+        def work(i, rows, held=held):
+            logs = log_densities(held[i], rows)
+            top = logs.max(1, keepdims=True, initial=-math.inf)
+            norm = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
+            return np.concatenate([_moments(np.exp(logs - norm), rows), [norm.sum(), len(rows)]])
+
+        sums = _sums(points, z, [jobs[j] for j in live], work)
+        if not sums.size:
+            return [(m, -math.inf) for m in starts]
+        for j, own in zip(live, sums, strict=True):
+            n, mean, square = _taken(own, k, d)
+            likelihood, rows = own[-2] / max(own[-1], 1), own[-1]
+            now[j] = Mixture(n / max(rows, 1), mean, np.maximum(square - mean * mean, 0) + REG)
+            if abs(likelihood - last[j]) < tol or not rows:
+                done.add(j)
+            last[j] = likelihood
+        if len(done) == len(jobs):
+            break
+    else:
+        warnings.warn(f"{len(jobs) - len(done)} mixtures not converged to {tol} in {iterations} iterations", stacklevel=2)
+    return list(zip(now, last, strict=True))
+
+
+def fit_mixture(train: DataFrame, z: list[str], start: Mixture, iterations: int = 500, tol: float = 1e-3) -> tuple[Mixture, float]:
+    """One mixture from a start, as mixture_fits does."""
+    points = _points(train, z)
+    out = mixture_fits(points, z, [Job()], [start], iterations, tol)[0]
+    points.unpersist()
+    return out
 
 
 def gmm(train: DataFrame, z: list[str], starts: int = 5, seed: int = 42, iterations: int = 500) -> Mixture:
-    """The most likely of several mixtures, each begun at the centres of k-means."""
-    fits = []
-    for s in range(starts):
-        centres = kmeans(train, z, 1, seed + s, 300)
-        fits.append(fit_mixture(train, z, Mixture(np.full(COMPONENTS, 1 / COMPONENTS), centres, np.ones_like(centres)), iterations))
+    """The most likely of several mixtures, each begun at the clusters of k-means."""
+    points = _points(train, z)
+    jobs = [Job(seed=seed + s) for s in range(starts)]
+    begun = [m for _, _, m in kmeans_fits(points, z, jobs, 300)]
+    fits = mixture_fits(points, z, jobs, begun, iterations)
+    points.unpersist()
     return max(fits, key=lambda f: f[1])[0]
 
 
+# The models and seeds of the out-of-fold runs, and their folds.
+RUN_MODELS, RUN_SEEDS, RUN_FOLDS = ("gmm", "kmeans"), (42, 123, 2026), 5
+
+
+def fold_scalers(frames: DataFrame, features: list[str], fold: str, folds: int = RUN_FOLDS) -> list[Scaler]:
+    """For each fold the scaler of all other rows; medians, means and deviations of all folds in a few passes."""
+    cells = [(k, c) for k in range(folds) for c in features]
+    wide = frames.select(*[F.when(F.col(fold) != k, F.col(c)).alias(f"{c}__{k}") for k, c in cells])
+    median = dict(zip(cells, (v or 0.0 for v in quantiles(wide, [(f"{c}__{k}", 0.5) for k, c in cells])), strict=True))
+    filled = {(k, c): F.when(F.col(fold) != k, F.coalesce(F.col(c), F.lit(median[k, c]))) for k, c in cells}
+    row = frames.agg(*[f(filled[k, c]).alias(f"{n}__{c}__{k}") for k, c in cells for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
+    out = []
+    for k in range(folds):
+        std = {c: row[f"std__{c}__{k}"] for c in features}
+        out.append(Scaler(features, {c: median[k, c] for c in features}, {c: row[f"mean__{c}__{k}"] or 0.0 for c in features}, {c: v if v is not None and v >= 1e-9 else 1.0 for c, v in std.items()}))
+    return out
+
+
+def _fold_scaler_rows(frames: DataFrame, features: list[str], fold: str, scalers: list[Scaler]) -> DataFrame:
+    """frames with z_ columns by the scaler of their own fold, which was fitted on the others."""
+    by_fold = lambda f: F.element_at(F.array(*[F.lit(float(f(s))) for s in scalers]), F.col(fold).cast("int") + 1)
+    z = {f"z_{c}": (F.coalesce(F.col(c), by_fold(lambda s, c=c: s.median[c])) - by_fold(lambda s, c=c: s.mean[c])) / by_fold(lambda s, c=c: s.std[c]) for c in features}
+    return frames.withColumns(z)
+
+
+def out_of_fold(
+    frames: DataFrame, features: list[str], fold: str, keep: list[str], models: tuple[str, ...] = RUN_MODELS, seeds: tuple[int, ...] = RUN_SEEDS, folds: int = RUN_FOLDS, starts: dict[str, int] | None = None
+) -> DataFrame:
+    """model, seed, keep, p_low, p_nominal, p_high, label: each row judged by models that were fitted without its fold.
+
+    Fold k is left out by the fits that judge its rows: features are imputed and scaled by the other folds, fits of
+    all folds, models, seeds and starts share their passes, and components are ordered by the mean of the sum of
+    scaled features. Ties of a posterior go to the lower state. Rows of a null fold are judged by none.
+    """
+    starts = {"kmeans": 20, "gmm": 5} if starts is None else starts
+    rows = frames.filter(F.col(fold).isNotNull()).withColumn("__fold", F.col(fold).cast("int"))
+    scalers = fold_scalers(rows, features, fold, folds)
+    # Missing values have another median in each fit: one column a fold, where that fold's fits look.
+    filled = rows.select("__fold", *[F.coalesce(F.col(c), F.lit(scalers[k].median[c])).cast("double").alias(f"{c}__{k}") for k in range(folds) for c in features]).persist()
+    d = len(features)
+    vector = lambda s, part: np.array([getattr(s, part)[c] for c in features])
+
+    @dataclass
+    class FoldJob(Job):
+        def rows(self, x, fold):
+            own = x[fold != self.left_out, self.left_out * d : (self.left_out + 1) * d]
+            return (own - self.shift) / self.scale
+
+    columns = [c for c in filled.columns if c != "__fold"]
+    runs = [(model, seed, k) for model in models for seed in seeds for k in range(folds)]
+    begun = [(run, FoldJob(run[2], vector(scalers[run[2]], "mean"), vector(scalers[run[2]], "std"), run[1] + s)) for run in runs for s in range(starts[run[0]])]
+    centres = kmeans_fits(filled, columns, [job for _, job in begun], width=d)
+    best: dict[tuple, tuple] = {}
+    soft = [i for i, (run, _) in enumerate(begun) if run[0] != "kmeans"]
+    mixtures = dict(zip(soft, mixture_fits(filled, columns, [begun[i][1] for i in soft], [centres[i][2] for i in soft]), strict=True)) if soft else {}
+    for i, (run, job) in enumerate(begun):
+        cost = -mixtures[i][1] if i in mixtures else centres[i][1]
+        if run not in best or cost < best[run][0]:
+            best[run] = (cost, mixtures[i][0] if i in mixtures else centres[i][0], job)
+
+    def least(run):  # squared distance of a training row of a k-means run to its nearest centre
+        _, found, job = best[run]
+        z = [(F.col(f"{c}__{run[2]}") - float(m)) / float(sd) for c, m, sd in zip(features, job.shift, job.scale, strict=True)]
+        return F.when(F.col("__fold") != run[2], F.least(*[sum(((x - float(v)) ** 2 for x, v in zip(z, centre, strict=True)), F.lit(0.0)) for centre in found]))
+
+    hard = [run for run in runs if run[0] == "kmeans"]
+    spread = dict(zip(hard, quantiles(filled.select(*[least(run).alias(f"d{i}") for i, run in enumerate(hard)]), [(f"d{i}", 0.5) for i in range(len(hard))]), strict=True)) if hard else {}
+
+    def posterior(run, z):
+        _, found, _ = best[run]
+        logs = -_squares(z, found) / (2 * max(spread[run] or 0.0, 1e-3)) if run[0] == "kmeans" else log_densities(found, z)
+        e = np.exp(logs - logs.max(1, keepdims=True, initial=-math.inf))
+        return e / e.sum(1, keepdims=True)
+
+    def heat(i, z):  # sum of scaled features and rows by label
+        label = np.eye(COMPONENTS)[posterior(runs[i], z).argmax(1)]
+        return np.concatenate([label.T @ z.sum(1), label.sum(0)])
+
+    sums = _sums(filled, columns, [best[run][2] for run in runs], heat)
+    filled.unpersist()
+    order = {}
+    for run, own in zip(runs, sums if sums.size else np.zeros((len(runs), 2 * COMPONENTS)), strict=True):
+        n = own[COMPONENTS:]
+        order[run] = sorted(range(COMPONENTS), key=lambda c: (n[c] == 0, own[c] / max(n[c], 1), c))  # noqa: B023
+
+    judged = _fold_scaler_rows(rows, features, fold, scalers).select(*keep, "__fold", *[f"z_{c}" for c in features])
+    kinds = ", ".join(f"`{c}` {judged.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run_all(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index
+            fold_of = batch.column(at("__fold")).to_numpy(zero_copy_only=False)
+            z = np.column_stack([batch.column(at(f"z_{c}")).to_numpy(zero_copy_only=False) for c in features])
+            for model in models:
+                for seed in seeds:
+                    p = np.zeros((len(z), COMPONENTS))
+                    for k in range(folds):
+                        mine = fold_of == k
+                        p[mine] = posterior((model, seed, k), z[mine])[:, order[model, seed, k]] if mine.any() else 0
+                    n = batch.num_rows
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([model] * n), pa.array([seed] * n, pa.int32()), *[batch.column(at(c)) for c in keep], *[pa.array(p[:, j]) for j in range(COMPONENTS)], pa.array(p.argmax(1).astype(np.int64))],
+                        ["model", "seed", *keep, "p_low", "p_nominal", "p_high", "label"],
+                    )
+
+    return judged.mapInArrow(run_all, f"model string, seed int, {kinds}, p_low double, p_nominal double, p_high double, label long")
+
+
 def anchored_start(train: DataFrame, z: list[str], score: str) -> Mixture:
     """Components begun at the mean of the rows around the low, middle and high ranks of a score.
 
@@ -138,12 +364,11 @@ def anchored_start(train: DataFrame, z: list[str], score: str) -> Mixture:
     n = train.count()
     width = min(max(ANCHOR_LEAST, round(ANCHOR_SHARE * n)), max(n, 1)) / max(n, 1)
     cuts = [(max(0.0, min(a - width / 2, 1 - width)), min(1.0, max(a + width / 2, width))) for a in ANCHORS]
-    q = train.agg(*[F.percentile(score, [lo, hi]).alias(f"q{k}") for k, (lo, hi) in enumerate(cuts)]).first()
-    means = []
-    for k in range(COMPONENTS):
-        near = train.filter(F.col(score).between(*q[f"q{k}"]))
-        means.append(list(near.agg(*[F.avg(c) for c in z]).first()))
-    return Mixture(np.array(ANCHOR_WEIGHTS), np.array(means, float), np.ones((COMPONENTS, len(z))))
+    q = quantiles(train, [(score, x) for cut in cuts for x in cut])
+    near = [F.col(score).between(q[2 * k], q[2 * k + 1]) for k in range(COMPONENTS)]
+    row = train.agg(*[F.avg(F.when(near[k], F.col(c))) for k in range(COMPONENTS) for c in z]).first()
+    means = np.array([0.0 if x is None else x for x in row], float).reshape(COMPONENTS, len(z))
+    return Mixture(np.array(ANCHOR_WEIGHTS), means, np.ones((COMPONENTS, len(z))))
 
 
 def component_order(train: DataFrame, label: str, score: str, k: int = COMPONENTS) -> list[int]:

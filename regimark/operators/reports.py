@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import cumulative
+
 
 def greedy_picks(records: DataFrame, steps: list[tuple[str, str]], key: str) -> DataFrame:
     """(kind, key): for each step the record of the largest value among those not picked yet, the least key of equals.
@@ -23,11 +25,11 @@ def greedy_picks(records: DataFrame, steps: list[tuple[str, str]], key: str) ->
 
 
 def upper_median(records: DataFrame, value: str, key: str) -> DataFrame:
-    """The record at place n // 2 of the order by value, ties by key. records has a row a part."""
-    w = Window.orderBy(value, key)
-    n = F.count("*").over(Window.partitionBy())
-    placed = records.withColumns({"__place": F.row_number().over(w), "__n": n})
-    return placed.filter(F.col("__place") == F.floor(F.col("__n") / 2) + 1).drop("__place", "__n")
+    """The record at place n // 2 of the order by value, ties by key; keys are distinct. Places come from sums over
+    ranges of the order, so no task holds all records."""
+    placed = cumulative(records.withColumns({"__order": F.struct(value, key), "__one": F.lit(1)}), "__order", "__one", "__place")
+    n = records.agg(F.count("*").alias("__n"))
+    return placed.crossJoin(F.broadcast(n)).filter(F.col("__place") == F.floor(F.col("__n") / 2) + 1).drop("__order", "__one", "__place", "__n")
 
 
 def snapshot_frames(frames: DataFrame, p: list[str]) -> DataFrame:

@@ -19,6 +19,57 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((F.count(F.when(both, 1)) >= 3) & (sa >= TINY) & (sb >= TINY), F.try_divide(F.covar_pop(a, b), sa * sb))
 
 
+def quantiles(rows: DataFrame, wanted: list[tuple[str, float]], keep: int = 5_000, bins: int = 64) -> list[float | None]:
+    """Exact quantiles of whole columns, interpolated between neighbours; NULL for a column without numbers.
+
+    The range that holds a rank is narrowed by counts in bins, for all columns in one pass each time, until it
+    holds keep values at most or one alone; only these reach the driver. No task keeps the values of a column.
+    """
+    names = list(dict.fromkeys(c for c, _ in wanted))
+    head = rows.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    ranges: dict[tuple[str, int], list] = {}  # column and rank: least and largest value in reach, how many lie below and inside
+    places = []
+    for c, q in wanted:
+        i = names.index(c)
+        at = (head[f"n{i}"] - 1) * q
+        places.append((c, int(at), at - int(at)) if head[f"n{i}"] else None)
+        for rank in {int(at), min(int(at) + 1, head[f"n{i}"] - 1)} if head[f"n{i}"] else ():
+            ranges[c, rank] = [head[f"lo{i}"], head[f"hi{i}"], 0, head[f"n{i}"]]
+
+    def entries(keys, also):  # (number of the range, what also gives, value) of the values inside ranges
+        inside = [(F.col(k[0]).cast("double"), ranges[k][0], ranges[k][1], i) for i, k in enumerate(keys)]
+        found = F.array(*[F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), also(x, lo, hi).alias("b"), x.alias("v"))) for x, lo, hi, i in inside])
+        return rows.select(F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+    while wide := [k for k, (lo, hi, _, n) in ranges.items() if lo < hi and n > keep]:
+        cells = entries(wide, lambda x, lo, hi: F.least(F.lit(bins - 1), F.floor((x - lo) / (hi - lo) * bins)).cast("int")).groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        by_range: dict[int, list] = {}
+        for r in sorted(cells.collect()):  # bins rows a range at most
+            by_range.setdefault(r["i"], []).append(r)
+        for i, k in enumerate(wide):
+            below = ranges[k][2]
+            for r in by_range[i]:
+                if k[1] < below + r["n"]:
+                    ranges[k] = [r["lo"], r["hi"], below, r["n"]]
+                    break
+                below += r["n"]
+    value = {k: lo for k, (lo, hi, _, _) in ranges.items() if lo == hi}
+    if few := [k for k in ranges if k not in value]:
+        held: dict[int, list] = {}
+        for r in entries(few, lambda x, lo, hi: F.lit(0)).collect():  # keep rows a range at most
+            held.setdefault(r["i"], []).append(r["v"])
+        value |= {k: sorted(held[i])[k[1] - ranges[k][2]] for i, k in enumerate(few)}
+    out = []
+    for place in places:
+        if place is None:
+            out.append(None)
+        else:
+            c, rank, part = place
+            low = value[c, rank]
+            out.append(low + (value[c, rank + 1] - low) * part if part else low)
+    return out
+
+
 def cumulative(rows: DataFrame, order: str, value: str, alias: str) -> DataFrame:
     """rows with the sum of value over all rows up to theirs by order, which must be unique.
 
@@ -46,10 +97,19 @@ def average_rank_within(value: str, keys: list[str]) -> Column:
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (n, spearman) over the finite pairs of the whole table."""
-    pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = average_rank(average_rank(pairs, "x", "rx"), "y", "ry")
-    return ranked.agg(F.count("*").alias("n"), pearson(F.col("rx"), F.col("ry")).alias("spearman"))
+    """One row (n, spearman) over the finite pairs of the whole table.
+
+    Equal pairs are counted first, so that a frequent value joins its rank once for each value beside it.
+    """
+    pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    pairs = stored(pairs, "pairs")
+    for c in ("x", "y"):
+        upto = cumulative(pairs.groupBy(c).agg(F.sum("n").alias("__n")), c, "__n", "__upto")
+        pairs = pairs.join(upto.select(F.col(c), (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(f"r{c}")), c)
+    total = pairs.agg(F.sum("n").alias("__total"))
+    centred = pairs.crossJoin(F.broadcast(total)).withColumns({f"d{c}": F.col(f"r{c}") - (F.col("__total") + 1) / 2.0 for c in ("x", "y")})
+    s = centred.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.sum(F.col("n") * F.col(f"d{a}") * F.col(f"d{b}")).alias(a + b) for a, b in ("xx", "yy", "xy")])
+    return s.select("n", F.when((F.col("n") >= 3) & (F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman"))
 
 
 def spearman_within(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ TRANSITION = [[0.985, 0.014, 0.001], [0.007, 0.986, 0.007], [0.001, 0.014, 0.985
 INITIAL = [0.20, 0.60, 0.20]
 FLOOR = 1e-12
 SHORT_RUN = 2
+#: Rows that are decoded together.
+BLOCK = 20_000
 
 
 def viterbi(p: np.ndarray) -> np.ndarray:
@@ -33,25 +36,62 @@ def viterbi(p: np.ndarray) -> np.ndarray:
     return out
 
 
+def viterbi_many(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """viterbi of each part of p from one of starts to the next, all parts a step at a time."""
+    lengths = np.diff(np.append(starts, len(p)))
+    longest = np.argsort(-lengths, kind="stable")  # those still going on are the first of these
+    begins, lengths = starts[longest], lengths[longest]
+    going = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right") if len(lengths) else []  # parts of t rows or more
+    step, emit = np.log(np.array(TRANSITION)), np.log(np.maximum(p, FLOOR))
+    back, out = np.zeros(p.shape, np.int8), np.zeros(len(p), np.int64)
+    best = np.log(np.array(INITIAL)) + emit[begins]
+    for t, n in enumerate(going[1:], 1):
+        paths = best[:n, :, None] + step
+        back[begins[:n] + t] = paths.argmax(axis=1)
+        best[:n] = paths.max(axis=1) + emit[begins[:n] + t]
+    out[begins + lengths - 1] = best.argmax(axis=1)
+    for t in range(len(going) - 1, 0, -1):
+        rows = begins[: going[t]] + t
+        out[rows - 1] = back[rows, out[rows]]
+    return out
+
+
 def decode(frames: DataFrame, p: tuple[str, str, str] = ("p_low", "p_nominal", "p_high")) -> DataFrame:
     """(video_id, frame_index, segment, temporal_label): each segment of a video decoded as a whole.
 
-    Videos are of bounded length, so a group fits a task; segments are cut within it.
+    Rows come sorted by video and frame; whole videos are taken together until there are BLOCK rows, and all of
+    their segments are decoded at once. Videos are of bounded length, so a block fits a task.
     """
 
-    def run(pdf):
-        pdf = pdf.sort_values("frame_index").reset_index(drop=True)
-        label = np.empty(len(pdf), np.int64)
-        cuts = np.flatnonzero(np.diff(pdf["frame_index"].to_numpy()) > 1) + 1
-        for rows in np.split(np.arange(len(pdf)), cuts):
-            label[rows] = viterbi(pdf.loc[rows, list(p)].to_numpy(float))
-        segment = np.zeros(len(pdf), np.int64)
-        segment[cuts] = 1
-        pdf["segment"], pdf["temporal_label"] = segment.cumsum(), label
-        return pdf[["video_id", "frame_index", "segment", "temporal_label"]]
+    def labelled(pdf):
+        video, frame = pdf["video_id"], pdf["frame_index"].to_numpy()
+        other = (video.ne(video.shift()) & ~(video.isna() & video.shift().isna())).to_numpy(copy=True)
+        other[:1] = True
+        cut = other | np.concatenate([[True], np.diff(frame) > 1])
+        number = cut.cumsum()
+        firsts = np.maximum.accumulate(np.where(other, number, 0))
+        label = viterbi_many(pdf[list(p)].to_numpy(float), np.flatnonzero(cut))
+        return pdf[["video_id", "frame_index"]].assign(segment=number - firsts, temporal_label=label)
+
+    def run(batches):
+        held, n = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= BLOCK:
+                pdf = pd.concat(held, ignore_index=True)
+                video = pdf["video_id"]
+                same = ((video == video.iloc[-1]) | (video.isna() & pd.isna(video.iloc[-1]))).to_numpy()
+                end = 0 if same.all() else len(pdf) - int(same[::-1].argmin())
+                if end:
+                    yield labelled(pdf.iloc[:end].reset_index(drop=True))
+                held, n = [pdf.iloc[end:]], len(pdf) - end
+        if n:
+            yield labelled(pd.concat(held, ignore_index=True))
 
     kinds = {c: frames.schema[c].dataType.simpleString() for c in ("video_id", "frame_index")}
-    return frames.select("video_id", "frame_index", *p).groupBy("video_id").applyInPandas(run, f"video_id {kinds['video_id']}, frame_index {kinds['frame_index']}, segment long, temporal_label long")
+    dealt = frames.select("video_id", "frame_index", *p).repartition("video_id").sortWithinPartitions("video_id", "frame_index")
+    return dealt.mapInPandas(run, f"video_id {kinds['video_id']}, frame_index {kinds['frame_index']}, segment long, temporal_label long")
 
 
 def sequence_metrics(frames: DataFrame, label: str) -> DataFrame:

@@ -91,7 +91,8 @@ def union_all(spark, sf):
 @query("u3_power_of_chosen", with_frames("SELECT count(*) AS n, round(quantile_cont(power, 0.02), 6) AS low, round(quantile_cont(power, 0.98), 6) AS high FROM frames WHERE video_id IN (3, 5, 7)"))
 def power_of_chosen(spark, sf):
     f = frames(spark, sf).filter(F.col("video_id").isin(3, 5, 7))
-    return f.agg(F.count("*").alias("n"), R(F.percentile("power", 0.02)).alias("low"), R(F.percentile("power", 0.98)).alias("high"))
+    q = ST.quantiles(f, [("power", 0.02), ("power", 0.98)])
+    return f.agg(F.count("*").alias("n"), *[R(F.lit(v).cast("double")).alias(n) for v, n in zip(q, ("low", "high"), strict=True)])
 
 
 @query("v4_scorecard", with_frames(PARTS + ", k AS (SELECT 100.0 * avg(CAST(coalesce(low < nominal AND nominal < high, false) AS INTEGER)) AS m, 100.0 * avg(CAST(high > low AS INTEGER)) AS g FROM v) SELECT unnest(['monotone', 'positive_gap']) AS metric, unnest([round(m, 6), round(g, 6)]) AS percent FROM k"))

@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import clusters as C
+from ..operators import evaluation as EV
 from ..operators import events as E
 from ..operators import frames as D
 from ..operators import images as I
 from ..operators import models as M
 from ..operators import stats as ST
+from ..operators import temporal as TM
 from ..operators import windows as W
+from ..sources.store import stored
 from .registry import query
-from .views import PIXELS, frames, pixels, table, with_frames
+from .views import PIXELS, frames, pixels, table, with_decoded, with_frames
 
 R = S.rounded
 
@@ -31,13 +34,15 @@ def scaler_parameters(spark, sf):
 
 @query("a6_quantiles", with_frames("SELECT round(quantile_cont(power, 0.9), 6) AS q90, round(quantile_cont(intensity, 0.5), 6) AS q50, count(*) FILTER (power >= 90) AS high FROM frames"))
 def quantiles(spark, sf):
-    return frames(spark, sf).agg(R(F.percentile("power", 0.9)).alias("q90"), R(F.percentile("intensity", 0.5)).alias("q50"), F.count_if(F.col("power") >= 90).alias("high"))
+    f = frames(spark, sf)
+    q = ST.quantiles(f, [("power", 0.9), ("intensity", 0.5)])
+    return f.agg(*[R(F.lit(v).cast("double")).alias(n) for v, n in zip(q, ("q90", "q50"), strict=True)], F.count_if(F.col("power") >= 90).alias("high"))
 
 
 @query("p11_top_power_recall", with_frames(", q AS (SELECT quantile_cont(power, 0.9) AS q FROM frames WHERE active = 1) SELECT count(*) AS frames, round(avg(CASE WHEN label = 2 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM frames, q WHERE active = 1 AND power >= q"))
 def top_power_recall(spark, sf):
     f = D.active(frames(spark, sf), "active")
-    q = f.agg(F.percentile("power", 0.9)).first()[0] or 0.0
+    q = ST.quantiles(f, [("power", 0.9)])[0] or 0.0
     return f.filter(F.col("power") >= q).agg(F.count("*").alias("frames"), R(F.avg((F.col("label") == 2).cast("double"))).alias("recall"))
 
 
@@ -235,7 +240,8 @@ def component_order(spark, sf):
 
 
 def _standard(spark, sf):
-    f = D.active(frames(spark, sf), "active")
+    """Active frames, stored once for all passes of a fit, with scaled features and their sum."""
+    f = stored(D.active(frames(spark, sf), "active"), "training")
     s = M.fit_scaler(f, ["intensity", "power"])
     return f.withColumns(s.columns()).withColumn("score", F.col("z_intensity") + F.col("z_power")), ["z_intensity", "z_power"]
 
@@ -266,6 +272,55 @@ def anchored_mixture_states(spark, sf):
     return f.withColumn("state", label).groupBy("state").agg(F.count("*").alias("frames"), F.avg("score").alias("mean_score"))
 
 
+FOLD = "CAST(video_id % 5 AS INTEGER)"
+
+
+def _folded(spark, sf):
+    return stored(D.active(frames(spark, sf), "active").withColumn("fold", (F.col("video_id") % 5).cast("int")), "folds")
+
+
+@query("m15_out_of_fold_states")
+def out_of_fold_states(spark, sf):
+    oof = M.out_of_fold(_folded(spark, sf), ["intensity", "power"], "fold", ["video_id", "frame_index", "fold", "power"])
+    return oof.groupBy("model", "seed", "fold", "label").agg(F.count("*").alias("frames"), F.avg("power").alias("mean_power"), F.avg("p_high").alias("mean_p_high"))
+
+
+@query("m15_out_of_fold_evaluation")
+def out_of_fold_evaluation(spark, sf):
+    """The measures of one run; other models and seeds are evaluated alike."""
+    oof = M.out_of_fold(_folded(spark, sf), ["intensity", "power"], "fold", ["video_id", "frame_index", "power"], ("gmm",), (42,))
+    oof = stored(oof, "predictions")
+    return EV.evaluate_run(oof.join(TM.decode(oof), ["video_id", "frame_index"]))
+
+
+@query("m16_fold_scalers", with_frames(f", a AS (SELECT *, {FOLD} AS fold FROM frames WHERE active = 1), k AS (SELECT unnest(range(5)) AS fold) SELECT CAST(k.fold AS INTEGER) AS fold, " + ", ".join(f"round(quantile_cont({c}, 0.5), 6) AS median_{c}, round(avg({c}), 6) AS mean_{c}, round(stddev_pop({c}), 6) AS std_{c}" for c in ("intensity", "power")) + " FROM k JOIN a ON a.fold <> k.fold GROUP BY 1"))
+def fold_scalers(spark, sf):
+    names = ["intensity", "power"]
+    rows = [(k, *[round(float(v[c]), 6) for c in names for v in (s.median, s.mean, s.std)]) for k, s in enumerate(M.fold_scalers(_folded(spark, sf), names, "fold"))]
+    return spark.createDataFrame(rows, "fold int, " + ", ".join(f"{v}_{c} double" for c in names for v in ("median", "mean", "std")))
+
+
+_CORR = lambda x, y: f"CASE WHEN count(*) >= 3 AND stddev_pop({x}) >= 1e-12 AND stddev_pop({y}) >= 1e-12 THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"
+_RUN_RANKS = ", ".join(f"{_rank(c)} AS g_{n}, {_rank(c, 'video_id')} AS v_{n}" for c, n in (("p_high", "p"), ("label", "l"), ("temporal_label", "t"), ("power", "w")))
+_SWITCHED = lambda c: f"CASE WHEN {c} <> lag({c}) OVER (PARTITION BY video_id, segment ORDER BY frame_index) THEN 1 ELSE 0 END"
+RUN_SQL = with_decoded(f""", e AS (SELECT a.*, d.segment, d.temporal_label FROM act a JOIN decoded d ON a.video_id = d.video_id AND a.frame_index = d.frame_index),
+r AS (SELECT *, {_RUN_RANKS}, {_SWITCHED('label')} AS sl, {_SWITCHED('temporal_label')} AS st FROM e), q AS (SELECT quantile_cont(power, 0.9) AS cut FROM e),
+f AS (SELECT count(*) AS active_frames, avg(CAST(label = 2 AS INTEGER)) FILTER (power >= cut) AS top_10pct_power_high_regime_recall_raw, avg(CAST(temporal_label = 2 AS INTEGER)) FILTER (power >= cut) AS top_10pct_power_high_regime_recall_temporal,
+  {_CORR('g_p', 'g_w')} AS p_high_power_spearman_frame, {_CORR('g_l', 'g_w')} AS raw_label_power_spearman_frame, {_CORR('g_t', 'g_w')} AS temporal_label_power_spearman_frame,
+  1000.0 * sum(sl) / (count(*) - count(DISTINCT (video_id, segment))) AS raw_switches_per_1000, 1000.0 * sum(st) / (count(*) - count(DISTINCT (video_id, segment))) AS temporal_switches_per_1000 FROM r, q),
+v AS (SELECT video_id, {_CORR('v_p', 'v_w')} AS cp, {_CORR('v_t', 'v_w')} AS ct, avg(power) FILTER (temporal_label = 0) AS low, avg(power) FILTER (temporal_label = 1) AS nominal, avg(power) FILTER (temporal_label = 2) AS high FROM r GROUP BY 1 HAVING count(*) >= 20),
+m AS (SELECT avg(cp) AS part_mean_p_high_power_spearman, avg(ct) AS part_mean_temporal_power_spearman, avg(high - low) AS part_mean_high_low_power_difference, count(*) FILTER (low < nominal AND nominal < high) AS monotonic_parts, count(low < nominal AND nominal < high) AS eligible_monotonic_parts FROM v)
+SELECT active_frames, monotonic_parts, eligible_monotonic_parts, {", ".join(f"round({c}, 6) AS {c}" for c in ("top_10pct_power_high_regime_recall_raw", "top_10pct_power_high_regime_recall_temporal", "p_high_power_spearman_frame", "raw_label_power_spearman_frame", "temporal_label_power_spearman_frame", "raw_switches_per_1000", "temporal_switches_per_1000", "part_mean_p_high_power_spearman", "part_mean_temporal_power_spearman", "part_mean_high_low_power_difference"))},
+  round(monotonic_parts / nullif(eligible_monotonic_parts, 0), 6) AS monotonic_part_fraction, round((raw_switches_per_1000 - temporal_switches_per_1000) / nullif(raw_switches_per_1000, 0), 6) AS switch_reduction_fraction FROM f, m""")
+
+
+@query("m24_run_evaluation", RUN_SQL)
+def run_evaluation(spark, sf):
+    f = D.active(frames(spark, sf), "active")
+    run = stored(f.join(TM.decode(f), ["video_id", "frame_index"]), "run")
+    return _rounded(EV.evaluate_run(run, intervals=False), ("active_frames", "monotonic_parts", "eligible_monotonic_parts"))
+
+
 @query("m13_cluster_quality")
 def cluster_quality(spark, sf):
     f, z = _standard(spark, sf)

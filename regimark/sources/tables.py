@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,17 @@ def read_archives(spark: SparkSession, path: str, pattern: str = "%.zip") -> Dat
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.lower("path").like(pattern)).select("path", "content")
 
 
+def _reads(archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> bool:
+    """Whether a member can be read to its end with the checksum that the archive gives."""
+    try:
+        with archive.open(member) as f:
+            while f.read(1 << 20):
+                pass
+    except (zipfile.BadZipFile, zlib.error, EOFError):
+        return False
+    return True
+
+
 def archive_members(archives: DataFrame) -> DataFrame:
     """(path, member, size, crc_ok) of every member of ZIP archives."""
 
@@ -47,8 +59,7 @@ def archive_members(archives: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    bad = z.testzip()
-                    rows += [(path, i.filename, i.file_size, i.filename != bad) for i in z.infolist() if not i.is_dir()]
+                    rows += [(path, i.filename, i.file_size, _reads(z, i)) for i in z.infolist() if not i.is_dir()]
             yield pd.DataFrame(rows, columns=["path", "member", "size", "crc_ok"])
 
     return archives.mapInPandas(run, "path string, member string, size long, crc_ok boolean").withColumn("kind", file_class(F.col("member")))

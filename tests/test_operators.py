@@ -145,6 +145,96 @@ def test_fits_have_the_starts_and_iterations_of_the_reference(spark):
         models.fit_mixture(df, ["z"], start, 1)
 
 
+def test_several_fits_of_one_pass_are_those_made_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(v), float(w), k % 3) for k, (v, w) in enumerate(zip(np.concatenate([rng.normal(c, 1, 80) for c in (-4, 0, 5)]), rng.normal(0, 1, 240), strict=True))]
+    points = spark.createDataFrame(rows, "a double, b double, __fold int").cache()
+    jobs = [models.Job(seed=1), models.Job(left_out=2, seed=5), models.Job(shift=np.array([1.0, 0.0]), scale=np.array([2.0, 3.0]), seed=9)]
+    together = models.kmeans_fits(points, ["a", "b"], jobs)
+    soft = models.mixture_fits(points, ["a", "b"], jobs, [m for _, _, m in together])
+    for job, (centres, cost, begun), (mixture, _) in zip(jobs, together, soft, strict=True):
+        alone = models.kmeans_fits(points, ["a", "b"], [job])[0]
+        assert np.allclose(centres, alone[0]) and cost == pytest.approx(alone[1])
+        x = job.rows(np.array([r[:2] for r in rows]), np.array([r[2] for r in rows]))
+        label = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)  # a fixed point of plain k-means
+        assert np.allclose(centres, [x[label == k].mean(0) for k in range(3)], atol=1e-2)
+        m, last = begun, -np.inf  # plain expectation maximisation
+        for _ in range(500):
+            logs = np.stack([np.log(w) - 0.5 * np.log(2 * np.pi * v).sum() - ((x - mu) ** 2 / (2 * v)).sum(1) for w, mu, v in zip(m.weights, m.means, m.variances, strict=True)], 1)
+            norm = np.logaddexp.reduce(logs, axis=1)
+            r = np.exp(logs - norm[:, None])
+            mu = (r.T @ x) / r.sum(0)[:, None]
+            m = models.Mixture(r.mean(0), mu, np.maximum((r.T @ (x * x)) / r.sum(0)[:, None] - mu * mu, 0) + models.REG)
+            if abs(norm.mean() - last) < 1e-3:
+                break
+            last = norm.mean()
+        assert np.allclose(m.means, mixture.means, atol=1e-6) and np.allclose(m.variances, mixture.variances, atol=1e-6)
+
+
+def test_rows_are_judged_without_their_fold(spark):
+    rng = np.random.default_rng(5)
+    made = [(k, float(c + v), float(c - v) if k % 11 else None, k % 5) for k, (c, v) in enumerate(zip(np.tile([0.0, 10.0, 20.0], 60), rng.normal(0, 0.5, 180), strict=True))]
+    ask = lambda rows: {(r["model"], r["seed"], r["id"]): (r["p_low"], r["p_nominal"], r["p_high"], r["label"]) for r in models.out_of_fold(spark.createDataFrame(rows, "id int, a double, b double, f int"), ["a", "b"], "f", ["id"], seeds=(42,), starts={"kmeans": 3, "gmm": 2}).collect()}
+    got = ask(made)
+    assert len(got) == 2 * 180 and all(v[3] == k[2] % 3 for k, v in got.items() if k[2] % 11)
+    other = ask(made + [(1000 + k, 1e4 * k, -1e4, 0) for k in range(1, 9)])  # junk in fold 0 changes nothing for fold 0
+    assert all(other[k] == pytest.approx(v) for k, v in got.items() if k[2] % 5 == 0)
+    assert any(other[k] != pytest.approx(v) for k, v in got.items() if k[2] % 5)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    x, y = np.round(rng.normal(size=3000), 2), np.where(rng.random(3000) < 0.5, 7.0, rng.normal(size=3000) * 1e6)
+    d = spark.createDataFrame([(float(a), float(b) if k % 3 else None, None) for k, (a, b) in enumerate(zip(x, y, strict=True))], "a double, b double, c double")
+    some = y[np.arange(3000) % 3 > 0]
+    for keep in (1, 40, 5000):
+        got = stats.quantiles(d, [("a", 0.5), ("b", 0.0), ("b", 0.37), ("a", 1.0), ("c", 0.5), ("b", 0.9)], keep=keep)
+        assert got[4] is None
+        assert got[:4] + got[5:] == pytest.approx([np.quantile(x, 0.5), some.min(), np.quantile(some, 0.37), x.max(), np.quantile(some, 0.9)])
+
+
+def test_decoding_in_blocks_is_decoding_by_segment(spark, monkeypatch):
+    from regimark.operators import temporal
+
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([1, 1, 1], 400)
+    starts = np.unique(np.concatenate([[0], rng.integers(0, 400, 60)]))
+    assert (temporal.viterbi_many(p, starts) == np.concatenate([temporal.viterbi(part) for part in np.split(p, starts[1:])])).all()
+    assert len(temporal.viterbi_many(np.zeros((0, 3)), np.zeros(0, int))) == 0
+    rows = [(v if v else None, int(i), *map(float, q)) for v in range(6) for i, q in zip(np.cumsum(rng.integers(1, 3, 50)), rng.dirichlet([1, 1, 1], 50), strict=True)]
+    d = spark.createDataFrame(rows, "video_id long, frame_index long, p_low double, p_nominal double, p_high double")
+    want = {}
+    for v in range(6):
+        own = [r for r in rows if r[0] == (v or None)]
+        cuts = [k for k in range(1, len(own)) if own[k][1] - own[k - 1][1] > 1]
+        for s, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(own)], strict=True)):
+            for r, state in zip(own[a:b], temporal.viterbi(np.array([r[2:] for r in own[a:b]])), strict=True):
+                want[r[:2]] = (s, int(state))
+    for block in (1, 70, 20_000):
+        monkeypatch.setattr(temporal, "BLOCK", block)
+        assert {(r["video_id"], r["frame_index"]): (r["segment"], r["temporal_label"]) for r in temporal.decode(d).collect()} == want
+
+
+def test_blank_frames_have_moments(spark):
+    pixels = [("blank", x, y, 0) for x in range(4) for y in range(4)] + [("lit", x, y, 9 * (x == y)) for x in range(4) for y in range(4)]
+    got = {r["frame_id"]: r for r in images.moments(spark.createDataFrame(pixels, "frame_id string, x int, y int, level int")).collect()}
+    assert got["blank"]["centroid_x"] is None and got["blank"]["major_sigma"] == got["blank"]["outer_intensity_fraction"] == 0
+    assert got["lit"]["centroid_x"] == 1.5 and images.frame_features(np.zeros((4, 4), np.uint8))["major_sigma"] == 0
+
+
+def test_every_broken_member_is_told(spark, tmp_path):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for n in "abc":
+            z.writestr(f"{n}.csv", f"{n},1,2\n" * 50)
+    raw = bytearray(path.read_bytes())
+    for n in b"ac":
+        raw[raw.index(bytes([n]) + b",1,2")] = ord("z")
+    path.write_bytes(raw)
+    got = {r["member"]: r["crc_ok"] for r in tables.archive_members(tables.read_archives(spark, str(tmp_path))).collect()}
+    assert got == {"a.csv": False, "b.csv": True, "c.csv": False}
+
+
 def test_silhouette(spark):
     rows = [(i, float(v), int(v > 2)) for i, v in enumerate([0, 0.1, 0.2, 5, 5.1, 5.2])]
     d = spark.createDataFrame(rows, "i int, z double, label int")
