@@ -8,8 +8,8 @@ bucket scans. Neighbours in that order with a common prefix of 100 bytes are equ
 by document and start are repeats.
 
 Whole copies are set aside by digest before, and segments that occur as they are several times are sorted
-once. Segments meet by their places first, and bytes are only cut out of texts where an anchor is found again. So
-that no more than HOT segments meet in a sort, those of more frequent anchors are cut by how far windows start
+once. Where anchors are too many for a broadcast, places meet by a join first, and bytes are cut out of texts where
+an anchor is found again. So that no more than HOT segments meet in a sort, those of more frequent anchors are cut by how far windows start
 before the anchor, and parts meet by the bytes that all their windows share; where more than HOT parts share even
 these, by whole windows.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, arrow_append, arrow_rows, checked_broadcast, heavy_join, stored
+from .common import arrow_append, arrow_rows, checked_broadcast, heavy_join, stored
 
 LENGTH = 100
 GRAM = 16
@@ -31,6 +31,11 @@ GRAM = 16
 HOT = 16384
 #: Places of a window before its anchor that a part of a frequent anchor's segments has.
 CELL = 12
+#: Anchors found more than once that may be broadcast: 128 MB, at the 64 bytes of one that the check tool measured.
+ANCHORS = 2_000_000
+#: Bytes of spans that may be broadcast.
+SPAN_BYTES = 64 << 20
+SEGMENT = ("hash", "id", "key", "first", "last", "body")
 #: Bytes of segments that are sorted together.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text that are anchored together; a power of two that positions fit in.
@@ -226,76 +231,106 @@ def repeats(block: list[tuple[object, int, int, int, bytes]], length: int = LENG
     return out
 
 
-def _places(texts: DataFrame, kind: str, length: int) -> DataFrame:
-    """(hash, id, key, at): each different segment of each text, `at` being first * length + last - first of its
-    windows; later places of a segment in the same text have a null hash."""
+def _segments(texts: DataFrame, kind: str, columns: tuple[str, ...], length: int) -> DataFrame:
+    """The columns, of hash, id, key, first, last and body, of each different segment of each text.
+
+    Later places of a segment in the same text have a null hash, no body, and runs of them in one row.
+    """
 
     def make():
         def work(cols):
             raw = [t or b"" for t in cols["text"]]
-            out = {k: [] for k in ("hash", "id", "key", "at")}
+            out = {k: [] for k in columns}
             for doc, key, text, own in zip(cols["id"], cols["key"], raw, segments_of(raw, length), strict=True):
-                seen, again = set(), []
+                seen, again, rows = set(), [], []
                 for a, b, h in own:
                     body = text[a : b + length]
                     if body not in seen:
                         seen.add(body)
-                        out["hash"].append(h)
-                        out["at"].append(a * length + b - a)
+                        rows.append((h, doc, key, a, b, body))
                     elif again and again[-1][1] == a - 1:
                         again[-1][1] = b
                     else:
                         again.append([a, b])
-                parts = [(x, min(b, x + length - 1)) for a, b in again for x in range(a, b + 1, length)]
-                out["hash"] += [None] * len(parts)
-                out["at"] += [a * length + b - a for a, b in parts]
-                n = len(out["hash"]) - len(out["id"])
-                out["id"] += [doc] * n
-                out["key"] += [key] * n
+                if "first" in columns:
+                    rows += [(None, doc, key, a, b, None) for a, b in again]
+                for at, name in enumerate(SEGMENT):
+                    if name in out:
+                        out[name] += [r[at] for r in rows]
             return out
 
         return work
 
-    return arrow_rows(texts, make, f"hash long, id {kind}, key long, at long", PIECE)
+    kinds = dict(zip(SEGMENT, ("long", kind, "long", "int", "int", "binary"), strict=True))
+    return arrow_rows(texts, make, ", ".join(f"{c} {kinds[c]}" for c in columns), PIECE)
 
 
-def _cells(text: bytes, first: int, last: int, length: int) -> list[tuple[int, int, int]]:
+def _cells(body: bytes, length: int) -> list[tuple[int, int, int]]:
     """A segment cut by how far its windows start before their anchor, CELL places a part: (hash, first, last).
 
     All windows of a part hold the same length - CELL + 1 bytes, and the hash is of these; so equal windows, which
     have their anchor at the same place, are in parts of one hash.
     """
-    anchor = first + int(anchored(np.frombuffer(text[first : first + length], np.uint8), length)[0][0])
+    last = len(body) - length
+    anchor = int(anchored(np.frombuffer(body[:length], np.uint8), length)[0][0])
     out = []
-    for c in range((anchor - last) // CELL, (anchor - first) // CELL + 1):
+    for c in range((anchor - last) // CELL, anchor // CELL + 1):
         at = anchor - CELL * c
-        common = xxhash.xxh3_64_intdigest(text[at : at + length - CELL + 1], c)
-        out.append((common - (1 << 63), max(first, at - CELL + 1), min(last, at)))
+        common = xxhash.xxh3_64_intdigest(body[at : at + length - CELL + 1], c)
+        out.append((common - (1 << 63), max(0, at - CELL + 1), min(last, at)))
     return out
 
 
-def _bodies(texts: DataFrame, hits: DataFrame, kind: str, cells: bool, length: int) -> DataFrame:
-    """(hash, id, key, first, last, body): the segments at hits(key, hash, at), cut out of their texts."""
-    by_text = hits.groupBy("key").agg(F.collect_list(F.struct("hash", "at")).alias("hits")).withColumnRenamed("key", "of")
+def _parts(segments: DataFrame, kind: str, length: int) -> DataFrame:
+    """Segments cut into their cells."""
+
+    def make():
+        def work(cols):
+            out = {k: [] for k in SEGMENT}
+            for doc, key, first, body in zip(cols["id"], cols["key"], cols["first"], cols["body"], strict=True):
+                for h, x, y in _cells(body, length):
+                    for k, v in zip(out, (h, doc, key, first + x, first + y, body[x : y + length]), strict=True):
+                        out[k].append(v)
+            return out
+
+        return work
+
+    return arrow_rows(segments.select("id", "key", "first", "body"), make, f"hash long, id {kind}, key long, first int, last int, body binary", PIECE)
+
+
+def _cut_out(texts: DataFrame, hits: DataFrame, kind: str, length: int) -> DataFrame:
+    """(hash, id, key, first, last, body, n): the segments at hits(key, hash, first, last, n), cut out of their texts."""
+    by_text = hits.groupBy("key").agg(F.collect_list(F.struct("hash", "first", "last", "n")).alias("hits")).withColumnRenamed("key", "of")
     held = texts.join(by_text, F.col("key") == F.col("of")).drop("of")
 
     def make():
         def work(cols):
-            out = {k: [] for k in ("hash", "id", "key", "first", "last", "body")}
+            out = {k: [] for k in (*SEGMENT, "n")}
             for doc, key, text, own in zip(cols["id"], cols["key"], cols["text"], cols["hits"], strict=True):
                 for hit in own:
-                    a, more = divmod(hit["at"], length)
-                    b = a + more
-                    if b + length > len(text):  # of another text with the same key
-                        continue
-                    for h, x, y in _cells(text, a, b, length) if cells else ((hit["hash"], a, b),):
-                        for k, v in zip(out, (h, doc, key, x, y, text[x : y + length]), strict=True):
+                    h, a, b, n = hit["hash"], hit["first"], hit["last"], hit["n"]
+                    if b + length <= len(text):  # else of another text with the same key
+                        for k, v in zip(out, (h, doc, key, a, b, None if h is None else text[a : b + length], n), strict=True):
                             out[k].append(v)
             return out
 
         return work
 
-    return arrow_rows(held, make, f"hash long, id {kind}, key long, first int, last int, body binary", PIECE)
+    return arrow_rows(held, make, f"hash long, id {kind}, key long, first int, last int, body binary, n long", PIECE)
+
+
+def _repeated_segments(texts: DataFrame, kind: str, length: int) -> DataFrame:
+    """hash, id, key, first, last, body, n: segments whose anchor is found n > 1 times, and later places in a text."""
+    anchors = _segments(texts, kind, ("hash",), length).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    often = stored(anchors, "suffix-anchors")
+    if often.count() <= ANCHORS:
+        found = _segments(texts, kind, SEGMENT, length).join(F.broadcast(often), "hash", "left").filter("hash IS NULL OR n IS NOT NULL")
+    else:  # places meet their anchors first, and bytes are cut out of the texts where one is found again
+        places = _segments(texts, kind, ("hash", "key", "first", "last"), length)
+        met = heavy_join(places.filter("hash IS NOT NULL"), often.withColumn("rows", F.col("n")), ["hash"], "rows", "key", 0)
+        again = places.filter("hash IS NULL").withColumn("n", F.lit(0).cast("long"))
+        found = _cut_out(texts, met.select("hash", "key", "first", "last", "n").unionAll(again.select("hash", "key", "first", "last", "n")), kind, length)
+    return stored(found.select(*SEGMENT, "n"), "suffix-segments")
 
 
 def _sorted_repeats(segments: DataFrame, kind: str, length: int) -> DataFrame:
@@ -371,24 +406,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = checked_broadcast(copies.select(F.col("id").alias("copy"), F.col("key").alias("copy_key")), 128)
     firsts = texts.join(gone, (F.col("id") == F.col("copy")) & (F.col("key") == F.col("copy_key")), "left_anti")
 
-    places = stored(_places(firsts, kind, length), "suffix-places")
-    often = places.filter("hash IS NOT NULL").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    hits = heavy_join(places.select("hash", "key", "at"), often.withColumn("rows", F.col("n")), ["hash"], "rows", "key", 0)
-    parts = [_sorted_repeats(_bodies(firsts, hits.filter(F.col("n") <= HOT), kind, False, length), kind, length)]
-    if often.filter(F.col("n") > HOT).limit(1).count():
-        cells = stored(_bodies(firsts, hits.filter(F.col("n") > HOT), kind, True, length), "suffix-cells")
-        counted = cells.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-        counted = stored(cells.join(counted, "hash"), "suffix-counted")
+    segments = _repeated_segments(firsts, kind, length)
+    parts = [segments.filter("hash IS NULL").select("id", "key", "first", "last"), _sorted_repeats(segments.filter(F.col("hash").isNotNull() & (F.col("n") <= HOT)), kind, length)]
+    if segments.filter(F.col("n") > HOT).limit(1).count():
+        cells = stored(_parts(segments.filter(F.col("n") > HOT), kind, length), "suffix-cells")
+        counted = stored(cells.join(cells.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "hash"), "suffix-counted")
         parts += [_sorted_repeats(counted.filter(F.col("n") <= HOT), kind, length), _window_repeats(counted.filter(F.col("n") > HOT), kind, length)]
-    first = F.floor(F.col("at") / length).cast("int")
-    parts.append(places.filter("hash IS NULL").select("id", "key", first.alias("first"), (first + F.col("at") % length).cast("int").alias("last")))
     parts.append(copies.select("id", "key", F.lit(0).alias("first"), (F.col("n") - length).cast("int").alias("last")))
     spans = reduce(DataFrame.unionAll, parts).groupBy(F.col("id").alias("__of"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
     spans = stored(spans, "suffix-spans")
     weight = spans.agg(F.coalesce(F.sum(F.size("__spans") * 32 + 128), F.lit(0))).first()[0]
     names = ("n_bytes", "n_removed", "n_spans")
     base = docs.drop(*names)
-    joined = base.join(F.broadcast(spans) if weight <= BROADCAST_BYTES else spans, (base[id_col] == F.col("__of")) & (F.xxhash64(base[id_col], base[text_col]) == F.col("__key")), "left")
+    joined = base.join(F.broadcast(spans) if weight <= SPAN_BYTES else spans, (base[id_col] == F.col("__of")) & (F.xxhash64(base[id_col], base[text_col]) == F.col("__key")), "left")
     joined = joined.drop("__of", "__key").withColumn("__own", F.col(id_col).isNull())
 
     def make():
