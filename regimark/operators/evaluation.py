@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import method_threshold
 from .stats import bootstrap_interval, quantiles, spearman, spearman_within
 from .temporal import sequence_metrics
 
@@ -54,3 +55,16 @@ def evaluate_run(frames: DataFrame, intervals: bool = True) -> DataFrame:
         out = out.crossJoin(sequence_metrics(frames, c).select(F.col("switches_per_1000").alias(f"{name}_switches_per_1000")))
     raw = F.col("raw_switches_per_1000")
     return out.withColumn("switch_reduction_fraction", F.try_divide(raw - F.col("temporal_switches_per_1000"), raw))
+
+
+def precision_recall_points(metrics: DataFrame) -> DataFrame:
+    """(definition, threshold, precision, recall, f1, false_positive_rate) of methods with a threshold in their name, in order."""
+    points = metrics.withColumn("threshold", method_threshold(F.col("method"))).filter("threshold IS NOT NULL")
+    return points.select("definition", "threshold", "precision", "recall", "f1", "false_positive_rate").orderBy("definition", "threshold")
+
+
+def bars(summary: DataFrame, axis: str, fixed: dict[str, str], metrics: list[str]) -> DataFrame:
+    """(axis, label, metric, value): a chart's bars along one column of a summary, the others held at given values."""
+    for column, value in fixed.items():
+        summary = summary.filter(F.col(column) == value)
+    return summary.unpivot([axis], metrics, "metric", "value").select(F.lit(axis).alias("axis"), F.col(axis).alias("label"), "metric", "value")

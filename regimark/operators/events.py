@@ -18,24 +18,37 @@ def events(frames: DataFrame, flag: Column, min_frames: int = MIN_EVENT_FRAMES,
     return runs.filter(F.col("end") - F.col("start") + 1 >= min_frames).drop("island")
 
 
-def overlap(a: DataFrame, b: DataFrame) -> Column:
-    """Interval overlap within a video; the equal ids give a hash or merge join."""
-    return (a.video_id == b.video_id) & (a.start <= b.end) & (b.start <= a.end)
+def _bucketed(intervals: DataFrame, width: int) -> DataFrame:
+    """A row for each stretch of `width` frames that an interval touches."""
+    stretch = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
+    return intervals.select("video_id", "start", "end", F.explode(stretch).alias("stretch"))
+
+
+def matches(true: DataFrame, predicted: DataFrame, width: int = 1024) -> DataFrame:
+    """All overlapping pairs: (video_id, true_start, true_end, predicted_start, predicted_end).
+
+    Intervals meet only within a stretch of width frames of their video, and a pair counts in the stretch where
+    the later of the two starts, so a long video is no single group and no pair is given twice.
+    """
+    t, p = _bucketed(true, width).alias("t"), _bucketed(predicted, width).alias("p")
+    same = (F.col("t.video_id") == F.col("p.video_id")) & (F.col("t.stretch") == F.col("p.stretch"))
+    later = F.greatest("t.start", "p.start")
+    pair = same & (F.col("t.start") <= F.col("p.end")) & (F.col("p.start") <= F.col("t.end")) & (F.floor(later / width) == F.col("t.stretch"))
+    return t.join(p, pair).select(F.col("t.video_id"), F.col("t.start").alias("true_start"), F.col("t.end").alias("true_end"), F.col("p.start").alias("predicted_start"), F.col("p.end").alias("predicted_end"))
 
 
-def matches(true: DataFrame, predicted: DataFrame) -> DataFrame:
-    """All overlapping pairs: (video_id, true_start, true_end, predicted_start, predicted_end)."""
-    t, p = true.alias("t"), predicted.alias("p")
-    pair = (F.col("t.video_id") == F.col("p.video_id")) & (F.col("t.start") <= F.col("p.end")) & (F.col("p.start") <= F.col("t.end"))
-    return t.join(p, pair).select(F.col("t.video_id"), F.col("t.start").alias("true_start"), F.col("t.end").alias("true_end"), F.col("p.start").alias("predicted_start"), F.col("p.end").alias("predicted_end"))
+def _touched(of: DataFrame, by: DataFrame, how: str) -> DataFrame:
+    """Rows of `of` that overlap (left_semi) or don't overlap (left_anti) some interval of `by`."""
+    found = matches(of, by).select(F.col("video_id").alias("__v"), F.col("true_start").alias("__s"), F.col("true_end").alias("__e"))
+    return of.join(found, (F.col("video_id") == F.col("__v")) & (F.col("start") == F.col("__s")) & (F.col("end") == F.col("__e")), how)
 
 
 def detected(true: DataFrame, predicted: DataFrame) -> DataFrame:
-    return true.join(predicted, overlap(true, predicted), "left_semi")
+    return _touched(true, predicted, "left_semi")
 
 
 def false_alarms(true: DataFrame, predicted: DataFrame) -> DataFrame:
-    return predicted.join(true, overlap(predicted, true), "left_anti")
+    return _touched(predicted, true, "left_anti")
 
 
 def event_metrics(true: DataFrame, predicted: DataFrame, parts: int) -> DataFrame:

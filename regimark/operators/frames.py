@@ -29,10 +29,26 @@ def with_features(frames: DataFrame, feature_set: str) -> DataFrame:
     return frames.select(*KEYS, *FEATURE_SETS[feature_set])
 
 
+def first_frames(frames: DataFrame, limit: int = 500) -> DataFrame:
+    """The first `limit` frames of each video: the feature is the cap itself."""
+    return frames.filter(F.col("frame_index") < limit)
+
+
+def first_rows(frames: DataFrame, limit: int = 10_000) -> DataFrame:
+    """The first `limit` rows by video and frame, as a bounded training table asks for."""
+    return frames.orderBy(*KEYS).limit(limit)
+
+
 def active(frames: DataFrame, flag: str = "active_candidate") -> DataFrame:
     return frames.filter(F.col(flag) == 1)
 
 
+def active_positions(frames: DataFrame, score: str = "p_high", flag: str = "active") -> DataFrame:
+    """(video_id, place, frame_index, score): active frames with a score, numbered from 0 in a video's order."""
+    kept = active(frames, flag).filter(F.col(score).isNotNull()).select("video_id", F.col("frame_index").alias("__at"), score)
+    return positional(kept, ["__at"]).select("video_id", F.col("frame_index").cast("long").alias("place"), F.col("__at").alias("frame_index"), score)
+
+
 def is_active(max_pixel: Column, area: Column, total: Column) -> Column:
     return ((max_pixel >= 20) & (area >= 5) & (total >= 100)).cast("int")
 

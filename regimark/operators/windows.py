@@ -32,11 +32,14 @@ def trailing_std(x: str, frames: int = ROLLING_FRAMES) -> Column:
     return F.stddev_pop(x).over(by_video().rowsBetween(1 - frames, 0))
 
 
-def with_temporal(frames: DataFrame, area: str, intensity: str) -> DataFrame:
+def with_temporal(frames: DataFrame, area: str = "threshold_area", intensity: str = "mean_intensity", total: str = "total_intensity", x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
+    """frames with changes to the frame before and trailing statistics; the names are those of the feature sets."""
     return frames.withColumns(
         {
             "delta_area": delta(area),
             "delta_mean_intensity": delta(intensity),
+            "delta_total_intensity": delta(total),
+            "centroid_motion": motion(x, y),
             "rolling_area_mean": trailing_mean(area),
             "rolling_area_std": trailing_std(area),
             "rolling_intensity_mean": trailing_mean(intensity),

@@ -329,6 +329,16 @@ def cluster_quality(spark, sf):
     return s.select("silhouette", *[F.lit(v).cast("double").alias(k) for k, v in q.items()])
 
 
+@query("m13_scatter_indices", with_frames(""", k AS (SELECT avg(intensity) AS mi, stddev_pop(intensity) AS si, avg(power) AS mp, stddev_pop(power) AS sp FROM frames WHERE active = 1),
+z AS (SELECT label, (intensity - mi) / si AS x, (power - mp) / sp AS y FROM frames, k WHERE active = 1), c AS (SELECT label, count(*) AS n, avg(x) AS x, avg(y) AS y FROM z GROUP BY 1),
+d AS (SELECT label, c.n, c.x, c.y, avg(sqrt(pow(z.x - c.x, 2) + pow(z.y - c.y, 2))) AS s, sum(pow(z.x - c.x, 2) + pow(z.y - c.y, 2)) AS w FROM z JOIN c USING (label) GROUP BY 1, 2, 3, 4),
+p AS (SELECT i.label, max((i.s + j.s) / sqrt(pow(i.x - j.x, 2) + pow(i.y - j.y, 2))) AS r FROM d i JOIN d j ON i.label <> j.label GROUP BY 1)
+SELECT round((SELECT avg(r) FROM p), 4) AS davies_bouldin, round(sum(n * (x * x + y * y)) / (count(*) - 1) / (sum(w) / (sum(n) - count(*))), 4) AS calinski_harabasz FROM d"""))
+def scatter_indices(spark, sf):
+    f, z = _standard(spark, sf)
+    return spark.range(1).select(*[R(F.lit(v).cast("double"), 4).alias(k) for k, v in C.scatter(f, z, "label").items()])
+
+
 @query("m13_confidence", with_frames("SELECT round(avg(greatest(p_low, p_nominal, p_high)), 6) AS confidence_mean, round(avg(CAST(greatest(p_low, p_nominal, p_high) >= 0.8 AS INTEGER)), 6) AS confident_fraction_080, round(avg(CAST(greatest(p_low, p_nominal, p_high) >= 0.95 AS INTEGER)), 6) AS confident_fraction_095 FROM frames"))
 def confidence(spark, sf):
     return _rounded(C.confidence(frames(spark, sf), ["p_low", "p_nominal", "p_high"]))
@@ -418,11 +428,14 @@ def min_max(spark, sf):
     return a.crossJoin(F.broadcast(k)).select("l_returnflag", "l_linestatus", R(S.min_max(F.col("m"), F.col("lo"), F.col("hi"))).alias("share"))
 
 
-@query("v8_hexagonal_density")
+@query("v8_hexagonal_density", with_frames(""", b AS (SELECT min(p_high) AS x0, max(p_high) AS x1, min(power) AS y0, max(power) AS y1 FROM frames WHERE active = 1),
+u AS (SELECT (p_high - x0) / greatest(x1 - x0, 1e-12) * 65 AS u, (power - y0) / greatest(y1 - y0, 1e-12) * 37 AS v FROM frames, b WHERE active = 1),
+h AS (SELECT CASE WHEN pow(u - round(u), 2) + 3 * pow(v - round(v), 2) < pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2) THEN [round(u), round(v)] ELSE [floor(u) + 0.5, floor(v) + 0.5] END AS h FROM u)
+SELECT h[1] AS hex_x, h[2] AS hex_y, count(*) AS n, round(log10(count(*)), 6) AS log_n FROM h GROUP BY 1, 2"""))
 def hexagonal_density(spark, sf):
     from ..operators.reports import hexagons
 
-    return hexagons(D.active(frames(spark, sf), "active"), "p_high", "power", 65)
+    return _rounded(hexagons(D.active(frames(spark, sf), "active"), "p_high", "power", 65), ("hex_x", "hex_y", "n"))
 
 
 @query("v9_thresholds_of_methods", "SELECT * FROM (VALUES ('probability_0.30', 0.3::DOUBLE), ('probability_0.90', 0.9), ('raw_high_state', NULL)) v(method, threshold)")

@@ -79,6 +79,24 @@ def decode_frames(videos: DataFrame, width: int = 120, height: int = 120) -> Dat
     return videos.mapInPandas(run, "video_id string, frame_index int, pixels binary, unequal int")
 
 
+def audit_frames(videos: DataFrame, width: int = 120, height: int = 120) -> DataFrame:
+    """(video_id, frame_index, grey, unequal, unequal_fraction): the mean of a pixel's planes, rounded half to even,
+    as bytes; how many pixels have unequal planes, and their share. A frame shorter than its image raises."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for video, data in zip(pdf["video_id"], pdf["content"], strict=True):
+                for index, (offset, _) in enumerate(frame_chunks(data, *movie_list(data))):
+                    planes = frame_planes(data, offset, width, height)
+                    grey = np.rint(planes.mean(axis=2)).astype(np.uint8)
+                    unequal = int((planes != planes[..., :1]).any(axis=2).sum())
+                    yield pd.DataFrame({"video_id": [video], "frame_index": [index], "grey": [grey.tobytes()], "unequal": [unequal], "unequal_fraction": [unequal / grey.size]})
+
+    return videos.mapInPandas(run, "video_id string, frame_index int, grey binary, unequal int, unequal_fraction double")
+
+
 def selected_frames(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """Frames whose (video_id, frame_index) is wanted; indexes that a video lacks are left out."""
     return frames.join(wanted.select("video_id", "frame_index").distinct(), ["video_id", "frame_index"], "left_semi")

@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/regimark/{tag}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, tag: str = "table") -> DataFrame:
     """df written to the shared folder and read again, so that lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/regimark/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,11 +46,24 @@ def missing_keys(expected: DataFrame, found: DataFrame, keys: list[str]) -> Data
     return expected.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_anti")
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of the shared folder; call it when no frame over them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/regimark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_features(df: DataFrame, path: str, key: str = "video_id") -> None:
-    """Feature rows as parquet, one folder a key value; a rerun replaces only the keys it has."""
+    """Feature rows as parquet, one folder a key value; a rerun replaces only the keys it has. Spark's committer
+    renames finished files into place."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def feature_summary(df: DataFrame, fps: float, flag: str = "active_candidate") -> DataFrame:
+    """(video_id, frames, duration_s, active_frames, active_fraction) of feature rows, to be written beside them."""
+    g = df.groupBy("video_id").agg(F.count("*").alias("frames"), F.sum(F.col(flag).cast("long")).alias("active_frames"))
+    return g.select("video_id", "frames", (F.col("frames") / fps).alias("duration_s"), "active_frames", (F.col("active_frames") / F.col("frames")).alias("active_fraction"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -2,13 +2,14 @@
 
 import io
 import struct
+import time
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regimark.operators import clusters, events, frames, images, models, stats, temporal, windows
+from regimark.operators import benchmarks, clusters, evaluation, events, frames, images, models, stats, temporal, windows
 from regimark.sources import avi, store, tables
 from regimark.streaming import frames as streaming
 
@@ -271,3 +272,80 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = {(r["start"], r["end"]) for r in events.events(d, F.col("hit")).collect()}
     closed = {(r["start"], r["end"]) for r in spark.table("events").collect()}
     assert closed == {e for e in batch if e[1] < 29}
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    made = [[(v, int(a), int(a + n)) for v in "ab" for a, n in zip(np.cumsum(rng.integers(3, 40, 30)), rng.integers(0, 90, 30), strict=True)] for _ in range(2)]
+    true, predicted = (spark.createDataFrame(m, "video_id string, start long, end long") for m in made)
+    want = {(v, a, b, c, d) for v, a, b in made[0] for w, c, d in made[1] if v == w and a <= d and c <= b}
+    for width in (1, 7, 1024):
+        got = [tuple(r) for r in events.matches(true, predicted, width).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert events.detected(true, predicted).count() == len({w[:3] for w in want})
+    assert {tuple(r) for r in events.false_alarms(true, predicted).collect()} == set(made[1]) - {(w[0], w[3], w[4]) for w in want}
+    none = true.limit(0)
+    assert events.matches(true, none).count() == 0 and events.false_alarms(none, predicted).count() == len(made[1])
+
+
+def test_unequal_planes_are_told(spark):
+    planes = np.full((2, 2, 3), 10, np.uint8)
+    planes[0, 1] = (10, 11, 13)
+    body = b"".join(r.tobytes().ljust(8, b"\0") for r in planes[::-1])
+    movi = chunk(b"LIST", b"movi" + chunk(b"00db", body))
+    data = chunk(b"RIFF", b"AVI " + movi)
+    got = avi.audit_frames(spark.createDataFrame([("v", bytearray(data))], "video_id string, content binary"), 2, 2).collect()
+    assert [(bytes(r["grey"]), r["unequal"], r["unequal_fraction"]) for r in got] == [(bytes([10, 11, 10, 10]), 1, 0.25)]
+
+
+def test_streamed_features_over_several_batches(spark, tmp_path):
+    rows = [("a", i, (i * 7) % 5, float((i * 3) % 11), (i * 5) % 13, None if i == 9 else float(i % 4), float(i % 3)) for i in range(30)]
+    schema = "video_id string, frame_index long, threshold_area long, mean_intensity double, total_intensity long, centroid_x double, centroid_y double"
+    d = spark.createDataFrame(rows, schema)
+    for k in range(3):
+        d.filter(F.col("frame_index").between(10 * k, 10 * k + 9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming.stream_temporal(stream).writeStream.format("memory").queryName("temporal").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["frame_index"]: r for r in spark.table("temporal").collect()}
+    want = windows.with_temporal(d).collect()
+    names = [c for c in spark.table("temporal").columns if c not in ("video_id", "frame_index")]
+    assert len(got) == 30
+    for r in want:
+        assert [got[r["frame_index"]][n] for n in names] == pytest.approx([r[n] for n in names], abs=1e-9)
+
+
+def test_a_quiet_stream_gives_its_last_event(spark, tmp_path):
+    schema = "video_id string, frame_index long, hit boolean"
+    spark.createDataFrame([("a", i, i > 2) for i in range(6)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = streaming.stream_events(stream, "hit", quiet_ms=1000).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(60):
+            if spark.table("quiet").count():
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert [tuple(r) for r in spark.table("quiet").collect()] == [("a", 3, 5)]
+
+
+def test_latency(spark):
+    ran = []
+    samples = benchmarks.timed(spark, "x", 10, lambda: ran.append(1), 4)
+    row = benchmarks.latency_table(samples).first()
+    assert len(ran) == 5 and row["repetitions"] == 4 and row["median_us_per_frame"] == pytest.approx(100 * row["median_total_ms"])
+
+
+def test_points_and_bars(spark):
+    m = spark.createDataFrame([("d", "p_0.9", 0.5), ("d", "raw", 0.1), ("d", "p_0.3", 0.2)], "definition string, method string, precision double").withColumns({c: F.lit(0.0) for c in ("recall", "f1", "false_positive_rate")})
+    assert [(r["threshold"], r["precision"]) for r in evaluation.precision_recall_points(m).collect()] == [(0.3, 0.2), (0.9, 0.5)]
+    assert [tuple(r) for r in evaluation.bars(m, "method", {"definition": "d"}, ["precision"]).collect()][0] == ("method", "p_0.9", "precision", 0.5)
+
+
+def test_stored_tables_are_dropped(spark):
+    kept = store.stored(spark.range(3), "short-lived")
+    assert kept.count() == 3
+    store.drop_stored(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|NOT_FOUND|does not exist"):
+        kept.count()
