@@ -60,7 +60,7 @@ def archive_rows(spark, sf):
     return m.select("path", F.col("frame_index").cast("long").alias("frame_index"), "x_mm", "y_mm", "spatter_area")
 
 
-@query("s13_archive_whole_rows", "SELECT CAST(s_nationkey AS VARCHAR) AS path, count(*) + 1 AS rows, 3 AS width, round(sum(s_suppkey) + 1, 4) AS total FROM supplier GROUP BY 1")
+@query("s13_archive_whole_rows", "SELECT CAST(s_nationkey AS VARCHAR) AS path, count(*) + 1 AS rows, 3 AS width, CAST(sum(s_suppkey) + 1 AS DOUBLE) AS total FROM supplier GROUP BY 1")
 def archive_whole_rows(spark, sf):
     n = tables.archive_numbers(_archives(spark, sf), r"DAQ_RHF_P\d+", None)
     return n.groupBy("path").agg(F.count("*").alias("rows"), F.max(F.size("numbers")).alias("width"), R(F.sum(F.get("numbers", F.lit(0))), 4).alias("total"))
@@ -78,7 +78,7 @@ def archive_lookup(spark, sf):
     n = table(spark, sf, "nation").select(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, ".ZIP").otherwise(".txt")).alias("name"), F.col("n_name").alias("value"))
     n.repartition("name").write.partitionBy("name").text(path)
     a = tables.read_archives(spark, path, "%.zip/%")
-    return a.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name"), F.length("content").alias("bytes"))
+    return a.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name"), F.length("content").cast("long").alias("bytes"))
 
 
 @query("s17_k4_prediction_arrays", with_frames("SELECT video_id, frame_index, CAST(label AS TINYINT) AS label, CAST(p_high AS FLOAT)::DOUBLE AS p_high FROM frames WHERE active = 1"))
@@ -132,7 +132,7 @@ def feature_files_by_video(spark, sf):
 @query("k5_markdown", "SELECT unnest(['# Nations', '', '| key | name |', '|---|---|']) AS line, unnest([0, 1, 2, 3]) AS place UNION ALL SELECT '| ' || n_nationkey || ' | ' || n_name || ' |', 3 + row_number() OVER (ORDER BY n_nationkey) FROM nation")
 def markdown(spark, sf):
     text = store.markdown(table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).orderBy("key"), "Nations")
-    return spark.createDataFrame([(line, k) for k, line in enumerate(text.splitlines())], "line string, place int")
+    return spark.createDataFrame([(line, k) for k, line in enumerate(text.splitlines())], "line string, place long")
 
 
 @query("k6_grey_images", "SELECT CAST(vec_id AS VARCHAR) AS video_id, '50350A3820380A3235350A' || list_aggregate(list_transform(embedding, lambda e: printf('%02X', least(255, CAST(floor(abs(CAST(e AS DOUBLE)) * 255) AS INTEGER)))), 'string_agg', '') AS image FROM embeddings")
