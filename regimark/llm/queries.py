@@ -14,6 +14,7 @@ from .decontaminate import leaks
 from .license_scan import COPYRIGHT_LINE, LICENSES, PHRASES, SPELLINGS, license_scan
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
+from .piece_bpe import piece_encode
 from .quality_fm import fit_quality, held_out, score_quality
 from .quality_rules import quality_rules
 from .suffix_dedup import dedup_substrings
@@ -131,6 +132,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encode(read_table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_piece_bpe": op12_piece_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_license_scan": _op8_sql()}
