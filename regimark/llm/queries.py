@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .cdc_dedup import dedup_chunks
-from .common import default_path, read_table
+from .common import ascii_lower, default_path, read_table
 from .decontaminate import leaks
 from .license_scan import COPYRIGHT_LINE, LICENSES, PHRASES, SPELLINGS, license_scan
 from .line_dedup import dedup_lines
+from .merkle import manifest
 from .minhash_dedup import near_duplicates
 from .piece_bpe import piece_encode
 from .quality_fm import fit_quality, held_out, score_quality
@@ -136,6 +137,11 @@ def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode(read_table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return manifest(read_table(spark, sf_dir, "documents"), now={"text": F.when(changed, ascii_lower(F.col("text"))).otherwise(F.col("text"))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
@@ -148,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op12_piece_bpe": op12_piece_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_license_scan": _op8_sql()}
