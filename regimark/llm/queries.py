@@ -11,6 +11,7 @@ from .bpe import bpe_encode
 from .cdc_dedup import dedup_chunks
 from .common import ascii_lower, default_path, read_table
 from .decontaminate import leaks
+from .importance import resample
 from .license_scan import COPYRIGHT_LINE, LICENSES, PHRASES, SPELLINGS, license_scan
 from .line_dedup import dedup_lines
 from .merkle import manifest
@@ -133,6 +134,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode(read_table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"), with_ids=False)
 
@@ -153,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
     "op12_piece_bpe": op12_piece_bpe,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
