@@ -1,12 +1,19 @@
-"""Temporal smoothing: Viterbi decoding over gap-separated segments, and sequence metrics."""
+"""Temporal smoothing: Viterbi decoding of videos of any length in blocks of frames, and sequence metrics.
+
+Log probabilities are whole multiples of 2^-40, so sums don't depend on their order: blocks may be composed as max-plus
+matrices, and labels are those of decoding a segment from its first frame to its last. Ties go to the lowest state.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .windows import gap_segments, runs, switches
 
 # The chain's transitions and start.
@@ -14,84 +21,199 @@ TRANSITION = [[0.985, 0.014, 0.001], [0.007, 0.986, 0.007], [0.001, 0.014, 0.985
 INITIAL = [0.20, 0.60, 0.20]
 FLOOR = 1e-12
 SHORT_RUN = 2
-#: Rows that are decoded together.
-BLOCK = 20_000
+STATES = 3
+#: Frames of a block: what one task decodes by itself. Its row takes some 0.5 MB.
+BLOCK = 16_384
+
+
+def fixed(p) -> np.ndarray:
+    """Log probabilities in units of 2^-40."""
+    return np.rint(np.log(np.fmax(np.asarray(p, float), FLOOR)) * (1 << 40)).astype(np.int64)
+
+
+STEP, START = fixed(TRANSITION), fixed(INITIAL)
 
 
 def viterbi(p: np.ndarray) -> np.ndarray:
     """Most likely states of a segment; emissions are its posteriors. Ties go to the lowest state."""
     if not len(p):
         return np.zeros(0, np.int8)
-    step, emit = np.log(np.array(TRANSITION)), np.log(np.maximum(p, FLOOR))
-    back = np.zeros(p.shape, np.int8)
-    best = np.log(np.array(INITIAL)) + emit[0]
-    for i in range(1, len(p)):
-        paths = best[:, None] + step
+    emit = fixed(p)
+    back = np.zeros(emit.shape, np.int8)
+    best = START + emit[0]
+    for i in range(1, len(emit)):
+        paths = best[:, None] + STEP
         back[i] = paths.argmax(axis=0)
         best = paths.max(axis=0) + emit[i]
-    out = np.empty(len(p), np.int8)
+    out = np.empty(len(emit), np.int8)
     out[-1] = best.argmax()
-    for i in range(len(p) - 1, 0, -1):
+    for i in range(len(emit) - 1, 0, -1):
         out[i - 1] = back[i, out[i]]
     return out
 
 
-def viterbi_many(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """viterbi of each part of p from one of starts to the next, all parts a step at a time."""
-    lengths = np.diff(np.append(starts, len(p)))
-    longest = np.argsort(-lengths, kind="stable")  # those still going on are the first of these
+def forward(emit: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best sums at the end of each run, and back pointers of all rows, for runs of emit that begin at `starts`.
+
+    first[run, row, state] has the sums at a run's first frame: one row for a run with a known beginning, three, one
+    for each state before it, for a max-plus matrix. Runs go a step at a time together, the longest first.
+    """
+    lengths = np.diff(np.append(starts, len(emit)))
+    longest = np.argsort(-lengths, kind="stable")
     begins, lengths = starts[longest], lengths[longest]
-    going = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right") if len(lengths) else []  # parts of t rows or more
-    step, emit = np.log(np.array(TRANSITION)), np.log(np.maximum(p, FLOOR))
-    back, out = np.zeros(p.shape, np.int8), np.zeros(len(p), np.int64)
-    best = np.log(np.array(INITIAL)) + emit[begins]
+    going = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right") if len(lengths) else []  # runs of t rows or more
+    best, back = first[longest], np.zeros(emit.shape, np.int8)
     for t, n in enumerate(going[1:], 1):
-        paths = best[:n, :, None] + step
-        back[begins[:n] + t] = paths.argmax(axis=1)
-        best[:n] = paths.max(axis=1) + emit[begins[:n] + t]
-    out[begins + lengths - 1] = best.argmax(axis=1)
+        paths = best[:n, :, :, None] + STEP
+        best[:n] = paths.max(axis=2) + emit[begins[:n] + t][:, None, :]
+        if best.shape[1] == 1:
+            back[begins[:n] + t] = paths[:, 0].argmax(axis=1)
+    out = np.empty_like(best)
+    out[longest] = best
+    return out, back
+
+
+def backward(back: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """States of all rows, from those at the ends of the runs; last[run, k] gives k of them for each run."""
+    lengths = np.diff(np.append(starts, len(back)))
+    longest = np.argsort(-lengths, kind="stable")
+    begins, lengths = starts[longest], lengths[longest]
+    going = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right") if len(lengths) else []
+    out = np.zeros((len(back), last.shape[1]), np.int8)
+    out[begins + lengths - 1] = last[longest]
     for t in range(len(going) - 1, 0, -1):
         rows = begins[: going[t]] + t
-        out[rows - 1] = back[rows, out[rows]]
+        out[rows - 1] = np.take_along_axis(back[rows], out[rows].astype(np.int64), axis=1)
     return out
 
 
+def _parts(pdf: pd.DataFrame, p: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the blocks of a batch: emissions of all frames, begins of runs, and the first and the last run of each block."""
+    frame = [np.asarray(x) for x in pdf["frame_index"]]
+    cuts = [np.concatenate([[0], np.flatnonzero(np.diff(f) > 1) + 1]) for f in frame]
+    at = np.concatenate([[0], np.cumsum([len(f) for f in frame])])
+    count = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
+    emit = np.stack([fixed(np.concatenate([np.asarray(x, float) for x in pdf[c]])) for c in p], axis=1)
+    return emit, np.concatenate([c + a for c, a in zip(cuts, at, strict=False)]), count[:-1], count[1:] - 1
+
+
+def _summarised(batches: Iterator[pd.DataFrame], p: list[str]) -> Iterator[pd.DataFrame]:
+    """What the scan over blocks needs: first and last frame, number of runs, the first run as a matrix from the
+    states before it, and the sums at the end of the last run if that begins here."""
+    for pdf in batches:
+        if len(pdf):
+            emit, starts, first, last = _parts(pdf, p)
+            fresh, _ = forward(emit, starts, (START + emit[starts])[:, None, :])
+            ends = np.append(starts[1:], len(emit))
+            rows = np.concatenate([np.arange(starts[r], ends[r]) for r in first])
+            own = np.concatenate([[0], np.cumsum(ends[first] - starts[first])[:-1]])
+            matrix, _ = forward(emit[rows], own, STEP + emit[starts[first]][:, None, :])
+            yield pdf.assign(
+                first_frame=[f[0] for f in pdf["frame_index"]], last_frame=[f[-1] for f in pdf["frame_index"]], runs=last - first + 1,
+                matrix=list(matrix.reshape(-1, STATES * STATES)), fresh=list(fresh[last, 0]),
+            )
+
+
+def _entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of a video in order: the sums at the frame before a block that goes on with it (else NULL), and the
+    number of its first segment. Sums are taken relative to the largest, so they stay small."""
+    video, end, sums, segment = None, None, None, -1
+    for pdf in batches:
+        enter, number = [], []
+        for v, a, b, n, matrix, fresh in pdf[["video_id", "first_frame", "last_frame", "runs", "matrix", "fresh"]].itertuples(index=False):
+            if end is None or not (v == video or (pd.isna(v) and pd.isna(video))):
+                video, end, segment = v, None, -1
+            linked = end is not None and a - end <= 1
+            enter.append(sums if linked else None)
+            segment += not linked
+            number.append(segment)
+            segment += n - 1
+            sums = (np.asarray(sums)[:, None] + np.asarray(matrix).reshape(STATES, STATES)).max(axis=0) if linked and n == 1 else np.asarray(fresh)
+            sums, end = sums - sums.max(), b
+        yield pdf[["video_id", "block"]].assign(enter=enter, segment=number)
+
+
+def _pointed(batches: Iterator[pd.DataFrame], p: list[str]) -> Iterator[pd.DataFrame]:
+    """Back pointers of a block's frames, the state before it for each state at its end, its best last state."""
+    for pdf in batches:
+        if len(pdf):
+            emit, starts, first, last = _parts(pdf, p)
+            begin, before = START + emit[starts], np.zeros((len(pdf), STATES), np.int8)
+            for k, enter in enumerate(pdf["enter"]):
+                if enter is not None:
+                    paths = np.asarray(enter)[:, None] + STEP
+                    before[k], begin[first[k]] = paths.argmax(axis=0), paths.max(axis=0) + emit[starts[first[k]]]
+            best, back = forward(emit, starts, begin[:, None, :])
+            own = best[:, 0].argmax(axis=1).astype(np.int8)
+            ends = np.repeat(own[:, None], STATES, axis=1)
+            ends[last] = np.arange(STATES)  # the last run may go on in the next block
+            states = backward(back, starts, ends)
+            entry = np.take_along_axis(before, states[starts[first]].astype(np.int64), axis=1)
+            at = np.append(np.searchsorted(starts, starts[first]), len(starts))
+            rows = np.append(starts[first], len(emit))
+            yield pdf[["video_id", "block", "segment", "frame_index", "first_frame", "last_frame"]].assign(
+                back=[back[a:b].tobytes() for a, b in zip(rows, rows[1:], strict=False)], own=[own[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)],
+                entry=list(entry), best=own[last],
+            )
+
+
+def _left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of a video, the last one first: the state at a block's last frame."""
+    video, begin, state = None, None, 0
+    for pdf in batches:
+        found = []
+        for v, a, b, entry, best in pdf[["video_id", "first_frame", "last_frame", "entry", "best"]].itertuples(index=False):
+            same = begin is not None and (v == video or (pd.isna(v) and pd.isna(video)))
+            state = int(state) if same and begin - b <= 1 else int(best)
+            found.append(state)
+            video, begin, state = v, a, entry[state]
+        yield pdf[["video_id", "block"]].assign(last_state=found)
+
+
+def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for v, segment, frame, back, own, state in pdf[["video_id", "segment", "frame_index", "back", "own", "last_state"]].itertuples(index=False):
+            frame = np.asarray(frame)
+            cut = np.concatenate([[True], np.diff(frame) > 1])
+            last = np.frombuffer(own, np.int8).copy()
+            last[-1] = state
+            label = backward(np.frombuffer(back, np.int8).reshape(-1, STATES), np.flatnonzero(cut), last[:, None])[:, 0]
+            yield pd.DataFrame({"video_id": v, "frame_index": frame, "segment": segment + cut.cumsum() - 1, "temporal_label": label})
+
+
 def decode(frames: DataFrame, p: tuple[str, str, str] = ("p_low", "p_nominal", "p_high")) -> DataFrame:
-    """(video_id, frame_index, segment, temporal_label): each segment of a video decoded as a whole.
+    """(video_id, frame_index, segment, temporal_label) of frames; a segment ends where an index is left out.
 
-    Rows come sorted by video and frame; whole videos are taken together until there are BLOCK rows, and all of
-    their segments are decoded at once. Videos are of bounded length, so a block fits a task.
+    A video is cut into blocks of BLOCK frame numbers that tasks share. A block's first run of frames is a max-plus
+    matrix from the states before it to those at its end; a scan over these, one small row a block, gives each
+    block the sums that it begins with. With them blocks find their back pointers, and thereby a map from the
+    state at their end to the one before them; a scan from the last block on gives the states at the ends, and
+    blocks their labels. So no task holds a video. Repeated frames of an index follow one another.
     """
-
-    def labelled(pdf):
-        video, frame = pdf["video_id"], pdf["frame_index"].to_numpy()
-        other = (video.ne(video.shift()) & ~(video.isna() & video.shift().isna())).to_numpy(copy=True)
-        other[:1] = True
-        cut = other | np.concatenate([[True], np.diff(frame) > 1])
-        number = cut.cumsum()
-        firsts = np.maximum.accumulate(np.where(other, number, 0))
-        label = viterbi_many(pdf[list(p)].to_numpy(float), np.flatnonzero(cut))
-        return pdf[["video_id", "frame_index"]].assign(segment=number - firsts, temporal_label=label)
-
-    def run(batches):
-        held, n = [], 0
-        for pdf in batches:
-            held.append(pdf)
-            n += len(pdf)
-            if n >= BLOCK:
-                pdf = pd.concat(held, ignore_index=True)
-                video = pdf["video_id"]
-                same = ((video == video.iloc[-1]) | (video.isna() & pd.isna(video.iloc[-1]))).to_numpy()
-                end = 0 if same.all() else len(pdf) - int(same[::-1].argmin())
-                if end:
-                    yield labelled(pdf.iloc[:end].reset_index(drop=True))
-                held, n = [pdf.iloc[end:]], len(pdf) - end
-        if n:
-            yield labelled(pd.concat(held, ignore_index=True))
-
-    kinds = {c: frames.schema[c].dataType.simpleString() for c in ("video_id", "frame_index")}
-    dealt = frames.select("video_id", "frame_index", *p).repartition("video_id").sortWithinPartitions("video_id", "frame_index")
-    return dealt.mapInPandas(run, f"video_id {kinds['video_id']}, frame_index {kinds['frame_index']}, segment long, temporal_label long")
+    names = list(p)
+    video, index = (frames.schema[c].dataType.simpleString() for c in ("video_id", "frame_index"))
+    block = F.floor(F.col("frame_index") / BLOCK).alias("block")
+    rows = F.sort_array(F.collect_list(F.struct("frame_index", *[F.col(c).cast("double").alias(c) for c in names])))
+    packed = frames.groupBy("video_id", block).agg(rows.alias("r")).select("video_id", "block", *[F.col(f"r.{c}").alias(c) for c in ("frame_index", *names)])
+    key = f"video_id {video}, block long"
+    ends = f"first_frame {index}, last_frame {index}"
+    held = f"{key}, frame_index array<{index}>, " + ", ".join(f"{c} array<double>" for c in names)
+    blocks = stored(packed.mapInPandas(lambda b: _summarised(b, names), f"{held}, {ends}, runs long, matrix array<long>, fresh array<long>"), "blocks")
+
+    def scanned(table, columns, order, scan, schema):
+        dealt = table.select("video_id", "block", "first_frame", "last_frame", *columns).repartition("video_id").sortWithinPartitions("video_id", order)
+        return stored(dealt.mapInPandas(scan, schema), "scan")
+
+    def joined(table, scan):
+        t, s = table.alias("t"), scan.alias("s")
+        same = F.col("t.video_id").eqNullSafe(F.col("s.video_id")) & (F.col("t.block") == F.col("s.block"))
+        return t.join(s, same).select("t.*", *[f"s.{c}" for c in scan.columns if c not in ("video_id", "block")])
+
+    entered = scanned(blocks, ["runs", "matrix", "fresh"], F.col("block").asc(), _entered, f"{key}, enter array<long>, segment long")
+    pointed = joined(blocks.drop("runs", "matrix", "fresh"), entered).mapInPandas(lambda b: _pointed(b, names), f"{key}, segment long, frame_index array<{index}>, {ends}, back binary, own binary, entry array<int>, best int")
+    pointed = stored(pointed, "pointers")
+    left = scanned(pointed, ["entry", "best"], F.col("block").desc(), _left, f"{key}, last_state int")
+    return joined(pointed, left).mapInPandas(_labelled, f"video_id {video}, frame_index {index}, segment long, temporal_label long")
 
 
 def sequence_metrics(frames: DataFrame, label: str) -> DataFrame:

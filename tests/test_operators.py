@@ -200,8 +200,9 @@ def test_decoding_in_blocks_is_decoding_by_segment(spark, monkeypatch):
     rng = np.random.default_rng(7)
     p = rng.dirichlet([1, 1, 1], 400)
     starts = np.unique(np.concatenate([[0], rng.integers(0, 400, 60)]))
-    assert (temporal.viterbi_many(p, starts) == np.concatenate([temporal.viterbi(part) for part in np.split(p, starts[1:])])).all()
-    assert len(temporal.viterbi_many(np.zeros((0, 3)), np.zeros(0, int))) == 0
+    emit = temporal.fixed(p)
+    best, back = temporal.forward(emit, starts, (temporal.START + emit[starts])[:, None, :])
+    assert (temporal.backward(back, starts, best[:, 0].argmax(axis=1)[:, None])[:, 0] == np.concatenate([temporal.viterbi(part) for part in np.split(p, starts[1:])])).all()
     rows = [(v if v else None, int(i), *map(float, q)) for v in range(6) for i, q in zip(np.cumsum(rng.integers(1, 3, 50)), rng.dirichlet([1, 1, 1], 50), strict=True)]
     d = spark.createDataFrame(rows, "video_id long, frame_index long, p_low double, p_nominal double, p_high double")
     want = {}
@@ -211,7 +212,7 @@ def test_decoding_in_blocks_is_decoding_by_segment(spark, monkeypatch):
         for s, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(own)], strict=True)):
             for r, state in zip(own[a:b], temporal.viterbi(np.array([r[2:] for r in own[a:b]])), strict=True):
                 want[r[:2]] = (s, int(state))
-    for block in (1, 70, 20_000):
+    for block in (1, 7, 70, 20_000):
         monkeypatch.setattr(temporal, "BLOCK", block)
         assert {(r["video_id"], r["frame_index"]): (r["segment"], r["temporal_label"]) for r in temporal.decode(d).collect()} == want
 
@@ -349,3 +350,22 @@ def test_stored_tables_are_dropped(spark):
     store.drop_stored(spark)
     with pytest.raises(Exception, match="FILE_NOT_EXIST|NOT_FOUND|does not exist"):
         kept.count()
+
+
+def test_decoding_of_a_long_video_with_ties(spark, monkeypatch):
+    """One video, equal probabilities and flicker in stretches, so that many paths tie over the borders of blocks."""
+    from regimark.operators import temporal
+
+    rng = np.random.default_rng(8)
+    few = np.array([[1 / 3] * 3, [0.5, 0, 0.5], [0, 0, 1], [1, 0, 0], [0.0] * 3, [0.4, 0.6, 0.0]])
+    p = few[np.repeat(rng.integers(0, len(few), 300), rng.integers(1, 12, 300))]
+    frame = np.arange(len(p)) - 500  # negative numbers too
+    frame[900:] += 3
+    d = spark.createDataFrame([("hot", int(i), *map(float, q)) for i, q in zip(frame, p, strict=True)], "video_id string, frame_index int, p_low double, p_nominal double, p_high double")
+    want = np.concatenate([temporal.viterbi(p[:900]), temporal.viterbi(p[900:])])
+    for block in (7, 64):
+        monkeypatch.setattr(temporal, "BLOCK", block)
+        got = temporal.decode(d.repartition(5)).orderBy("frame_index").collect()
+        assert [r["temporal_label"] for r in got] == want.tolist()
+        assert [r["segment"] for r in got] == [0] * 900 + [1] * (len(p) - 900)
+    assert temporal.decode(d.filter("false")).count() == 0
