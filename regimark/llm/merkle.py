@@ -127,12 +127,11 @@ class Forest:
     def proved(self, tops: DataFrame, give: Callable, schema: T.StructType) -> DataFrame:
         """give(row, path, subroot) of every row, as a frame."""
         begins, parts = self.begins, self.sorted.getNumPartitions()
-        keyed = self.paths(tops).rdd.map(lambda r: (r["part"], (r["gid"], r["level"], r["index"], r["path"], r["subroot"])))
-        known = keyed.partitionBy(parts, lambda part: part).values().glom()
+        known = self.paths(tops).repartitionById(parts, F.col("part")).select("gid", "level", "index", "path", "subroot").rdd.glom()
 
         def prove(part, pairs):
             for rows, own in pairs:
-                above = {x[:3]: x[3:] for x in own}
+                above = {tuple(x[:3]): tuple(x[3:]) for x in own}
                 for gid, n, start, members in _blocks(part, rows, begins.value):
                     levels = local_levels(start, [r["leaf"] for r in members], n)
                     for k, row in enumerate(members, start):
