@@ -16,10 +16,10 @@ from ..operators import frames as D
 from ..operators import images as I
 from ..operators import stats as ST
 from ..operators import windows as W
-from ..sources import avi, store, tables
+from ..sources import arrays, avi, ranges, store, tables
 from ..streaming import frames as STREAM
 from .registry import query
-from .source_queries import HEIGHT, WIDTH, _frames, _video_bytes
+from .source_queries import HEIGHT, WIDTH, _frames, _video_bytes, _video_files
 from .stat_queries import CONFUSION, METHODS, RATES, _rounded, alarm_methods
 from .views import frames, table, with_frames
 
@@ -37,38 +37,45 @@ def feature_files(spark, sf):
 
 
 def _archives(spark, sf):
-    """A ZIP archive a nation: measured rows of its suppliers, and notes that odd nations have damaged."""
+    """A ZIP file a nation: measured rows of its suppliers, and notes that odd nations have damaged."""
     s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
 
     def made(pdf: pd.DataFrame) -> pd.DataFrame:
         nation, raw = int(pdf["s_nationkey"].iloc[0]), io.BytesIO()
         rows = [",".join(map(str, [int(k), b, *range(9)])) for k, b in pdf.sort_values("s_suppkey")[["s_suppkey", "s_acctbal"]].itertuples(index=False)]
         with zipfile.ZipFile(raw, "w") as z:
-            z.writestr(f"DAQ_RHF_P{nation}.csv", "\n".join(["﻿" + ",".join("abcdefghijk"), *rows, "1,2,3", ""]))
+            z.writestr(f"DAQ_RHF_P{nation}.csv", "\n".join(["﻿" + ",".join("abcdefghijk"), *rows, "1,2,3", ""]), zipfile.ZIP_DEFLATED)
             z.writestr("notes.csv", "checked text")
         content = raw.getvalue()
         if nation % 2:
             content = content.replace(b"checked text", b"damaged text", 1)
-        return pd.DataFrame({"path": [str(nation)], "content": [content]})
+        return pd.DataFrame({"name": [f"{nation}.ZIP"], "content": [content]})
 
-    return s.groupBy("s_nationkey").applyInPandas(made, "path string, content binary")
+    path = store.new_path(spark, "zips")
+    ranges.write_files(s.groupBy("s_nationkey").applyInPandas(made, "name string, content binary"), path)
+    return tables.list_archives(spark, path)
+
+
+def _named(df):
+    """The archive's name in place of its path."""
+    return df.withColumn("path", F.regexp_extract("path", r"([^/]+)\.ZIP$", 1))
 
 
 @query("s12_archive_rows", "SELECT CAST(s_nationkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS frame_index, CAST(s_suppkey AS DOUBLE) AS x_mm, s_acctbal AS y_mm, 7.0::DOUBLE AS spatter_area FROM supplier")
 def archive_rows(spark, sf):
-    m = tables.measured_rows(tables.archive_numbers(_archives(spark, sf), r"DAQ_RHF_P\d+"))
+    m = _named(tables.measured_rows(tables.archive_numbers(_archives(spark, sf), r"DAQ_RHF_P\d+")))
     return m.select("path", F.col("frame_index").cast("long").alias("frame_index"), "x_mm", "y_mm", "spatter_area")
 
 
 @query("s13_archive_whole_rows", "SELECT CAST(s_nationkey AS VARCHAR) AS path, count(*) + 1 AS rows, 3 AS width, CAST(sum(s_suppkey) + 1 AS DOUBLE) AS total FROM supplier GROUP BY 1")
 def archive_whole_rows(spark, sf):
-    n = tables.archive_numbers(_archives(spark, sf), r"DAQ_RHF_P\d+", None)
+    n = _named(tables.archive_numbers(_archives(spark, sf), r"DAQ_RHF_P\d+", None))
     return n.groupBy("path").agg(F.count("*").alias("rows"), F.max(F.size("numbers")).alias("width"), R(F.sum(F.get("numbers", F.lit(0))), 4).alias("total"))
 
 
 @query("s15_archive_members", "SELECT CAST(k AS VARCHAR) AS path, unnest(['DAQ_RHF_P' || k || '.csv', 'notes.csv']) AS member, unnest([true, k % 2 = 0]) AS crc_ok, unnest(['analysis_results', 'other_csv']) AS kind FROM (SELECT DISTINCT s_nationkey AS k FROM supplier)")
 def archive_members(spark, sf):
-    return tables.archive_members(_archives(spark, sf)).select("path", "member", "crc_ok", "kind")
+    return _named(tables.archive_members(_archives(spark, sf))).select("path", "member", "crc_ok", "kind")
 
 
 @query("s16_archive_lookup", "SELECT n_name || '.ZIP' AS name, length(n_name) + 1 AS bytes FROM nation WHERE n_nationkey % 2 = 0")
@@ -83,11 +90,37 @@ def archive_lookup(spark, sf):
 
 @query("s17_k4_prediction_arrays", with_frames("SELECT video_id, frame_index, CAST(label AS TINYINT) AS label, CAST(p_high AS FLOAT)::DOUBLE AS p_high FROM frames WHERE active = 1"))
 def prediction_arrays(spark, sf):
-    """Predictions by array type, as parquet; a reader takes only the columns it names."""
+    """Predictions as NPZ files with an array a column, probabilities with two axes; a reader takes the arrays it names."""
+    spark.dataSource.register(arrays.ArrayFiles)
     path = store.new_path(spark, "predictions")
     f = D.active(frames(spark, sf), "active")
-    f.select("video_id", "frame_index", F.col("label").cast("tinyint").alias("label"), *[F.col(c).cast("float").alias(c) for c in ("p_low", "p_nominal", "p_high")]).write.parquet(path)
-    return spark.read.parquet(path).select("video_id", "frame_index", "label", F.col("p_high").cast("double").alias("p_high"))
+    f = f.select("video_id", "frame_index", F.col("label").cast("tinyint").alias("label"), F.array(*[F.col(c).cast("float") for c in ("p_low", "p_nominal", "p_high")]).alias("probabilities"))
+    f.write.format("array_files").mode("append").option("path", path).option("rowsPerFile", 5000).option("compression", "deflate").save()
+    back = spark.read.format("array_files").option("path", path).option("columns", "video_id,frame_index,label,probabilities").load()
+    return back.select("video_id", "frame_index", "label", F.get("probabilities", F.lit(2)).cast("double").alias("p_high"))
+
+
+@query("s17_array_rows", "SELECT c_custkey, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment, c_acctbal < 0 AS owes FROM customer" )
+def array_rows(spark, sf):
+    """Customers as plain NPZ files, read by ranges of rows that are smaller than a file."""
+    spark.dataSource.register(arrays.ArrayFiles)
+    path = store.new_path(spark, "customers")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", (F.col("c_acctbal") < 0).alias("owes"))
+    c.write.format("array_files").mode("append").option("path", path).save()
+    back = spark.read.format("array_files").option("path", path).option("rowsPerPartition", 400).load()
+    return back.withColumn("c_acctbal", R(F.col("c_acctbal"), 2))
+
+
+@query("s1_s4_video_files", "WITH v AS (SELECT vec_id // 64 AS video, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS frame_index, CAST(list_sum(list_transform(embedding, lambda e: least(255, CAST(floor(abs(CAST(e AS DOUBLE)) * 255) AS BIGINT)))) AS BIGINT) AS total, vec_id % 5 = 0 AS odd FROM embeddings) SELECT 'v' || video AS video_id, CAST(frame_index AS INTEGER) AS frame_index, total, CASE WHEN odd THEN 64 ELSE 0 END AS unequal FROM v WHERE frame_index % 3 <> 1")
+def video_files(spark, sf):
+    """Videos of up to 64 frames in the shared folder, some with unequal planes; two frames of three are read, by stretches of bytes that are smaller than a file."""
+    path = store.new_path(spark, "videos")
+    ranges.write_files(_video_files(table(spark, sf, "embeddings")), path)
+    index = avi.frame_index(avi.list_videos(spark, path)).filter("frame_index % 3 <> 1")
+    got = avi.read_frames(index, WIDTH, HEIGHT, stretch=2000)
+    hexed = F.hex("pixels")
+    values = F.transform(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1)), lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
+    return got.select("video_id", "frame_index", F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), "unequal")
 
 
 @query("s18_k2_json_records", "SELECT n_nationkey AS key, n_name AS name FROM nation")

@@ -9,19 +9,24 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import RangeFile, list_files, spread
+from .store import stored
+
+#: Bytes of a file that one task reads, about.
+STRETCH = 64 << 20
 HEADER = struct.Struct("<4sI")
 
 
-def riff_chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+def riff_chunks(data: bytes | RangeFile, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """(id, start, end) of the chunks between at and end; bodies are padded to even sizes and cut at end."""
     while at + HEADER.size <= end:
-        name, size = HEADER.unpack_from(data, at)
+        name, size = HEADER.unpack(data[at : at + HEADER.size])
         body = at + HEADER.size
         yield name, body, min(body + size, end)
         at = body + size + size % 2
 
 
-def movie_list(data: bytes) -> tuple[int, int]:
+def movie_list(data: bytes | RangeFile) -> tuple[int, int]:
     """Start and end of the list of frames; raises if there is none."""
     if data[:4] != b"RIFF":
         raise ValueError("no RIFF file")
@@ -31,7 +36,7 @@ def movie_list(data: bytes) -> tuple[int, int]:
     raise ValueError("no list of frames")
 
 
-def frame_chunks(data: bytes, start: int, end: int) -> Iterator[tuple[int, int]]:
+def frame_chunks(data: bytes | RangeFile, start: int, end: int) -> Iterator[tuple[int, int]]:
     """(offset, size) of frames in file order, also of those in nested record lists."""
     for name, a, b in riff_chunks(data, start, end):
         if name == b"LIST":
@@ -41,7 +46,7 @@ def frame_chunks(data: bytes, start: int, end: int) -> Iterator[tuple[int, int]]
             yield a, b - a
 
 
-def frame_planes(data: bytes, offset: int, width: int, height: int) -> np.ndarray:
+def frame_planes(data: bytes | RangeFile, offset: int, width: int, height: int) -> np.ndarray:
     """A frame as uint8[height, width, 3], top row first. Stored rows are padded to 4 bytes, bottom row first."""
     stride = (3 * width + 3) // 4 * 4
     body = data[offset : offset + stride * height]
@@ -57,6 +62,70 @@ def read_videos(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(F.lower("path").endswith(".avi")).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("video_id"), "content")
 
 
+def frame_index(files: DataFrame) -> DataFrame:
+    """(video_id, path, frame_index, offset, size) of every frame of the files at `path`, in file order.
+
+    A task walks the headers of a file's chunks; no image is read. The index is stored, as readers plan by its sizes.
+    A file without a list of frames raises.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        columns = ["path", "frame_index", "offset", "size"]
+        for pdf in batches:
+            for path in pdf["path"]:
+                with RangeFile(path) as data:
+                    rows = []
+                    for index, (offset, size) in enumerate(frame_chunks(data, *movie_list(data))):
+                        rows.append((path, index, offset, size))
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                    yield pd.DataFrame(rows, columns=columns)
+
+    found = spread(files.select("path"), files.count(), "path").mapInPandas(run, "path string, frame_index int, offset long, size long")
+    return stored(found, "frame-index").select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("video_id"), "*")
+
+
+def read_frames(index: DataFrame, width: int = 120, height: int = 120, stretch: int = STRETCH) -> DataFrame:
+    """(video_id, frame_index, pixels, unequal) of the frames of an index, as decode_frames gives them.
+
+    Tasks share a file by stretches of bytes and read the frames' bytes alone, so a filter or a join of the index
+    leaves out what isn't wanted before anything is read, and a file may be of any size. A frame whose chunk is
+    shorter than its image raises.
+    """
+    columns = ["video_id", "frame_index", "pixels", "unequal"]
+    stored_size = (3 * width + 3) // 4 * 4 * height
+
+    def run(batches):
+        import pandas as pd
+
+        path, data = None, None
+        for pdf in batches:
+            rows = []
+            for video, where, number, offset, size in pdf[["video_id", "path", "frame_index", "offset", "size"]].itertuples(index=False):
+                if where != path:
+                    path, data = where, RangeFile(where)
+                if size < stored_size:
+                    raise ValueError(f"frame {number} of {video} is shorter than its image")
+                planes = frame_planes(data, offset, width, height)
+                rows.append((video, number, planes[..., 0].tobytes(), int(((planes[..., 0] != planes[..., 1]) | (planes[..., 0] != planes[..., 2])).sum())))
+                if len(rows) == 256:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
+
+    total = index.agg(F.sum("size")).first()[0] or 0
+    dealt = spread(index, -(-total // stretch), "path", F.floor(F.col("offset") / stretch)).sortWithinPartitions("path", "offset")
+    return dealt.mapInPandas(run, "video_id string, frame_index int, pixels binary, unequal int")
+
+
+def list_videos(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the videos under path, for frame_index."""
+    return list_files(spark, path, ".avi")
+
+
 def decode_frames(videos: DataFrame, width: int = 120, height: int = 120) -> DataFrame:
     """(video_id, frame_index, pixels, unequal): the first plane of each frame, and how many of its pixels have
     unequal planes. A frame shorter than its image raises."""

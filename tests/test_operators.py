@@ -369,3 +369,76 @@ def test_decoding_of_a_long_video_with_ties(spark, monkeypatch):
         assert [r["temporal_label"] for r in got] == want.tolist()
         assert [r["segment"] for r in got] == [0] * 900 + [1] * (len(p) - 900)
     assert temporal.decode(d.filter("false")).count() == 0
+
+
+def test_arrays_of_all_types_come_back(spark, tmp_path):
+    from regimark.sources import arrays
+
+    spark.dataSource.register(arrays.ArrayFiles)
+    rng = np.random.default_rng(9)
+    n = 1000
+    made = {k: rng.integers(0, 2, n).astype(k) for k in ("?", "i1", "u1", "i2", "u2", "i4", "u4", "i8", "f2", "f4", "f8", ">i4", ">f8")} | {"text": np.array(["é" * (k % 4) for k in range(n)]), "two": rng.random((n, 3)).astype("f4")}
+    made = {f"c{k}": v for k, v in enumerate(made.values())}
+    np.savez(tmp_path / "plain.npz", **made)
+    np.savez_compressed(tmp_path / "small.npz", **made)
+    for name, parts in (("plain", 10), ("small", 1)):
+        back = spark.read.format("array_files").option("path", str(tmp_path / f"{name}.npz")).option("rowsPerPartition", 100).option("fileColumns", "true").load()
+        assert back.rdd.getNumPartitions() == parts  # tasks share what isn't compressed
+        pdf = back.toPandas().sort_values("row")
+        for c, v in made.items():
+            got = np.stack(pdf[c].to_numpy()) if v.ndim == 2 else pdf[c].to_numpy()
+            assert (got == v).all(), c
+    np.save(tmp_path / "one.npy", made["c10"])
+    one = spark.read.format("array_files").option("path", str(tmp_path / "one.npy")).load()
+    assert one.columns == ["one"] and one.count() == n
+    rows = spark.createDataFrame([(k, float(k) if k % 2 else None, "x" * k, [1.0, 2.0 * k], k % 3 == 0) for k in range(25)], "k long, f float, s string, a array<double>, b boolean")
+    rows.repartition(2).write.format("array_files").mode("append").option("path", str(tmp_path / "out")).option("rowsPerFile", 4).save()
+    again = spark.read.format("array_files").option("path", str(tmp_path / "out")).load()
+    plain = lambda r: (r["k"], None if r["f"] is None or r["f"] != r["f"] else r["f"], r["s"], r["a"], r["b"])
+    assert sorted(map(plain, again.collect())) == sorted(map(plain, rows.collect()))
+    assert max(len(np.load(f)["k"]) for f in (tmp_path / "out").glob("*.npz")) == 4
+    with pytest.raises(Exception, match="has no NULL"):
+        spark.createDataFrame([(None,)], "k long").write.format("array_files").mode("append").option("path", str(tmp_path / "bad")).save()
+    assert not list((tmp_path / "bad").glob("*.npz")) if (tmp_path / "bad").exists() else True
+    np.savez(tmp_path / "fortran.npz", a=np.asfortranarray(np.ones((3, 2))))
+    with pytest.raises(Exception, match="by columns"):
+        spark.read.format("array_files").option("path", str(tmp_path / "fortran.npz")).load().count()
+
+
+def test_a_large_video_is_read_by_several_tasks(spark, tmp_path):
+    from regimark.plans import source_queries
+    from regimark.sources import avi, ranges
+
+    rng = np.random.default_rng(10)
+    vectors = spark.createDataFrame([(k, rng.random(64).tolist()) for k in range(64)], "vec_id long, embedding array<double>")
+    files = source_queries._video_files(vectors)
+    ranges.write_files(files, str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["v0.avi"]
+    index = avi.frame_index(avi.list_videos(spark, str(tmp_path)))
+    got = avi.read_frames(index, 8, 8, stretch=1500)
+    dealt = got.withColumn("part", F.spark_partition_id()).select("part").distinct().count()
+    assert dealt > 1
+    whole = avi.decode_frames(files.select(F.lit("v0").alias("video_id"), "content"), 8, 8)
+    key = lambda r: (r["frame_index"], bytes(r["pixels"]), r["unequal"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, whole.collect()))
+    with pytest.raises(Exception, match="shorter than its image"):
+        avi.read_frames(index, 9, 9).collect()
+    (tmp_path / "none.avi").write_bytes(b"RIFF\4\0\0\0AVI ")
+    with pytest.raises(Exception, match="no list of frames"):
+        avi.frame_index(avi.list_videos(spark, str(tmp_path))).collect()
+
+
+def test_members_are_read_as_streams(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "Big.ZIP", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a/m.csv", "﻿h,i\r\n" + "".join(f"{k},{k / 2}\r\n" for k in range(25_000)) + 'x,1\r\n"7","8",9\r\n')
+        z.writestr("n.csv", b"1,2\n\xff,3\n4,5,6\n")
+        z.writestr("empty.csv", "")
+        z.writestr("dir/", "")
+    a = tables.list_archives(spark, str(tmp_path))
+    assert sorted((r["member"], r["size"] > 0) for r in tables.archive_index(a).collect()) == [("a/m.csv", True), ("empty.csv", False), ("n.csv", True)]
+    got = tables.archive_numbers(a, "csv$", 2).orderBy("member", "row").collect()
+    assert [r["numbers"] for r in got if r["member"] == "n.csv"] == [[1.0, 2.0], [4.0, 5.0]]
+    big = [r for r in got if r["member"] == "a/m.csv"]
+    assert [r["row"] for r in big] == list(range(25_001)) and big[-1]["numbers"] == [7.0, 8.0] and big[9]["numbers"] == [9.0, 4.5]
+    assert {tuple(r["numbers"]) for r in tables.archive_numbers(a, "^n", None).collect()} == {(1.0, 2.0), (4.0, 5.0)}
+    assert all(r["crc_ok"] for r in tables.archive_members(a).collect())
