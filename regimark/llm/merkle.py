@@ -127,6 +127,8 @@ class Forest:
     def proved(self, tops: DataFrame, give: Callable, schema: T.StructType) -> DataFrame:
         """give(row, path, subroot) of every row, as a frame."""
         begins, parts = self.begins, self.sorted.getNumPartitions()
+        if not parts:  # no rows
+            return self.spark.createDataFrame([], schema)
         known = self.paths(tops).repartitionById(parts, F.col("part")).select("gid", "level", "index", "path", "subroot").rdd.glom()
 
         def prove(part, pairs):
