@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import events as E
 from ..operators import frames as D
+from ..operators import spread as SP
 from ..operators import temporal as TM
 from ..operators import windows as W
 from ..sources import store
@@ -248,3 +249,31 @@ def sequence_metrics(spark, sf):
 def path_segments(spark, sf):
     s = W.path_segments(frames(spark, sf), "intensity", "power", "p_high")
     return s.select("video_id", "frame_index", R(F.col("x0")).alias("x0"), "y0", R(F.col("x1")).alias("x1"), "y1")
+
+
+def _one_video(spark, sf):
+    """All events as frames of one video, by their ids."""
+    e = table(spark, sf, "events")
+    return e.select(F.lit(1).cast("long").alias("video_id"), F.col("event_id").alias("frame_index"), F.col("value").alias("intensity"), F.get_json_object("props", "$.k").cast("double").alias("power"))
+
+
+ONE_VIDEO = "frames AS (SELECT 1::BIGINT AS video_id, event_id AS frame_index, value AS intensity, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS power FROM events)"
+SHORT_STRETCH = 512
+
+
+@query("w1_w3_one_long_video", f"""WITH {ONE_VIDEO} SELECT video_id, frame_index, round(coalesce(intensity - lag(intensity) OVER w, 0), 6) + 0.0 AS delta_area, round(coalesce(sqrt(pow(intensity - lag(intensity) OVER w, 2) + pow(power - lag(power) OVER w, 2)), 0), 6) AS centroid_motion,
+round(avg(intensity) OVER t, 6) AS rolling_area_mean, round(stddev_pop(power) OVER t, 5) + 0.0 AS rolling_intensity_std FROM frames WINDOW w AS ({DOWN}), t AS ({DOWN} ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)""")
+def temporal_features_of_a_long_video(spark, sf):
+    f = SP.temporal_features(_one_video(spark, sf), "intensity", "power", "power", "intensity", "power", stretch=SHORT_STRETCH)
+    return f.select("video_id", "frame_index", *[R(F.col(c)).alias(c) for c in ("delta_area", "centroid_motion", "rolling_area_mean")], R(F.col("rolling_intensity_std"), 5).alias("rolling_intensity_std"))
+
+
+@query("w7_segments_of_a_long_video", f"WITH {ONE_VIDEO}, g AS (SELECT *, CASE WHEN frame_index - lag(frame_index) OVER ({DOWN}) > 1 THEN 1 ELSE 0 END AS gap FROM frames WHERE power < 90), s AS (SELECT *, CAST(sum(gap) OVER ({DOWN}) AS BIGINT) AS segment FROM g) SELECT video_id, segment, min(frame_index) AS start, count(*) AS n FROM s GROUP BY 1, 2")
+def segments_of_a_long_video(spark, sf):
+    g = SP.gap_segments(_one_video(spark, sf).filter("power < 90"), stretch=SHORT_STRETCH)
+    return g.groupBy("video_id", "segment").agg(F.min("frame_index").alias("start"), F.count("*").alias("n"))
+
+
+@query("w10_events_of_a_long_video", f"WITH {ONE_VIDEO}, {_event_sql('p', 'power < 75')} SELECT * FROM p")
+def events_of_a_long_video(spark, sf):
+    return SP.events(_one_video(spark, sf), F.col("power") < 75, stretch=SHORT_STRETCH)

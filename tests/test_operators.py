@@ -442,3 +442,30 @@ def test_members_are_read_as_streams(spark, tmp_path):
     assert [r["row"] for r in big] == list(range(25_001)) and big[-1]["numbers"] == [7.0, 8.0] and big[9]["numbers"] == [9.0, 4.5]
     assert {tuple(r["numbers"]) for r in tables.archive_numbers(a, "^n", None).collect()} == {(1.0, 2.0), (4.0, 5.0)}
     assert all(r["crc_ok"] for r in tables.archive_members(a).collect())
+
+
+def test_long_videos_in_stretches(spark):
+    from regimark.operators import spread
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for video, n, step in (("dense", 300, 2), ("sparse", 60, 90), (None, 40, 3), ("one", 1, 2)):
+        numbers = np.cumsum(rng.integers(1, step, n)) - 50
+        rows += [(video, int(k), *map(float, rng.normal(0, 1, 5)), bool(rng.random() < 0.7)) for k in numbers]
+    names = ["threshold_area", "mean_intensity", "total_intensity", "centroid_x", "centroid_y"]
+    d = spark.createDataFrame(rows, "video_id string, frame_index int, " + ", ".join(f"{c} double" for c in names) + ", hit boolean").repartition(6)
+    key = lambda r: (repr(r["video_id"]), r["frame_index"])
+    whole = sorted(windows.with_temporal(d).collect(), key=key)
+    segments = sorted(map(tuple, windows.gap_segments(d).select("video_id", "frame_index", "segment").collect()), key=repr)
+    found = sorted(map(tuple, events.events(d, F.col("hit")).collect()), key=repr)
+    for stretch in (1, 7, 64, 100_000):
+        got = sorted(spread.temporal_features(d, stretch=stretch).collect(), key=key)
+        assert len(got) == len(rows)
+        for a, b in zip(got, whole, strict=True):
+            assert a["video_id"] == b["video_id"] and a["hit"] == b["hit"]
+            assert list(a)[1:] == pytest.approx(list(b)[1:], rel=1e-9, abs=1e-9)
+        assert sorted(map(tuple, spread.gap_segments(d, stretch=stretch).select("video_id", "frame_index", "segment").collect()), key=repr) == segments
+        assert sorted(map(tuple, spread.events(d, F.col("hit"), stretch=stretch).select("video_id", "start", "end").collect()), key=repr) == found
+    # One frame a stretch of 1: every task has a frame and its halo.
+    most = spread.with_halo(d, 10, 64).groupBy("video_id", "__stretch").count().agg(F.max("count")).first()[0]
+    assert most <= 64 + 10
