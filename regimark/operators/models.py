@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from .stats import quantiles
 
 COMPONENTS = 3
 REG = 1e-5
-#: Rows that starts of k-means are drawn from.
-SAMPLE = 4096
+#: Rounds of drawing candidates for starts of k-means, and candidates of a round for each centre.
+SEED_ROUNDS, OVERSAMPLED = 3, 4
 # Where the anchored start takes its components, and their weights.
 ANCHORS, ANCHOR_WEIGHTS, ANCHOR_SHARE, ANCHOR_LEAST = (0.10, 0.50, 0.90), (0.25, 0.50, 0.25), 0.05, 32
 
@@ -103,15 +104,75 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centres[None]) ** 2).sum(2)
 
 
-def _first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Each next centre by chance in proportion to its squared distance from the nearest so far."""
-    rng = np.random.default_rng(seed)
-    centres = sample[[rng.integers(len(sample))]]
-    while len(centres) < k:
-        d = _squares(sample, centres).min(1)
-        at = rng.choice(len(sample), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(sample))
-        centres = np.vstack([centres, sample[at]])
-    return centres
+def _drawn(points: DataFrame, z: list[str], jobs: list[Job], n: int, turn: int, weight) -> list[np.ndarray]:
+    """For each job n of its rows without replacement, by chance in proportion to weight(number of the job, rows).
+
+    A row's key is the logarithm of a random number over its weight, and the n largest keys of all rows are the draw;
+    tasks give the n largest of theirs. Numbers follow from the job's seed, the turn and the partition.
+    """
+
+    def run(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        rngs = [np.random.default_rng((job.seed, turn, TaskContext.get().partitionId())) for job in jobs]
+        for batch in batches:
+            *cols, fold = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.column_stack(cols)
+            for j, job in enumerate(jobs):
+                rows = job.rows(x, fold)
+                w = weight(j, rows)
+                with np.errstate(divide="ignore"):
+                    keys = np.where(w > 0, np.log(rngs[j].random(len(rows))) / np.where(w > 0, w, 1), -math.inf)
+                if j in held:
+                    keys, rows = np.concatenate([held[j][0], keys]), np.concatenate([held[j][1], rows])
+                best = np.argsort(-keys, kind="stable")[:n]
+                held[j] = keys[best[keys[best] > -math.inf]], rows[best[keys[best] > -math.inf]]
+        for j, (keys, rows) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([j] * len(keys), pa.int32()), pa.array(keys), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["job", "key", "x"])
+
+    drawn = points.select(*z, "__fold").mapInArrow(run, "job int, key double, x array<double>")
+    best = drawn.withColumn("place", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("key"), "x"))).filter(F.col("place") <= n)
+    found: list[list] = [[] for _ in jobs]
+    for r in best.orderBy("job", "place").collect():  # n rows a job
+        found[r["job"]].append(r["x"])
+    return [np.array(x) for x in found]
+
+
+def _starts(points: DataFrame, z: list[str], jobs: list[Job], k: int, d: int) -> list[np.ndarray]:
+    """Starts of k-means from all rows: SEED_ROUNDS times OVERSAMPLED rows are drawn by their squared distance from
+    those drawn before, weighed by the rows nearest to them, and clustered on the driver."""
+    first = _drawn(points, z, jobs, 1, 0, lambda _, rows: np.ones(len(rows)))
+    if not any(map(len, first)):
+        return [np.zeros((k, d)) for _ in jobs]
+    found = [c if len(c) else np.zeros((1, d)) for c in first]
+    for turn in range(1, SEED_ROUNDS + 1):
+        now = list(found)
+        more = _drawn(points, z, jobs, OVERSAMPLED * k, turn, lambda j, rows, now=now: _squares(rows, now[j]).min(1))
+        found = [np.concatenate([c, m]) if len(m) else c for c, m in zip(found, more, strict=True)]
+    most = max(map(len, found))
+
+    def near(j, rows):
+        return np.bincount(_squares(rows, found[j]).argmin(1), minlength=most).astype(float)
+
+    counts = _sums(points, z, jobs, near)
+    return [_weighted_centres(c, n[: len(c)], k, job.seed) for c, n, job in zip(found, counts, jobs, strict=True)]
+
+
+def _weighted_centres(x: np.ndarray, weight: np.ndarray, k: int, seed: int, tries: int = 16) -> np.ndarray:
+    """k centres of a few weighted rows, the best of several tries: each next one by chance in proportion to weight and
+    squared distance, then ten steps of k-means."""
+    rng, found = np.random.default_rng(seed), []
+    weight = np.maximum(weight, 1e-9)
+    for _ in range(tries):
+        centres = x[[rng.choice(len(x), p=weight / weight.sum())]]
+        while len(centres) < k:
+            d = _squares(x, centres).min(1) * weight
+            at = rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))
+            centres = np.vstack([centres, x[at]])
+        for _ in range(10):
+            own = np.eye(k)[_squares(x, centres).argmin(1)] * weight[:, None]
+            centres = np.where(own.sum(0)[:, None] > 0, own.T @ x / np.maximum(own.sum(0), 1e-300)[:, None], centres)
+        found.append(((_squares(x, centres).min(1) * weight).sum(), centres))
+    return min(found, key=lambda f: f[0])[1]
 
 
 def _moments(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -126,13 +187,10 @@ def _taken(sums: np.ndarray, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np
 def kmeans_fits(points: DataFrame, z: list[str], jobs: list[Job], iterations: int = 500, tol: float = 1e-4, k: int = COMPONENTS, width: int | None = None) -> list[tuple[np.ndarray, float, Mixture]]:
     """For each job centres, cost, and the mixture that its clusters are. points: z and __fold.
 
-    Starts are drawn from SAMPLE rows, the first by a hash of their values. A job ends when its centres move by
-    less than tol in all.
+    A job ends when its centres move by less than tol in all.
     """
-    head = points.orderBy(F.xxhash64(*z)).limit(SAMPLE).toArrow()  # SAMPLE rows at most
-    x, fold = np.column_stack([head[c].to_numpy() for c in z]), head["__fold"].to_numpy()
     d = width or len(z)  # of the rows that a job takes
-    centres = [_first_centres(own, k, job.seed) if len(own := job.rows(x, fold)) else np.zeros((k, d)) for job in jobs]
+    centres = _starts(points, z, jobs, k, d)
     done: dict[int, tuple] = {}
     for _ in range(iterations):
         live = [j for j in range(len(jobs)) if j not in done]

@@ -27,7 +27,7 @@ def greedy_picks(records: DataFrame, steps: list[tuple[str, str]], key: str) ->
 def upper_median(records: DataFrame, value: str, key: str) -> DataFrame:
     """The record at place n // 2 of the order by value, ties by key; keys are distinct. Places come from sums over
     ranges of the order, so no task holds all records."""
-    placed = cumulative(records.withColumns({"__order": F.struct(value, key), "__one": F.lit(1)}), "__order", "__one", "__place")
+    placed = cumulative(records.withColumns({"__order": F.struct(value, key), "__one": F.lit(1)}), "__order", {"__one": "__place"})
     n = records.agg(F.count("*").alias("__n"))
     return placed.crossJoin(F.broadcast(n)).filter(F.col("__place") == F.floor(F.col("__n") / 2) + 1).drop("__order", "__one", "__place", "__n")
 

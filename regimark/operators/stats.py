@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.store import stored
 
 TINY = 1e-12
+MOST = 1.7976931348623157e308
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -20,12 +23,16 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def quantiles(rows: DataFrame, wanted: list[tuple[str, float]], keep: int = 5_000, bins: int = 64) -> list[float | None]:
-    """Exact quantiles of whole columns, interpolated between neighbours; NULL for a column without numbers.
+    """Exact quantiles of whole columns, interpolated between neighbours; NULL for a column without finite numbers.
 
     The range that holds a rank is narrowed by counts in bins, for all columns in one pass each time, until it
     holds keep values at most or one alone; only these reach the driver. No task keeps the values of a column.
+    Values that aren't finite don't count. Passes have bins of equal width and of equal ratio by turns, so that
+    neither values far out nor values close together keep a range wide; the ends of a range never share a bin.
     """
     names = list(dict.fromkeys(c for c, _ in wanted))
+    finite = lambda c: F.when(F.abs(F.col(c).cast("double")) <= MOST, F.col(c).cast("double") + 0.0)
+    rows = rows.select(*[finite(c).alias(c) for c in names])
     head = rows.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     ranges: dict[tuple[str, int], list] = {}  # column and rank: least and largest value in reach, how many lie below and inside
     places = []
@@ -41,8 +48,22 @@ def quantiles(rows: DataFrame, wanted: list[tuple[str, float]], keep: int = 5_00
         found = F.array(*[F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), also(x, lo, hi).alias("b"), x.alias("v"))) for x, lo, hi, i in inside])
         return rows.select(F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e")).select("e.*")
 
+    def equal_width(x, lo, hi):
+        half = 0.5 if math.isinf(hi - lo) else 1.0
+        return F.least(F.lit(bins - 1), F.floor((x * half - lo * half) / (hi * half - lo * half) * bins)).cast("int")
+
+    def equal_ratio(x, lo, hi):
+        scale = lambda v: math.copysign(math.log(abs(v)) + 746, v) if v else 0.0
+        if scale(hi) - scale(lo) < 1e-9:
+            return equal_width(x, lo, hi)
+        of = F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log(F.abs(x)) + 746))
+        at = F.floor((of - scale(lo)) / (scale(hi) - scale(lo)) * bins)
+        return F.when(x <= lo, 0).when(x >= hi, bins - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), at))).cast("int")
+
+    turn = 0
     while wide := [k for k, (lo, hi, _, n) in ranges.items() if lo < hi and n > keep]:
-        cells = entries(wide, lambda x, lo, hi: F.least(F.lit(bins - 1), F.floor((x - lo) / (hi - lo) * bins)).cast("int")).groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        turn += 1
+        cells = entries(wide, equal_width if turn % 2 else equal_ratio).groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         by_range: dict[int, list] = {}
         for r in sorted(cells.collect()):  # bins rows a range at most
             by_range.setdefault(r["i"], []).append(r)
@@ -70,23 +91,25 @@ def quantiles(rows: DataFrame, wanted: list[tuple[str, float]], keep: int = 5_00
     return out
 
 
-def cumulative(rows: DataFrame, order: str, value: str, alias: str) -> DataFrame:
-    """rows with the sum of value over all rows up to theirs by order, which must be unique.
+def cumulative(rows: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """rows with, for each value and alias of sums, the sum of value over all rows up to theirs by order, which must be unique.
 
     Rows are dealt by ranges of order; each part sums its own and adds the totals of the parts before, of which
     there are as many as partitions. No task holds more than a part.
     """
     dealt = stored(rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()), "ranges")
-    totals = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    before = totals.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__before"))  # a row a partition
-    own = F.sum(value).over(Window.partitionBy("__part").orderBy(order))
-    return dealt.withColumn(alias, own).join(F.broadcast(before), "__part").withColumn(alias, F.col(alias) + F.col("__before")).drop("__part", "__before")
+    totals = dealt.groupBy("__part").agg(*[F.sum(v).alias(f"__sum_{a}") for v, a in sums.items()])
+    upto = Window.orderBy("__part")  # over a row a partition
+    before = totals.select("__part", *[(F.sum(f"__sum_{a}").over(upto) - F.col(f"__sum_{a}")).alias(f"__before_{a}") for a in sums.values()])
+    own = Window.partitionBy("__part").orderBy(order)
+    out = dealt.withColumns({a: F.sum(v).over(own) for v, a in sums.items()}).join(F.broadcast(before), "__part")
+    return out.withColumns({a: F.col(a) + F.col(f"__before_{a}") for a in sums.values()}).drop("__part", *[f"__before_{a}" for a in sums.values()])
 
 
 def average_rank(rows: DataFrame, value: str, alias: str) -> DataFrame:
     """rows with the 1-based average rank of value over the whole table: counts of values, cumulated."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    upto = cumulative(counts, value, "__n", "__upto")
+    upto = cumulative(counts, value, {"__n": "__upto"})
     ranks = upto.select(F.col(value).alias("__v"), (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(alias))
     return rows.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
@@ -104,7 +127,7 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
     pairs = stored(pairs, "pairs")
     for c in ("x", "y"):
-        upto = cumulative(pairs.groupBy(c).agg(F.sum("n").alias("__n")), c, "__n", "__upto")
+        upto = cumulative(pairs.groupBy(c).agg(F.sum("n").alias("__n")), c, {"__n": "__upto"})
         pairs = pairs.join(upto.select(F.col(c), (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(f"r{c}")), c)
     total = pairs.agg(F.sum("n").alias("__total"))
     centred = pairs.crossJoin(F.broadcast(total)).withColumns({f"d{c}": F.col(f"r{c}") - (F.col("__total") + 1) / 2.0 for c in ("x", "y")})
@@ -121,7 +144,7 @@ def spearman_within(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFra
 def score_groups(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """(score, pos, neg, cum_pos, cum_all): counts by distinct score, cumulated from the highest."""
     counts = rows.filter(F.col(score).isNotNull()).groupBy((-F.col(score)).alias("__s")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("n"))
-    upto = cumulative(cumulative(counts, "__s", "pos", "cum_pos"), "__s", "n", "cum_all")
+    upto = cumulative(counts, "__s", {"pos": "cum_pos", "n": "cum_all"})
     return upto.select((-F.col("__s")).alias("score"), "pos", (F.col("n") - F.col("pos")).alias("neg"), "cum_pos", "cum_all")
 
 
@@ -155,19 +178,43 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return joined.select(*by, F.col("total").alias("n"), ari.alias("ari"))
 
 
-def bootstrap_interval(groups: DataFrame, key: str, value: str, repetitions: int = 4000, seed: int = 42) -> DataFrame:
-    """(key, mean, low, high): 95 % interval of the mean by resampling. Groups are the parts of a dataset: small."""
+def bootstrap_interval(groups: DataFrame, key: str, value: str, repetitions: int = 4000, seed: int = 42, held_keys: int = 100) -> DataFrame:
+    """(key, mean, low, high): 95 % interval of the mean by resampling, for groups of any size.
 
-    def run(keys, pdf):
-        import pandas as pd
+    Each repetition gives each row a weight by Poisson's law of mean 1; its mean is a ratio of two sums, so tasks add
+    up what they have and no task holds a group. Equal values are drawn together, by the law of mean their number.
+    Draws follow from the seed, the key and the value, however rows are dealt. A group without numbers has NULL.
+    """
+    import pyarrow as pa
 
-        x = pdf[value].dropna().to_numpy()
-        if not len(x):
-            return pd.DataFrame([(keys[0], None, None, None)], columns=[key, "mean", "low", "high"])
-        means = np.random.default_rng(seed).choice(x, (repetitions, len(x)), replace=True).mean(axis=1)
-        return pd.DataFrame([(keys[0], x.mean(), *np.quantile(means, [0.025, 0.975]))], columns=[key, "mean", "low", "high"])
+    def run(batches):
+        held: dict[int, list] = {}
 
-    return groups.groupBy(key).applyInPandas(run, f"{key} {groups.schema[key].dataType.simpleString()}, mean double, low double, high double")
+        def given():
+            for k, (sums, counts) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * repetitions, pa.int64()), pa.array(range(repetitions), pa.int32()), pa.array(sums), pa.array(counts)], ["__k", "__r", "__x", "__w"])
+            held.clear()
+
+        for batch in batches:
+            for k, x, n in zip(*(c.to_numpy(zero_copy_only=False) for c in batch.columns), strict=True):
+                bits = int(np.float64(x).view(np.uint64))
+                draws = np.random.Generator(np.random.Philox(key=[(int(k) ^ seed) & 0xFFFFFFFFFFFFFFFF, bits])).poisson(n, repetitions)
+                if k not in held:
+                    if len(held) >= held_keys:
+                        yield from given()
+                    held[k] = [np.zeros(repetitions), np.zeros(repetitions, np.int64)]
+                held[k][0] += draws * x
+                held[k][1] += draws
+        yield from given()
+
+    keyed = groups.select(F.col(key), F.col(value).cast("double").alias("__v"), F.xxhash64(key).alias("__k"))
+    counts = keyed.filter(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy("__k", "__v").agg(F.count("*").alias("__n"))
+    # A task has the rows of a key together, and a key with many values lies in many tasks.
+    drawn = counts.sortWithinPartitions("__k", "__v").mapInArrow(run, "__k long, __r int, __x double, __w long")
+    means = drawn.groupBy("__k", "__r").agg((F.sum("__x") / F.nullif(F.sum("__w"), F.lit(0))).alias("__m"))
+    ends = means.groupBy("__k").agg(*[F.percentile("__m", q).alias(n) for q, n in ((0.025, "low"), (0.975, "high"))])  # `repetitions` rows a key
+    own = keyed.groupBy(key, "__k").agg(F.avg(F.when(~F.isnan("__v"), F.col("__v"))).alias("mean"))
+    return own.join(ends, "__k", "left").select(key, "mean", "low", "high")
 
 
 def mean_std(metrics: list[str]) -> list[Column]:

@@ -42,7 +42,7 @@ def discrete_quantiles(spark, sf):
 @query("w14_cumulative_counts", "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS upto FROM d")
 def cumulative_counts(spark, sf):
     d = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
-    return ST.cumulative(d, "day", "n", "upto").select(F.col("day").cast("string").alias("day"), "upto")
+    return ST.cumulative(d, "day", {"n": "upto"}).select(F.col("day").cast("string").alias("day"), "upto")
 
 
 def _runs(spark, sf):

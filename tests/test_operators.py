@@ -469,3 +469,56 @@ def test_long_videos_in_stretches(spark):
     # One frame a stretch of 1: every task has a frame and its halo.
     most = spread.with_halo(d, 10, 64).groupBy("video_id", "__stretch").count().agg(F.max("count")).first()[0]
     assert most <= 64 + 10
+
+
+def test_quantiles_end_on_any_values(spark):
+    rng = np.random.default_rng(12)
+    columns = {
+        "far": np.append(rng.random(999), 1e300), "wide": np.append(rng.choice([-1.7e308, 1.7e308], 998), [0.0, 5e-324]), "equal": np.full(1000, 3.25),
+        "ratios": 10.0 ** rng.uniform(-300, 300, 1000) * rng.choice([-1, 1], 1000), "close": 1 + np.arange(1000) * 2.0**-50, "tiny": rng.integers(0, 5, 1000) * 5e-324,
+        "odd": np.concatenate([rng.normal(0, 1, 900), [np.inf] * 40, [-np.inf] * 30, [np.nan] * 30]), "none": np.full(1000, np.nan),
+    }
+    d = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns))
+    wanted = [(c, q) for c in columns for q in (0.0, 0.25, 0.9, 1.0)]
+    for (c, q), got in zip(wanted, stats.quantiles(d, wanted, keep=5), strict=True):
+        x = np.sort(columns[c][np.isfinite(columns[c])])
+        if not len(x):
+            assert got is None
+            continue
+        low = x[int((len(x) - 1) * q)]
+        high = x[min(int((len(x) - 1) * q) + 1, len(x) - 1)]
+        assert low <= got <= high, (c, q)
+
+
+def test_starts_from_all_rows_find_small_clusters(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(0, 1, (6000, 2)), rng.normal(60, 0.2, (12, 2)), rng.normal((-50, 70), 0.2, (8, 2))])
+    points = spark.createDataFrame([(*map(float, r), -1) for r in x[rng.permutation(len(x))]], "a double, b double, __fold int").repartition(5).cache()
+    jobs = [models.Job(seed=s) for s in range(4)]
+    starts = models._starts(points, ["a", "b"], jobs, 3, 2)
+    cost = lambda c: ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+    best = cost(np.array([[0, 0], [60, 60], [-50, 70]]))
+    few = x[rng.choice(len(x), 200, replace=False)]  # starts from a sample miss the small ones
+    sample = [models._weighted_centres(few, np.ones(200), 3, s) for s in range(4)]
+    for c, other in zip(starts, sample, strict=True):
+        assert cost(c) < 1.1 * best and cost(c) <= cost(other)
+    again = models._starts(points, ["a", "b"], jobs[1:2], 3, 2)[0]
+    assert np.allclose(again, starts[1])  # whatever other jobs share the passes
+    assert models._starts(points.filter("false"), ["a", "b"], jobs[:1], 3, 2)[0].shape == (3, 2)
+
+
+def test_bootstrap_of_groups_of_any_size(spark):
+    rng = np.random.default_rng(14)
+    groups = {"small": rng.normal(5, 2, 40), "large": rng.exponential(3, 20_000).round(2), "one": np.array([7.0]), "same": np.full(1000, 2.0), "none": np.array([np.nan])}
+    d = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("small", None)], "g string, v double")
+    got = {r["g"]: r for r in stats.bootstrap_interval(d.repartition(5), "g", "v", 1000).collect()}
+    for k in ("small", "large"):
+        x = groups[k]
+        means = np.array([rng.choice(x, len(x)).mean() for _ in range(1000)])
+        assert got[k]["mean"] == pytest.approx(x.mean())
+        for end, q in (("low", 0.025), ("high", 0.975)):  # four errors of the two simulations
+            assert got[k][end] == pytest.approx(np.quantile(means, q), abs=8 * means.std() / np.sqrt(1000) * 2.7)
+    assert (got["one"]["low"], got["one"]["high"]) == (7.0, 7.0) and got["same"]["low"] == pytest.approx(2.0)
+    assert got["none"]["mean"] is None and got["none"]["low"] is None
+    other = {r["g"]: r for r in stats.bootstrap_interval(d.repartition(2), "g", "v", 1000, held_keys=1).collect()}
+    assert other["large"]["low"] == pytest.approx(got["large"]["low"], rel=1e-12)  # however rows are dealt
