@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import method_threshold
+from ..functions.scalar import FRAME_RATE, divided, method_threshold
+from ..sources.store import stored
+from . import events as E
+from . import stats as ST
 from .stats import bootstrap_interval, quantiles, spearman, spearman_within
 from .temporal import sequence_metrics
 
 #: Frames that a part needs to count.
 PART_FRAMES = 20
+# Thresholds of the score that alarms are tried at.
+ALARM_THRESHOLDS = (0.30, 0.50, 0.70, 0.90)
+BEST = "probability_best_f1"
 
 
 def part_table(frames: DataFrame) -> DataFrame:
@@ -57,6 +65,57 @@ def evaluate_run(frames: DataFrame, intervals: bool = True) -> DataFrame:
     return out.withColumn("switch_reduction_fraction", F.try_divide(raw - F.col("temporal_switches_per_1000"), raw))
 
 
+def alarm_evaluation(frames: DataFrame, definitions: dict[str, Column], score: str = "p_high") -> DataFrame:
+    """A row for each definition of an alarm and each of seven methods to raise it.
+
+    Methods: the score at fixed thresholds and at the one of the best F1, the highest state by label and by
+    temporal_label. Columns: threshold (NULL for states), share of true frames, AUROC and AUPRC of the score (NULL for
+    one class), the best threshold, counts and rates of frames, and events: recall, false alarms, delays. Frames are
+    counted once by all their flags, and only these few counts are told apart by method.
+    frames: video_id, frame_index, label, temporal_label, the score, and what definitions read.
+    """
+    truths = {d: f"__true_{k}" for k, d in enumerate(definitions)}
+    held = stored(frames.select("video_id", "frame_index", score, "label", "temporal_label", *[F.coalesce(c, F.lit(False)).alias(truths[d]) for d, c in definitions.items()]), "alarms")
+    parts = held.select("video_id").distinct().count()
+    best = {d: E.best_f1(E.threshold_metrics(held, t, score)).first() for d, t in truths.items()}
+    best = {d: r["threshold"] if r else 0.5 for d, r in best.items()}
+
+    fixed = {f"probability_{t:.2f}": t for t in ALARM_THRESHOLDS}
+    flags = {m: F.col(score) >= t for m, t in fixed.items()} | {f"{BEST}:{d}": F.col(score) >= t for d, t in best.items()}
+    flags |= {"raw_high_state": F.col("label") == 2, "temporal_high_state": F.col("temporal_label") == 2}
+    column = {m: f"__flag_{k}" for k, m in enumerate(flags)}
+    marked = held.select("video_id", "frame_index", *truths.values(), *[F.coalesce(c, F.lit(False)).alias(column[m]) for m, c in flags.items()])
+    methods = [(d, m, f"{BEST}:{d}" if m == BEST else m, best[d] if m == BEST else fixed.get(m)) for d in definitions for m in (*fixed, BEST, "raw_high_state", "temporal_high_state")]
+
+    cells = marked.groupBy(*truths.values(), *column.values()).agg(F.count("*").alias("n"))  # thresholds nest: few
+    told = [F.struct(F.lit(d).alias("definition"), F.lit(m).alias("method"), F.lit(t).cast("double").alias("threshold"), F.col(truths[d]).alias("t"), F.col(column[f]).alias("p")) for d, m, f, t in methods]
+    told = cells.select("n", F.inline(F.array(*told)))
+    by = ["definition", "method"]
+    counts = E.confusion(told, F.col("t"), F.col("p"), ("definition", "method", "threshold"), F.col("n"))
+
+    names = {t: f"true:{d}" for d, t in truths.items()} | {c: m for m, c in column.items()}
+    hits = marked.select("video_id", "frame_index", F.explode(F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in names.items()]))).alias("series"))
+    runs = stored(E.events(hits, F.lit(True), keys=("series", "video_id")), "alarm-runs")
+    spark = frames.sparkSession
+    of = lambda pairs: runs.join(F.broadcast(spark.createDataFrame(pairs, "series string, definition string, method string")), "series")
+    true, predicted = of([(f"true:{d}", d, m) for d, m, _, _ in methods]), of([(f, d, m) for d, m, f, _ in methods])
+    found = E.event_metrics_by(true, predicted, by, parts, 1000.0 / FRAME_RATE)
+
+    scores = []
+    for d, t in truths.items():
+        groups = ST.score_groups(held, t, score)
+        both = ST.auroc(groups).crossJoin(ST.average_precision(groups)).select(F.lit(d).alias("definition"), "auroc", F.when(F.col("auroc").isNotNull(), F.col("auprc")).alias("auprc"), F.lit(best[d]).alias("best_f1_threshold"))
+        scores.append(both)
+    out = counts.join(found, by, "left").join(F.broadcast(reduce(DataFrame.unionByName, scores)), "definition")  # a row a definition
+    total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    zero = ("true_events", "predicted_events", "detected_true_events", "event_recall", "false_alarm_events", "false_alarm_events_per_part")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero} | {"positive_power_frame_fraction": divided(F.col("tp") + F.col("fn"), total), "positive_fraction": divided(F.col("tp") + F.col("fp"), total)})
+    return out.select(
+        *by, "threshold", "positive_power_frame_fraction", "auroc", "auprc", "best_f1_threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "specificity", "false_positive_rate",
+        "positive_fraction", *zero, "mean_detection_delay_frames", "mean_detection_delay_ms",
+    )
+
+
 def precision_recall_points(metrics: DataFrame) -> DataFrame:
     """(definition, threshold, precision, recall, f1, false_positive_rate) of methods with a threshold in their name, in order."""
     points = metrics.withColumn("threshold", method_threshold(F.col("method"))).filter("threshold IS NOT NULL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,32 @@ def event_metrics(true: DataFrame, predicted: DataFrame, parts: int) -> DataFram
     return one.withColumns({"event_recall": divided(F.col("detected_events"), F.col("true_events")), "false_alarms_per_part": F.col("false_alarm_events") / F.lit(float(parts))})
 
 
-def confusion(rows: DataFrame, truth: Column, prediction: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts and rates of a binary prediction; a rate with nothing below is 0."""
-    count = lambda t, p: F.sum(((truth == t) & (prediction == p)).cast("long")).alias
+def event_metrics_by(true: DataFrame, predicted: DataFrame, by: list[str], parts: int, frame_ms: float) -> DataFrame:
+    """event_metrics of each group, with the delay in milliseconds too; groups of either side are there. Without a
+    detected event the delay is NULL."""
+    key = F.struct(*by, "video_id").alias("video_id")
+    t, p = (x.select(key, "start", "end") for x in (true, predicted))
+    pairs = matches(t, p)
+    of = [F.col(f"video_id.{c}").alias(c) for c in by]
+    delays = pairs.groupBy("video_id", "true_start").agg(F.greatest(F.min("predicted_start") - F.col("true_start"), F.lit(0)).alias("delay"))
+    met = pairs.select("video_id", "predicted_start").distinct()
+    tables = [
+        true.groupBy(*by).agg(F.count("*").alias("true_events")), predicted.groupBy(*by).agg(F.count("*").alias("predicted_events")),
+        delays.groupBy(*of).agg(F.count("*").alias("detected_true_events"), F.avg("delay").alias("mean_detection_delay_frames")), met.groupBy(*of).agg(F.count("*").alias("met")),
+    ]
+    out = reduce(lambda a, b: a.join(b, by, "full"), tables)
+    count = {c: F.coalesce(c, F.lit(0)) for c in ("true_events", "predicted_events", "detected_true_events")}
+    alarms = count["predicted_events"] - F.coalesce("met", F.lit(0))
+    return out.select(
+        *by, *[v.alias(c) for c, v in count.items()], divided(count["detected_true_events"], count["true_events"]).alias("event_recall"), alarms.alias("false_alarm_events"),
+        (alarms / F.lit(float(max(parts, 1)))).alias("false_alarm_events_per_part"), "mean_detection_delay_frames", (F.col("mean_detection_delay_frames") * frame_ms).alias("mean_detection_delay_ms"),
+    )
+
+
+def confusion(rows: DataFrame, truth: Column, prediction: Column, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """Counts and rates of a binary prediction; a rate with nothing below is 0. weight: frames that a row stands for."""
+    n = F.lit(1).cast("long") if weight is None else weight
+    count = lambda t, p: F.sum(F.when((truth == t) & (prediction == p), n).otherwise(0).cast("long")).alias
     c = rows.groupBy(*by).agg(count(True, True)("tp"), count(False, True)("fp"), count(True, False)("fn"), count(False, False)("tn"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     return c.withColumns(

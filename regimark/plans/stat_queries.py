@@ -96,6 +96,53 @@ def confusion_metrics(spark, sf):
 METHODS = {f"probability_{t:.2f}": f"p_high >= {t}" for t in (0.30, 0.50, 0.70, 0.90)} | {"raw_high_state": "label = 2"}
 
 
+def _alarm_sql() -> str:
+    """Each method as a table of its own, ranks for AUROC, islands for events."""
+    fixed = [0.30, 0.50, 0.70, 0.90]
+    over = "PARTITION BY definition, method, video_id ORDER BY frame_index"
+    events = lambda name, flag: f"{name}_i AS (SELECT *, frame_index - row_number() OVER ({over}) AS island FROM p WHERE {flag}), {name} AS (SELECT definition, method, video_id, min(frame_index) AS start, max(frame_index) AS \"end\" FROM {name}_i GROUP BY 1, 2, 3, island HAVING count(*) >= 2)"
+    flagged = " UNION ALL ".join(
+        [f"SELECT *, 'probability_{x:.2f}' AS method, {x}::DOUBLE AS threshold, p_high >= {x}::DOUBLE AS p FROM t" for x in fixed]
+        + ["SELECT t.*, 'probability_best_f1', best, p_high >= best FROM t JOIN best USING (definition)", "SELECT *, 'raw_high_state', NULL, label = 2 FROM t", "SELECT *, 'temporal_high_state', NULL, temporal_label = 2 FROM t"]
+    )
+    return f""", v AS (SELECT act.*, d.temporal_label FROM act JOIN decoded d USING (video_id, frame_index)),
+q AS (SELECT quantile_cont(power, 0.9) AS cut FROM v),
+t AS (SELECT 'top' AS definition, video_id, frame_index, label, temporal_label, p_high, power >= cut AS t FROM v, q UNION ALL SELECT 'level', video_id, frame_index, label, temporal_label, p_high, power >= 75 FROM v),
+grid AS (SELECT CAST(round(0.05 + k * 0.01, 6) AS DOUBLE) AS threshold FROM (SELECT unnest(range(91)) AS k)),
+tried AS (SELECT definition, threshold, 2 * count(*) FILTER (t AND p_high >= threshold) / nullif(count(*) FILTER (t) + count(*) FILTER (p_high >= threshold), 0) AS f1 FROM t, grid GROUP BY 1, 2),
+best AS (SELECT definition, threshold AS best FROM tried QUALIFY row_number() OVER (PARTITION BY definition ORDER BY round(coalesce(f1, 0), 12) DESC, threshold) = 1),
+p AS ({flagged}),
+c AS (SELECT definition, method, threshold, {CONFUSION} FROM p GROUP BY 1, 2, 3),
+ranked AS (SELECT definition, t, rank() OVER (PARTITION BY definition ORDER BY p_high) + (count(*) OVER (PARTITION BY definition, p_high) - 1) / 2.0 AS r FROM t),
+areas AS (SELECT definition, (sum(r) FILTER (t) - count(*) FILTER (t) * (count(*) FILTER (t) + 1) / 2.0) / (CAST(count(*) FILTER (t) AS DOUBLE) * count(*) FILTER (NOT t)) AS auroc FROM ranked GROUP BY 1),
+steps AS (SELECT definition, p_high, count(*) AS n, count(*) FILTER (t) AS pos FROM t GROUP BY 1, 2),
+sums AS (SELECT definition, pos, sum(pos) OVER w / sum(n) OVER w AS precision, sum(pos) OVER (PARTITION BY definition) AS positives FROM steps WINDOW w AS (PARTITION BY definition ORDER BY p_high DESC)),
+curves AS (SELECT definition, sum(precision * pos / positives) AS auprc FROM sums GROUP BY 1),
+{events("te", "t")}, {events("pe", "p")},
+m AS (SELECT te.definition, te.method, te.video_id, te.start, pe.start AS p_start FROM te JOIN pe ON te.definition = pe.definition AND te.method = pe.method AND te.video_id = pe.video_id AND te.start <= pe."end" AND pe.start <= te."end"),
+delays AS (SELECT definition, method, count(*) AS detected, avg(delay) AS delay FROM (SELECT definition, method, video_id, start, greatest(min(p_start) - start, 0) AS delay FROM m GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+alarms AS (SELECT definition, method, count(*) FILTER (NOT EXISTS (SELECT 1 FROM m WHERE m.definition = pe.definition AND m.method = pe.method AND m.video_id = pe.video_id AND m.p_start = pe.start)) AS n, count(*) AS all_events FROM pe GROUP BY 1, 2),
+truths AS (SELECT definition, method, count(*) AS n FROM te GROUP BY 1, 2),
+parts AS (SELECT count(DISTINCT video_id) AS n FROM v)
+SELECT c.definition, c.method, round(threshold, 6) AS threshold, round((tp + fn) / (tp + fp + fn + tn), 6) AS positive_power_frame_fraction, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(best, 6) AS best_f1_threshold,
+tp, fp, fn, tn, {RATES}, round((tp + fp) / (tp + fp + fn + tn), 6) AS positive_fraction, coalesce(truths.n, 0) AS true_events, coalesce(all_events, 0) AS predicted_events, coalesce(detected, 0) AS detected_true_events,
+round(coalesce(detected / truths.n, 0), 6) AS event_recall, coalesce(alarms.n, 0) AS false_alarm_events, round(coalesce(alarms.n, 0) / parts.n, 6) AS false_alarm_events_per_part, round(delay, 6) AS mean_detection_delay_frames, round(delay / 20.0, 6) AS mean_detection_delay_ms
+FROM c JOIN areas USING (definition) JOIN curves USING (definition) JOIN best USING (definition) CROSS JOIN parts LEFT JOIN delays USING (definition, method) LEFT JOIN alarms USING (definition, method) LEFT JOIN truths USING (definition, method)"""
+
+
+COUNTS = ("definition", "method", "tp", "fp", "fn", "tn", "true_events", "predicted_events", "detected_true_events", "false_alarm_events")
+
+
+@query("m22_p10_alarm_evaluation", with_decoded(_alarm_sql()))
+def alarm_evaluation(spark, sf):
+    """Two definitions of an alarm, the highest tenth of power by its quantile and a level, and seven methods."""
+    f = D.active(frames(spark, sf), "active")
+    run = stored(f.join(TM.decode(f), ["video_id", "frame_index"]), "run")
+    cut = ST.quantiles(run, [("power", 0.9)])[0]
+    definitions = {"top": F.col("power") >= F.lit(cut), "level": F.col("power") >= 75}
+    return _rounded(EV.alarm_evaluation(run, definitions), COUNTS)
+
+
 @query("m22_alarm_methods", with_frames(", c AS (SELECT definition, method, " + CONFUSION + " FROM (" + " UNION ALL ".join(f"SELECT '{d}' AS definition, '{m}' AS method, {w} AS t, {x} AS p FROM frames WHERE active = 1" for d, w in (("top", "power >= 90"), ("level", "power >= 75")) for m, x in METHODS.items()) + f") GROUP BY 1, 2) SELECT definition, method, tp, fp, fn, tn, {RATES} FROM c"))
 def alarm_methods(spark, sf):
     f = D.active(frames(spark, sf), "active")
