@@ -87,7 +87,7 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], patterns: list[Rule] | tup
     bounded = F.broadcast if len(every) <= BROADCAST_RULES else (lambda df: df)
     # "" stands for the row itself; rules without a whole token are candidates of every row.
     urls = pages.select(F.col(id_col), *[c.alias(n) for n, c in parsed(pages, url_col).items()])
-    tokens = F.array_union(F.array(F.lit("")), F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"))
+    tokens = F.array_union(F.array(F.lit("")), F.split(ascii_lower(F.concat("host", "path")), "[^a-z0-9]+"))
     expanded = urls.select(id_col, "host", "path", F.explode(tokens).alias("token"))
     literal = table.select("number", F.explode(F.when(F.size("tokens") == 0, F.array(F.lit(""))).otherwise(F.col("tokens"))).alias("token"))
     seen = expanded.select("token").join(bounded(literal.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
