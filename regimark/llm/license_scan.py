@@ -29,11 +29,18 @@ PHRASES = {
     "copyright holder": "copyright owner", "copyright holders": "copyright owners", "non commercial": "noncommercial", "non infringement": "noninfringement", "per cent": "percent",
     "sub license": "sublicense", "sub licensed": "sublicensed",
 }
+#: What may follow a copyright line and belongs to it: more of those who hold it, and a rights line, a blank one before it or not.
+COPYRIGHT_MORE = (
+    r"(?i:(?:\n[ \t*#/;>]*and [^\n]{0,30}(?:contributors|others)[.]?[ \t\r]*$)?"
+    r"(?:[ \t\r]*\n(?:[ \t*#/;>\r]*\n)?[ \t*#/;>]*all rights reserved[.]?[ \t\r]*$)?)"
+)
 #: A line with a copyright sign, or the word, and then a year or a place for one; other lines that begin with the word stay.
 COPYRIGHT_LINE = (
-    r"(?m)^[ \t*#/;]*(?:(?:©|\(c\))[ \t]*(?:copyright[ \t:]*)?[<\[]?(?:year|yyyy|(?:19|20)[0-9]{2})|copyright[ \t:]*(?:\(c\)|©)"
+    r"(?m)^[ \t*#/;>]*(?:portions[ \t]+)?(?:(?:©|\(c\))[ \t]*(?:copyright[ \t:]*)?[<\[]?(?:year|yyyy|(?:19|20)[0-9]{2})|copyright[ \t:]*(?:\(c\)|©)"
     r"|copyright[ \t:]+[<\[]?(?:year|yyyy|(?:19|20)[0-9]{2})|copyright[ \t:]+[^\n,]{1,60},[ \t]*(?:19|20)[0-9]{2}[.]?[ \t\r]*$)[^\n]*$"
-)
+) + COPYRIGHT_MORE
+#: A line of the word and names alone, told by their capitals, before case is folded: no sentence of a licence is such a line.
+COPYRIGHT_NAMES = r"(?m)^[ \t*#/;>]*(?:[Pp]ortions[ \t]+)?Copyright[ \t:]+[A-Z][a-z'.-]+(?:,?[ \t]+(?:and|[A-Z][A-Za-z'.-]*))+[.]?[ \t\r]*$" + COPYRIGHT_MORE
 
 # Known notices and licence texts; those in files, of which notices follow, are added below.
 LICENSES = {
@@ -110,7 +117,8 @@ LICENSES = _known()
 
 def canonical(text: Column) -> Column:
     """Lower case; no copyright lines; letters and digits in words, one space between, one spelling; lines kept."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_NAMES, "")
+    out = F.regexp_replace(F.lower(out), COPYRIGHT_LINE, "")
     # Each word between two spaces of its own, so that words in a row are all replaced.
     out = F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  "), r"\n", " \n ")
     out = F.concat(F.lit(" "), out, F.lit(" "))

@@ -12,7 +12,7 @@ from .cdc_dedup import dedup_chunks
 from .common import ascii_lower, default_path, read_table
 from .decontaminate import leaks
 from .importance import resample
-from .license_scan import COPYRIGHT_LINE, LICENSES, PHRASES, SPELLINGS, license_scan
+from .license_scan import COPYRIGHT_LINE, COPYRIGHT_NAMES, LICENSES, PHRASES, SPELLINGS, license_scan
 from .line_dedup import dedup_lines
 from .merkle import manifest
 from .minhash_dedup import near_duplicates
@@ -113,7 +113,7 @@ def _op8_sql() -> str:
     values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in LICENSES.items())
     return f"""
 WITH every AS (SELECT doc_id, NULL AS name, text AS body FROM documents UNION ALL SELECT NULL, name, body FROM (VALUES {values}) AS v(name, body)),
-bare AS (SELECT row_number() OVER () AS row, doc_id, name, regexp_replace(lower(coalesce(body, '')), {quoted(COPYRIGHT_LINE)}, '', 'g') AS t FROM every),
+bare AS (SELECT row_number() OVER () AS row, doc_id, name, regexp_replace(lower(regexp_replace(coalesce(body, ''), {quoted(COPYRIGHT_NAMES)}, '', 'g')), {quoted(COPYRIGHT_LINE)}, '', 'g') AS t FROM every),
 lined AS (SELECT row, doc_id, name, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM bare),
 spelled AS (SELECT row, doc_id, name, pos, {phrased(f"array_to_string({words('line')}, ' ')")} AS line FROM lined),
 whole AS (SELECT row, doc_id, name, sha256({phrased("coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (line <> ''), '')")}) AS digest,

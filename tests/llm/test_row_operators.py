@@ -438,3 +438,25 @@ def test_block_index_finds_all_within_the_radius():
 
 def test_sql_counterparts_cover(spark):
     assert queries.ORACLE_SQL.keys() <= queries.QUERIES.keys()
+
+
+def test_common_forms_of_licences(spark):
+    """Texts as repositories have them: rights lines, names without years, wrapped and partial copyright lines."""
+    bsd, mit = license_scan.LICENSES["BSD-3-Clause"], license_scan.LICENSES["MIT"]
+    heads = [
+        "Copyright (c) 2020, X\nAll rights reserved.\n\n", "Copyright (c) 2020 X\nCopyright (c) 2021 Y\n\nALL RIGHTS RESERVED\n\n", "Copyright Jane Doe\n\n", "Copyright Jane Doe and John R. Roe\nAll rights reserved.\n",
+        "Copyright (c) 2020 Jane Doe\nand contributors\n\n", "Portions copyright (c) 2020 X\n\n", "> Copyright (c) 2020, X\n> All rights reserved.\n>\n", "Copyright 2011 The Authors. All rights reserved.\n\n",
+    ]
+    quoted = lambda h, t: "\n".join("> " + x for x in t.splitlines()) if h.startswith(">") else t
+    rows = [(k, h + quoted(h, t), want) for k, (h, (t, want)) in enumerate((h, x) for h in heads for x in ((bsd, "BSD-3-Clause"), (mit, "MIT")))]
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for k, text, want in rows:
+        assert got[k] == want, text[:80]
+    others = [(0, "Copyright notice and terms\nfollow here"), (1, "All rights reserved."), (2, "copyright jane doe\n" + mit)]
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in license_scan.license_scan(spark.createDataFrame(others, "doc_id long, text string")).collect()}
+    assert got[0] == (None, "") and got[1] == ("All rights reserved", "All rights reserved") and got[2][0] is None
+
+
+def test_tokens_of_urls_fold_ascii_alone(spark):
+    pages = spark.createDataFrame([(1, "http://u.net/casino\u212a"), (2, "http://u.net/CASINO/\u0130")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(pages, url_filter.url_rules()).collect()} == {1: "block", 2: "block"}
