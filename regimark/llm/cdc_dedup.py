@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_append, arrow_rows, heavy_join, stored
+from .common import arrow_append, arrow_rows, heavy_join, own_names, stored
 from .line_dedup import text_key
 
 WINDOW = 16
@@ -89,6 +89,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_rows(rows, make, f"h1 long, h2 int, id {docs.schema[id_col].dataType.simpleString()}, key long")
 
 
+@own_names("__of", "__key", "__drops")
 def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """docs with repeated passages gone from text_col, which becomes binary; adds n_bytes, n_chunks, n_removed,
     n_spans (long).

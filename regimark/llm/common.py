@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -131,6 +132,31 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def own_names(*names: str):
+    """Decorator of a function from a frame to a frame: columns that come with one of these names, which the function
+    uses itself, have other names meanwhile, also where an argument names them."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def named(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            other: dict[str, str] = {}
+            for c in docs.columns:
+                if c.lower() in names:
+                    new = f"given{c}"
+                    while new in docs.columns:
+                        new += "_"
+                    other[c] = new
+            if not other:
+                return f(docs, *args, **kwargs)
+            known = lambda a: other.get(a, a) if isinstance(a, str) else a
+            out = f(docs.withColumnsRenamed(other), *map(known, args), **{k: known(v) for k, v in kwargs.items()})
+            return out.withColumnsRenamed({v: k for k, v in other.items()})
+
+        return named
+
+    return wrap
+
+
 def ascii_lower(col):
     """A-Z lower-cased, all else as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

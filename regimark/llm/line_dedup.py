@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, arrow_rows, heavy_join, stored
+from .common import BROADCAST_BYTES, arrow_rows, heavy_join, own_names, stored
 
 
 def line_key(line: bytes) -> bytes:
@@ -58,6 +58,7 @@ def long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     return arrow_rows(rows, make, f"__id {kind}, __key long, __h1 long, __h2 long")
 
 
+@own_names("__of", "__key", "__drops", "__id", "__text")
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with repeated lines gone from text_col; adds n_lines and n_dropped, both long.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_append, arrow_rows, checked_broadcast, heavy_join, stored
+from .common import arrow_append, arrow_rows, checked_broadcast, heavy_join, own_names, stored
 
 LENGTH = 100
 GRAM = 16
@@ -387,6 +387,7 @@ def _window_repeats(segments: DataFrame, kind: str, length: int) -> DataFrame:
     return others.unionAll(later).select("id", "key", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
+@own_names("__of", "__key", "__spans", "__own")
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """docs with repeated bytes gone from text_col, which becomes binary; adds n_bytes, n_removed, n_spans (long).
 

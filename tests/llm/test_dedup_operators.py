@@ -300,3 +300,18 @@ def test_pipeline_stages(spark):
     assert all(out[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for d, t in texts.items())
     sets = [frozenset(zip(*((t.lower().split())[k:] for k in range(5)), strict=False)) for t in texts.values() if t and len(t.split()) > 5]
     assert not any(a is not b and 5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+
+
+def test_columns_named_like_internal_ones(spark):
+    text = "a line that is long enough to count as one of them " * 4
+    rows = [(k, text, "x", k, "y", 3) for k in range(6)]
+    plain = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    odd = spark.createDataFrame(rows, "doc_id long, text string, __key string, __of int, __DROPS string, __own int")
+    for f in (line_dedup.dedup_lines, cdc_dedup.dedup_chunks, suffix_dedup.dedup_substrings):
+        got = f(odd)
+        assert set(odd.columns) < set(got.columns)
+        assert sorted((r["doc_id"], bytes(r["text"], "utf8") if isinstance(r["text"], str) else bytes(r["text"]), r["__key"], r["__of"], r["__own"]) for r in got.collect()) == sorted(
+            (r["doc_id"], bytes(r["text"], "utf8") if isinstance(r["text"], str) else bytes(r["text"]), "x", r["doc_id"], 3) for r in f(plain).collect()
+        )
+        renamed = plain.withColumnRenamed("text", "__key")
+        assert f(renamed, "doc_id", "__key").columns[:2] == ["doc_id", "__key"] or "__key" in f(renamed, text_col="__key").columns
