@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..sources.store import stored
 
 TINY = 1e-12
+#: Values whose ranks are broadcast.
+FREQUENT = 10_000
 MOST = 1.7976931348623157e308
 
 
@@ -106,12 +109,52 @@ def cumulative(rows: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
     return out.withColumns({a: F.col(a) + F.col(f"__before_{a}") for a in sums.values()}).drop("__part", *[f"__before_{a}" for a in sums.values()])
 
 
+def quantiles_by(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of wanted): exact quantiles of each group, interpolated between neighbours.
+
+    Counts of a group's values are cumulated over range partitions of groups and values, so a group may be as large as
+    the table. NULL and NaN don't count; a group without values has NULL. A NULL key is a group.
+    """
+    groups = rows.select(*keys).distinct()
+    number = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    counts = rows.select(*keys, number.alias("__v")).filter("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    upto = stored(cumulative(counts.withColumn("__order", F.struct(*keys, "__v")), "__order", {"__n": "__upto"}).drop("__order"), "group-ranks")
+    ends = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__n")).alias("__before"), F.max("__upto").alias("__last"))
+    ends = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__before", "__last")
+    same = lambda: _all([F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    placed = upto.join(ends, same())
+    first, past = F.col("__upto") - F.col("__n") - F.col("__before"), F.col("__upto") - F.col("__before")
+    at = {n: (F.col("__last") - F.col("__before") - 1) * q for n, q in wanted.items()}
+    holds = lambda rank: (first <= rank) & (rank < past)
+    near = {n: (holds(F.floor(a)), holds(F.ceil(a)), a) for n, a in at.items()}
+    near_any = _any([x for low, high, _ in near.values() for x in (low, high)])
+    # Only the few values beside a wanted rank are gathered.
+    picked = placed.filter(near_any).groupBy(*keys).agg(*[f for n, (low, high, a) in near.items() for f in (F.max(F.when(low, F.col("__v"))).alias(f"__low_{n}"), F.max(F.when(high, F.col("__v"))).alias(f"__high_{n}"), F.max(a - F.floor(a)).alias(f"__part_{n}"))])
+    found = picked.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[(F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * F.col(f"__part_{n}")).alias(n) for n in wanted])
+    return groups.join(found, same(), "left").select(*keys, *wanted)
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def average_rank(rows: DataFrame, value: str, alias: str) -> DataFrame:
-    """rows with the 1-based average rank of value over the whole table: counts of values, cumulated."""
+    """rows with the 1-based average rank of value over the whole table: counts of values, cumulated.
+
+    Rows get the ranks of the FREQUENT most frequent values by a broadcast, so that no value of the join that then
+    follows has more than 1 / FREQUENT of the rows.
+    """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
     upto = cumulative(counts, value, {"__n": "__upto"})
-    ranks = upto.select(F.col(value).alias("__v"), (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(alias))
-    return rows.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
+    ranks = stored(upto.select(F.col(value).alias("__v"), "__n", (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(alias)), "ranks")
+    often = ranks.orderBy(F.desc("__n"), "__v").limit(FREQUENT).select("__v", F.col(alias).alias("__often"))
+    first = rows.join(F.broadcast(often), F.col(value) == F.col("__v"), "left").drop("__v")
+    rest = first.filter(F.col("__often").isNull()).drop("__often").join(ranks.drop("__n"), F.col(value) == F.col("__v"), "left").drop("__v")
+    return first.filter(F.col("__often").isNotNull()).withColumnRenamed("__often", alias).unionByName(rest)
 
 
 def average_rank_within(value: str, keys: list[str]) -> Column:

@@ -85,10 +85,12 @@ def csv_profile(spark, sf):
     return tables.profile_csv(o)
 
 
-@query("p13_file_classes", "SELECT * FROM (VALUES ('DAQ_RHF_P12.csv', 'analysis_results'), ('data/DAQ_P3_x.csv', 'encoder_feedback'), ('RHF_P4.csv', 'command'), ('notes.csv', 'other_csv')) v(name, kind)")
+@query("p13_file_classes", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'analysis_results' WHEN 1 THEN 'encoder_feedback' WHEN 2 THEN 'command' ELSE 'other_csv' END AS kind FROM part")
 def file_classes(spark, sf):
-    n = spark.createDataFrame([("DAQ_RHF_P12.csv",), ("data/DAQ_P3_x.csv",), ("RHF_P4.csv",), ("notes.csv",)], "name string")
-    return n.select("name", S.file_class(F.col("name")).alias("kind"))
+    """A file name of one of four forms for each part."""
+    k, number = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("DAQ_RHF_P"), number)).when(k == 1, F.concat(F.lit("data/DAQ_P"), number, F.lit("_x"))).when(k == 2, F.concat(F.lit("RHF_P"), number)).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", S.file_class(F.concat(name, F.lit(".csv"))).alias("kind"))
 
 
 @query("s19_tolerant_fields", "SELECT p_partkey, try_cast(p_size AS DOUBLE) AS size, try_cast(p_type AS DOUBLE) AS kind FROM part")

@@ -11,6 +11,7 @@ from ..operators import events as E
 from ..operators import frames as D
 from ..operators import images as I
 from ..operators import models as M
+from ..operators import reports as RP
 from ..operators import stats as ST
 from ..operators import temporal as TM
 from ..operators import windows as W
@@ -221,7 +222,9 @@ def alignment(spark, sf):
 @query("a19_group_spread", "SELECT l_shipmode AS g, n, lo, med, hi, rep FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n, round(min(l_quantity), 6) AS lo, round(quantile_cont(l_quantity, 0.5), 6) AS med, round(max(l_quantity), 6) AS hi, min(l_orderkey) AS rep FROM lineitem GROUP BY 1)")
 def group_spread(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("g")).agg(F.count("*").alias("n"), R(F.min("l_quantity")).alias("lo"), R(F.percentile("l_quantity", 0.5)).alias("med"), R(F.max("l_quantity")).alias("hi"), F.min("l_orderkey").alias("rep"))
+    spread = li.groupBy(F.col("l_returnflag").alias("g")).agg(F.count("*").alias("n"), R(F.min("l_quantity")).alias("lo"), R(F.max("l_quantity")).alias("hi"), F.min("l_orderkey").alias("rep"))
+    med = ST.quantiles_by(li.withColumnRenamed("l_returnflag", "g"), ["g"], "l_quantity", {"med": 0.5})
+    return spread.join(med, "g").select("g", "n", "lo", R(F.col("med")).alias("med"), "hi", "rep")
 
 
 @query("a20_trigger_counters", with_frames(", u AS (SELECT video_id, frame_index, 'power' AS signal, power AS v FROM frames UNION ALL SELECT video_id, frame_index, 'active', active FROM frames UNION ALL SELECT video_id, frame_index, 'label', label FROM frames), k AS (SELECT signal, v = 2 AS two, v <> 0 AS other, lag(v = 2) OVER w AS ptwo, lag(v <> 0) OVER w AS psome FROM u WINDOW w AS (PARTITION BY signal, video_id ORDER BY frame_index)) SELECT signal, count(*) FILTER (two) AS equal_2, count(*) FILTER (other) AS nonzero, count(*) FILTER (two AND NOT coalesce(ptwo, false)) AS rising_2, count(*) FILTER (other AND NOT coalesce(psome, false)) AS rising_nonzero FROM k GROUP BY 1"))
@@ -409,10 +412,16 @@ def bootstrap(spark, sf):
     return ST.bootstrap_interval(gaps, "g", "gap")
 
 
-@query("j10_experiment_tasks", "SELECT 36 AS holdout, 15 AS cv, 51 AS tasks")
+@query("j10_experiment_tasks", with_frames(""", f AS (SELECT video_id % 10 AS k, video_id % 5 AS fold, count(*) AS n FROM frames GROUP BY 1, 2),
+s AS (SELECT unnest([42, 123, 2026]) AS seed), m AS (SELECT unnest(['kmeans', 'gmm', 'anchored_gmm']) AS model), x AS (SELECT unnest(['basic', 'physical', 'temporal', 'physical_temporal']) AS feature_set),
+t AS (SELECT 'holdout' AS protocol, NULL AS fold, feature_set, model, seed FROM x, m, s UNION ALL SELECT 'cv', k, 'physical_temporal', 'anchored_gmm', seed FROM (SELECT unnest(range(5)) AS k), s)
+SELECT protocol, CAST(t.fold AS INTEGER) AS fold, count(DISTINCT (feature_set, model, seed)) AS tasks, CAST(sum(n) AS BIGINT) AS tested_frames FROM t JOIN f ON CASE WHEN protocol = 'cv' THEN f.fold = t.fold ELSE k >= 8 END GROUP BY 1, 2"""))
 def experiment_tasks(spark, sf):
-    t = D.experiment_tasks(spark)
-    return t.agg(F.count_if(F.col("protocol") == "holdout").cast("int").alias("holdout"), F.count_if(F.col("protocol") == "cv").cast("int").alias("cv"), F.countDistinct("task_id").cast("int").alias("tasks"))
+    """Tasks with the frames that each one tests: those of its fold, or of the held-out split."""
+    k = F.col("video_id") % 10
+    f = frames(spark, sf).groupBy(F.when(k >= 8, "test").otherwise("fit").alias("split"), (F.col("video_id") % 5).alias("of")).agg(F.count("*").alias("n"))
+    met = F.when(F.col("protocol") == "cv", F.col("of") == F.col("fold")).otherwise(F.col("split") == "test")
+    return D.experiment_tasks(spark).join(f, met).groupBy("protocol", "fold").agg(F.countDistinct("task_id").alias("tasks"), F.sum("n").cast("long").alias("tested_frames"))
 
 
 @query("m25_case_records", with_frames(f", a AS (SELECT *, CASE WHEN label <> lag(label) OVER ({'PARTITION BY video_id ORDER BY frame_index'}) THEN 1 ELSE 0 END AS c FROM frames WHERE active = 1) SELECT video_id, count(*) AS frames, CAST(sum(c) AS BIGINT) AS transitions, round(avg(CAST((power >= 75) <> (label = 2) AS INTEGER)), 6) AS disagreement_fraction, round(covar_pop(p_high, power) / nullif(stddev_pop(p_high) * stddev_pop(power), 0), 6) AS score_power_correlation FROM a GROUP BY 1"))
@@ -485,22 +494,56 @@ def hexagonal_density(spark, sf):
     return _rounded(hexagons(D.active(frames(spark, sf), "active"), "p_high", "power", 65), ("hex_x", "hex_y", "n"))
 
 
-@query("v9_thresholds_of_methods", "SELECT * FROM (VALUES ('probability_0.30', 0.3::DOUBLE), ('probability_0.90', 0.9), ('raw_high_state', NULL)) v(method, threshold)")
+@query("v9_thresholds_of_methods", with_frames(", m AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, count(*) FILTER ({x}) AS alarms FROM frames WHERE active = 1" for m, x in METHODS.items()) + ") SELECT method, try_cast(nullif(regexp_extract(method, '([0-9.]+)$', 1), '') AS DOUBLE) AS threshold, alarms FROM m"))
 def thresholds_of_methods(spark, sf):
-    m = spark.createDataFrame([("probability_0.30",), ("probability_0.90",), ("raw_high_state",)], "method string")
-    return m.select("method", S.method_threshold(F.col("method")).alias("threshold"))
+    """Methods of the alarm table that were tried over all frames, with the threshold in their name and their alarms."""
+    m = alarm_methods(spark, sf).filter("definition = 'top'")
+    return m.select("method", S.method_threshold(F.col("method")).alias("threshold"), (F.col("tp") + F.col("fp")).alias("alarms"))
+
+
+CASE = "a AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1 AS place FROM frames WHERE active = 1), cw AS (SELECT video_id, place AS start, sum(power) OVER w AS m, count(*) OVER w AS n FROM a WINDOW w AS (PARTITION BY video_id ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)), cr AS (SELECT video_id, start FROM cw WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY m DESC, start) = 1), inside AS (SELECT a.*, cr.start FROM a JOIN cr ON a.video_id = cr.video_id AND place BETWEEN cr.start AND cr.start + 19)"
+
+
+def _case_frames(spark, sf):
+    """The frames of each video's case: its 20 active frames in a row of the most power."""
+    a = D.active(frames(spark, sf), "active")
+    best = W.best_window(W.full_windows(a, F.col("power"), 20, False), 20, True).select("video_id", "start", "end")
+    placed = a.withColumn("at", F.row_number().over(W.by_video()) - 1)
+    return placed.join(best, "video_id").filter(F.col("at").between(F.col("start"), F.col("end")))
 
 
 @query("v12_timeline", with_frames("SELECT video_id, round(avg(power), 6) AS mean_power, max(power) AS max_power, round(avg(p_high), 6) AS mean_p_high, round(avg(CAST((power >= 75) <> (label = 2) AS INTEGER)), 6) AS corrected_fraction FROM frames WHERE active = 1 AND frame_index < 40 GROUP BY 1"))
 def timeline(spark, sf):
     f = D.active(frames(spark, sf), "active").filter("frame_index < 40")
+    return _timeline(f)
+
+
+@query("v12_case_timeline", with_frames(f", {CASE} SELECT video_id, round(avg(power), 6) AS mean_power, max(power) AS max_power, round(avg(p_high), 6) AS mean_p_high, round(avg(CAST((power >= 75) <> (label = 2) AS INTEGER)), 6) AS corrected_fraction FROM inside GROUP BY 1"))
+def case_timeline(spark, sf):
+    """The timeline over each video's case window."""
+    return _timeline(_case_frames(spark, sf))
+
+
+@query("v15_cases_with_snapshots", with_frames(f""", {CASE}, conf AS (SELECT *, greatest(p_low, p_nominal, p_high) AS c FROM inside),
+picked AS (SELECT video_id, {", ".join(f"arg_min(frame_index, (-c, frame_index)) FILTER (label = {k}) AS s{k}" for k in range(3))}, max(frame_index) FILTER (place = start + 10) AS middle FROM conf GROUP BY 1)
+SELECT video_id, round(min(frame_index) / 20.0, 6) AS start_ms, round(max(frame_index) / 20.0, 6) AS end_ms, round(avg(CAST((power >= 75) <> (label = 2) AS INTEGER)), 6) AS disagreement_fraction,
+any_value(coalesce(s0, middle)) AS low, any_value(coalesce(s1, middle)) AS nominal, any_value(coalesce(s2, middle)) AS high FROM conf JOIN picked USING (video_id) GROUP BY 1"""))
+def cases_with_snapshots(spark, sf):
+    """Each case's window, how often state and measured power disagree in it, and the frame that shows each regime."""
+    f = stored(_case_frames(spark, sf), "cases")
+    lo, hi = F.min("frame_index") / 20.0, F.max("frame_index") / 20.0
+    own = f.groupBy("video_id").agg(R(lo).alias("start_ms"), R(hi).alias("end_ms"), R(F.avg(((F.col("power") >= 75) != (F.col("label") == 2)).cast("double"))).alias("disagreement_fraction"))
+    return own.join(RP.snapshot_frames(f, ["p_low", "p_nominal", "p_high"]), "video_id")
+
+
+def _timeline(f):
     return f.groupBy("video_id").agg(R(F.avg("power")).alias("mean_power"), F.max("power").alias("max_power"), R(F.avg("p_high")).alias("mean_p_high"), R(F.avg(((F.col("power") >= 75) != (F.col("label") == 2)).cast("double"))).alias("corrected_fraction"))
 
 
 @query("v13_box_groups", with_frames("SELECT label, round(quantile_cont(power, 0.25), 6) AS q25, round(quantile_cont(power, 0.5), 6) AS q50, round(quantile_cont(power, 0.75), 6) AS q75 FROM frames GROUP BY 1"))
 def box_groups(spark, sf):
-    g = frames(spark, sf).groupBy("label").agg(F.percentile("power", [0.25, 0.5, 0.75]).alias("q"))
-    return g.select("label", *[R(F.element_at("q", i + 1)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    q = ST.quantiles_by(frames(spark, sf), ["label"], "power", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return _rounded(q, ("label",))
 
 
 @query("t8_ranked_groups", with_frames("SELECT video_id, round(avg(intensity), 6) AS mean FROM frames GROUP BY 1 ORDER BY 2 DESC, 1"))
