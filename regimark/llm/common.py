@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/regimark/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/regimark/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
