@@ -65,6 +65,23 @@ def evaluate_run(frames: DataFrame, intervals: bool = True) -> DataFrame:
     return out.withColumn("switch_reduction_fraction", F.try_divide(raw - F.col("temporal_switches_per_1000"), raw))
 
 
+def evaluate_runs(frames: DataFrame, by: list[str], intervals: bool = True) -> DataFrame:
+    """evaluate_run of every run in frames, told by the columns `by`; there are as many as models and seeds that were fitted."""
+    out = []
+    for run in frames.select(*by).distinct().orderBy(*by).collect():
+        own = frames.filter(reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(run[c])) for c in by]))
+        named = evaluate_run(own.drop(*by), intervals)
+        out.append(named.select(*[F.lit(run[c]).cast(frames.schema[c].dataType).alias(c) for c in by], *named.columns))
+    if not out:
+        raise ValueError("there is no run")
+    return reduce(DataFrame.unionByName, out)
+
+
+def runs_summary(runs: DataFrame, by: list[str], seed: str = "seed") -> DataFrame:
+    """(by, runs, mean and deviation of each measure) over seeds: population deviations of finite measures."""
+    return ST.summary_by(runs, by, [c for c in runs.columns if c not in (*by, seed)])
+
+
 def alarm_evaluation(frames: DataFrame, definitions: dict[str, Column], score: str = "p_high") -> DataFrame:
     """A row for each definition of an alarm and each of seven methods to raise it.
 

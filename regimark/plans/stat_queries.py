@@ -335,12 +335,26 @@ def out_of_fold_states(spark, sf):
     return oof.groupBy("model", "seed", "fold", "label").agg(F.count("*").alias("frames"), F.avg("power").alias("mean_power"), F.avg("p_high").alias("mean_p_high"))
 
 
+def _all_runs(spark, sf):
+    """Out-of-fold rows of every model and seed, with their temporal labels."""
+    oof = stored(M.out_of_fold(_folded(spark, sf), ["intensity", "power"], "fold", ["video_id", "frame_index", "power"]), "predictions")
+    # A run's videos are videos of their own for the decoder.
+    named = oof.select(F.concat_ws("/", "model", "seed", "video_id").alias("video_id"), "frame_index", "p_low", "p_nominal", "p_high")
+    labels = TM.decode(named).drop("segment").withColumns({"model": F.split_part("video_id", F.lit("/"), F.lit(1)), "seed": F.split_part("video_id", F.lit("/"), F.lit(2)).cast("int"), "video_id": F.split_part("video_id", F.lit("/"), F.lit(3)).cast("long")})
+    return stored(oof.join(labels, ["model", "seed", "video_id", "frame_index"]), "runs")
+
+
 @query("m15_out_of_fold_evaluation")
 def out_of_fold_evaluation(spark, sf):
-    """The measures of one run; other models and seeds are evaluated alike."""
-    oof = M.out_of_fold(_folded(spark, sf), ["intensity", "power"], "fold", ["video_id", "frame_index", "power"], ("gmm",), (42,))
-    oof = stored(oof, "predictions")
-    return EV.evaluate_run(oof.join(TM.decode(oof), ["video_id", "frame_index"]))
+    """The measures of all runs, each model and seed, with intervals."""
+    return EV.evaluate_runs(_all_runs(spark, sf), ["model", "seed"])
+
+
+@query("m15_out_of_fold_summary")
+def out_of_fold_summary(spark, sf):
+    """Their means and deviations over seeds, by model."""
+    runs = stored(EV.evaluate_runs(_all_runs(spark, sf), ["model", "seed"], intervals=False), "evaluations")
+    return EV.runs_summary(runs, ["model"])
 
 
 @query("m16_fold_scalers", with_frames(f", a AS (SELECT *, {FOLD} AS fold FROM frames WHERE active = 1), k AS (SELECT unnest(range(5)) AS fold) SELECT CAST(k.fold AS INTEGER) AS fold, " + ", ".join(f"round(quantile_cont({c}, 0.5), 6) AS median_{c}, round(avg({c}), 6) AS mean_{c}, round(stddev_pop({c}), 6) AS std_{c}" for c in ("intensity", "power")) + " FROM k JOIN a ON a.fold <> k.fold GROUP BY 1"))

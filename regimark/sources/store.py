@@ -22,8 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path of the shared folder that nothing else has."""
-    return f"{shared_dir(spark)}/regimark/{tag}-{uuid.uuid4().hex}"
+    """A path of the application's part of the shared folder that nothing else has."""
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The application's part of the shared folder."""
+    return f"{shared_dir(spark)}/regimark/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, tag: str = "table") -> DataFrame:
@@ -47,8 +52,9 @@ def missing_keys(expected: DataFrame, found: DataFrame, keys: list[str]) -> Data
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Deletes the intermediate tables of the shared folder; call it when no frame over them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/regimark")
+    """Deletes the intermediate tables of this application, and of no other on the same folder; call it when no frame
+    over them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

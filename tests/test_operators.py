@@ -522,3 +522,43 @@ def test_bootstrap_of_groups_of_any_size(spark):
     assert got["none"]["mean"] is None and got["none"]["low"] is None
     other = {r["g"]: r for r in stats.bootstrap_interval(d.repartition(2), "g", "v", 1000, held_keys=1).collect()}
     assert other["large"]["low"] == pytest.approx(got["large"]["low"], rel=1e-12)  # however rows are dealt
+
+
+def test_runs_are_evaluated_apart(spark):
+    from regimark.operators import evaluation
+
+    rng = np.random.default_rng(15)
+    rows = [(m, s, v, i, float(rng.normal()), float(rng.random()), int(rng.integers(3)), int(rng.integers(3))) for m in ("gmm", "kmeans") for s in (1, 2) for v in range(2) for i in range(30)]
+    d = spark.createDataFrame(rows, "model string, seed int, video_id long, frame_index long, power double, p_high double, label int, temporal_label int").cache()
+    runs = evaluation.evaluate_runs(d, ["model", "seed"], intervals=False).cache()
+    got = {(r["model"], r["seed"]): r for r in runs.collect()}
+    assert sorted(got) == [("gmm", 1), ("gmm", 2), ("kmeans", 1), ("kmeans", 2)]
+    for key, r in got.items():
+        own = np.array([x[4:] for x in rows if x[:2] == key])
+        high = own[:, 0] >= np.quantile(own[:, 0], 0.9)
+        assert r["active_frames"] == 60 and r["top_10pct_power_high_regime_recall_raw"] == pytest.approx((own[high, 2] == 2).mean())
+    summary = {r["model"]: r for r in evaluation.runs_summary(runs, ["model"]).collect()}
+    for m in ("gmm", "kmeans"):
+        x = [got[m, s]["p_high_power_spearman_frame"] for s in (1, 2)]
+        assert summary[m]["runs"] == 2 and summary[m]["p_high_power_spearman_frame_mean"] == pytest.approx(np.mean(x)) and summary[m]["p_high_power_spearman_frame_std"] == pytest.approx(np.std(x))
+
+
+def test_quantiles_of_large_and_small_groups(spark):
+    rng = np.random.default_rng(16)
+    groups = {"hot": rng.normal(0, 1, 2000).round(2), None: rng.random(7), "one": np.array([4.0]), "same": np.full(50, -1.0), "none": np.array([np.nan])}
+    d = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("one", None)], "g string, v double").repartition(4)
+    got = {r["g"]: r for r in stats.quantiles_by(d, ["g"], "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}).collect()}
+    assert got.keys() == groups.keys()
+    for k, x in groups.items():
+        want = [None] * 4 if np.isnan(x).any() else list(np.quantile(x, [0, 0.37, 0.5, 1]))
+        assert [got[k][c] for c in "abcd"] == (want if want[0] is None else pytest.approx(want)), k
+
+
+def test_average_rank_of_frequent_values(spark, monkeypatch):
+    x = [1.0] * 50 + [2.0, 3.0, 3.0, None] + [0.5] * 20
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double")
+    for most in (1, 10_000):
+        monkeypatch.setattr(stats, "FREQUENT", most)
+        got = {r["i"]: r["r"] for r in stats.average_rank(d, "v", "r").collect()}
+        values = [v for v in x if v is not None]
+        assert got == {i: None if v is None else sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for i, v in enumerate(x)}

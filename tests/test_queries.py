@@ -29,7 +29,11 @@ def test_matches_sql(spark, duck, name):
     assert rows(plans.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(plans.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES.keys() - plans.ORACLE_SQL.keys()))
+#: Does what m15_out_of_fold_evaluation does, and then what test_runs_are_evaluated_apart holds against numpy.
+TWICE = {"m15_out_of_fold_summary"}
+
+
+@pytest.mark.parametrize("name", sorted(plans.QUERIES.keys() - plans.ORACLE_SQL.keys() - TWICE))
 def test_gives_rows(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
