@@ -184,13 +184,13 @@ def _taken(sums: np.ndarray, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np
     return n, sums[k : k + k * d].reshape(k, d) / n[:, None], sums[k + k * d : k + 2 * k * d].reshape(k, d) / n[:, None]
 
 
-def kmeans_fits(points: DataFrame, z: list[str], jobs: list[Job], iterations: int = 500, tol: float = 1e-4, k: int = COMPONENTS, width: int | None = None) -> list[tuple[np.ndarray, float, Mixture]]:
-    """For each job centres, cost, and the mixture that its clusters are. points: z and __fold.
+def kmeans_fits(points: DataFrame, z: list[str], jobs: list[Job], iterations: int = 500, tol: float = 1e-4, k: int = COMPONENTS, width: int | None = None, begin: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, float, Mixture]]:
+    """For each job centres, cost, and the mixture that its clusters are. points: z and __fold; begin: centres to start from.
 
     A job ends when its centres move by less than tol in all.
     """
     d = width or len(z)  # of the rows that a job takes
-    centres = _starts(points, z, jobs, k, d)
+    centres = _starts(points, z, jobs, k, d) if begin is None else list(begin)
     done: dict[int, tuple] = {}
     for _ in range(iterations):
         live = [j for j in range(len(jobs)) if j not in done]

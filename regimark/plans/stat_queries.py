@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -296,6 +299,54 @@ def _standard(spark, sf):
     return f.withColumns(s.columns()).withColumn("score", F.col("z_intensity") + F.col("z_power")), ["z_intensity", "z_power"]
 
 
+#: Where the fits begin whose steps SQL repeats: centres over intensity and power, both in hundredths, and variances.
+GIVEN = [[0.2, 0.1], [0.5, 0.5], [0.9, 1.0]]
+GIVEN_VARIANCES = [[0.05, 0.1], [0.02, 0.2], [0.1, 0.05]]
+STEPS = 4
+POINTS = ", pts AS (SELECT intensity / 100 AS x, power / 100 AS y FROM frames WHERE active = 1)"
+
+
+def _points_of(spark, sf):
+    f = D.active(frames(spark, sf), "active").select((F.col("intensity") / 100).alias("x"), (F.col("power") / 100).alias("y"), F.lit(-1).alias("__fold"))
+    return stored(f, "points")
+
+
+def _lloyd_sql() -> str:
+    far = lambda k: f"pow(x - m{k}x, 2) + pow(y - m{k}y, 2)"
+    label = f"CASE WHEN {far(0)} <= {far(1)} AND {far(0)} <= {far(2)} THEN 0 WHEN {far(1)} <= {far(2)} THEN 1 ELSE 2 END"
+    start = ", ".join(f"{v}::DOUBLE AS m{k}{c}" for k, m in enumerate(GIVEN) for c, v in zip("xy", m, strict=True))
+    step = lambda i: f"a{i} AS (SELECT pts.*, c{i}.*, {label} AS label FROM pts, c{i}), c{i + 1} AS (SELECT " + ", ".join(f"coalesce(avg({c}) FILTER (label = {k}), any_value(m{k}{c})) AS m{k}{c}" for k in range(3) for c in "xy") + f" FROM a{i})"
+    return POINTS + f", c0 AS (SELECT {start}), " + ", ".join(map(step, range(STEPS))) + " " + " UNION ALL ".join(f"SELECT {k} AS component, round(m{k}x, 6) AS x, round(m{k}y, 6) AS y FROM c{STEPS}" for k in range(3))
+
+
+@query("m5_steps_from_given_centres", with_frames(_lloyd_sql()))
+def steps_from_given_centres(spark, sf):
+    """Four steps of k-means from given centres."""
+    centres = M.kmeans_fits(_points_of(spark, sf), ["x", "y"], [M.Job()], STEPS, tol=-1.0, begin=[np.array(GIVEN)])[0][0]
+    return _rounded(spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(centres)], "component int, x double, y double"), ("component",))
+
+
+def _em_sql() -> str:
+    """Responsibilities by the densities' logarithms, as differences to the largest."""
+    log = lambda k: f"ln(greatest(w{k}, 1e-300)) - 0.5 * (ln(2 * pi() * v{k}x) + ln(2 * pi() * v{k}y)) - pow(x - m{k}x, 2) / (2 * v{k}x) - pow(y - m{k}y, 2) / (2 * v{k}y)"
+    start = ", ".join([f"{1 / 3}::DOUBLE AS w{k}" for k in range(3)] + [f"{v}::DOUBLE AS {n}{k}{c}" for n, table in (("m", GIVEN), ("v", GIVEN_VARIANCES)) for k, m in enumerate(table) for c, v in zip("xy", m, strict=True)])
+    mean = lambda k, e: f"sum(r{k} * {e}) / greatest(sum(r{k}), 1e-10)"
+    made = ", ".join(x for k in range(3) for x in (f"greatest(sum(r{k}), 1e-10) / count(*) AS w{k}", *(f"{mean(k, c)} AS m{k}{c}, greatest({mean(k, f'{c} * {c}')} - pow({mean(k, c)}, 2), 0) + 1e-5 AS v{k}{c}" for c in "xy")))
+    step = lambda i: f"l{i} AS (SELECT x, y, {', '.join(f'{log(k)} AS l{k}' for k in range(3))} FROM pts, c{i}), e{i} AS (SELECT x, y, {', '.join(f'exp(l{k} - greatest(l0, l1, l2)) AS e{k}' for k in range(3))} FROM l{i}), r{i} AS (SELECT x, y, {', '.join(f'e{k} / (e0 + e1 + e2) AS r{k}' for k in range(3))} FROM e{i}), c{i + 1} AS (SELECT {made} FROM r{i})"
+    return POINTS + f", c0 AS (SELECT {start}), " + ", ".join(map(step, range(STEPS))) + " " + " UNION ALL ".join(f"SELECT {k} AS component, round(w{k}, 6) AS weight, round(m{k}x, 6) AS x, round(m{k}y, 6) AS y, round(v{k}x, 6) AS vx, round(v{k}y, 6) AS vy FROM c{STEPS}" for k in range(3))
+
+
+@query("m6_steps_from_a_given_mixture", with_frames(_em_sql()))
+def steps_from_a_given_mixture(spark, sf):
+    """Four steps of expectation maximisation from a given mixture."""
+    start = M.Mixture(np.full(3, 1 / 3), np.array(GIVEN), np.array(GIVEN_VARIANCES))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # four steps don't converge
+        m = M.mixture_fits(_points_of(spark, sf), ["x", "y"], [M.Job()], [start], STEPS, tol=-1.0)[0][0]
+    rows = [(k, float(m.weights[k]), *map(float, m.means[k]), *map(float, m.variances[k])) for k in range(3)]
+    return _rounded(spark.createDataFrame(rows, "component int, weight double, x double, y double, vx double, vy double"), ("component",))
+
+
 @query("m5_kmeans_states")
 def kmeans_states(spark, sf):
     f, z = _standard(spark, sf)
