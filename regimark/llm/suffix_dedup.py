@@ -31,8 +31,6 @@ GRAM = 16
 HOT = 16384
 #: Places of a window before its anchor that a part of a frequent anchor's segments has.
 CELL = 12
-#: Anchors found more than once that may be broadcast: 128 MB, at the 64 bytes of one that the check tool measured.
-ANCHORS = 2_000_000
 #: Bytes of spans that may be broadcast.
 SPAN_BYTES = 64 << 20
 SEGMENT = ("hash", "id", "key", "first", "last", "body")
@@ -320,16 +318,17 @@ def _cut_out(texts: DataFrame, hits: DataFrame, kind: str, length: int) -> DataF
 
 
 def _repeated_segments(texts: DataFrame, kind: str, length: int) -> DataFrame:
-    """hash, id, key, first, last, body, n: segments whose anchor is found n > 1 times, and later places in a text."""
+    """hash, id, key, first, last, body, n: segments whose anchor is found n > 1 times, and later places in a text.
+
+    Places meet their anchors first, and bytes are cut out of the texts where one is found again. The most frequent
+    anchors are broadcast, a number that doesn't grow, so that the join has no hot key.
+    """
     anchors = _segments(texts, kind, ("hash",), length).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     often = stored(anchors, "suffix-anchors")
-    if often.count() <= ANCHORS:
-        found = _segments(texts, kind, SEGMENT, length).join(F.broadcast(often), "hash", "left").filter("hash IS NULL OR n IS NOT NULL")
-    else:  # places meet their anchors first, and bytes are cut out of the texts where one is found again
-        places = _segments(texts, kind, ("hash", "key", "first", "last"), length)
-        met = heavy_join(places.filter("hash IS NOT NULL"), often.withColumn("rows", F.col("n")), ["hash"], "rows", "key", 0)
-        again = places.filter("hash IS NULL").withColumn("n", F.lit(0).cast("long"))
-        found = _cut_out(texts, met.select("hash", "key", "first", "last", "n").unionAll(again.select("hash", "key", "first", "last", "n")), kind, length)
+    places = _segments(texts, kind, ("hash", "key", "first", "last"), length)
+    met = heavy_join(places.filter("hash IS NOT NULL"), often.withColumn("rows", F.col("n")), ["hash"], "rows", "key", 0)
+    again = places.filter("hash IS NULL").withColumn("n", F.lit(0).cast("long"))
+    found = _cut_out(texts, met.select("hash", "key", "first", "last", "n").unionAll(again.select("hash", "key", "first", "last", "n")), kind, length)
     return stored(found.select(*SEGMENT, "n"), "suffix-segments")
 
 

@@ -260,7 +260,6 @@ def test_suffixes_are_exact(spark, hot, broadcast, monkeypatch):
     want = without_repeats(rows)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     if broadcast is not None:
-        monkeypatch.setattr(suffix_dedup, "ANCHORS", broadcast)
         monkeypatch.setattr(suffix_dedup, "SPAN_BYTES", broadcast)
         monkeypatch.setattr(suffix_dedup, "checked_broadcast", lambda df, *_: df)
     tagged = spark.createDataFrame([(d, t, t) for d, t in rows], "doc_id long, text string, n_spans string").withColumn("was", F.col("n_spans"))
