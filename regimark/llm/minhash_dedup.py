@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checked_broadcast, stored
+from .common import arrow_rows, checked_broadcast, heavy_join, stored
 from .components import components
 
 SHINGLE = 5
@@ -231,10 +231,11 @@ def _bound(percent: int):
 
 
 def _labelled(met: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
-    """met(token, at, rep, n) with the label of rep, and the hub of the token and its label as at_2, rep_2, n_2, label_2."""
+    """met(token, at, rep, n) with the label of rep, and the hub of the token and its label as at_2, rep_2, n_2, label_2.
+    hubs has the number of a token's sets too, so that frequent tokens are met without a hot key."""
     other = hubs.join(labels.select(F.col("node").alias("rep_2"), F.col("label").alias("label_2")), "rep_2", "left").withColumn("label_2", F.coalesce("label_2", "rep_2"))
     named = labels.select(F.col("node").alias("rep"), "label")
-    return met.join(other, "token").join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    return heavy_join(met, other, ["token"], "sets", "rep", 0).join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -274,12 +275,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stored(sets_of(docs, id_col, text_col), "near-rows")
     classes = stored(
-        rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), *[F.max(s).alias(s) for s in SIGNATURE]), "near-classes"
+        rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), *[F.max(s).alias(s) for s in SIGNATURE]), "near-classes"
     )
     linkable = classes.filter("rep IS NOT NULL")
     keys = _keys(linkable)
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").drop("last")
-    multi = stored(keys.join(hubs, "key"), "near-keys")
+    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("sets")).filter("hub <> last").drop("last")
+    multi = stored(heavy_join(keys, stored(hubs, "near-hubs"), ["key"], "sets", "rep", 0), "near-keys")
 
     signed = linkable.select("rep", "n", *SIGNATURE)
     first = _filtered(multi.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), signed, percent)
@@ -289,22 +290,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What is left: pairs of a key's group in different components. Groups that hold such pairs may be large, as
     # of texts around one passage; they are split by the members' rarest shingles, of which every link has one.
     placed = multi.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    reps = stored(placed.join(mixed, "key").select(F.col("rep").alias("need")).distinct(), "near-rest")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets")).filter("low <> high").select("key", "sets")
+    reps = heavy_join(placed, stored(mixed, "near-mixed"), ["key"], "sets", "rep", 0).select(F.col("rep").alias("need")).distinct()
+    reps = stored(reps, "near-rest")
     sets = _sets(docs, reps, id_col, text_col)
     tokens = stored(_rarest(sets, percent), "near-rarest")
     # The hub of a token is the set with the fewest shingles before it, the least altered one of its group.
-    hubs = tokens.groupBy("token").agg(F.min(F.struct("at", "rep", "n")).alias("h"), F.max("rep").alias("most"), F.min("rep").alias("least")).filter("least < most")
-    hubs = stored(hubs.select("token", F.col("h.at").alias("at_2"), F.col("h.rep").alias("rep_2"), F.col("h.n").alias("n_2")), "near-token-hubs")
+    hubs = tokens.groupBy("token").agg(F.min(F.struct("at", "rep", "n")).alias("h"), F.max("rep").alias("most"), F.min("rep").alias("least"), F.count("*").alias("sets")).filter("least < most")
+    hubs = stored(hubs.select("token", "sets", F.col("h.at").alias("at_2"), F.col("h.rep").alias("rep_2"), F.col("h.n").alias("n_2")), "near-token-hubs")
     for search in (_to_hubs, _what_is_left):
         pairs = _filtered(search(_labelled(tokens, labels, hubs), percent), signed, percent)
         links = links.unionAll(_confirmed(pairs, sets, percent))
         labels = components(links)
 
-    of_class = classes.join(labels, classes.rep == labels.node, "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("label", "rep").alias("component"))
-    whole = rows.join(of_class, (rows.d1 == of_class.e1) & (rows.d2 == of_class.e2), "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    of_class = classes.join(labels, classes.rep == labels.node, "left").select("d1", "d2", "copies", F.coalesce("label", "rep").alias("component"))
+    held = heavy_join(rows.filter("n > 0").select("id", "n", "d1", "d2"), stored(of_class, "near-of-class"), ["d1", "d2"], "copies", "id", 0).select("id", "n", "component")
+    whole = held.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component")))
+    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 class _Named:
