@@ -1,7 +1,8 @@
 """Models: scaling, thermal score, k-means and diagonal Gaussian mixtures fitted by aggregates, ordering, distillation.
 
-Fits are driver loops over a persisted training table. Each pass over it serves all starts, folds and seeds that
-haven't converged yet: tasks add up what each of them needs, and only these sums reach the driver.
+Fits are driver loops over a persisted training table, in which equal rows are one row with their number. Each pass over
+it serves all starts, folds and seeds that haven't converged yet: tasks add up what each of them needs, for all fits that
+see the same rows at once, and only these sums reach the driver.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import first_argmax, softmax
+from ..sources.ranges import spread
 from .stats import quantiles
 
 COMPONENTS = 3
 REG = 1e-5
 #: Rounds of drawing candidates for starts of k-means, and candidates of a round for each centre.
 SEED_ROUNDS, OVERSAMPLED = 3, 4
+#: Rows times fits that are worked on at once, and tasks of a pass for each core.
+CELLS, TASKS_A_CORE = 1 << 15, 2
 # Where the anchored start takes its components, and their weights.
 ANCHORS, ANCHOR_WEIGHTS, ANCHOR_SHARE, ANCHOR_LEAST = (0.10, 0.50, 0.90), (0.25, 0.50, 0.25), 0.05, 32
 
@@ -65,71 +69,144 @@ def _distance2(z: list[str], centre) -> Column:
 
 @dataclass
 class Job:
-    """One fit among several over the same table: the fold that it leaves out, and its own scale."""
+    """One fit among several over the same table: the fold that it leaves out, its own values for missing ones and scale."""
 
     left_out: int | None = None
     shift: np.ndarray | float = 0.0
     scale: np.ndarray | float = 1.0
     seed: int = 0
+    fill: np.ndarray | None = None
 
     def rows(self, x: np.ndarray, fold: np.ndarray) -> np.ndarray:
-        return ((x if self.left_out is None else x[fold != self.left_out]) - self.shift) / self.scale
+        own = x if self.left_out is None else x[fold != self.left_out]
+        return ((own if self.fill is None else np.where(np.isnan(own), self.fill, own)) - self.shift) / self.scale
+
+    def counts(self, n: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        return n if self.left_out is None else n[fold != self.left_out]
+
+    def view(self) -> tuple:
+        """Equal for jobs that see the same rows."""
+        return self.left_out, *[None if v is None else np.asarray(v, float).tobytes() for v in (self.shift, self.scale, self.fill)]
+
+
+def _views(jobs: list[Job]) -> list[list[int]]:
+    """Numbers of the jobs that see the same rows."""
+    found: dict[tuple, list[int]] = {}
+    for j, job in enumerate(jobs):
+        found.setdefault(job.view(), []).append(j)
+    return list(found.values())
+
+
+def _columns(points: DataFrame, z: list[str]) -> DataFrame:
+    """z, __fold and __n, how many equal rows a row stands for: 1 if the table doesn't tell."""
+    return points.select(*z, "__fold", F.col("__n") if "__n" in points.columns else F.lit(1.0).alias("__n"))
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    *cols, fold, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    return np.column_stack(cols), fold, np.asarray(n, float)
 
 
 def _sums(points: DataFrame, z: list[str], jobs: list[Job], work) -> np.ndarray:
-    """A row a job: the sum over its rows of what work(number of the job, rows) gives, in one pass for all."""
+    """A row a job: the sum over its rows of what work gives, in one pass for all.
+
+    work(numbers of jobs that see the same rows, rows, how often each counts) gives a row of sums for each of the jobs.
+    """
+    views = _views(jobs)
 
     def run(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
-                *cols, fold = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                x = np.column_stack(cols)
-                own = np.array([work(k, job.rows(x, fold)) for k, job in enumerate(jobs)])
-                total = own if total is None else total + own
+                x, fold, n = _arrays(batch)
+                for js in views:
+                    rows, counts = jobs[js[0]].rows(x, fold), jobs[js[0]].counts(n, fold)
+                    step = max(1, CELLS // len(js))
+                    for at in range(0, max(len(rows), 1), step):
+                        own = work(js, rows[at : at + step], counts[at : at + step])
+                        total = np.zeros((len(jobs), own.shape[1])) if total is None else total
+                        total[js] += own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
 
-    parts = points.select(*z, "__fold").mapInArrow(run, "s array<double>")
-    added = parts.select(F.posexplode("s").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).toArrow().sort_by("at")
-    return added["v"].to_numpy().reshape(len(jobs), -1) if added.num_rows else np.zeros((len(jobs), 0))
+    parts = _columns(points, z).mapInArrow(run, "s array<double>").toArrow()["s"]  # a row a task
+    added = sum((np.asarray(row) for row in parts.to_pylist()), np.zeros(0 if not len(parts) else len(parts[0].as_py())))
+    return added.reshape(len(jobs), -1) if len(parts) else np.zeros((len(jobs), 0))
+
+
+def _counted(rows: DataFrame, z: list[str]) -> DataFrame:
+    """Equal rows of z and __fold as one with their number __n, persisted, dealt to all cores: a small table is much work."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return spread(rows.groupBy(*z, "__fold").agg(F.count("*").cast("double").alias("__n")), TASKS_A_CORE * cores, "__fold", *z).persist()
 
 
 def _points(train: DataFrame, z: list[str], fold: str | None = None) -> DataFrame:
     of = F.col(fold).cast("int") if fold else F.lit(-1)
-    return train.select(*[F.col(c).cast("double") for c in z], of.alias("__fold")).persist()
+    return _counted(train.select(*[F.col(c).cast("double").alias(c) for c in z], of.alias("__fold")), z)
 
 
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centres[None]) ** 2).sum(2)
 
 
-def _drawn(points: DataFrame, z: list[str], jobs: list[Job], n: int, turn: int, weight) -> list[np.ndarray]:
-    """For each job n of its rows without replacement, by chance in proportion to weight(number of the job, rows).
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and fits (centres[fit, k, column]): the nearest centre, the first of equals, and its squared distance."""
+    label, least = np.zeros((len(x), len(centres)), np.int8), None
+    for k in range(centres.shape[1]):
+        far = np.zeros(label.shape)
+        for i in range(x.shape[1]):
+            gap = x[:, i, None] - centres[None, :, k, i]
+            gap *= gap
+            far += gap
+        if least is None:
+            least = far
+        else:
+            label[far < least] = k
+            np.minimum(least, far, out=least)
+    return label, least
+
+
+def _padded(centres: list[np.ndarray]) -> np.ndarray:
+    """Sets of centres as one array; those that a set lacks are nobody's nearest."""
+    out = np.full((len(centres), max(map(len, centres)), centres[0].shape[1]), math.inf)
+    for own, c in zip(out, centres, strict=True):
+        own[: len(c)] = c
+    return out
+
+
+def _drawn(points: DataFrame, z: list[str], jobs: list[Job], n: int, turn: int, weights) -> list[np.ndarray]:
+    """For each job n of its rows without replacement, by chance in proportion to their number times their weight, which
+    weights(numbers of jobs that see the same rows, rows) gives as a column a job.
 
     A row's key is the logarithm of a random number over its weight, and the n largest keys of all rows are the draw;
     tasks give the n largest of theirs. Numbers follow from the job's seed, the turn and the partition.
     """
+    views = _views(jobs)
 
     def run(batches):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         rngs = [np.random.default_rng((job.seed, turn, TaskContext.get().partitionId())) for job in jobs]
         for batch in batches:
-            *cols, fold = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            x = np.column_stack(cols)
-            for j, job in enumerate(jobs):
-                rows = job.rows(x, fold)
-                w = weight(j, rows)
-                with np.errstate(divide="ignore"):
-                    keys = np.where(w > 0, np.log(rngs[j].random(len(rows))) / np.where(w > 0, w, 1), -math.inf)
-                if j in held:
-                    keys, rows = np.concatenate([held[j][0], keys]), np.concatenate([held[j][1], rows])
-                best = np.argsort(-keys, kind="stable")[:n]
-                held[j] = keys[best[keys[best] > -math.inf]], rows[best[keys[best] > -math.inf]]
+            x, fold, number = _arrays(batch)
+            for js in views:
+                rows, counts = jobs[js[0]].rows(x, fold), jobs[js[0]].counts(number, fold)
+                step = max(1, CELLS // len(js))
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
+                    w = weights(js, part) * counts[at : at + step, None]
+                    for i, j in enumerate(js):
+                        own, seen = w[:, i], part
+                        with np.errstate(divide="ignore"):
+                            keys = np.where(own > 0, np.log(rngs[j].random(len(part))) / np.where(own > 0, own, 1), -math.inf)
+                        if j in held:
+                            keys, seen = np.concatenate([held[j][0], keys]), np.concatenate([held[j][1], part])
+                        best = np.argpartition(-keys, n - 1)[:n] if len(keys) > n else np.arange(len(keys))
+                        best = best[keys[best] > -math.inf]
+                        held[j] = keys[best], seen[best]
         for j, (keys, rows) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([j] * len(keys), pa.int32()), pa.array(keys), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["job", "key", "x"])
 
-    drawn = points.select(*z, "__fold").mapInArrow(run, "job int, key double, x array<double>")
+    drawn = _columns(points, z).mapInArrow(run, "job int, key double, x array<double>")
     best = drawn.withColumn("place", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("key"), "x"))).filter(F.col("place") <= n)
     found: list[list] = [[] for _ in jobs]
     for r in best.orderBy("job", "place").collect():  # n rows a job
@@ -140,18 +217,19 @@ def _drawn(points: DataFrame, z: list[str], jobs: list[Job], n: int, turn: int,
 def _starts(points: DataFrame, z: list[str], jobs: list[Job], k: int, d: int) -> list[np.ndarray]:
     """Starts of k-means from all rows: SEED_ROUNDS times OVERSAMPLED rows are drawn by their squared distance from
     those drawn before, weighed by the rows nearest to them, and clustered on the driver."""
-    first = _drawn(points, z, jobs, 1, 0, lambda _, rows: np.ones(len(rows)))
+    first = _drawn(points, z, jobs, 1, 0, lambda js, rows: np.ones((len(rows), len(js))))
     if not any(map(len, first)):
         return [np.zeros((k, d)) for _ in jobs]
     found = [c if len(c) else np.zeros((1, d)) for c in first]
     for turn in range(1, SEED_ROUNDS + 1):
-        now = list(found)
-        more = _drawn(points, z, jobs, OVERSAMPLED * k, turn, lambda j, rows, now=now: _squares(rows, now[j]).min(1))
+        now = _padded(found)
+        more = _drawn(points, z, jobs, OVERSAMPLED * k, turn, lambda js, rows, now=now: _nearest(rows, now[js])[1])
         found = [np.concatenate([c, m]) if len(m) else c for c, m in zip(found, more, strict=True)]
-    most = max(map(len, found))
+    every = _padded(found)
 
-    def near(j, rows):
-        return np.bincount(_squares(rows, found[j]).argmin(1), minlength=most).astype(float)
+    def near(js, rows, n):
+        label, _ = _nearest(rows, every[js])
+        return np.stack([n @ (label == c) for c in range(every.shape[1])], axis=1)
 
     counts = _sums(points, z, jobs, near)
     return [_weighted_centres(c, n[: len(c)], k, job.seed) for c, n, job in zip(found, counts, jobs, strict=True)]
@@ -175,8 +253,15 @@ def _weighted_centres(x: np.ndarray, weight: np.ndarray, k: int, seed: int, trie
     return min(found, key=lambda f: f[0])[1]
 
 
-def _moments(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.concatenate([weights.sum(0), (weights.T @ x).ravel(), (weights.T @ (x * x)).ravel()])
+def _moments(shares: list[np.ndarray], x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row a fit: for each component the sums of its shares of the rows, of these times x and times its square.
+
+    shares[component][row, fit]; n tells how often a row counts.
+    """
+    d = x.shape[1]
+    terms = np.column_stack([np.ones(len(x)), x, x * x]) * n[:, None]
+    sums = np.stack([share.T @ terms for share in shares], axis=1)  # fit, component, term
+    return np.concatenate([sums[:, :, 0], sums[:, :, 1 : d + 1].reshape(len(sums), -1), sums[:, :, d + 1 :].reshape(len(sums), -1)], axis=1)
 
 
 def _taken(sums: np.ndarray, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,21 +269,21 @@ def _taken(sums: np.ndarray, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np
     return n, sums[k : k + k * d].reshape(k, d) / n[:, None], sums[k + k * d : k + 2 * k * d].reshape(k, d) / n[:, None]
 
 
-def kmeans_fits(points: DataFrame, z: list[str], jobs: list[Job], iterations: int = 500, tol: float = 1e-4, k: int = COMPONENTS, width: int | None = None, begin: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, float, Mixture]]:
+def kmeans_fits(points: DataFrame, z: list[str], jobs: list[Job], iterations: int = 500, tol: float = 1e-4, k: int = COMPONENTS, begin: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, float, Mixture]]:
     """For each job centres, cost, and the mixture that its clusters are. points: z and __fold; begin: centres to start from.
 
     A job ends when its centres move by less than tol in all.
     """
-    d = width or len(z)  # of the rows that a job takes
+    d = len(z)
     centres = _starts(points, z, jobs, k, d) if begin is None else list(begin)
     done: dict[int, tuple] = {}
     for _ in range(iterations):
         live = [j for j in range(len(jobs)) if j not in done]
-        now = [centres[j] for j in live]
+        now = np.array([centres[j] for j in live])
 
-        def work(i, rows, now=now):
-            far = _squares(rows, now[i])
-            return np.append(_moments(np.eye(k)[far.argmin(1)], rows), far.min(1).sum())
+        def work(js, rows, n, now=now):
+            label, least = _nearest(rows, now[js])
+            return np.column_stack([_moments([(label == c).astype(float) for c in range(k)], rows, n), n @ least])
 
         sums = _sums(points, z, [jobs[j] for j in live], work)
         if not sums.size:
@@ -254,6 +339,31 @@ def log_densities(m: Mixture, x: np.ndarray) -> np.ndarray:
     return start - (((x[:, None, :] - m.means[None]) ** 2) / (2 * m.variances[None])).sum(2)
 
 
+def _responsibilities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For rows and fits: each component's share, and the logarithm of the density. Parameters: [fit, component, column]."""
+    start = np.log(np.maximum(weights, 1e-300)) - 0.5 * np.log(2 * np.pi * variances).sum(2)
+    root = np.sqrt(0.5 / variances)
+    logs = []
+    for k in range(weights.shape[1]):
+        total = np.repeat(start[None, :, k], len(x), axis=0)
+        for i in range(x.shape[1]):
+            gap = x[:, i, None] - means[None, :, k, i]
+            gap *= root[None, :, k, i]
+            gap *= gap
+            total -= gap
+        logs.append(total)
+    top = logs[0].copy()
+    for total in logs[1:]:
+        np.maximum(top, total, out=top)
+    for total in logs:
+        total -= top
+        np.exp(total, out=total)
+    whole = sum(logs[1:], logs[0])
+    for total in logs:
+        total /= whole
+    return logs, top + np.log(whole)
+
+
 def mixture_fits(points: DataFrame, z: list[str], jobs: list[Job], starts: list[Mixture], iterations: int = 500, tol: float = 1e-3) -> list[tuple[Mixture, float]]:
     """Expectation maximisation of each job from its start, with a floor on variances, and its mean log-likelihood.
 
@@ -263,13 +373,11 @@ def mixture_fits(points: DataFrame, z: list[str], jobs: list[Job], starts: list[
     k, d = starts[0].means.shape
     for _ in range(iterations):
         live = [j for j in range(len(jobs)) if j not in done]
-        held = [now[j] for j in live]
+        held = [np.array([getattr(now[j], part) for j in live]) for part in ("weights", "means", "variances")]
 
-        def work(i, rows, held=held):
-            logs = log_densities(held[i], rows)
-            top = logs.max(1, keepdims=True, initial=-math.inf)
-            norm = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
-            return np.concatenate([_moments(np.exp(logs - norm), rows), [norm.sum(), len(rows)]])
+        def work(js, rows, n, held=held):
+            shares, norm = _responsibilities(rows, *[part[js] for part in held])
+            return np.column_stack([_moments(shares, rows, n), n @ norm, np.full(len(js), n.sum())])
 
         sums = _sums(points, z, [jobs[j] for j in live], work)
         if not sums.size:
@@ -343,24 +451,14 @@ def out_of_fold(
     starts = {"kmeans": 20, "gmm": 5} if starts is None else starts
     rows = frames.filter(F.col(fold).isNotNull()).withColumn("__fold", F.col(fold).cast("int"))
     scalers = fold_scalers(rows, features, fold, folds)
-    # Missing values have another median in each fit: one column a fold, where that fold's fits look.
-    filled = rows.select("__fold", *[F.coalesce(F.col(c), F.lit(scalers[k].median[c])).cast("double").alias(f"{c}__{k}") for k in range(folds) for c in features]).persist()
-    d = len(features)
+    points = _counted(rows.select("__fold", *[F.col(c).cast("double").alias(c) for c in features]), features)
     vector = lambda s, part: np.array([getattr(s, part)[c] for c in features])
-
-    @dataclass
-    class FoldJob(Job):
-        def rows(self, x, fold):
-            own = x[fold != self.left_out, self.left_out * d : (self.left_out + 1) * d]
-            return (own - self.shift) / self.scale
-
-    columns = [c for c in filled.columns if c != "__fold"]
     runs = [(model, seed, k) for model in models for seed in seeds for k in range(folds)]
-    begun = [(run, FoldJob(run[2], vector(scalers[run[2]], "mean"), vector(scalers[run[2]], "std"), run[1] + s)) for run in runs for s in range(starts[run[0]])]
-    centres = kmeans_fits(filled, columns, [job for _, job in begun], width=d)
+    begun = [(run, Job(run[2], vector(scalers[run[2]], "mean"), vector(scalers[run[2]], "std"), run[1] + s, vector(scalers[run[2]], "median"))) for run in runs for s in range(starts[run[0]])]
+    centres = kmeans_fits(points, features, [job for _, job in begun])
     best: dict[tuple, tuple] = {}
     soft = [i for i, (run, _) in enumerate(begun) if run[0] != "kmeans"]
-    mixtures = dict(zip(soft, mixture_fits(filled, columns, [begun[i][1] for i in soft], [centres[i][2] for i in soft]), strict=True)) if soft else {}
+    mixtures = dict(zip(soft, mixture_fits(points, features, [begun[i][1] for i in soft], [centres[i][2] for i in soft]), strict=True)) if soft else {}
     for i, (run, job) in enumerate(begun):
         cost = -mixtures[i][1] if i in mixtures else centres[i][1]
         if run not in best or cost < best[run][0]:
@@ -368,11 +466,11 @@ def out_of_fold(
 
     def least(run):  # squared distance of a training row of a k-means run to its nearest centre
         _, found, job = best[run]
-        z = [(F.col(f"{c}__{run[2]}") - float(m)) / float(sd) for c, m, sd in zip(features, job.shift, job.scale, strict=True)]
+        z = [(F.coalesce(F.col(c).cast("double"), F.lit(float(v))) - float(m)) / float(sd) for c, v, m, sd in zip(features, job.fill, job.shift, job.scale, strict=True)]
         return F.when(F.col("__fold") != run[2], F.least(*[sum(((x - float(v)) ** 2 for x, v in zip(z, centre, strict=True)), F.lit(0.0)) for centre in found]))
 
     hard = [run for run in runs if run[0] == "kmeans"]
-    spread = dict(zip(hard, quantiles(filled.select(*[least(run).alias(f"d{i}") for i, run in enumerate(hard)]), [(f"d{i}", 0.5) for i in range(len(hard))]), strict=True)) if hard else {}
+    spread = dict(zip(hard, quantiles(rows.select(*[least(run).alias(f"d{i}") for i, run in enumerate(hard)]), [(f"d{i}", 0.5) for i in range(len(hard))]), strict=True)) if hard else {}
 
     def posterior(run, z):
         _, found, _ = best[run]
@@ -380,12 +478,15 @@ def out_of_fold(
         e = np.exp(logs - logs.max(1, keepdims=True, initial=-math.inf))
         return e / e.sum(1, keepdims=True)
 
-    def heat(i, z):  # sum of scaled features and rows by label
-        label = np.eye(COMPONENTS)[posterior(runs[i], z).argmax(1)]
-        return np.concatenate([label.T @ z.sum(1), label.sum(0)])
+    def heat(js, z, n):  # sum of scaled features and rows by label
+        out = []
+        for j in js:
+            label = np.eye(COMPONENTS)[posterior(runs[j], z).argmax(1)] * n[:, None]
+            out.append(np.concatenate([label.T @ z.sum(1), label.sum(0)]))
+        return np.array(out)
 
-    sums = _sums(filled, columns, [best[run][2] for run in runs], heat)
-    filled.unpersist()
+    sums = _sums(points, features, [best[run][2] for run in runs], heat)
+    points.unpersist()
     order = {}
     for run, own in zip(runs, sums if sums.size else np.zeros((len(runs), 2 * COMPONENTS)), strict=True):
         n = own[COMPONENTS:]
