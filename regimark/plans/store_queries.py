@@ -154,7 +154,7 @@ def plane_audit(spark, sf):
 def feature_files_by_video(spark, sf):
     """Features by video, those of even videos written again with other values, and the summary beside them."""
     path = store.new_path(spark, "by-video")
-    f = frames(spark, sf).select("video_id", "frame_index", "intensity", "active").repartition("video_id")
+    f = frames(spark, sf).select("video_id", "frame_index", "intensity", "active")
     store.write_features(f, path)
     store.write_features(f.filter("video_id % 2 = 0").withColumn("intensity", F.col("intensity") + 1), path)
     back = spark.read.schema(f.schema).parquet(path)

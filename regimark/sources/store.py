@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of feature files, and the column that names them.
+KEY_PARTS, PART = 64, "key_part"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one only in local mode where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,9 +63,28 @@ def drop_stored(spark: SparkSession) -> None:
 
 
 def write_features(df: DataFrame, path: str, key: str = "video_id") -> None:
-    """Feature rows as parquet, one folder a key value; a rerun replaces only the keys it has. Spark's committer
-    renames finished files into place."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Feature rows as parquet in KEY_PARTS folders, by a hash of their key; a rerun replaces only the keys it has.
+
+    The number of files follows from the bytes, not from the keys. A rerun writes the folders that hold its keys anew,
+    with the rows of other keys that lie there; Spark's committer renames finished ones into place. A NULL key is a
+    key, and rows may have other columns than those before.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(KEY_PARTS)).cast("int")
+    spark = df.sparkSession
+    new = df.withColumn(PART, part)
+    if _holds_files(spark, path):
+        new = stored(new, "features")
+        touched = [r[0] for r in new.select(PART).distinct().collect()]  # KEY_PARTS rows at most
+        known, fresh = spark.read.option("mergeSchema", True).parquet(path), new.select(F.col(key).alias("__key")).distinct()
+        kept = known.filter(F.col(PART).isin(touched)).join(fresh, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+        new = union_ragged(new, kept)
+    new.hint("rebalance", F.col(PART)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+
+
+def _holds_files(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(folder) and any(s.getPath().getName().startswith(f"{PART}=") for s in system.listStatus(folder))
 
 
 def feature_summary(df: DataFrame, fps: float, flag: str = "active_candidate") -> DataFrame:

@@ -88,6 +88,18 @@ def test_sinks(spark, tmp_path):
     assert store.missing_keys(df, df.filter("x > 2"), ["video_id"]).collect()[0][0] == "v"
 
 
+def test_feature_files_follow_from_bytes_not_keys(spark, tmp_path):
+    path = tmp_path / "f"
+    df = spark.range(3000).selectExpr("CASE WHEN id % 600 = 0 THEN NULL ELSE concat('v', id % 600) END AS video_id", "CAST(id AS INT) AS frame_index", "CAST(id AS DOUBLE) AS x")
+    store.write_features(df, str(path))
+    again = df.filter("video_id IS NULL OR video_id IN ('v7', 'v8')").filter("frame_index < 600").selectExpr("video_id", "frame_index", "-1.0D AS x", "1 AS more")
+    store.write_features(again, str(path))
+    assert sum(1 for _ in path.rglob("*.parquet")) <= 2 * store.KEY_PARTS
+    got = {(r["video_id"], r["frame_index"]): (r["x"], r["more"]) for r in spark.read.option("mergeSchema", True).parquet(str(path)).collect()}
+    want = {(r["video_id"], r["frame_index"]): (r["x"], None) for r in df.collect() if r["video_id"] not in (None, "v7", "v8")}
+    assert got == want | {(None, 0): (-1.0, 1), ("v7", 7): (-1.0, 1), ("v8", 8): (-1.0, 1)}
+
+
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(1)
     step, start = np.log(temporal.TRANSITION), np.log(temporal.INITIAL)
