@@ -10,6 +10,8 @@ from ..functions.scalar import divided
 
 LEVELS = 256
 MIN_THRESHOLD = 8
+#: Frames whose features a task holds at once.
+BATCH = 256
 
 
 def histogram(pixels: DataFrame, key: str = "frame_id") -> DataFrame:
@@ -159,15 +161,17 @@ INTEGER_FEATURES = {"pixel_min", "pixel_max", "total_intensity", "p95", "p99", "
 
 
 def extract_features(frames: DataFrame, width: int, height: int) -> DataFrame:
-    """(video_id, frame_index, features...) of decoded frames, a batch at a time."""
+    """(video_id, frame_index, features...) of decoded frames, BATCH of them at a time."""
     names = list(frame_features(np.zeros((height, width), np.uint8)))
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            made = [frame_features(np.frombuffer(p, np.uint8).reshape(height, width)) for p in pdf["pixels"]]
-            yield pd.concat([pdf[["video_id", "frame_index"]].reset_index(drop=True), pd.DataFrame(made, columns=names)], axis=1)
+            for at in range(0, len(pdf), BATCH):
+                few = pdf.iloc[at : at + BATCH]
+                made = [frame_features(np.frombuffer(p, np.uint8).reshape(height, width)) for p in few["pixels"]]
+                yield pd.concat([few[["video_id", "frame_index"]].reset_index(drop=True), pd.DataFrame(made, columns=names)], axis=1)
 
     kinds = ", ".join(f"{k} {'long' if k in INTEGER_FEATURES else 'double'}" for k in names)
     out = frames.select("video_id", "frame_index", "pixels").mapInPandas(run, f"video_id string, frame_index int, {kinds}")

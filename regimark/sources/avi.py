@@ -14,6 +14,8 @@ from .store import stored
 
 #: Bytes of a file that one task reads, about.
 STRETCH = 64 << 20
+#: Frames of a batch that a task gives or works on at once.
+BATCH = 256
 HEADER = struct.Struct("<4sI")
 
 
@@ -111,7 +113,7 @@ def read_frames(index: DataFrame, width: int = 120, height: int = 120, stretch:
                     raise ValueError(f"frame {number} of {video} is shorter than its image")
                 planes = frame_planes(data, offset, width, height)
                 rows.append((video, number, planes[..., 0].tobytes(), int(((planes[..., 0] != planes[..., 1]) | (planes[..., 0] != planes[..., 2])).sum())))
-                if len(rows) == 256:
+                if len(rows) == BATCH:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
@@ -133,17 +135,17 @@ def decode_frames(videos: DataFrame, width: int = 120, height: int = 120) -> Dat
     def run(batches):
         import pandas as pd
 
+        rows = []
         for pdf in batches:
             for video, data in zip(pdf["video_id"], pdf["content"], strict=True):
-                rows = []
                 for index, (offset, _) in enumerate(frame_chunks(data, *movie_list(data))):
                     planes = frame_planes(data, offset, width, height)
                     unequal = int(((planes[..., 0] != planes[..., 1]) | (planes[..., 0] != planes[..., 2])).sum())
                     rows.append((video, index, planes[..., 0].tobytes(), unequal))
-                    if len(rows) == 256:
+                    if len(rows) == BATCH:
                         yield pd.DataFrame(rows, columns=["video_id", "frame_index", "pixels", "unequal"])
                         rows = []
-                yield pd.DataFrame(rows, columns=["video_id", "frame_index", "pixels", "unequal"])
+        yield pd.DataFrame(rows, columns=["video_id", "frame_index", "pixels", "unequal"])
 
     return videos.mapInPandas(run, "video_id string, frame_index int, pixels binary, unequal int")
 
@@ -155,13 +157,18 @@ def audit_frames(videos: DataFrame, width: int = 120, height: int = 120) -> Data
     def run(batches):
         import pandas as pd
 
+        columns, rows = ["video_id", "frame_index", "grey", "unequal", "unequal_fraction"], []
         for pdf in batches:
             for video, data in zip(pdf["video_id"], pdf["content"], strict=True):
                 for index, (offset, _) in enumerate(frame_chunks(data, *movie_list(data))):
                     planes = frame_planes(data, offset, width, height)
                     grey = np.rint(planes.mean(axis=2)).astype(np.uint8)
                     unequal = int((planes != planes[..., :1]).any(axis=2).sum())
-                    yield pd.DataFrame({"video_id": [video], "frame_index": [index], "grey": [grey.tobytes()], "unequal": [unequal], "unequal_fraction": [unequal / grey.size]})
+                    rows.append((video, index, grey.tobytes(), unequal, unequal / grey.size))
+                    if len(rows) == BATCH:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
     return videos.mapInPandas(run, "video_id string, frame_index int, grey binary, unequal int, unequal_fraction double")
 

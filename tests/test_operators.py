@@ -100,6 +100,36 @@ def test_feature_files_follow_from_bytes_not_keys(spark, tmp_path):
     assert got == want | {(None, 0): (-1.0, 1), ("v7", 7): (-1.0, 1), ("v8", 8): (-1.0, 1)}
 
 
+def test_images_are_worked_on_in_batches_of_frames(spark):
+    import struct
+
+    import pandas as pd
+
+    from regimark.operators import images
+    from regimark.sources import avi
+
+    class Table:  # holds what a task would run
+        def mapInPandas(self, run, schema):
+            self.run = run
+            return self
+
+        def select(self, *names):
+            return self
+
+        def withColumns(self, columns):
+            return self
+
+    body = bytes(range(48))
+    chunk = b"00db" + struct.pack("<I", 48) + body
+    movi = b"LIST" + struct.pack("<I", 4 + len(chunk)) + b"movi" + chunk
+    content = b"RIFF" + struct.pack("<I", 4 + len(movi)) + b"AVI " + movi
+    videos = pd.DataFrame({"video_id": [str(k) for k in range(600)], "content": [content] * 600})
+    for made in (avi.decode_frames, avi.audit_frames):  # videos of a frame each share batches
+        assert [len(b) for b in made(Table(), 4, 4).run(iter([videos[:300], videos[300:]]))] == [256, 256, 88]
+    frames = pd.concat(avi.decode_frames(Table(), 4, 4).run(iter([videos])), ignore_index=True)
+    assert [len(b) for b in images.extract_features(Table(), 4, 4).run(iter([frames]))] == [256, 256, 88]
+
+
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(1)
     step, start = np.log(temporal.TRANSITION), np.log(temporal.INITIAL)
