@@ -20,8 +20,18 @@ from ..operators.temporal import START, STATES, STEP, fixed
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups that videos are dealt to: calls to the state store cost far more than rows, so a group's videos share them.
+GROUPS = 1024
+#: Stands for a missing number of a frame; such a row has no place in an order and is left out.
+NO_FRAME = -(1 << 63)
+
+
 class InOrder(StatefulProcessor):
-    """Base: subclasses take frames one by one. State: rows that wait, and what take() keeps between rows."""
+    """Base: subclasses take the frames of a video one by one. A key is a group of videos. State: the group's rows that
+    wait, and for each of its videos what take() keeps between rows."""
+
+    #: Type of a video's id.
+    kind = "long"
 
     #: Columns of a row beside time and frame, and the schema of what is kept.
     values: list[tuple[str, str]] = []
@@ -33,41 +43,49 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(["time long, frame long", *[f"{c} {t}" for c, t in self.values]]))
-        self.state = handle.getValueState("kept", f"time long, {self.kept}")
+        video = f"known boolean, video {self.kind}"
+        self.waiting = handle.getListState("waiting", ", ".join([f"time long, frame long, {video}", *[f"{c} {t}" for c, t in self.values]]))
+        self.state = handle.getListState("kept", f"{video}, time long, {self.kept}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        times = []
         for pdf in rows:
-            self.waiting.appendList(list(pdf[["time", "frame", *[c for c, _ in self.values]]].itertuples(index=False, name=None)))
-            latest = int(pdf["time"].max()) if latest is None else max(latest, int(pdf["time"].max()))
-        if latest is not None:
-            self.handle.registerTimer(latest)
+            self.waiting.appendList(list(pdf[["time", "frame", "known", "video", *[c for c, _ in self.values]]].itertuples(index=False, name=None)))
+            times += [int(pdf["time"].min()), int(pdf["time"].max())]
+        for time in {min(times), max(times)} if times else ():
+            self.handle.registerTimer(time)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, rows = timerValues.getCurrentWatermarkInMs(), []
+        now = timerValues.getCurrentWatermarkInMs()
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted(r for r in waiting if r[0] <= now)
         rest = [r for r in waiting if r[0] > now]
-        found = tuple(self.state.get()) if self.state.exists() else None
-        last, kept = (found[0], found[1:]) if found else (None, None)
-        for time, frame, *values in ready:
-            kept = self.take(kept, frame, values, rows)
-            last = time
+        ready = sorted((r for r in waiting if r[0] <= now and r[1] != NO_FRAME), key=lambda r: (r[0], r[1], *r[4:]))
+        held = {tuple(r)[:2]: (r[2], tuple(r)[3:]) for r in self.state.get()} if self.state.exists() else {}
+        given: list[tuple] = []
+
+        def give(video: tuple, rows: list[tuple]) -> None:
+            given.extend((video[1] if video[0] else None, *r) for r in rows)
+
+        for time, frame, known, video, *values in ready:
+            rows: list[tuple] = []
+            held[known, video] = (time, self.take(held.get((known, video), (None, None))[1], frame, values, rows))
+            give((known, video), rows)
+        later = {r[2:4] for r in rest}
+        for video in [v for v, (last, _) in held.items() if v not in later and last + self.quiet_ms <= now]:
+            rows = []
+            self.end(held.pop(video)[1], rows)
+            give(video, rows)
+        for state, found in ((self.waiting, rest), (self.state, [(*v, last, *kept) for v, (last, kept) in held.items()])):
+            if found:
+                state.put(found)
+            elif state.exists():
+                state.clear()
         if rest:
-            self.waiting.put(rest)
-        elif self.waiting.exists():
-            self.waiting.clear()
-        if kept is not None:
-            if not rest and last + self.quiet_ms <= now:
-                self.end(kept, rows)
-                self.state.clear()
-            else:
-                self.state.update((last, *kept))
-                if not rest:
-                    self.handle.registerTimer(last + self.quiet_ms)
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["video_id", *self.out])
+            self.handle.registerTimer(min(r[0] for r in rest))
+        elif held:
+            self.handle.registerTimer(min(last for last, _ in held.values()) + self.quiet_ms)
+        yield pd.DataFrame(given, columns=["video_id", *self.out])
 
     def take(self, kept: tuple | None, frame: int, values: list, rows: list[tuple]) -> tuple:
         """What is kept after a frame; rows to give go to `rows`."""
@@ -150,11 +168,15 @@ class LagDecoder(InOrder):
 def _run(frames: DataFrame, machine: InOrder, time: str, late: str, values: dict[str, Column | str], schema: str) -> DataFrame:
     spark: SparkSession = frames.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the only store with timers and lists
-    kind = frames.schema["video_id"].dataType.simpleString()
+    machine.kind = frames.schema["video_id"].dataType.simpleString()
     columns = [F.expr(v).alias(c) if isinstance(v, str) else v.alias(c) for c, v in values.items()]
     marked = frames.withWatermark(time, late)
-    rows = marked.select("video_id", time, F.unix_millis(time).alias("time"), F.col("frame_index").cast("long").alias("frame"), *columns)
-    return rows.groupBy("video_id").transformWithStateInPandas(machine, f"video_id {kind}, {schema}", "append", "EventTime")
+    nothing = F.lit("" if machine.kind == "string" else 0).cast(machine.kind)  # pandas would turn columns with NULL to floats
+    rows = marked.select(  # the key video_id is the number of a group of ids; rows without an id are a group
+        F.when(F.col("video_id").isNotNull(), F.pmod(F.xxhash64("video_id"), F.lit(GROUPS))).alias("video_id"), F.col("video_id").isNotNull().alias("known"), F.coalesce("video_id", nothing).alias("video"),
+        time, F.unix_millis(time).alias("time"), F.coalesce(F.col("frame_index").cast("long"), F.lit(NO_FRAME)).alias("frame"), *columns,
+    )
+    return rows.groupBy("video_id").transformWithStateInPandas(machine, f"video_id {machine.kind}, {schema}", "append", "EventTime")
 
 
 def event_stream(frames: DataFrame, flag: Column, time: str, late: str, min_frames: int = 2, quiet_ms: int = 60_000) -> DataFrame:

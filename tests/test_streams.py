@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,52 @@ def test_a_killed_run_loses_and_repeats_nothing(spark, tmp_path, monkeypatch):
 
 def test_nothing_written_is_empty(spark, tmp_path):
     assert sinks.read_written(spark, str(tmp_path / "none"), SCHEMA).count() == 0
+
+
+def test_videos_share_groups_of_state():
+    from regimark.streaming.state import NO_FRAME, EventMachine
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def appendList(self, rows):
+            self.rows, self.calls = self.rows + rows, self.calls + 1
+
+        def put(self, rows):
+            self.rows, self.calls = rows, self.calls + 1
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.states = {}
+
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, State())
+
+        def registerTimer(self, time):
+            pass
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    handle, machine = Handle(), EventMachine(1000, 2)
+    machine.init(handle)
+    rows = pd.DataFrame([(10 * k, k if v else NO_FRAME, v > 0, v, True) for v in range(50) for k in range(4)], columns=["time", "frame", "known", "video", "hit"])
+    list(machine.handleInputRows((0,), iter([rows]), None))
+    assert [len(b) for b in machine.handleExpiredTimer((0,), Clock(15), None)] == [0]  # two frames of each are taken
+    got = pd.concat(machine.handleExpiredTimer((0,), Clock(5000), None))
+    assert sorted(got.itertuples(index=False, name=None)) == [(v, 0, 3) for v in range(1, 50)]
+    assert not any(s.rows for s in handle.states.values()) and sum(s.calls for s in handle.states.values()) == 3
