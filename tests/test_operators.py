@@ -604,3 +604,13 @@ def test_average_rank_of_frequent_values(spark, monkeypatch):
         got = {r["i"]: r["r"] for r in stats.average_rank(d, "v", "r").collect()}
         values = [v for v in x if v is not None]
         assert got == {i: None if v is None else sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for i, v in enumerate(x)}
+
+
+def test_equal_rows_are_one_row_with_their_number(spark):
+    rows = spark.createDataFrame([(float(k % 7), float(k % 3)) for k in range(840)], "a double, b double")
+    points = models._points(rows, ["a", "b"])
+    assert points.count() == 21 and points.agg(F.sum("__n")).first()[0] == 840
+    begin = [np.array([[0.0, 0.0], [3.0, 1.0], [6.0, 2.0]])]
+    plain = rows.withColumn("__fold", F.lit(-1))
+    a, b = (models.kmeans_fits(p, ["a", "b"], [models.Job()], begin=begin)[0] for p in (points, plain))
+    assert np.allclose(a[0], b[0]) and a[1] == pytest.approx(b[1])
