@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranges import RangeFile, list_files, spread
+from .ranges import RangeFile, list_files, spread, task_count
 from .store import stored
 
-#: Bytes of a file that one task reads, about.
+#: Bytes of a file that stay together in a task, about.
 STRETCH = 64 << 20
 #: Frames of a batch that a task gives or works on at once.
 BATCH = 256
@@ -67,26 +67,29 @@ def read_videos(spark: SparkSession, path: str) -> DataFrame:
 def frame_index(files: DataFrame) -> DataFrame:
     """(video_id, path, frame_index, offset, size) of every frame of the files at `path`, in file order.
 
-    A task walks the headers of a file's chunks; no image is read. The index is stored, as readers plan by its sizes.
-    A file without a list of frames raises.
+    A task walks the headers of a file's chunks, or of several small files'; no image is read. The index is stored, as
+    readers plan by its sizes. Tasks are planned by a column `length`, if there is one. A file without a list of
+    frames raises.
     """
 
     def run(batches):
         import pandas as pd
 
         columns = ["path", "frame_index", "offset", "size"]
+        rows = []
         for pdf in batches:
             for path in pdf["path"]:
                 with RangeFile(path) as data:
-                    rows = []
                     for index, (offset, size) in enumerate(frame_chunks(data, *movie_list(data))):
                         rows.append((path, index, offset, size))
                         if len(rows) == 10_000:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
-                    yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(rows, columns=columns)
 
-    found = spread(files.select("path"), files.count(), "path").mapInPandas(run, "path string, frame_index int, offset long, size long")
+    size = F.sum("length") if "length" in files.columns else F.lit(0)
+    tasks = task_count(files.sparkSession, *files.agg(F.count("*"), size).first())
+    found = spread(files.select("path"), tasks, "path").mapInPandas(run, "path string, frame_index int, offset long, size long")
     return stored(found, "frame-index").select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("video_id"), "*")
 
 
@@ -94,8 +97,8 @@ def read_frames(index: DataFrame, width: int = 120, height: int = 120, stretch:
     """(video_id, frame_index, pixels, unequal) of the frames of an index, as decode_frames gives them.
 
     Tasks share a file by stretches of bytes and read the frames' bytes alone, so a filter or a join of the index
-    leaves out what isn't wanted before anything is read, and a file may be of any size. A frame whose chunk is
-    shorter than its image raises.
+    leaves out what isn't wanted before anything is read, and a file may be of any size. A task reads a stretch, or
+    several small ones. A frame whose chunk is shorter than its image raises.
     """
     columns = ["video_id", "frame_index", "pixels", "unequal"]
     stored_size = (3 * width + 3) // 4 * 4 * height
@@ -119,7 +122,8 @@ def read_frames(index: DataFrame, width: int = 120, height: int = 120, stretch:
             yield pd.DataFrame(rows, columns=columns)
 
     total = index.agg(F.sum("size")).first()[0] or 0
-    dealt = spread(index, -(-total // stretch), "path", F.floor(F.col("offset") / stretch)).sortWithinPartitions("path", "offset")
+    tasks = task_count(index.sparkSession, -(-total // stretch), total)
+    dealt = spread(index, tasks, "path", F.floor(F.col("offset") / stretch)).sortWithinPartitions("path", "offset")
     return dealt.mapInPandas(run, "video_id string, frame_index int, pixels binary, unequal int")
 
 

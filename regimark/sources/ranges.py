@@ -22,6 +22,8 @@ def file_system(path: str):
 
 #: Partitions of a job at most.
 MOST_TASKS = 100_000
+#: Bytes and pieces that a task takes, about; tasks a core at least, if there are as many pieces.
+TASK_BYTES, TASK_PIECES, TASKS_A_CORE = 64 << 20, 1000, 4
 
 
 class RangeFile:
@@ -53,6 +55,13 @@ def list_files(spark: SparkSession, path: str, ending: str) -> DataFrame:
     return files.select("path", "length").filter(F.lower("path").endswith(ending.lower()))
 
 
+def task_count(spark: SparkSession, pieces: int, size: int | None) -> int:
+    """Tasks for pieces of work, such as files, that have size bytes in all. Small pieces share tasks, as the start of a
+    task costs more than they do; so tasks grow with bytes, and with pieces only by TASK_PIECES."""
+    by_work = -(-(size or 0) // TASK_BYTES) + pieces // TASK_PIECES
+    return min(pieces, max(by_work, TASKS_A_CORE * spark.sparkContext.defaultParallelism))
+
+
 def spread(rows: DataFrame, tasks: int, *keys) -> DataFrame:
     """rows dealt by keys to so many tasks. The number is given, as small rows that stand for much work would else be
     put together by their own size."""

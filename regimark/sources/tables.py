@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import file_class, finite
-from .ranges import RangeFile, list_files, spread
+from .ranges import RangeFile, list_files, spread, task_count
 from .store import stored
 
 # The columns of measured tables, by position.
@@ -74,7 +74,8 @@ def archive_index(archives: DataFrame) -> DataFrame:
                     rows = [(path, i.filename, i.file_size, i.compress_size) for i in z.infolist() if not i.is_dir()]
                 yield pd.DataFrame(rows, columns=["path", "member", "size", "stored_size"])
 
-    found = spread(archives.select("path"), archives.count(), "path").mapInPandas(run, "path string, member string, size long, stored_size long")
+    tasks = task_count(archives.sparkSession, archives.count(), 0)  # directories are small, whatever the archives' bytes
+    found = spread(archives.select("path"), tasks, "path").mapInPandas(run, "path string, member string, size long, stored_size long")
     return stored(found, "archive-index")
 
 

@@ -470,6 +470,33 @@ def test_a_large_video_is_read_by_several_tasks(spark, tmp_path):
         avi.frame_index(avi.list_videos(spark, str(tmp_path))).collect()
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    from regimark.plans import source_queries
+    from regimark.sources import avi, ranges
+
+    cores = spark.sparkContext.defaultParallelism
+    most = ranges.TASKS_A_CORE * cores
+    rng = np.random.default_rng(13)
+    vectors = spark.createDataFrame([(64 * k + j, rng.random(64).tolist()) for k in range(10 * most) for j in range(3)], "vec_id long, embedding array<double>")
+    files = source_queries._video_files(vectors)
+    ranges.write_files(files, str(tmp_path))
+    index = avi.frame_index(avi.list_videos(spark, str(tmp_path)))
+    assert len(index.inputFiles()) <= most
+    assert avi.frame_index(avi.list_videos(spark, str(tmp_path)).select("path")).count() == index.count()
+    got = avi.read_frames(index, 8, 8, stretch=200)
+    assert got.rdd.getNumPartitions() <= most
+    whole = avi.decode_frames(files.select(F.regexp_extract("name", "(.*)[.]avi", 1).alias("video_id"), "content"), 8, 8)
+    key = lambda r: (r["video_id"], r["frame_index"], bytes(r["pixels"]), r["unequal"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, whole.collect()))
+    for k in range(5 * most):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            z.writestr("m.csv", str(k))
+    archives = tables.archive_index(tables.list_archives(spark, str(tmp_path)))
+    assert archives.count() == 5 * most and len(archives.inputFiles()) <= most
+    # All files where they are few; bytes decide where there are many, and pieces a little.
+    assert [ranges.task_count(spark, *of) for of in ((0, None), (3, 1 << 40), (most + 1, 1), (1_000_000, 1 << 40))] == [0, 3, most, (1 << 14) + 1000]
+
+
 def test_members_are_read_as_streams(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "Big.ZIP", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("a/m.csv", "﻿h,i\r\n" + "".join(f"{k},{k / 2}\r\n" for k in range(25_000)) + 'x,1\r\n"7","8",9\r\n')
