@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalar import FRAME_RATE, divided, method_threshold
 from ..sources.store import stored
 from . import events as E
 from . import stats as ST
-from .stats import bootstrap_interval, quantiles, spearman, spearman_within
-from .temporal import sequence_metrics
 
 #: Frames that a part needs to count.
 PART_FRAMES = 20
+#: What is correlated with power, and the labels among it, with their names in measures.
+SCORES = {"p_high": "p_high", "label": "raw_label", "temporal_label": "temporal_label"}
+LABELS = {"label": "raw", "temporal_label": "temporal"}
 # Thresholds of the score that alarms are tried at.
 ALARM_THRESHOLDS = (0.30, 0.50, 0.70, 0.90)
 BEST = "probability_best_f1"
@@ -26,14 +28,25 @@ def part_table(frames: DataFrame) -> DataFrame:
 
     frames: video_id, frame_index, power, p_high, label, temporal_label, all numbers.
     """
-    n = frames.groupBy("video_id").agg(
-        F.count("*").alias("frame_count"), *[F.avg(F.when(F.col("temporal_label") == k, F.col("power"))).alias(f"{name}_power_mean") for k, name in enumerate(("low", "nominal", "high"))]
-    )
-    parts = n.filter(F.col("frame_count") >= PART_FRAMES)
-    for c, name in (("p_high", "p_high_power"), ("label", "raw_label_power"), ("temporal_label", "temporal_label_power")):
-        parts = parts.join(spearman_within(frames, c, "power", ["video_id"]).select("video_id", F.col("spearman").alias(f"{name}_spearman")), "video_id", "left")
+    found = _parts(frames.withColumn("__run", F.lit(0)))
+    return found.filter(F.col("frame_count") >= PART_FRAMES).drop("__run", "linked", *[f"{n}_switches" for n in LABELS.values()])
+
+
+def _parts(frames: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
+    """The same of all parts of each __run, with frames that go on with the one before them, changes of labels at these,
+    and more aggregates. All is counted in one shuffle of the frames by their part.
+    """
+    keys = ["video_id", "__run"]
+    ranked, correlations = ST.ranks_within(frames, {f"{n}_power_spearman": c for c, n in SCORES.items()}, "power", keys)
+    w = Window.partitionBy(*keys).orderBy("frame_index")
+    gone_on = F.lag(F.lit(1)).over(w).isNotNull() & F.coalesce(F.col("frame_index") - F.lag("frame_index").over(w) <= 1, F.lit(True))
+    ranked = ranked.withColumns({"__linked": gone_on} | {f"__{n}": F.coalesce(F.col(c) != F.lag(c).over(w), F.lit(False)) for c, n in LABELS.items()})
+    out = ranked.groupBy(*keys).agg(
+        F.count("*").alias("frame_count"), *[F.avg(F.when(F.col("temporal_label") == k, F.col("power"))).alias(f"{name}_power_mean") for k, name in enumerate(("low", "nominal", "high"))],
+        *[c.alias(n) for n, c in correlations.items()], F.count_if("__linked").alias("linked"), *[F.count_if(F.col("__linked") & F.col(f"__{n}")).alias(f"{n}_switches") for n in LABELS.values()], *more,
+    )
     rises = (F.col("low_power_mean") < F.col("nominal_power_mean")) & (F.col("nominal_power_mean") < F.col("high_power_mean"))
-    return parts.withColumn("monotonic_power", rises)
+    return out.withColumn("monotonic_power", rises)
 
 
 def evaluate_run(frames: DataFrame, intervals: bool = True) -> DataFrame:
@@ -42,39 +55,57 @@ def evaluate_run(frames: DataFrame, intervals: bool = True) -> DataFrame:
     Frame correlations are over all frames, part means over parts with the measure; a part counts for monotony if
     all three states occur in it. Switches are within segments. Intervals are bootstrap ones over parts.
     """
-    cut = quantiles(frames, [("power", 0.9)])[0]
-    high = F.col("power") >= F.lit(cut)
-    out = frames.agg(
-        F.count("*").alias("active_frames"),
-        F.avg(F.when(high, (F.col("label") == 2).cast("double"))).alias("top_10pct_power_high_regime_recall_raw"),
-        F.avg(F.when(high, (F.col("temporal_label") == 2).cast("double"))).alias("top_10pct_power_high_regime_recall_temporal"),
-    )
-    for c, name in (("p_high", "p_high"), ("label", "raw_label"), ("temporal_label", "temporal_label")):
-        out = out.crossJoin(spearman(frames, c, "power").select(F.col("spearman").alias(f"{name}_power_spearman_frame")))
-    parts = part_table(frames).withColumn("gap", F.col("high_power_mean") - F.col("low_power_mean")).persist()
-    measures = {"part_mean_p_high_power_spearman": "p_high_power_spearman", "part_mean_temporal_power_spearman": "temporal_label_power_spearman", "part_mean_high_low_power_difference": "gap"}
-    monotone = F.count_if("monotonic_power"), F.count("monotonic_power")
-    out = out.crossJoin(parts.agg(*[F.avg(c).alias(n) for n, c in measures.items()], monotone[0].alias("monotonic_parts"), monotone[1].alias("eligible_monotonic_parts"), F.try_divide(*monotone).alias("monotonic_part_fraction")))
-    if intervals:
-        for n, c in measures.items():
-            ends = bootstrap_interval(parts.filter(F.col(c).isNotNull()).withColumn("__all", F.lit(0)), "__all", c)
-            out = out.crossJoin(ends.select(F.col("low").alias(f"{n}_ci_low"), F.col("high").alias(f"{n}_ci_high")))
-    for c, name in (("label", "raw"), ("temporal_label", "temporal")):
-        out = out.crossJoin(sequence_metrics(frames, c).select(F.col("switches_per_1000").alias(f"{name}_switches_per_1000")))
-    raw = F.col("raw_switches_per_1000")
-    return out.withColumn("switch_reduction_fraction", F.try_divide(raw - F.col("temporal_switches_per_1000"), raw))
+    one = frames.sparkSession.range(1).select(F.lit(0).alias("__run"))  # no frames are a row too
+    found = one.join(_evaluated(frames.withColumn("__run", F.lit(0)), intervals), "__run", "left").drop("__run")
+    return found.fillna(0, ["active_frames", "monotonic_parts", "eligible_monotonic_parts"])
 
 
 def evaluate_runs(frames: DataFrame, by: list[str], intervals: bool = True) -> DataFrame:
-    """evaluate_run of every run in frames, told by the columns `by`; there are as many as models and seeds that were fitted."""
-    out = []
-    for run in frames.select(*by).distinct().orderBy(*by).collect():
-        own = frames.filter(reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(run[c])) for c in by]))
-        named = evaluate_run(own.drop(*by), intervals)
-        out.append(named.select(*[F.lit(run[c]).cast(frames.schema[c].dataType).alias(c) for c in by], *named.columns))
-    if not out:
+    """evaluate_run of every run in frames, told by the columns `by`, in passes that all runs share.
+
+    Runs get numbers on the driver; there are as many as models and seeds that were fitted.
+    """
+    found = frames.select(*by).distinct().orderBy(*by).collect()
+    if not found:
         raise ValueError("there is no run")
-    return reduce(DataFrame.unionByName, out)
+    runs = frames.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(found)], StructType([StructField("__run", IntegerType()), *[StructField(c, frames.schema[c].dataType) for c in by]]))
+    numbered = frames.join(F.broadcast(ST.told(runs, by)), ST.same_keys(by)).drop(*by, *[f"__k{i}" for i in range(len(by))])
+    out = _evaluated(numbered, intervals)
+    return runs.join(out, "__run").orderBy("__run").select(*by, *[c for c in out.columns if c != "__run"])
+
+
+def _evaluated(frames: DataFrame, intervals: bool) -> DataFrame:
+    """A row a __run."""
+    measures = {"part_mean_p_high_power_spearman": "p_high_power_spearman", "part_mean_temporal_power_spearman": "temporal_label_power_spearman", "part_mean_high_low_power_difference": "gap"}
+    finite = F.when(F.abs(F.col("power").cast("double")) <= ST.MOST, F.col("power").cast("double"))
+    cut = ST.quantiles_by(frames.withColumn("__power", finite), ["__run"], "__power", {"__cut": 0.9})
+    scores = frames.select("__run", "power", F.posexplode(F.array(*[F.col(c).cast("double") for c in SCORES])).alias("__score", "__value"))
+    rho = ST.spearman(scores, "__value", "power", ("__run", "__score"))
+    rho = rho.groupBy("__run").agg(*[F.max(F.when(F.col("__score") == i, F.col("spearman"))).alias(f"{n}_power_spearman_frame") for i, n in enumerate(SCORES.values())])
+
+    high = F.col("power") >= F.col("__cut")
+    tops = {f"{s}_{n}": F.count_if(high & k) for c, n in LABELS.items() for s, k in (("__top", F.col(c).isNotNull()), ("__hit", F.col(c) == 2))}
+    parts = _parts(frames.join(F.broadcast(cut), "__run"), tuple(c.alias(n) for n, c in tops.items()))
+    parts = stored(parts.withColumn("gap", F.col("high_power_mean") - F.col("low_power_mean")), "parts")
+    large = lambda c: F.when(F.col("frame_count") >= PART_FRAMES, F.col(c))
+    monotone = F.count_if(large("monotonic_power")), F.count(large("monotonic_power"))
+    out = parts.groupBy("__run").agg(
+        F.sum("frame_count").alias("active_frames"), *[F.try_divide(F.sum(f"__hit_{n}"), F.sum(f"__top_{n}")).alias(f"top_10pct_power_high_regime_recall_{n}") for n in LABELS.values()],
+        *[F.avg(large(c)).alias(n) for n, c in measures.items()], monotone[0].alias("monotonic_parts"), monotone[1].alias("eligible_monotonic_parts"), F.try_divide(*monotone).alias("monotonic_part_fraction"),
+        *[(1000.0 * F.sum(f"{n}_switches") / F.greatest(F.sum("linked"), F.lit(1))).alias(f"{n}_switches_per_1000") for n in LABELS.values()],
+    ).join(F.broadcast(rho), "__run", "left")
+    bounds = []
+    if intervals:
+        each = F.posexplode(F.array(*[F.col(c) for c in measures.values()])).alias("__measure", "__value")
+        series = parts.filter(F.col("frame_count") >= PART_FRAMES).select("__run", F.lit(0).alias("__all"), each).filter("__value IS NOT NULL")
+        ends = ST.bootstrap_interval(series, "__all", "__value", by=("__run", "__measure"))
+        bounds = [(f"{n}_ci_{c}", F.max(F.when(F.col("__measure") == i, F.col(c)))) for i, n in enumerate(measures) for c in ("low", "high")]
+        out = out.join(F.broadcast(ends.groupBy("__run").agg(*[c.alias(n) for n, c in bounds])), "__run", "left")
+    raw, temporal = (F.col(f"{n}_switches_per_1000") for n in LABELS.values())
+    return out.select(
+        "__run", "active_frames", *[f"top_10pct_power_high_regime_recall_{n}" for n in LABELS.values()], *[f"{n}_power_spearman_frame" for n in SCORES.values()], *measures,
+        "monotonic_parts", "eligible_monotonic_parts", "monotonic_part_fraction", *[n for n, _ in bounds], raw, temporal, F.try_divide(raw - temporal, raw).alias("switch_reduction_fraction"),
+    )
 
 
 def runs_summary(runs: DataFrame, by: list[str], seed: str = "seed") -> DataFrame:

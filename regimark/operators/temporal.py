@@ -7,11 +7,15 @@ matrices, and labels are those of decoding a segment from its first frame to its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources.store import stored
 from .windows import gap_segments, runs, switches
@@ -87,133 +91,175 @@ def backward(back: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarr
     return out
 
 
-def _parts(pdf: pd.DataFrame, p: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the blocks of a batch: emissions of all frames, begins of runs, and the first and the last run of each block."""
-    frame = [np.asarray(x) for x in pdf["frame_index"]]
-    cuts = [np.concatenate([[0], np.flatnonzero(np.diff(f) > 1) + 1]) for f in frame]
-    at = np.concatenate([[0], np.cumsum([len(f) for f in frame])])
-    count = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
-    emit = np.stack([fixed(np.concatenate([np.asarray(x, float) for x in pdf[c]])) for c in p], axis=1)
-    return emit, np.concatenate([c + a for c, a in zip(cuts, at, strict=False)]), count[:-1], count[1:] - 1
+def _flat(batch: pa.RecordBatch, c: str) -> np.ndarray:
+    return batch.column(c).flatten().to_numpy(zero_copy_only=False)
 
 
-def _summarised(batches: Iterator[pd.DataFrame], p: list[str]) -> Iterator[pd.DataFrame]:
+def _parts(batch: pa.RecordBatch, p: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the blocks of a batch: emissions of all frames, begins of blocks (and the end), begins of runs, and the first and
+    the last run of each block."""
+    frame = _flat(batch, "frame_index")
+    at = np.concatenate([[0], np.cumsum(batch.column("frame_index").value_lengths().to_numpy(zero_copy_only=False))])
+    cut = np.ones(len(frame), bool)
+    cut[1:] = np.diff(frame) > 1
+    cut[at[:-1]] = True
+    starts = np.flatnonzero(cut)
+    first = np.searchsorted(starts, at[:-1])
+    emit = np.stack([fixed(_flat(batch, c)) for c in p], axis=1)
+    return emit, at, starts, first, np.append(first[1:], len(starts)) - 1
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """A list a row of an array."""
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * width, width), pa.int32()), pa.array(values.ravel()))
+
+
+def _rows_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all rows from starts to ends, and where each such run then begins."""
+    begin = np.concatenate([[0], np.cumsum(ends - starts)])
+    return np.arange(begin[-1]) + np.repeat(starts - begin[:-1], ends - starts), begin[:-1]
+
+
+def _summarised(batches: Iterator[pa.RecordBatch], p: list[str]) -> Iterator[pa.RecordBatch]:
     """What the scan over blocks needs: first and last frame, number of runs, the first run as a matrix from the
     states before it, and the sums at the end of the last run if that begins here."""
-    for pdf in batches:
-        if len(pdf):
-            emit, starts, first, last = _parts(pdf, p)
-            fresh, _ = forward(emit, starts, (START + emit[starts])[:, None, :])
-            ends = np.append(starts[1:], len(emit))
-            rows = np.concatenate([np.arange(starts[r], ends[r]) for r in first])
-            own = np.concatenate([[0], np.cumsum(ends[first] - starts[first])[:-1]])
+    for batch in batches:
+        if batch.num_rows:
+            emit, at, starts, first, last = _parts(batch, p)
+            frame, ends = _flat(batch, "frame_index"), np.append(starts[1:], len(emit))
+            rows, own = _rows_of(starts[last], ends[last])
+            fresh, _ = forward(emit[rows], own, (START + emit[starts[last]])[:, None, :])
+            rows, own = _rows_of(starts[first], ends[first])
             matrix, _ = forward(emit[rows], own, STEP + emit[starts[first]][:, None, :])
-            yield pdf.assign(
-                first_frame=[f[0] for f in pdf["frame_index"]], last_frame=[f[-1] for f in pdf["frame_index"]], runs=last - first + 1,
-                matrix=list(matrix.reshape(-1, STATES * STATES)), fresh=list(fresh[last, 0]),
-            )
-
-
-def _entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of a video in order: the sums at the frame before a block that goes on with it (else NULL), and the
-    number of its first segment. Sums are taken relative to the largest, so they stay small."""
-    video, end, sums, segment = None, None, None, -1
-    for pdf in batches:
-        enter, number = [], []
-        for v, a, b, n, matrix, fresh in pdf[["video_id", "first_frame", "last_frame", "runs", "matrix", "fresh"]].itertuples(index=False):
-            if end is None or not (v == video or (pd.isna(v) and pd.isna(video))):
-                video, end, segment = v, None, -1
-            linked = end is not None and a - end <= 1
-            enter.append(sums if linked else None)
-            segment += not linked
-            number.append(segment)
-            segment += n - 1
-            sums = (np.asarray(sums)[:, None] + np.asarray(matrix).reshape(STATES, STATES)).max(axis=0) if linked and n == 1 else np.asarray(fresh)
-            sums, end = sums - sums.max(), b
-        yield pdf[["video_id", "block"]].assign(enter=enter, segment=number)
-
-
-def _pointed(batches: Iterator[pd.DataFrame], p: list[str]) -> Iterator[pd.DataFrame]:
-    """Back pointers of a block's frames, the state before it for each state at its end, its best last state."""
-    for pdf in batches:
-        if len(pdf):
-            emit, starts, first, last = _parts(pdf, p)
-            begin, before = START + emit[starts], np.zeros((len(pdf), STATES), np.int8)
-            for k, enter in enumerate(pdf["enter"]):
-                if enter is not None:
-                    paths = np.asarray(enter)[:, None] + STEP
-                    before[k], begin[first[k]] = paths.argmax(axis=0), paths.max(axis=0) + emit[starts[first[k]]]
-            best, back = forward(emit, starts, begin[:, None, :])
-            own = best[:, 0].argmax(axis=1).astype(np.int8)
+            kind = batch.schema.field("frame_index").type.value_type
+            made = {
+                "first_frame": pa.array(frame[at[:-1]], kind), "last_frame": pa.array(frame[at[1:] - 1], kind), "runs": pa.array(last - first + 1, pa.int64()),
+                "matrix": _lists(matrix.reshape(-1, STATES * STATES)), "fresh": _lists(fresh[:, 0]),
+            }
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], [*batch.schema.names, *made])
+
+
+def _records(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]):
+    """(a video's keys, values of columns) of rows one after the other."""
+    for batch in batches:
+        yield from zip(zip(*[batch.column(c).to_pylist() for c in keys], strict=True), *[batch.column(c).to_pylist() for c in columns], strict=True)
+
+
+def _gathered(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for some in iter(lambda: list(islice(rows, 10_000)), []):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+def _entered(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple]:
+    """Blocks of a video in order: the sums at the frame before a block that goes on with it (else NULL), the number of
+    its first segment, and whether it goes on with a block or one with it; blocks for which all this is no are left out.
+    Sums are taken relative to the largest, so they stay small."""
+    held, begins, segment = None, None, 0  # the block before, its sums at its begin, its first segment
+    for row in chain(_records(batches, keys, ["block", "first_frame", "last_frame", "runs", "matrix", "fresh"]), [None]):
+        same = held is not None and row is not None and row[0] == held[0]
+        linked = same and row[2] - held[3] <= 1
+        if held is not None and (begins is not None or segment or linked):
+            yield *held[0], held[1], begins, segment, begins is not None or linked
+        if linked:
+            sums = (np.asarray(begins)[:, None] + np.asarray(held[5]).reshape(STATES, STATES)).max(axis=0) if begins is not None and held[4] == 1 else np.asarray(held[6])
+        segment = segment + held[4] - linked if same else 0
+        held, begins = row, (sums - sums.max()).tolist() if linked else None
+
+
+def _pointers(batch: pa.RecordBatch, p: list[str]) -> tuple:
+    """Of the blocks of a batch: begins of blocks and of runs, their first and last runs, back pointers, the best last
+    state of each run, and the state before a block for each one at its begin."""
+    emit, at, starts, first, last = _parts(batch, p)
+    begin, before = START + emit[starts], np.zeros((batch.num_rows, STATES), np.int8)
+    enter = batch.column("enter")
+    if len(on := np.flatnonzero(enter.is_valid().to_numpy(zero_copy_only=False))):
+        paths = enter.drop_null().flatten().to_numpy().reshape(-1, STATES)[:, :, None] + STEP
+        before[on], begin[first[on]] = paths.argmax(axis=1), paths.max(axis=1) + emit[starts[first[on]]]
+    best, back = forward(emit, starts, begin[:, None, :])
+    return at, starts, first, last, back, best[:, 0].argmax(axis=1).astype(np.int8), before
+
+
+def _pointed(batches: Iterator[pa.RecordBatch], keys: list[str], p: list[str]) -> Iterator[pa.RecordBatch]:
+    """The state before a block for each state at its end, its best last state."""
+    for batch in batches:
+        if batch.num_rows:
+            _, starts, first, last, back, own, before = _pointers(batch, p)
             ends = np.repeat(own[:, None], STATES, axis=1)
             ends[last] = np.arange(STATES)  # the last run may go on in the next block
             states = backward(back, starts, ends)
             entry = np.take_along_axis(before, states[starts[first]].astype(np.int64), axis=1)
-            at = np.append(np.searchsorted(starts, starts[first]), len(starts))
-            rows = np.append(starts[first], len(emit))
-            yield pdf[["video_id", "block", "segment", "frame_index", "first_frame", "last_frame"]].assign(
-                back=[back[a:b].tobytes() for a, b in zip(rows, rows[1:], strict=False)], own=[own[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)],
-                entry=list(entry), best=own[last],
-            )
+            names = [*keys, "block", "first_frame", "last_frame"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], _lists(entry.astype(np.int32)), pa.array(own[last], pa.int32())], [*names, "entry", "best"])
 
 
-def _left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of a video, the last one first: the state at a block's last frame."""
+def _left(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple]:
+    """Blocks of a video, the last one first: the state at a block's last frame where it isn't the best one."""
     video, begin, state = None, None, 0
-    for pdf in batches:
-        found = []
-        for v, a, b, entry, best in pdf[["video_id", "first_frame", "last_frame", "entry", "best"]].itertuples(index=False):
-            same = begin is not None and (v == video or (pd.isna(v) and pd.isna(video)))
-            state = int(state) if same and begin - b <= 1 else int(best)
-            found.append(state)
-            video, begin, state = v, a, entry[state]
-        yield pdf[["video_id", "block"]].assign(last_state=found)
-
-
-def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for v, segment, frame, back, own, state in pdf[["video_id", "segment", "frame_index", "back", "own", "last_state"]].itertuples(index=False):
-            frame = np.asarray(frame)
-            cut = np.concatenate([[True], np.diff(frame) > 1])
-            last = np.frombuffer(own, np.int8).copy()
-            last[-1] = state
-            label = backward(np.frombuffer(back, np.int8).reshape(-1, STATES), np.flatnonzero(cut), last[:, None])[:, 0]
-            yield pd.DataFrame({"video_id": v, "frame_index": frame, "segment": segment + cut.cumsum() - 1, "temporal_label": label})
-
-
-def decode(frames: DataFrame, p: tuple[str, str, str] = ("p_low", "p_nominal", "p_high")) -> DataFrame:
-    """(video_id, frame_index, segment, temporal_label) of frames; a segment ends where an index is left out.
-
-    A video is cut into blocks of BLOCK frame numbers that tasks share. A block's first run of frames is a max-plus
-    matrix from the states before it to those at its end; a scan over these, one small row a block, gives each
-    block the sums that it begins with. With them blocks find their back pointers, and thereby a map from the
-    state at their end to the one before them; a scan from the last block on gives the states at the ends, and
-    blocks their labels. So no task holds a video. Repeated frames of an index follow one another.
+    for own, block, first_frame, last_frame, entry, best in _records(batches, keys, ["block", "first_frame", "last_frame", "entry", "best"]):
+        state = state if own == video and begin - last_frame <= 1 else best
+        if state != best:
+            yield *own, block, state
+        video, begin, state = own, first_frame, entry[state]
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], keys: list[str], p: list[str], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            at, starts, first, last, back, own, _ = _pointers(batch, p)
+            state = batch.column("last_state").to_numpy(zero_copy_only=False)
+            own[last] = np.where(np.isnan(state), own[last], state) if state.dtype.kind == "f" else state
+            label = backward(back, starts, own[:, None])[:, 0]
+            block = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(label)))) - first[block]
+            segment = batch.column("segment").to_numpy()[block] + run
+            made = [batch.column(c).take(pa.array(block)) for c in keys] + [batch.column("frame_index").flatten(), pa.array(segment, pa.int64()), pa.array(label, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*made, *[batch.column(c).flatten() for c in keep]], [*keys, "frame_index", "segment", "temporal_label", *keep])
+
+
+def decode(frames: DataFrame, p: tuple[str, str, str] = ("p_low", "p_nominal", "p_high"), by: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(video_id, by, frame_index, segment, temporal_label, keep) of frames; a segment ends where an index is left out.
+
+    by: what else tells videos apart, such as the run that the posteriors are from. A video is cut into blocks of BLOCK
+    frame numbers that tasks share. A block's first run of frames is a max-plus matrix from the states before it to
+    those at its end; a scan over these, one small row a block, gives each block the sums that it begins with. With them
+    blocks that go on with others find a map from the state at their end to the one before them; a scan from the last
+    block on gives the states at the ends, and blocks their labels. So no task holds a video, and of videos within a
+    block nothing but the block is shuffled. Repeated frames of an index follow one another.
     """
-    names = list(p)
-    video, index = (frames.schema[c].dataType.simpleString() for c in ("video_id", "frame_index"))
+    names, keys, keep = list(p), ["video_id", *by], list(keep)
+    kind = {c: frames.schema[c].dataType.simpleString() for c in (*keys, "frame_index", *keep)}
     block = F.floor(F.col("frame_index") / BLOCK).alias("block")
-    rows = F.sort_array(F.collect_list(F.struct("frame_index", *[F.col(c).cast("double").alias(c) for c in names])))
-    packed = frames.groupBy("video_id", block).agg(rows.alias("r")).select("video_id", "block", *[F.col(f"r.{c}").alias(c) for c in ("frame_index", *names)])
-    key = f"video_id {video}, block long"
-    ends = f"first_frame {index}, last_frame {index}"
-    held = f"{key}, frame_index array<{index}>, " + ", ".join(f"{c} array<double>" for c in names)
-    blocks = stored(packed.mapInPandas(lambda b: _summarised(b, names), f"{held}, {ends}, runs long, matrix array<long>, fresh array<long>"), "blocks")
-
-    def scanned(table, columns, order, scan, schema):
-        dealt = table.select("video_id", "block", "first_frame", "last_frame", *columns).repartition("video_id").sortWithinPartitions("video_id", order)
-        return stored(dealt.mapInPandas(scan, schema), "scan")
-
-    def joined(table, scan):
-        t, s = table.alias("t"), scan.alias("s")
-        same = F.col("t.video_id").eqNullSafe(F.col("s.video_id")) & (F.col("t.block") == F.col("s.block"))
-        return t.join(s, same).select("t.*", *[f"s.{c}" for c in scan.columns if c not in ("video_id", "block")])
-
-    entered = scanned(blocks, ["runs", "matrix", "fresh"], F.col("block").asc(), _entered, f"{key}, enter array<long>, segment long")
-    pointed = joined(blocks.drop("runs", "matrix", "fresh"), entered).mapInPandas(lambda b: _pointed(b, names), f"{key}, segment long, frame_index array<{index}>, {ends}, back binary, own binary, entry array<int>, best int")
-    pointed = stored(pointed, "pointers")
-    left = scanned(pointed, ["entry", "best"], F.col("block").desc(), _left, f"{key}, last_state int")
-    return joined(pointed, left).mapInPandas(_labelled, f"video_id {video}, frame_index {index}, segment long, temporal_label long")
+    own = {f"p{i}": F.col(c).cast("double") for i, c in enumerate(names)} | {f"k{i}": F.col(c) for i, c in enumerate(keep)}  # a column may be both
+    rows = F.sort_array(F.collect_list(F.struct("frame_index", *[c.alias(n) for n, c in own.items()])))
+    packed = frames.groupBy(*keys, block).agg(rows.alias("r")).select(*keys, "block", *[F.col(f"r.{c}").alias(c if c == "frame_index" else f"__{c}") for c in ("frame_index", *own)])
+    p_, keep_ = [f"__p{i}" for i in range(len(names))], [f"__k{i}" for i in range(len(keep))]
+    key = ", ".join([*[f"`{c}` {kind[c]}" for c in keys], "block long"])
+    ends = f"first_frame {kind['frame_index']}, last_frame {kind['frame_index']}"
+    held = ", ".join([key, f"frame_index array<{kind['frame_index']}>", *[f"{c} array<double>" for c in p_], *[f"{c} array<{kind[k]}>" for c, k in zip(keep_, keep, strict=True)]])
+    blocks = stored(packed.mapInArrow(lambda b: _summarised(b, p_), f"{held}, {ends}, runs long, matrix array<long>, fresh array<long>"), "blocks")
+
+    def scanned(table, columns, order, scan, made):
+        dealt = table.select(*keys, "block", "first_frame", "last_frame", *columns).repartition(*keys).sortWithinPartitions(*keys, order)
+        schema = StructType.fromDDL(f"{key}, {made}")
+        arrow = to_arrow_schema(schema)
+        return stored(dealt.mapInArrow(lambda b: _gathered(scan(b, keys), arrow), schema), "scan")
+
+    def joined(table, scan, how):
+        same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in keys]
+        found = [c for c in scan.columns if c not in (*keys, "block")]
+        return table.alias("t").join(scan.alias("s"), reduce(lambda a, b: a & b, same) & (F.col("t.block") == F.col("s.block")), how).select("t.*", *[f"s.{c}" for c in found])
+
+    # Few rows: only blocks that a video goes on from or into have one. Where they are many, the joins are shuffled.
+    entered = scanned(blocks, ["runs", "matrix", "fresh"], F.col("block").asc(), _entered, "enter array<long>, segment long, chained boolean")
+    bare = blocks.drop("runs", "matrix", "fresh")
+    chained = joined(bare.drop(*keep_), entered.filter("chained").drop("chained"), "inner")
+    pointed = stored(chained.mapInArrow(lambda b: _pointed(b, keys, p_), f"{key}, {ends}, entry array<int>, best int"), "pointers")
+    left = scanned(pointed, ["entry", "best"], F.col("block").desc(), _left, "last_state int")
+    known = joined(joined(bare.drop("first_frame", "last_frame"), entered.drop("chained"), "left"), left, "left").withColumn("segment", F.coalesce("segment", F.lit(0)))
+    made = ", ".join([*[f"`{c}` {kind[c]}" for c in keys], f"frame_index {kind['frame_index']}, segment long, temporal_label long", *[f"{c} {kind[k]}" for c, k in zip(keep_, keep, strict=True)]])
+    out = known.mapInArrow(lambda b: _labelled(b, keys, p_, keep_), made)
+    return out.withColumnsRenamed(dict(zip(keep_, keep, strict=True)))
 
 
 def sequence_metrics(frames: DataFrame, label: str) -> DataFrame:

@@ -377,7 +377,7 @@ FOLD = "CAST(video_id % 5 AS INTEGER)"
 
 
 def _folded(spark, sf):
-    return stored(D.active(frames(spark, sf), "active").withColumn("fold", (F.col("video_id") % 5).cast("int")), "folds")
+    return stored(D.active(frames(spark, sf), "active").select("video_id", "frame_index", "intensity", "power", (F.col("video_id") % 5).cast("int").alias("fold")), "folds")
 
 
 @query("m15_out_of_fold_states")
@@ -388,11 +388,9 @@ def out_of_fold_states(spark, sf):
 
 def _all_runs(spark, sf):
     """Out-of-fold rows of every model and seed, with their temporal labels."""
-    oof = stored(M.out_of_fold(_folded(spark, sf), ["intensity", "power"], "fold", ["video_id", "frame_index", "power"]), "predictions")
+    oof = M.out_of_fold(_folded(spark, sf), ["intensity", "power"], "fold", ["video_id", "frame_index", "power"])
     # A run's videos are videos of their own for the decoder.
-    named = oof.select(F.concat_ws("/", "model", "seed", "video_id").alias("video_id"), "frame_index", "p_low", "p_nominal", "p_high")
-    labels = TM.decode(named).drop("segment").withColumns({"model": F.split_part("video_id", F.lit("/"), F.lit(1)), "seed": F.split_part("video_id", F.lit("/"), F.lit(2)).cast("int"), "video_id": F.split_part("video_id", F.lit("/"), F.lit(3)).cast("long")})
-    return stored(oof.join(labels, ["model", "seed", "video_id", "frame_index"]), "runs")
+    return stored(TM.decode(oof, by=("model", "seed"), keep=("power", "p_high", "label")), "runs")
 
 
 @query("m15_out_of_fold_evaluation")

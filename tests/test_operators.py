@@ -641,3 +641,63 @@ def test_equal_rows_are_one_row_with_their_number(spark):
     plain = rows.withColumn("__fold", F.lit(-1))
     a, b = (models.kmeans_fits(p, ["a", "b"], [models.Job()], begin=begin)[0] for p in (points, plain))
     assert np.allclose(a[0], b[0]) and a[1] == pytest.approx(b[1])
+
+
+def _jobs(spark, tag, work):
+    spark.sparkContext.setJobGroup(tag, tag)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_all_runs_are_evaluated_in_the_same_passes(spark):
+    rng = np.random.default_rng(17)
+    rows = [(None if s == 3 else "m", s, v, 2 * i if i > 20 else i, float(rng.integers(9)) if i % 7 else None, float(rng.integers(5)) if i % 5 else None, int(rng.integers(3)), int(rng.integers(3))) for s in range(6) for v in range(2) for i in range(30)]
+    d = spark.createDataFrame(rows, "model string, seed int, video_id long, frame_index long, power double, p_high double, label int, temporal_label int").cache()
+    d.count()
+    ask = lambda runs: evaluation.evaluate_runs(d.filter(F.col("seed") < runs), ["model", "seed"]).collect()
+    (two, few), (six, many) = _jobs(spark, "two", lambda: ask(2)), _jobs(spark, "six", lambda: ask(6))
+    assert len(two) == 2 and len(six) == 6 and many <= few + 10  # each run had some dozens of its own
+    for r in six:
+        alone = evaluation.evaluate_run(d.filter(F.col("seed") == r["seed"]).drop("model", "seed")).first()
+        assert r["model"] == (None if r["seed"] == 3 else "m") and r["active_frames"] == 60
+        assert [r[c] for c in alone.__fields__] == pytest.approx([alone[c] for c in alone.__fields__], nan_ok=True)
+        parts = evaluation.part_table(d.filter(F.col("seed") == r["seed"]).drop("model", "seed")).collect()
+        within = {w["video_id"]: w["spearman"] for w in stats.spearman_within(d.filter(F.col("seed") == r["seed"]), "p_high", "power", ["video_id"]).collect()}
+        assert {p["video_id"]: p["p_high_power_spearman"] for p in parts} == pytest.approx(within)
+    none = evaluation.evaluate_run(d.filter("false").drop("model", "seed"), intervals=False).first()
+    assert none["active_frames"] == 0 and none["monotonic_part_fraction"] is None
+    with pytest.raises(ValueError):
+        evaluation.evaluate_runs(d.filter("false"), ["model", "seed"])
+
+
+def test_correlations_of_groups(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(18)
+    rows = [(g, float(x), float(x + y)) for g in (None, "a", "b") for x, y in zip(rng.integers(0, 9, 80), rng.integers(0, 9, 80), strict=True)] + [("c", 1.0, 2.0)] * 5
+    d = spark.createDataFrame(rows, "g string, x double, y double")
+    for most in (3, 10_000):  # ranks that are broadcast
+        monkeypatch.setattr(stats, "FREQUENT", most)
+        got = {r["g"]: (r["n"], r["spearman"]) for r in stats.spearman(d, "x", "y", ("g",)).collect()}
+        assert got.pop("c") == (5, None)
+        for g, found in got.items():
+            own = pd.DataFrame([r[1:] for r in rows if r[0] == g])
+            assert found == (80, pytest.approx(own.corr("spearman").iloc[0, 1]))
+    assert len(got) == 3 and stats.spearman(d.filter("false"), "x", "y").first().asDict() == {"n": 0, "spearman": None}
+
+
+def test_runs_are_decoded_together_with_their_columns(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    rows = [(m, v, int(i), *map(float, q), f"{m}{i}") for m in ("a", None) for v in (0, 1) for i, q in zip(np.cumsum(rng.integers(1, 3, 40)), rng.dirichlet([1, 1, 1], 40), strict=True)]
+    d = spark.createDataFrame(rows, "m string, video_id long, frame_index int, p_low double, p_nominal double, p_high double, note string")
+    for block in (7, 20_000):
+        monkeypatch.setattr(temporal, "BLOCK", block)
+        got = {(r["m"], r["video_id"], r["frame_index"]): (r["segment"], r["temporal_label"], r["p_high"], r["note"]) for r in temporal.decode(d, by=("m",), keep=("p_high", "note")).collect()}
+        want = {}
+        for m in ("a", None):
+            kept = {r[1:3]: r[5:] for r in rows if r[0] == m}
+            for r in temporal.decode(d.filter(F.col("m").eqNullSafe(m))).collect():
+                want[m, r["video_id"], r["frame_index"]] = (r["segment"], r["temporal_label"], *kept[r["video_id"], r["frame_index"]])
+        assert got == want and len(got) == 160
