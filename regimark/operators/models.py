@@ -25,8 +25,8 @@ COMPONENTS = 3
 REG = 1e-5
 #: Rounds of drawing candidates for starts of k-means, and candidates of a round for each centre.
 SEED_ROUNDS, OVERSAMPLED = 3, 4
-#: Rows times fits that are worked on at once, and tasks of a pass for each core.
-CELLS, TASKS_A_CORE = 1 << 15, 2
+#: Rows times fits that are worked on at once, tasks of a pass for each core, and bits of a median that a pass finds.
+CELLS, TASKS_A_CORE, DIGIT = 1 << 14, 2, 11
 # Where the anchored start takes its components, and their weights.
 ANCHORS, ANCHOR_WEIGHTS, ANCHOR_SHARE, ANCHOR_LEAST = (0.10, 0.50, 0.90), (0.25, 0.50, 0.25), 0.05, 32
 
@@ -149,20 +149,21 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centres[None]) ** 2).sum(2)
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(x: np.ndarray, centres: np.ndarray, labelled: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
     """For rows and fits (centres[fit, k, column]): the nearest centre, the first of equals, and its squared distance."""
-    label, least = np.zeros((len(x), len(centres)), np.int8), None
+    shape = len(x), len(centres)
+    label, least = np.zeros(shape, np.int8) if labelled else None, np.full(shape, math.inf)
+    far, gap, less = np.empty(shape), np.empty(shape), np.empty(shape, bool)
     for k in range(centres.shape[1]):
-        far = np.zeros(label.shape)
         for i in range(x.shape[1]):
-            gap = x[:, i, None] - centres[None, :, k, i]
-            gap *= gap
-            far += gap
-        if least is None:
-            least = far
-        else:
-            label[far < least] = k
-            np.minimum(least, far, out=least)
+            to = gap if i else far
+            np.subtract(x[:, i, None], centres[None, :, k, i], out=to)
+            np.multiply(to, to, out=to)
+            if i:
+                np.add(far, gap, out=far)
+        if labelled and k:
+            np.copyto(label, np.int8(k), where=np.less(far, least, out=less))
+        np.minimum(least, far, out=least)
     return label, least
 
 
@@ -190,19 +191,18 @@ def _drawn(points: DataFrame, z: list[str], jobs: list[Job], n: int, turn: int,
             x, fold, number = _arrays(batch)
             for js in views:
                 rows, counts = jobs[js[0]].rows(x, fold), jobs[js[0]].counts(number, fold)
-                step = max(1, CELLS // len(js))
+                step, w = max(1, CELLS // len(js)), np.empty((len(js), len(rows)))
                 for at in range(0, len(rows), step):
-                    part = rows[at : at + step]
-                    w = weights(js, part) * counts[at : at + step, None]
-                    for i, j in enumerate(js):
-                        own, seen = w[:, i], part
-                        with np.errstate(divide="ignore"):
-                            keys = np.where(own > 0, np.log(rngs[j].random(len(part))) / np.where(own > 0, own, 1), -math.inf)
-                        if j in held:
-                            keys, seen = np.concatenate([held[j][0], keys]), np.concatenate([held[j][1], part])
-                        best = np.argpartition(-keys, n - 1)[:n] if len(keys) > n else np.arange(len(keys))
-                        best = best[keys[best] > -math.inf]
-                        held[j] = keys[best], seen[best]
+                    w[:, at : at + step] = (weights(js, rows[at : at + step]) * counts[at : at + step, None]).T
+                for j, own in zip(js, w, strict=True):
+                    with np.errstate(divide="ignore"):
+                        keys = np.log(rngs[j].random(len(rows))) / own  # none for a weight of 0
+                    keys[own <= 0] = -math.inf
+                    most, seen = held.get(j, (keys[:0], rows[:0]))
+                    above = np.flatnonzero(keys > (most.min() if len(most) == n else -math.inf))
+                    keys, found = np.concatenate([most, keys[above]]), np.concatenate([seen, rows[above]])
+                    best = np.argpartition(-keys, n - 1)[:n] if len(keys) > n else np.arange(len(keys))
+                    held[j] = keys[best], found[best]
         for j, (keys, rows) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([j] * len(keys), pa.int32()), pa.array(keys), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["job", "key", "x"])
 
@@ -223,13 +223,14 @@ def _starts(points: DataFrame, z: list[str], jobs: list[Job], k: int, d: int) ->
     found = [c if len(c) else np.zeros((1, d)) for c in first]
     for turn in range(1, SEED_ROUNDS + 1):
         now = _padded(found)
-        more = _drawn(points, z, jobs, OVERSAMPLED * k, turn, lambda js, rows, now=now: _nearest(rows, now[js])[1])
+        more = _drawn(points, z, jobs, OVERSAMPLED * k, turn, lambda js, rows, now=now: _nearest(rows, now[js], False)[1])
         found = [np.concatenate([c, m]) if len(m) else c for c, m in zip(found, more, strict=True)]
     every = _padded(found)
 
     def near(js, rows, n):
         label, _ = _nearest(rows, every[js])
-        return np.stack([n @ (label == c) for c in range(every.shape[1])], axis=1)
+        own = label + np.arange(len(js)) * every.shape[1]
+        return np.bincount(own.ravel(), np.repeat(n, len(js)), len(js) * every.shape[1]).reshape(len(js), -1)
 
     counts = _sums(points, z, jobs, near)
     return [_weighted_centres(c, n[: len(c)], k, job.seed) for c, n, job in zip(found, counts, jobs, strict=True)]
@@ -343,25 +344,26 @@ def _responsibilities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, var
     """For rows and fits: each component's share, and the logarithm of the density. Parameters: [fit, component, column]."""
     start = np.log(np.maximum(weights, 1e-300)) - 0.5 * np.log(2 * np.pi * variances).sum(2)
     root = np.sqrt(0.5 / variances)
-    logs = []
+    shape = len(x), len(weights)
+    logs, gap, top = [], np.empty(shape), np.full(shape, -math.inf)
     for k in range(weights.shape[1]):
-        total = np.repeat(start[None, :, k], len(x), axis=0)
+        total = np.empty(shape)
+        total[:] = start[:, k]
         for i in range(x.shape[1]):
-            gap = x[:, i, None] - means[None, :, k, i]
-            gap *= root[None, :, k, i]
-            gap *= gap
-            total -= gap
-        logs.append(total)
-    top = logs[0].copy()
-    for total in logs[1:]:
+            np.subtract(x[:, i, None], means[None, :, k, i], out=gap)
+            np.multiply(gap, root[None, :, k, i], out=gap)
+            np.multiply(gap, gap, out=gap)
+            np.subtract(total, gap, out=total)
         np.maximum(top, total, out=top)
+        logs.append(total)
+    whole = np.zeros(shape)
     for total in logs:
-        total -= top
+        np.subtract(total, top, out=total)
         np.exp(total, out=total)
-    whole = sum(logs[1:], logs[0])
+        np.add(whole, total, out=whole)
     for total in logs:
-        total /= whole
-    return logs, top + np.log(whole)
+        np.divide(total, whole, out=total)
+    return logs, np.add(top, np.log(whole, out=whole), out=top)
 
 
 def mixture_fits(points: DataFrame, z: list[str], jobs: list[Job], starts: list[Mixture], iterations: int = 500, tol: float = 1e-3) -> list[tuple[Mixture, float]]:
@@ -418,20 +420,75 @@ def gmm(train: DataFrame, z: list[str], starts: int = 5, seed: int = 42, iterati
 RUN_MODELS, RUN_SEEDS, RUN_FOLDS = ("gmm", "kmeans"), (42, 123, 2026), 5
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of x."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _valued(code: int) -> float:
+    return float(np.uint64(code - (1 << 63) if code >> 63 else ~code & ((1 << 64) - 1)).view(np.float64))
+
+
+def _medians(points: DataFrame, z: list[str], jobs: list[Job], width: int, values) -> list[list[float | None]]:
+    """For each job exact medians, interpolated between neighbours, of `width` columns that values(job's number, rows) makes.
+
+    The bits of the two middle values are found from the highest on, DIGIT in a pass, by counts of what follows the bits
+    that are known. Numbers that aren't finite don't count; NULL for a column without others.
+    """
+    bins, known, ranks = 1 << DIGIT, np.zeros((len(jobs), width, 2), object), None
+    for shift in range(64 - DIGIT, -DIGIT, -DIGIT):
+        low, size = max(shift, 0), 1 << min(DIGIT, DIGIT + shift)
+
+        def work(js, rows, n, low=low, size=size, known=known):
+            out = np.zeros((len(js), width, 2, bins))
+            for i, j in enumerate(js):
+                for c, x in enumerate(np.ascontiguousarray(values(j, rows).T)):
+                    own = np.isfinite(x)
+                    code, number = _ordered(x[own]), n[own]
+                    for r, prefix in enumerate(known[j, c]):
+                        same = slice(None) if shift == 64 - DIGIT else (code >> np.uint64(low)) // np.uint64(size) == np.uint64(prefix)  # noqa: B023
+                        out[i, c, r] = np.bincount(((code[same] >> np.uint64(low)) % np.uint64(size)).astype(np.int64), number[same], bins)
+            return out.reshape(len(js), -1)
+
+        sums = _sums(points, z, jobs, work)
+        if not sums.size:
+            return [[None] * width for _ in jobs]
+        upto = sums.reshape(len(jobs), width, 2, bins).cumsum(axis=3)
+        if ranks is None:
+            total = upto[:, :, :, -1]
+            ranks = np.stack([(total[:, :, 0] - 1) // 2, total[:, :, 1] // 2], axis=2)  # the two in the middle, or one twice
+        digit = np.minimum((upto <= ranks[..., None]).sum(axis=3), size - 1)
+        before = np.where(digit > 0, np.take_along_axis(upto, np.maximum(digit - 1, 0)[..., None], axis=3)[..., 0], 0)
+        ranks, known = ranks - before, known * size + digit.astype(object)
+    half = lambda low, high: low + (high - low) * 0.5
+    return [[half(*map(_valued, known[j, c])) if total[j, c, 0] else None for c in range(width)] for j in range(len(jobs))]
+
+
 def fold_scalers(frames: DataFrame, features: list[str], fold: str, folds: int = RUN_FOLDS) -> list[Scaler]:
     """For each fold the scaler of all other rows; medians, means and deviations of all folds in a few passes."""
-    cells = [(k, c) for k in range(folds) for c in features]
-    wide = frames.select(*[F.when(F.col(fold) != k, F.col(c)).alias(f"{c}__{k}") for k, c in cells])
-    median = dict(zip(cells, (v or 0.0 for v in quantiles(wide, [(f"{c}__{k}", 0.5) for k, c in cells])), strict=True))
-    filled = {(k, c): F.when(F.col(fold) != k, F.coalesce(F.col(c), F.lit(median[k, c]))) for k, c in cells}
-    row = frames.agg(*[f(filled[k, c]).alias(f"{n}__{c}__{k}") for k, c in cells for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
-    out = []
-    for k in range(folds):
-        std = {c: row[f"std__{c}__{k}"] for c in features}
-        out.append(Scaler(features, {c: median[k, c] for c in features}, {c: row[f"mean__{c}__{k}"] or 0.0 for c in features}, {c: v if v is not None and v >= 1e-9 else 1.0 for c, v in std.items()}))
+    points = _points(frames.filter(F.col(fold).isNotNull()), features, fold)
+    out = _fold_scalers(points, features, folds)
+    points.unpersist()
     return out
 
 
+def _fold_scalers(points: DataFrame, features: list[str], folds: int) -> list[Scaler]:
+    d = len(features)
+    median = [[v or 0.0 for v in own] for own in _medians(points, features, [Job(k) for k in range(folds)], d, lambda j, rows: rows)]
+    jobs = [Job(k, fill=np.array(median[k])) for k in range(folds)]
+
+    def mean_of(power, jobs):
+        sums = _sums(points, features, jobs, lambda js, rows, n: np.repeat([[n.sum(), *(n @ rows**power)]], len(js), axis=0))
+        return [own[1:] / own[0] if own[0] else None for own in (sums if sums.size else np.zeros((folds, 1 + d)))]
+
+    mean = [np.zeros(d) if m is None else m for m in mean_of(1, jobs)]
+    square = mean_of(2, [Job(k, shift=mean[k], fill=jobs[k].fill) for k in range(folds)])
+    std = [[1.0] * d if v is None else [float(x) if x >= 1e-9 else 1.0 for x in np.sqrt(v)] for v in square]
+    named = lambda values: dict(zip(features, map(float, values), strict=True))
+    return [Scaler(features, named(median[k]), named(mean[k]), named(std[k])) for k in range(folds)]
+
+
 def _fold_scaler_rows(frames: DataFrame, features: list[str], fold: str, scalers: list[Scaler]) -> DataFrame:
     """frames with z_ columns by the scaler of their own fold, which was fitted on the others."""
     by_fold = lambda f: F.element_at(F.array(*[F.lit(float(f(s))) for s in scalers]), F.col(fold).cast("int") + 1)
@@ -450,12 +507,14 @@ def out_of_fold(
     """
     starts = {"kmeans": 20, "gmm": 5} if starts is None else starts
     rows = frames.filter(F.col(fold).isNotNull()).withColumn("__fold", F.col(fold).cast("int"))
-    scalers = fold_scalers(rows, features, fold, folds)
-    points = _counted(rows.select("__fold", *[F.col(c).cast("double").alias(c) for c in features]), features)
+    points = _points(rows, features, fold)
+    scalers = _fold_scalers(points, features, folds)
     vector = lambda s, part: np.array([getattr(s, part)[c] for c in features])
     runs = [(model, seed, k) for model in models for seed in seeds for k in range(folds)]
     begun = [(run, Job(run[2], vector(scalers[run[2]], "mean"), vector(scalers[run[2]], "std"), run[1] + s, vector(scalers[run[2]], "median"))) for run in runs for s in range(starts[run[0]])]
-    centres = kmeans_fits(points, features, [job for _, job in begun])
+    once = {(job.left_out, job.seed): job for _, job in begun}  # models that begin at the same clusters share them
+    clusters = dict(zip(once, kmeans_fits(points, features, list(once.values())), strict=True))
+    centres = [clusters[job.left_out, job.seed] for _, job in begun]
     best: dict[tuple, tuple] = {}
     soft = [i for i, (run, _) in enumerate(begun) if run[0] != "kmeans"]
     mixtures = dict(zip(soft, mixture_fits(points, features, [begun[i][1] for i in soft], [centres[i][2] for i in soft]), strict=True)) if soft else {}
@@ -464,13 +523,9 @@ def out_of_fold(
         if run not in best or cost < best[run][0]:
             best[run] = (cost, mixtures[i][0] if i in mixtures else centres[i][0], job)
 
-    def least(run):  # squared distance of a training row of a k-means run to its nearest centre
-        _, found, job = best[run]
-        z = [(F.coalesce(F.col(c).cast("double"), F.lit(float(v))) - float(m)) / float(sd) for c, v, m, sd in zip(features, job.fill, job.shift, job.scale, strict=True)]
-        return F.when(F.col("__fold") != run[2], F.least(*[sum(((x - float(v)) ** 2 for x, v in zip(z, centre, strict=True)), F.lit(0.0)) for centre in found]))
-
     hard = [run for run in runs if run[0] == "kmeans"]
-    spread = dict(zip(hard, quantiles(rows.select(*[least(run).alias(f"d{i}") for i, run in enumerate(hard)]), [(f"d{i}", 0.5) for i in range(len(hard))]), strict=True)) if hard else {}
+    least = lambda j, rows: _nearest(rows, best[hard[j]][1][None], False)[1]
+    spread = dict(zip(hard, (m for (m,) in _medians(points, features, [best[run][2] for run in hard], 1, least)), strict=True)) if hard else {}
 
     def posterior(run, z):
         _, found, _ = best[run]
